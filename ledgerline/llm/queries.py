@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, language, licenses, ngram_join, packing, quality, secrets
+from ledgerline.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, quality, secrets
 from ledgerline.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_benchmark_decontamination, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_secret_scans, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op3_benchmark_decontamination, op4_document_fingerprints, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_secret_scans, op9_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scans": licenses.scan_sql()}
