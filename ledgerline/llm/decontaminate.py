@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -188,22 +189,25 @@ def search(data: np.ndarray, index: Index, s: Settings = Settings()) -> list[tup
     return sorted(best.values())
 
 
+def _indexes(items: DataFrame, settings: Settings, items_at_once: int) -> Iterator[object]:
+    """Broadcast indexes of the items, at most about items_at_once in each, so that what is sent is bounded."""
+    named = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    shares = max(1, math.ceil(named.count() / items_at_once))
+    for share in range(shares):
+        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share).collect()
+        yield items.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n))
+
+
 def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), items_at_once: int = 20_000) -> DataFrame:
     """One row per row of docs and confirmed item: doc_id, item_id, score, overlaps, first_word, last_word.
 
-    Items are indexed `items_at_once` at a time, so that what is sent to the tasks is bounded; with more of them the
-    documents are read once per share.  Null and wordless texts and items match nothing; equal items each match.
+    With more than items_at_once items the documents are read once per share of them.  Null and wordless texts and
+    items match nothing; equal items each match.
     """
-    spark = docs.sparkSession
-    named = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    shares = max(1, math.ceil(named.count() / items_at_once))
     kept = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    found = None
-    for share in range(shares):
-        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share).collect()
-        sent = spark.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n))
 
-        def query(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    def part(sent) -> DataFrame:  # noqa: ANN001
+        def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, hits = [], []
                 for k, data in enumerate(texts(batch.column(1))):
@@ -214,14 +218,20 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), it
                 kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *[x.split()[0] for x in FOUND.split(", ")]])
 
-        part = kept.mapInArrow(query, f"doc_id long, {FOUND}")
-        found = part if found is None else found.unionByName(part)
-    return found
+        return kept.mapInArrow(query, f"doc_id long, {FOUND}")
+
+    return reduce(DataFrame.unionByName, map(part, _indexes(items, settings, items_at_once)))
+
+
+def clean(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), items_at_once: int = 20_000) -> DataFrame:
+    """docs without the rows that hold a benchmark item; all columns stay, and nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def without(kept: DataFrame, sent) -> DataFrame:  # noqa: ANN001
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not search(data, sent.value, settings) for data in texts(batch.column(place))], pa.bool_()))
 
+        return kept.mapInArrow(keep, docs.schema)
 
-def clean(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay.  Rows of a null doc_id are searched too."""
-    columns = docs.columns
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = leaks(named.select(F.col("_row").alias("doc_id"), "text"), items, settings)
-    return named.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*columns)
+    return reduce(without, _indexes(items, settings, items_at_once), docs)

@@ -218,3 +218,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
     tops = tops.join(tops.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component")
     rows = found.join(tops, "cls", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
+    """docs with one row of each component: that of its smallest doc_id.  All columns stay.
+
+    Rows of a null doc_id take part in the links, but having no name they stay.  Of rows that repeat a doc_id one stays.
+    """
+    first = near_duplicates(docs, n, threshold).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
