@@ -1 +1 @@
-"""See the package."""
+"""Operators: functions from DataFrame to DataFrame."""
