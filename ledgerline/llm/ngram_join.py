@@ -20,9 +20,9 @@ from ledgerline.llm.arrays import list_array, shingle_set, signed, texts
 from ledgerline.llm.common import components, cut, text_or_empty
 
 #: Counters of document frequency (a fixed 4 MB), kept in segments, and bins of the suffix filter.
-COUNTER_BITS, SEGMENT_BITS, SUFFIX_BINS = 20, 16, 64
-#: Rows of one n-gram that one task compares at the first round.
-HOT = 4096
+COUNTER_BITS, SEGMENT_BITS, SUFFIX_BINS = 20, 16, 256
+#: Rows of one n-gram that one task compares at the first round, and from which on the second filters within the join.
+HOT, LARGE = 4096, 64
 _TOP = np.uint64(64 - COUNTER_BITS)
 
 Sets = Callable[[np.ndarray], np.ndarray]
@@ -110,10 +110,11 @@ def prefixes(texts_of: DataFrame, sets: Sets, counters: object, threshold: int)
                 sizes.append(n)
                 firsts.append(signed(found[order]))
                 hots.append(((often[order] - np.minimum(often[order], usual)) // HOT).astype(np.int32))
-                bins.append(np.minimum(np.bincount((found & np.uint64(SUFFIX_BINS - 1)).view(np.int64), minlength=SUFFIX_BINS), 32767).astype(np.int16))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), list_array(firsts, pa.int64()), list_array(hots, pa.int32()), list_array(bins, pa.int16())], names=["cls", "n", "prefix", "hot", "suffix"])
+                counts = np.bincount((found & np.uint64(SUFFIX_BINS - 1)).view(np.int64), minlength=SUFFIX_BINS)
+                bins.append((counts if counts.max() < 128 else counts[:0]).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), list_array(firsts, pa.int64()), list_array(hots, pa.int32()), list_array(bins, pa.int8())], names=["cls", "n", "prefix", "hot", "suffix"])
 
-    return texts_of.mapInArrow(ordered, "cls long, n long, prefix array<long>, hot array<int>, suffix array<short>").dropDuplicates(["cls"])
+    return texts_of.mapInArrow(ordered, "cls long, n long, prefix array<long>, hot array<int>, suffix array<tinyint>").dropDuplicates(["cls"])
 
 
 def _may_link(a: str, b: str, threshold: int) -> Column:
@@ -123,85 +124,121 @@ def _may_link(a: str, b: str, threshold: int) -> Column:
     return (F.least(n, m) * 100 >= threshold * F.greatest(n, m)) & (rest * (100 + threshold) >= threshold * (n + m))
 
 
+def _overlap_may_do(one: Column, other: Column, n: Column, threshold: int) -> Column:
+    """Suffix filter: two sets of n elements together share no more than their bins do.  Sets too large for bins pass."""
+    shared = F.aggregate(F.zip_with(one, other, lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return (F.size(one) == 0) | (F.size(other) == 0) | (shared * (100 + threshold) >= threshold * n)
+
+
 def _pair(a: str, b: str) -> list[Column]:
     low = F.col(f"{a}.cls") < F.col(f"{b}.cls")
     return [F.when(low, F.col(f"{x}.cls")).otherwise(F.col(f"{y}.cls")).alias(name) for x, y, name in ((a, b, "a"), (b, a, "b"))]
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts_of: DataFrame, sets: Sets, threshold: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link: suffix filter on the bins, then the exact sets, once per pair."""
-    bins = classes.select("cls", "n", "suffix")
-    left, right = (bins.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("suffix").alias(f"s_{x}")) for x in "ab")
-    shared = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    kept = pairs.distinct().join(left, "a").join(right, "b").where((shared * (100 + threshold) >= threshold * (F.col("n_a") + F.col("n_b"))) | (F.greatest("n_a", "n_b") > 32767))
-    kept = cut(kept.select("a", "b"))
+def verified(pairs: DataFrame, items: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link: suffix filter on the bins, then the exact sets, once per pair.
+
+    items gives (cls, items), an array of hashes, for the classes of a table that it is called with.
+    """
+    kept = pairs.distinct()
+    if bins is not None:
+        left, right = (bins.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("suffix").alias(f"s_{x}")) for x in "ab")
+        kept = kept.join(left, "a").join(right, "b").where(_overlap_may_do(F.col("s_a"), F.col("s_b"), F.col("n_a") + F.col("n_b"), threshold)).select("a", "b")
+    kept = cut(kept)
     needed = cut(kept.select(F.col("a").alias("cls")).unionByName(kept.select(F.col("b").alias("cls"))).distinct())
-    count = needed.count()
-    if not count:
+    if needed.isEmpty():
         return kept
-    small = count <= broadcast_rows  # else a shuffled join
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x for data in texts(batch.column(0)) if len(x := sets(data))]
-            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in found], pa.int64()), list_array([signed(x) for x in found], pa.int64())], names=["cls", "items"])
-
-    items = texts_of.mapInArrow(with_sets, "cls long, items array<long>").join(F.broadcast(needed) if small else needed, "cls", "left_semi").dropDuplicates(["cls"])
-    one, two = (items.select(F.col("cls").alias(x), F.col("items").alias(f"i_{x}")) for x in "ab")
+    found = items(needed).dropDuplicates(["cls"])
+    one, two = (found.select(F.col("cls").alias(x), F.col("items").alias(f"i_{x}")) for x in "ab")
     both = F.size(F.array_intersect("i_a", "i_b")).cast("long")
     exact = kept.join(one, "a").join(two, "b").withColumn("both", both)
     return exact.where(F.col("both") * 100 >= threshold * (F.size("i_a") + F.size("i_b") - F.col("both"))).select("a", "b")
 
 
-def links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(members, roots): each row's class of equal sets, and the component of each class that links with another.
+def only(rows: DataFrame, needed: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows whose cls is in needed: by broadcast if its size is small, else by a shuffled join."""
+    return rows.join(F.broadcast(needed) if needed.count() <= broadcast_rows else needed, "cls", "left_semi")
 
-    A first round compares, for each n-gram of a prefix, every class with the first and the previous of its n-gram in
-    order of size (of a salted share of them where the n-gram is frequent; the shares' first ones are then compared).
-    What that connects is contracted.  A second round compares all remaining pairs that share a prefix n-gram and
-    whose components differ, so no pair is dropped and none within a connected group is written out.
-    """
 
-    def sets(data: np.ndarray) -> np.ndarray:
-        return shingle_set(data, n)
+def _across(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different roots that share an n-gram: each class outside of its largest root, with all others."""
+    with_bins = "suffix" in rows.columns
+    columns = ["cls", "n", "pos", "root", "out", *["suffix"] * with_bins]
+    me = rows.where("out").select("h", F.struct(*columns).alias("me"))
+    other = rows.select("h", F.struct(*columns).alias("with"))
+    apart = (F.col("me.root") != F.col("with.root")) & (~F.col("with.out") | (F.col("me.cls") < F.col("with.cls"))) & _may_link("me", "with", threshold)
+    if with_bins:
+        apart = F.when(apart, _overlap_may_do(F.col("me.suffix"), F.col("with.suffix"), F.col("me.n") + F.col("with.n"), threshold)).otherwise(False)
+    return me.withColumnRenamed("h", "_h").join(other, (F.col("_h") == F.col("h")) & apart).select(*_pair("me", "with"))
 
-    spark = docs.sparkSession
-    texts_of = docs.select(text_or_empty().alias("text"))
-    counters = spark.sparkContext.broadcast(frequencies(texts_of, sets))
-    classes = cut(prefixes(texts_of, sets, counters, threshold))
-    every = classes.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
-    every = every.select(F.col("x.prefix").alias("h"), "cls", "n", F.col("pos").cast("int"), F.when(F.col("x.hot") > 0, F.pmod("cls", F.col("x.hot") + 1)).otherwise(-1).cast("int").alias("salt"))
 
+def neighbours(every: DataFrame, *keep: str, also: str = "false") -> DataFrame:
+    """Rows (h, salt, cls, n, pos) that share their key h, each with the previous and the first of its (h, salt)."""
     row = F.struct("cls", "n", "pos")
-    group = W.partitionBy("h", "salt").orderBy("n", "cls")
+    group = W.partitionBy("h", "salt").orderBy("pos", "n", "cls")
     near = every.withColumns({"before": F.lag(row).over(group), "first": F.first(row).over(group), "next": F.lead("cls").over(group)})
-    # Of an n-gram that only one class has nothing is kept; one in a salted share may have others elsewhere.
-    near = near.withColumn("me", row).where("before is not null or next is not null or salt >= 0").select("h", "salt", "me", "before", "first")
-    near = cut(near)
+    # Of a key that only one class has nothing is kept; one in a salted share may have others elsewhere.
+    return near.withColumn("me", row).where(f"before is not null or next is not null or salt >= 0 or {also}").select("h", "salt", "me", "before", "first", *keep)
+
+
+def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all classes that link with another, from the rows of neighbours.
+
+    A first round compares every class with the first and the previous of its key in order of place (of a salted
+    share of them where the key is frequent; the shares' first ones are then compared).  The class with the fewest
+    rarer n-grams is the likeliest centre of a group of edited copies.  What the round connects is contracted.  A
+    second round compares all remaining pairs that share a key and whose components differ, so no pair is dropped
+    and none within a connected group is written out.
+    """
+    row = F.struct("cls", "n", "pos")
     heads = near.where("before is null and salt >= 0").select("h", "me.*")
-    over = W.partitionBy("h").orderBy("n", "cls")
+    over = W.partitionBy("h").orderBy("pos", "n", "cls")
     heads = heads.withColumns({"me": row, "before": F.lag(row).over(over), "first": F.first(row).over(over)})
     star = near.select("me", "before", "first").unionByName(heads.select("me", "before", "first"))
     pairs = star.select("me", F.explode(F.array("before", "first")).alias("with")).where("with.cls <> me.cls").where(_may_link("me", "with", threshold)).select(*_pair("me", "with"))
-    found = cut(_verified(pairs, classes, texts_of, sets, threshold))
-    roots = cut(components(found))
+    roots = cut(components(cut(check(pairs))))
 
     rows = near.select("h", "me.*").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = cut(rows)
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("h", "main")
+    largest = sizes.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"), F.sum("k").alias("k")).where("roots > 1").select("h", "main", (F.col("k") > LARGE).alias("large"))
     rows = rows.join(largest, "h").withColumn("out", F.col("root") != F.col("main"))
-    me = rows.where("out").select("h", F.struct("cls", "n", "pos", "root").alias("me"))
-    with_ = rows.select("h", F.struct("cls", "n", "pos", "root", "out").alias("with"))
-    apart = (F.col("me.root") != F.col("with.root")) & (~F.col("with.out") | (F.col("me.cls") < F.col("with.cls")))
-    more = me.join(with_, "h").where(apart & _may_link("me", "with", threshold)).select(*_pair("me", "with"))
-    more = cut(_verified(more, classes, texts_of, sets, threshold))
+    if bins is None:
+        more = _across(rows, threshold)
+    else:
+        more = _across(rows.where("not large"), threshold).unionByName(_across(rows.where("large").join(bins.select("cls", "suffix"), "cls"), threshold))
+    more = cut(check(more))
+    if more.isEmpty():
+        return roots
     tied = more.select(F.col("a").alias("x"), F.col("b").alias("y")).join(roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
-    tied = tied.select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b"))
-    upper = cut(components(tied))
+    upper = cut(components(tied.select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b"))))
     below = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    final = below.unionByName(upper.select("node", "root").join(roots.select("node"), "node", "left_anti"))
-    return members(docs, sets), final
+    return below.unionByName(upper.select("node", "root").join(roots.select("node"), "node", "left_anti"))
+
+
+def links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
+    """(members, roots): each row's class of equal sets, and the component of each class that links with another."""
+
+    def sets(data: np.ndarray) -> np.ndarray:
+        return shingle_set(data, n)
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for data in texts(batch.column(0)) if len(x := sets(data))]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in found], pa.int64()), list_array([signed(x) for x in found], pa.int64())], names=["cls", "items"])
+
+    texts_of = docs.select(text_or_empty().alias("text"))
+    counters = docs.sparkSession.sparkContext.broadcast(frequencies(texts_of, sets))
+    classes = cut(prefixes(texts_of, sets, counters, threshold))
+    every = classes.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
+    every = every.select(F.col("x.prefix").alias("h"), "cls", "n", F.col("pos").cast("int"), F.when(F.col("x.hot") > 0, F.pmod("cls", F.col("x.hot") + 1)).otherwise(-1).cast("int").alias("salt"))
+    bins = classes.select("cls", "n", "suffix")
+    roots = connect(
+        cut(neighbours(every)),
+        lambda pairs: verified(pairs, lambda needed: only(texts_of.mapInArrow(with_sets, "cls long, items array<long>"), needed), threshold, bins),
+        threshold, bins,
+    )
+    return members(docs, sets), roots
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
