@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, fingerprints, language, licenses, ngram_join, packing, quality, secrets
+from ledgerline.llm import decontaminate, fingerprints, language, language_model, licenses, ngram_join, packing, passages, quality, secrets
 from ledgerline.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op3_benchmark_decontamination, op4_document_fingerprints, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_secret_scans, op9_ngram_jaccard_join)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_lm_scoring, op3_benchmark_decontamination, op4_document_fingerprints, op5_language_id, op6_best_fit_packing, op7_quality_classifier, op8_secret_scans, op9_ngram_jaccard_join, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scans": licenses.scan_sql()}
