@@ -1,5 +1,290 @@
-"""Queries: graphs."""
+"""Queries over graph operators.  Customers, suppliers and parts are nodes; what they buy is edges."""
 
-from ledgerline.plans import Register
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ledgerline import functions as L
+from ledgerline.operators import aggregates as A
+from ledgerline.operators import graph as G
+from ledgerline.operators import relational as J
+from ledgerline.operators import rows as R
+from ledgerline.plans import Register, Tables
+from ledgerline.plans.aggregates import _PAY, payments
+from ledgerline.plans.relational import _BRIDGE, _FIRST, _PAIRS, bridge, first_events
+from ledgerline.plans.texts import canonical_names, named_rows
 
 query = Register()
+c = F.col
+AT = F.lit("1998-06-30").cast("date")
+
+
+def nodes(t: Tables) -> DataFrame:
+    return t.customer.select(F.concat(F.lit("C"), c("c_custkey")).alias("node")).unionByName(t.supplier.select(F.concat(F.lit("S"), c("s_suppkey")).alias("node")))
+
+
+def edges(t: Tables) -> DataFrame:
+    """Payments valid for half a year from the day of shipping."""
+    day = F.to_date("l_shipdate")
+    rows = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"))
+    return rows.select(F.concat(F.lit("C"), c("o_custkey")).alias("src"), F.concat(F.lit("S"), c("l_suppkey")).alias("dst"), c("l_extendedprice").alias("w"), day.alias("valid_from"), F.add_months(day, 6).alias("valid_to"), c("l_returnflag").alias("rel"))
+
+
+_EDGES = "ed AS (SELECT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst, l_extendedprice AS w, l_shipdate::DATE AS f, (l_shipdate + INTERVAL 6 MONTH)::DATE AS e, l_returnflag AS rel FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sn AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, ln(1 + sum(w)) AS w FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' AND src <> dst GROUP BY 1, 2), nd AS (SELECT 'C' || c_custkey AS node FROM customer UNION ALL SELECT 'S' || s_suppkey FROM supplier)"
+
+
+def live(t: Tables) -> DataFrame:
+    return G.snapshot(edges(t), AT)
+
+
+@query("WITH n AS (SELECT 'customer' AS kind, c_custkey AS ref FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier) SELECT row_number() OVER (ORDER BY kind, ref) AS node_id, kind, ref FROM n")
+def G01_build_nodes(t: Tables) -> DataFrame:
+    rows = t.customer.select(F.lit("customer").alias("kind"), c("c_custkey").alias("ref")).unionByName(t.supplier.select(F.lit("supplier").alias("kind"), c("s_suppkey").alias("ref")))
+    return R.add_row_id(rows, "node_id", ["kind", "ref"]).select("node_id", "kind", "ref")
+
+
+@query(f"""WITH {_PAY}, {_PAIRS}, u AS (SELECT 'pays' AS rel, 'C' || src AS src, 'S' || dst AS dst, round(sum(amount), 2) AS w, min(paid)::DATE::VARCHAR AS since FROM pay GROUP BY src, dst UNION ALL SELECT 'shares', 'C' || a, 'C' || b, hubs::DOUBLE, since::VARCHAR FROM pairs UNION ALL SELECT 'lives', 'C' || c_custkey, 'N' || c_nationkey, 1.0, '2019-01-01' FROM customer)
+SELECT rel, src, dst, w, since FROM u""")
+def G02_build_edges(t: Tables) -> DataFrame:
+    pays = payments(t).groupBy("src", "dst").agg(F.round(F.sum("amount"), 2).alias("w"), F.to_date(F.min("paid")).alias("since")).select(F.lit("pays").alias("rel"), F.concat(F.lit("C"), c("src")).alias("src"), F.concat(F.lit("S"), c("dst")).alias("dst"), "w", "since")
+    shares = J.colocated_pairs(bridge(t), "hub", "member", "since", 20).select(F.lit("shares").alias("rel"), F.concat(F.lit("C"), c("a")).alias("src"), F.concat(F.lit("C"), c("b")).alias("dst"), c("hubs").cast("double").alias("w"), "since")
+    lives = t.customer.select(F.lit("lives").alias("rel"), F.concat(F.lit("C"), c("c_custkey")).alias("src"), F.concat(F.lit("N"), c("c_nationkey")).alias("dst"), F.lit(1.0).alias("w"), F.lit(None).cast("date").alias("since"))
+    every = pays.unionByName(shares).unionByName(lives)
+    return every.withColumn("since", F.coalesce("since", F.lit("2019-01-01").cast("date")).cast("string"))
+
+
+@query(f"WITH {_EDGES} SELECT a, b, round(w, 6) AS w FROM sn")
+def G03_snapshot_graph(t: Tables) -> DataFrame:
+    return live(t).withColumn("w", F.round("w", 6))
+
+
+@query(f"WITH {_EDGES}, d AS (SELECT x, count(*) AS n, sum(w) AS s FROM (SELECT a AS x, w FROM sn UNION ALL SELECT b, w FROM sn) GROUP BY 1) SELECT node, coalesce(n, 0) AS degree, round(coalesce(s, 0), 5) AS weighted_degree FROM nd LEFT JOIN d ON x = node")
+def G04_degree(t: Tables) -> DataFrame:
+    return G.weighted_degree(live(t), nodes(t)).withColumn("weighted_degree", F.round("weighted_degree", 5))
+
+
+@query()
+def G05_pagerank(t: Tables) -> DataFrame:
+    return G.pagerank(live(t), nodes(t), rounds=20)
+
+
+@query()
+def G06_betweenness(t: Tables) -> DataFrame:
+    return G.betweenness(live(t), nodes(t), 16, 8)
+
+
+def numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes with whole numbers: customers as they are, suppliers below zero."""
+    n = lambda x: F.when(F.col(x).startswith("C"), F.substring(x, 2, 12).cast("long")).otherwise(-1 - F.substring(x, 2, 12).cast("long"))
+    return live(t).select(n("a").alias("a"), n("b").alias("b"), "w"), nodes(t).select(n("node").alias("node"))
+
+
+@query()
+def G07_communities(t: Tables) -> DataFrame:
+    e, n = numbered(t)
+    return G.communities(e, n, 4)
+
+
+@query()
+def G08_community_default_rate(t: Tables) -> DataFrame:
+    e, n = numbered(t)
+    labels = G.communities(e, n, 4)
+    defaulted = first_events(t).where(c("event_at") <= AT).select(c("k").alias("node"), F.lit(1.0).alias("d"))
+    return labels.where("node >= 0").join(defaulted, "node", "left").groupBy("label").agg(F.avg(F.coalesce("d", F.lit(0.0))).alias("rate"), F.count("*").alias("members"))
+
+
+_SHARED = f"{_PAIRS}, near AS (SELECT a AS x, b AS y FROM pairs WHERE since <= DATE '1998-06-30' UNION SELECT b, a FROM pairs WHERE since <= DATE '1998-06-30')"
+
+
+def shared(t: Tables) -> DataFrame:
+    """Customers tied by a shared part and supplier until the snapshot."""
+    return J.colocated_pairs(bridge(t), "hub", "member", "since", 20).where(c("since") <= AT).select("a", "b", c("hubs").cast("double").alias("w"))
+
+
+@query(f"WITH {_SHARED}, {_FIRST} SELECT x AS node, round(avg(CASE WHEN event_at <= DATE '1998-06-30' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM near LEFT JOIN ev ON ev.k = y GROUP BY 1")
+def G09_neighbor_default_rate(t: Tables) -> DataFrame:
+    flags = t.customer.join(first_events(t), c("k") == c("c_custkey"), "left").select(c("c_custkey").alias("node"), F.coalesce(c("event_at") <= AT, F.lit(False)).alias("flag"))
+    return G.neighbour_rate(shared(t), flags).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {_PAY}, w AS (SELECT src, dst, sum(amount) AS w FROM pay GROUP BY 1, 2) SELECT 'out' AS side, src AS node, round(sum(w * w) / (sum(w) * sum(w)), 8) AS hhi FROM w GROUP BY 2 UNION ALL SELECT 'in', dst, round(sum(w * w) / (sum(w) * sum(w)), 8) FROM w GROUP BY 2")
+def G10_partner_concentration(t: Tables) -> DataFrame:
+    w = payments(t).groupBy("src", "dst").agg(F.sum("amount").alias("w"))
+    side = lambda name, x: w.groupBy(c(x).alias("node")).agg(F.round(A.hhi("w"), 8).alias("hhi")).select(F.lit(name).alias("side"), "node", "hhi")
+    return side("out", "src").unionByName(side("in", "dst"))
+
+
+@query(f"WITH {_SHARED} SELECT c_custkey AS node, coalesce(n, 0) AS degree FROM customer LEFT JOIN (SELECT x, count(*) AS n FROM near GROUP BY 1) ON x = c_custkey")
+def G11_shared_attribute_degree(t: Tables) -> DataFrame:
+    return A.degrees(shared(t), "a", "b", t.customer.select(c("c_custkey").alias("node")))
+
+
+_CYC = "e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS d FROM lineitem WHERE l_quantity > 45 AND l_partkey <> l_suppkey AND l_partkey IN (SELECT s_suppkey FROM supplier))"
+
+
+def small_edges(t: Tables) -> DataFrame:
+    """Edges between parts and suppliers of one range of numbers, so that they form cycles."""
+    return t.lineitem.where("l_quantity > 45").join(t.supplier, c("l_partkey") == c("s_suppkey"), "left_semi").select(c("l_partkey").alias("src"), c("l_suppkey").alias("dst"))
+
+
+@query(f"""WITH {_CYC}, c2 AS (SELECT a.s AS x, a.d AS y FROM e a JOIN e b ON a.d = b.s AND b.d = a.s), c3 AS (SELECT a.s AS x, a.d AS y, b.d AS z FROM e a JOIN e b ON a.d = b.s JOIN e f ON b.d = f.s AND f.d = a.s WHERE a.s <> b.d),
+c4 AS (SELECT a.s AS x, a.d AS y, b.d AS z, f.d AS u FROM e a JOIN e b ON a.d = b.s JOIN e f ON b.d = f.s JOIN e g ON f.d = g.s AND g.d = a.s WHERE a.s <> b.d AND a.d <> f.d)
+SELECT x AS node FROM c2 UNION SELECT x FROM c3 UNION SELECT x FROM c4""")
+def G12_circular_payment_flag(t: Tables) -> DataFrame:
+    return G.cycles(small_edges(t), 4)
+
+
+@query()
+def G13_spectral_embedding(t: Tables) -> DataFrame:
+    return G.embedding(live(t), nodes(t), 8)
+
+
+@query(f"WITH {_PAIRS}, {_FIRST}, ap AS (SELECT o_orderkey, o_custkey, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders), nb AS (SELECT a AS x, b AS y, since FROM pairs UNION ALL SELECT b, a, since FROM pairs) SELECT o_orderkey, snap::VARCHAR AS snapshot, count(y) AS degree, round(avg(CASE WHEN y IS NOT NULL THEN CASE WHEN event_at <= snap THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM ap LEFT JOIN nb ON x = o_custkey AND since <= snap LEFT JOIN ev ON ev.k = y GROUP BY 1, 2")
+def G14_pit_graph_features(t: Tables) -> DataFrame:
+    """Ties and defaulted neighbours of each application as they were at the month-end before it."""
+    apps = t.orders.select("o_orderkey", c("o_custkey").alias("x"), L.previous_month_end("o_orderdate").alias("snap"))
+    pairs = J.colocated_pairs(bridge(t), "hub", "member", "since", 20)
+    near = pairs.select(c("a").alias("x"), c("b").alias("y"), "since").unionByName(pairs.select(c("b").alias("x"), c("a").alias("y"), "since"))
+    near = near.join(first_events(t).select(c("k").alias("y"), "event_at"), "y", "left")
+    rows = apps.join(near, (apps["x"] == near["x"]) & (c("since") <= c("snap")), "left")
+    flag = F.when(c("y").isNotNull(), F.coalesce(c("event_at") <= c("snap"), F.lit(False)).cast("double"))
+    return rows.groupBy("o_orderkey", c("snap").cast("string").alias("snapshot")).agg(F.count("y").alias("degree"), F.round(F.avg(flag), 6).alias("rate"))
+
+
+_CC = "l AS (SELECT DISTINCT greatest(l_partkey, l_suppkey + 100000) AS a, least(l_partkey, l_suppkey + 100000) AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)"
+
+
+@query(f"""WITH RECURSIVE {_CC}, n AS (SELECT a AS x FROM l UNION SELECT b FROM l), b2 AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l), r(x, root) AS (SELECT x, x FROM n UNION SELECT b2.y, r.root FROM r JOIN b2 ON b2.x = r.x),
+m AS (SELECT x, min(root) AS root FROM r GROUP BY 1) SELECT x AS node, root, dense_rank() OVER (ORDER BY root) AS grp FROM m""")
+def G15_connected_groups(t: Tables) -> DataFrame:
+    rows = t.lineitem.where("l_quantity = 50 and l_discount = 0.1").select(c("l_partkey").alias("a"), (c("l_suppkey") + 100000).alias("b"))
+    found = G.cut(G.components(rows, "a", "b"))
+    groups = R.add_row_id(found.select("root").distinct(), "grp", ["root"])
+    return found.join(groups, "root").select("node", "root", "grp")
+
+
+@query()
+def G16_hub_selection(t: Tables) -> DataFrame:
+    return G.hub_selection(bridge(t), "hub", "member", 2, 30, 500)
+
+
+@query()
+def G17_ownership_depth(t: Tables) -> DataFrame:
+    members = t.supplier.select(c("s_suppkey").alias("node"), c("s_nationkey").alias("grp"))
+    return G.depth(small_edges(t), members, 6)
+
+
+@query(f"WITH {_EDGES}, x AS (SELECT src AS node, dst AS other, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' UNION SELECT dst, src, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30') SELECT node, string_agg(rel || ':' || other, ',' ORDER BY rel, other) AS near FROM x GROUP BY 1")
+def G18_adjacency(t: Tables) -> DataFrame:
+    now = edges(t).where(L.active_at(AT))
+    both = now.select(c("src").alias("node"), c("dst").alias("other"), "rel").union(now.select("dst", "src", "rel")).distinct()
+    listed = F.array_sort(F.collect_list(F.struct("rel", "other")))
+    return both.groupBy("node").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["rel"], x["other"])), ",").alias("near"))
+
+
+@query()
+def G19_ego_subgraph(t: Tables) -> DataFrame:
+    now = edges(t).where(L.active_at(AT)).select("src", "dst", "rel")
+    both = now.unionByName(now.select(c("dst").alias("src"), c("src").alias("dst"), "rel")).distinct()
+    return G.ego(both, nodes(t).where(c("node").startswith("S")).select(c("node").alias("start")), 2, 40)
+
+
+@query(f"WITH {_EDGES}, o AS (SELECT dst AS company, src AS owner, sum(w) AS w FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' GROUP BY 1, 2), s AS (SELECT *, w / sum(w) OVER (PARTITION BY company) AS share, count(*) OVER (PARTITION BY company) AS owners, row_number() OVER (PARTITION BY company ORDER BY w DESC, owner) AS r FROM o) SELECT company, owner, round(share, 6) AS share, share >= 0.05 AS beneficial, owners FROM s WHERE r <= 5")
+def G20_owners_at(t: Tables) -> DataFrame:
+    whole = W.partitionBy("company")
+    rows = edges(t).where(L.active_at(AT)).groupBy(c("dst").alias("company"), c("src").alias("owner")).agg(F.sum("w").alias("w"))
+    rows = rows.withColumns({"share": c("w") / F.sum("w").over(whole), "owners": F.count("*").over(whole), "r": F.row_number().over(whole.orderBy(c("w").desc(), "owner"))})
+    return rows.where("r <= 5").select("company", "owner", F.round("share", 6).alias("share"), (c("share") >= 0.05).alias("beneficial"), "owners")
+
+
+@query("WITH p AS (SELECT p_partkey, list_distinct(string_split(upper(p_name || ' ' || p_type), ' ')) AS t FROM part) SELECT a.p_partkey AS asked, count(*) AS matches FROM p a JOIN p b ON a.p_partkey <> b.p_partkey AND len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.8 WHERE a.p_partkey % 100 = 0 GROUP BY 1")
+def G21_match_address(t: Tables) -> DataFrame:
+    """Exact matches by canonical text, then by token similarity; every hundredth row asks."""
+    from ledgerline.functions.text import canonical_address
+
+    rows = t.part.select("p_partkey", canonical_address(F.concat_ws(", ", "p_name", "p_type")).alias("key"))
+    asked = rows.where("p_partkey % 100 = 0").select(c("p_partkey").alias("asked"), "key")
+    exact = asked.join(rows, "key").select("asked", "p_partkey", F.lit(1.0).alias("score"))
+    fuzzy = J.token_jaccard_join(asked.withColumn("t", F.split("key", " ")), rows.withColumn("t", F.split("key", " ")), "asked", "p_partkey", "t", 0.80)
+    return exact.unionByName(fuzzy).groupBy("asked", "p_partkey").agg(F.max("score").alias("score")).where("asked <> p_partkey").groupBy("asked").agg(F.count("*").alias("matches"))
+
+
+@query("SELECT a.c_custkey AS asked, b.c_custkey AS matched, 1.0 AS score FROM customer a JOIN customer b ON a.c_custkey % 50 = b.c_custkey WHERE a.c_custkey % 100 = 7")
+def G22_match_officers(t: Tables) -> DataFrame:
+    """Names with titles around them still find their party; best match per party."""
+    asked = canonical_names(t, every=100, rest=7, within=50)
+    found = J.token_jaccard_join(asked, named_rows(t, 50), "asked", "matched", "t", 0.85)
+    return J.keep_first(found, ["asked", "matched"], [c("score").desc()]).select("asked", "matched", "score")
+
+
+@query(f"WITH {_PAY} SELECT a.src AS asked, b.src AS borrower, count(DISTINCT b.dst) AS accounts, count(*) AS n FROM (SELECT DISTINCT src, dst FROM pay WHERE src % 100 = 0 AND paid < DATE '1998-06-30') a JOIN pay b ON a.dst = b.dst AND b.src <> a.src WHERE b.paid < DATE '1998-06-30' GROUP BY 1, 2")
+def G23_match_counterparties(t: Tables) -> DataFrame:
+    pay = payments(t).where(c("paid") < AT)
+    asked = pay.where("src % 100 = 0").select(c("src").alias("asked"), "dst").distinct()
+    return asked.join(pay, "dst").where("src <> asked").groupBy("asked", c("src").alias("borrower")).agg(F.countDistinct("dst").alias("accounts"), F.count("*").alias("n"))
+
+
+_RES = f"{_SHARED}, {_FIRST}, pth AS (SELECT x AS asked, y AS borrower, 'shared' AS path FROM near WHERE x % 100 = 0 UNION SELECT a.c_custkey, b.c_custkey, 'nation' FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 100 = 0)"
+
+
+def resolved(t: Tables) -> DataFrame:
+    """Candidates of every hundredth customer by two paths."""
+    pairs = shared(t)
+    near = pairs.select(c("a").alias("asked"), c("b").alias("borrower")).unionByName(pairs.select(c("b").alias("asked"), c("a").alias("borrower")))
+    one = near.where("asked % 100 = 0").withColumn("path", F.lit("shared"))
+    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    two = cust.where("c_custkey % 100 = 0").withColumnRenamed("c_custkey", "asked").join(cust.withColumnRenamed("c_custkey", "borrower"), ["c_nationkey", "c_mktsegment"]).where("asked <> borrower").select("asked", "borrower", F.lit("nation").alias("path"))
+    return one.unionByName(two).distinct()
+
+
+@query(f"WITH {_RES} SELECT c_custkey AS asked, count(DISTINCT borrower) AS candidates, count(DISTINCT CASE WHEN event_at <= DATE '1998-06-30' THEN borrower END) AS defaulted, count(DISTINCT borrower) >= 3 OR coalesce(bool_or(path = 'shared'), false) AS review, CASE WHEN coalesce(bool_or(path = 'shared'), false) THEN 'used' ELSE 'no match' END AS shared_path FROM customer LEFT JOIN pth ON asked = c_custkey LEFT JOIN ev ON ev.k = borrower WHERE c_custkey % 100 = 0 GROUP BY 1")
+def G24_resolve_applicants(t: Tables) -> DataFrame:
+    events = first_events(t).select(c("k").alias("borrower"), (c("event_at") <= AT).alias("bad"))
+    rows = t.customer.where("c_custkey % 100 = 0").select(c("c_custkey").alias("asked")).join(resolved(t).join(events, "borrower", "left"), "asked", "left")
+    by_share = F.coalesce(F.bool_or(c("path") == "shared"), F.lit(False))
+    n = F.countDistinct("borrower")
+    return rows.groupBy("asked").agg(n.alias("candidates"), F.countDistinct(F.when(c("bad"), c("borrower"))).alias("defaulted"), ((n >= 3) | by_share).alias("review"), F.when(by_share, "used").otherwise("no match").alias("shared_path"))
+
+
+@query(f"WITH {_RES}, x AS (SELECT asked, avg(CASE WHEN event_at <= DATE '1998-06-30' THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN path = 'shared' THEN CASE WHEN event_at <= DATE '1998-06-30' THEN 1.0 ELSE 0.0 END END) AS b FROM pth LEFT JOIN ev ON ev.k = borrower GROUP BY 1) SELECT asked, round(100 * (least(1, a) * 0.3 + coalesce(least(1, b / 0.15) * 0.2, 0)) / (0.3 + CASE WHEN b IS NOT NULL THEN 0.2 ELSE 0 END), 6) AS score FROM x")
+def G25_network_risk_indicator(t: Tables) -> DataFrame:
+    bad = F.coalesce(c("event_at") <= AT, F.lit(False)).cast("double")
+    rows = resolved(t).join(first_events(t).select(c("k").alias("borrower"), "event_at"), "borrower", "left").groupBy("asked").agg(F.avg(bad).alias("a"), F.avg(F.when(c("path") == "shared", bad)).alias("b"))
+    return rows.select("asked", F.round(G.risk_indicator([(c("a"), 0.30), (c("b") / 0.15, 0.20)]), 6).alias("score"))
+
+
+@query(f"WITH {_RES} SELECT asked, concat_ws(',', CASE WHEN count(CASE WHEN path = 'shared' THEN 1 END) > 0 THEN 'shared_attribute:' || count(CASE WHEN path = 'shared' THEN 1 END) END, CASE WHEN count(CASE WHEN path = 'nation' THEN 1 END) >= 5 THEN 'hidden_affiliation:' || count(CASE WHEN path = 'nation' THEN 1 END) END) AS patterns FROM pth GROUP BY 1")
+def G26_network_patterns(t: Tables) -> DataFrame:
+    n = {p: F.count_if(c("path") == p) for p in ("shared", "nation")}
+    code = lambda name, k, least: F.when(k >= least, F.concat(F.lit(name), F.lit(":"), k.cast("string")))
+    return resolved(t).groupBy("asked").agg(F.concat_ws(",", code("shared_attribute", n["shared"], 1), code("hidden_affiliation", n["nation"], 5)).alias("patterns"))
+
+
+@query(f"WITH {_RES} SELECT DISTINCT 'A' || asked AS src, path AS dst FROM pth UNION ALL SELECT DISTINCT path, 'B' || borrower FROM pth")
+def G27_evidence_graph(t: Tables) -> DataFrame:
+    rows = resolved(t)
+    one = rows.select(F.concat(F.lit("A"), c("asked")).alias("src"), c("path").alias("dst")).distinct()
+    return one.unionByName(rows.select(c("path").alias("src"), F.concat(F.lit("B"), c("borrower")).alias("dst")).distinct())
+
+
+@query(f"WITH {_BRIDGE} SELECT upper(hub) AS key, min(hub) AS example, count(DISTINCT member) AS members, count(DISTINCT member) > 2 AS is_agent FROM br GROUP BY 1")
+def G28_address_dimension(t: Tables) -> DataFrame:
+    return G.address_dimension(bridge(t).withColumn("key", F.upper("hub")), "hub", "key", "member", 2)[0]
+
+
+@query("SELECT p_partkey, 'ADDR-' || substr(sha256(upper(p_name)), 1, 12) AS surrogate FROM part")
+def G29_pseudonymise(t: Tables) -> DataFrame:
+    from ledgerline.functions.text import canonical_address
+
+    return t.part.select("p_partkey", F.concat(F.lit("ADDR-"), F.substring(F.sha2(canonical_address("p_name"), 256), 1, 12)).alias("surrogate"))
+
+
+@query(f"WITH {_BRIDGE} SELECT 'addresses' AS path, count(DISTINCT hub) AS n FROM br WHERE since <= DATE '1998-06-30' UNION ALL SELECT 'borrowers', count(DISTINCT member) FROM br WHERE since <= DATE '1998-06-30' UNION ALL SELECT 'transfers', count(*) FROM lineitem WHERE l_shipdate <= DATE '1998-06-30'")
+def G30_search_coverage(t: Tables) -> DataFrame:
+    now = bridge(t).where(c("since") <= AT)
+    one = now.agg(F.countDistinct("hub").alias("n")).select(F.lit("addresses").alias("path"), "n")
+    two = now.agg(F.countDistinct("member").alias("n")).select(F.lit("borrowers").alias("path"), "n")
+    three = t.lineitem.where(c("l_shipdate") <= AT).agg(F.count("*").alias("n")).select(F.lit("transfers").alias("path"), "n")
+    return one.unionByName(two).unionByName(three)

@@ -1,5 +1,320 @@
-"""Queries: texts."""
+"""Queries over text: pages of documents, statements printed as text, and search."""
 
-from ledgerline.plans import Register
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ledgerline import functions as L
+from ledgerline.functions import text as X
+from ledgerline.operators import relational as J
+from ledgerline.operators import search as S
+from ledgerline.plans import Register, Tables
 
 query = Register()
+c = F.col
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_TOK = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + _STOP + "], t))"
+
+
+def named_rows(t: Tables, most: int) -> DataFrame:
+    return t.customer.where(c("c_custkey") < most).select(c("c_custkey").alias("matched"), X.name_tokens(F.concat(F.lit("NAME"), c("c_custkey"), F.lit(" OF "), "c_mktsegment", F.lit(" K"), c("c_custkey"))).alias("t"))
+
+
+def canonical_names(t: Tables, every: int, rest: int, within: int) -> DataFrame:
+    """Names as an officer would write them, with titles: those of customers below `within`, asked for by others."""
+    k = c("c_custkey") % within
+    seg = t.customer.select(c("c_custkey").alias("k2"), c("c_mktsegment").alias("s2"))
+    rows = t.customer.where(c("c_custkey") % every == rest).select(c("c_custkey").alias("asked"), k.alias("k2")).join(seg, "k2")
+    return rows.select("asked", X.name_tokens(F.concat(F.lit("Dr. Name"), c("k2"), F.lit(" of "), "s2", F.lit(" K"), c("k2"), F.lit(", S.E., M.M."))).alias("t"))
+
+
+def pages(t: Tables) -> DataFrame:
+    """Turns of conversations as the pages of a document."""
+    return t.conversations.select(c("conv_id").alias("doc"), c("turn").alias("page"), "text")
+
+
+def printed(t: Tables) -> DataFrame:
+    """A statement of each order, printed: a page of labelled lines, values in thousands, one loss in parentheses."""
+    rows = t.orders.where("o_orderkey % 5 = 0")
+    money = lambda x: F.format_string("%,.2f", x)
+    v = c("o_totalprice")
+    whole = F.floor("o_totalprice").cast("double")
+    text = F.concat(F.lit("CONSOLIDATED BALANCE SHEET\nIn thousands\nCurrent assets total   "), money(v), F.lit("\nLong term liabilities  "), money(whole * 2), F.lit("\nCurrent liabilities\n"), money(whole * 3), F.lit("\nNet income ("), money(whole), F.lit(")\nTax rate 22%\nPage note\n"))
+    return rows.select(c("o_orderkey").alias("doc"), F.lit(1).alias("page"), text.alias("text"), v.alias("v"))
+
+
+def lines(df: DataFrame) -> DataFrame:
+    joined = X.join_label_value(F.split("text", "\n"))
+    return df.select("doc", "page", F.posexplode(joined).alias("line", "content"))
+
+
+#: item, label, priority, kind
+RULES = (("current_assets", r"current\s+assets", 180, "money"), ("long_term_liabilities", r"long\s+term\s+liabilities", 180, "money"), ("current_liabilities", r"current\s+liabilities", 170, "money"), ("net_income", r"net\s+income", 175, "money"), ("assets", "assets", 100, "money"), ("tax_rate", r"tax\s+rate", 90, "percent"))
+
+
+def facts(t: Tables) -> DataFrame:
+    """(doc, item, value, priority, page, line): every rule on every line, money scaled by the page's unit."""
+    unit = printed(t).select("doc", "page", F.when(F.lower("text").contains("in thousands"), 1000.0).when(F.lower("text").contains("in millions"), 1e6).otherwise(1.0).alias("unit"))
+    found = F.array(*[F.struct(F.lit(n).alias("item"), X.value_after("content", label).alias("value"), F.lit(p).alias("priority"), F.lit(kind).alias("kind")) for n, label, p, kind in RULES])
+    rows = lines(printed(t)).select("doc", "page", "line", "content", F.inline(F.filter(found, lambda x: x["value"].isNotNull())))
+    return rows.join(unit, ["doc", "page"]).withColumn("value", F.when(c("kind") == "money", c("value") * c("unit")).otherwise(c("value")))
+
+
+_V = "pr AS (SELECT o_orderkey AS doc, o_totalprice AS v FROM orders WHERE o_orderkey % 5 = 0)"
+_FACTS = f"{_V}, fa AS (SELECT doc, 'current_assets' AS item, round(v * 1000, 2) AS value FROM pr UNION ALL SELECT doc, 'assets', round(v * 1000, 2) FROM pr UNION ALL SELECT doc, 'long_term_liabilities', floor(v) * 2000 FROM pr UNION ALL SELECT doc, 'current_liabilities', floor(v) * 3000 FROM pr UNION ALL SELECT doc, 'net_income', -floor(v) * 1000 FROM pr UNION ALL SELECT doc, 'tax_rate', 0.22 FROM pr)"
+
+
+def best(t: Tables) -> DataFrame:
+    return J.keep_first(facts(t), ["doc", "item"], [c("priority").desc(), c("page"), c("line")])
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS tidy FROM pages")
+def D01_tidy_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.tidy("html").alias("tidy"))
+
+
+MARKERS = {"page": [("<html", 3), ("<nav", 2), ("<footer", 2)], "listing": [("<ul", 3), ("<li", 3)], "article": [("<p>", 3), ("<article", 3)]}
+
+
+@query("WITH s AS (SELECT page_id, lower(html) AS h FROM pages), m AS (SELECT page_id, [(CASE WHEN contains(h, '<html') THEN 3 ELSE 0 END + CASE WHEN contains(h, '<nav') THEN 2 ELSE 0 END + CASE WHEN contains(h, '<footer') THEN 2 ELSE 0 END), (CASE WHEN contains(h, '<ul') THEN 3 ELSE 0 END + CASE WHEN contains(h, '<li') THEN 3 ELSE 0 END), (CASE WHEN contains(h, '<p>') THEN 3 ELSE 0 END + CASE WHEN contains(h, '<article') THEN 3 ELSE 0 END)] AS v FROM s) SELECT page_id, CASE WHEN list_max(v) < 5 THEN 'unknown' ELSE ['page', 'listing', 'article'][list_position(v, list_max(v))] END AS kind FROM m")
+def D02_classify_document(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", X.classify("html", MARKERS).alias("kind"))
+
+
+@query()
+def D03_group_pages(t: Tables) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct(c("page").alias("page"), F.length("text").cast("long").alias("length"))))
+    return pages(t).groupBy("doc").agg(listed.alias("p")).select("doc", F.inline(X.page_groups("p", 3000)))
+
+
+@query()
+def D04_chunk_by_section(t: Tables) -> DataFrame:
+    """Sections of a conversation (a user's turn opens one) in windows of 1200 characters that overlap by 150."""
+    run = W.partitionBy("conv_id").orderBy("turn")
+    rows = t.conversations.withColumn("section", F.sum((c("role") == "user").cast("int")).over(run))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    whole = rows.groupBy(c("conv_id").alias("doc"), "section").agg(text.alias("text"), F.min("turn").alias("first_page"), F.max("turn").alias("last_page"))
+    cut = whole.select("*", F.explode(X.window_starts(F.length("text"), 1200, 150)).alias("at")).withColumn("chunk", F.trim(F.substring(c("text"), c("at") + 1, F.lit(1200))))
+    label = F.concat(F.lit("doc "), c("doc"), F.lit(" section "), c("section"), F.lit(" p. "), c("first_page"))
+    return cut.where(F.length("chunk") >= 40).select("doc", "section", "at", "first_page", "last_page", "chunk", label.alias("label"))
+
+
+@query(f"SELECT doc_id, array_to_string({_TOK.format(x='text')}, ' ') AS tokens FROM documents")
+def D05_tokenize(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_join(X.tokens("text"), " ").alias("tokens"))
+
+
+_IDF = f"tk AS (SELECT item_id, {_TOK.format(x='text')} AS t FROM benchmark), df AS (SELECT term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(t)) AS term FROM tk) GROUP BY 1), idf AS (SELECT term, ln(1 + (SELECT count(*) FROM tk) / (1.0 + df)) AS idf FROM df)"
+
+
+def items(t: Tables) -> DataFrame:
+    return t.benchmark.select("item_id", X.tokens("text").alias("t"), "text")
+
+
+@query(f"WITH {_IDF} SELECT term, round(idf, 8) AS idf FROM idf")
+def D06_idf(t: Tables) -> DataFrame:
+    return S.idf(items(t), "item_id", "t").withColumn("idf", F.round("idf", 8))
+
+
+_LEX = f"""{_IDF}, qs AS (SELECT doc_id, unnest(list_distinct({_TOK.format(x='text')})) AS term FROM documents WHERE doc_id % 100 = 0), qw AS (SELECT doc_id, term, idf FROM qs JOIN idf USING (term)), tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(t) AS term FROM tk) GROUP BY 1, 2),
+lex AS (SELECT doc_id, item_id, least(1, sum(idf * tf * 2.2 / (tf + 1.2)) / any_value(w)) AS s FROM qw JOIN tf USING (term) JOIN (SELECT doc_id, sum(idf) AS w FROM qw GROUP BY 1) USING (doc_id) GROUP BY 1, 2)"""
+
+
+def lexical(t: Tables) -> DataFrame:
+    """Every hundredth document asks, as the query set, all benchmark items."""
+    return S.lexical(t.documents.where("doc_id % 100 = 0").select("doc_id", X.tokens("text").alias("t")), items(t), "doc_id", "item_id", "t")
+
+
+@query(f"WITH {_LEX} SELECT doc_id, item_id, round(s, 8) AS lexical FROM lex")
+def D07_lexical_score(t: Tables) -> DataFrame:
+    return lexical(t).withColumn("lexical", F.round("lexical", 8))
+
+
+_COS = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q0 AS (SELECT v AS q FROM nv WHERE vec_id = 0), co AS (SELECT vec_id, list_cosine_similarity(v, q) AS s FROM nv, q0)"
+
+
+def cosines(t: Tables) -> DataFrame:
+    rows = t.embeddings.select("vec_id", S.normalised("embedding").alias("v"))
+    asked = rows.where("vec_id = 0").select(c("v").alias("q"))  # one row: the query vector
+    return rows.crossJoin(F.broadcast(asked)).select("vec_id", S.dot("v", "q").alias("cosine"))
+
+
+@query(f"WITH {_COS} SELECT vec_id, round(s, 6) AS cosine FROM co")
+def D08_cosine_score(t: Tables) -> DataFrame:
+    return cosines(t).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"WITH {_COS}, x AS (SELECT vec_id, round(0.65 * s + 0.35 * (vec_id % 10) / 10.0, 9) AS s, vec_id % 97 = 5 AS cited FROM co), r AS (SELECT *, row_number() OVER (ORDER BY cited DESC, CASE WHEN cited THEN vec_id END, s DESC, vec_id) AS place, count(CASE WHEN cited THEN 1 END) OVER () AS n FROM x) SELECT vec_id, place, round(s, 6) AS score, cited FROM r WHERE place <= 8 OR place <= n")
+def D09_hybrid_search(t: Tables) -> DataFrame:
+    rows = cosines(t).withColumns({"lexical": (c("vec_id") % 10) / 10.0, "is_cited": c("vec_id") % 97 == 5, "q": F.lit(0)})
+    return S.hybrid(rows, "q", "vec_id", 8, 0.35, "vec_id", "is_cited").select("vec_id", "place", F.round("score", 6).alias("score"), "cited")
+
+
+@query("SELECT p_partkey, 'JL ' || upper(p_name) || ' NO ' || p_size || ' LANTAI 2' AS key FROM part")
+def D10_canonical_address(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", X.canonical_address(F.concat(F.lit("Jalan "), "p_name", F.lit(", Nomor "), c("p_size"), F.lit(" (Lt. 2)"))).alias("key"))
+
+
+@query("SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter([upper(c_mktsegment), 'CUSTOMER', lpad(c_custkey::VARCHAR, greatest(9, length(c_custkey::VARCHAR))::INTEGER, '0')], lambda x: length(x) > 1))), ' ') AS t FROM customer")
+def D11_name_tokens(t: Tables) -> DataFrame:
+    written = F.concat(F.lit("PT. "), "c_name", F.lit(" "), "c_mktsegment", F.lit(" A, S.E., M.B.A."))
+    return t.customer.select("c_custkey", F.array_join(F.array_sort(X.name_tokens(written)), " ").alias("t"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 600 THEN regexp_replace(substr(text, 1, 600), '[ \t\n\r\f\v]+[^ \t\n\r\f\v]*$', '') || '...' ELSE text END AS snippet FROM documents")
+def D12_snippet(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.snippet("text").alias("snippet"))
+
+
+@query(f"WITH {_LEX}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, item_id) AS p FROM lex) SELECT item_id, round(max(s), 8) AS score, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS topics FROM r WHERE p <= 3 GROUP BY 1")
+def D13_multi_topic_search(t: Tables) -> DataFrame:
+    top = S.hybrid(lexical(t).withColumn("cosine", F.lit(0.0)), "doc_id", "item_id", 3, 1.0, "item_id")
+    topics = F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",")
+    return top.groupBy("item_id").agg(F.round(F.max("score"), 8).alias("score"), topics.alias("topics"))
+
+
+@query("WITH q AS (SELECT event_id, unnest(regexp_extract_all('see section ' || (event_id % 60)::VARCHAR || ' and section ' || (event_id % 7)::VARCHAR, 'section ([0-9]+)', 1))::BIGINT AS s FROM events) SELECT DISTINCT event_id, s AS missing FROM q WHERE s NOT IN (SELECT item_id FROM benchmark)")
+def D14_cited_missing(t: Tables) -> DataFrame:
+    asked = F.concat(F.lit("see section "), c("event_id") % 60, F.lit(" and section "), c("event_id") % 7)
+    cited = t.events.select("event_id", F.explode(F.regexp_extract_all(asked, F.lit("section ([0-9]+)"), 1)).alias("s")).select("event_id", c("s").cast("long").alias("missing")).distinct()
+    return cited.join(t.benchmark, c("missing") == c("item_id"), "left_anti")
+
+
+@query(f"WITH {_FACTS} SELECT doc, item, value FROM fa WHERE item <> 'tax_rate' UNION ALL SELECT doc, item, value FROM fa WHERE item = 'tax_rate'")
+def D15_extract_facts(t: Tables) -> DataFrame:
+    return facts(t).select("doc", "item", F.round("value", 2).alias("value"))
+
+
+@query(f"WITH {_FACTS} SELECT doc, item, value, 1 AS page FROM fa")
+def D16_best_fact(t: Tables) -> DataFrame:
+    return best(t).select("doc", "item", F.round("value", 2).alias("value"), "page")
+
+
+@query(f"WITH {_FACTS} SELECT doc, round(sum(CASE WHEN item IN ('current_liabilities', 'long_term_liabilities') THEN value END), 2) AS total_liabilities, max(CASE WHEN item = 'net_income' THEN value END) AS net_income FROM fa GROUP BY 1")
+def D17_derive_facts(t: Tables) -> DataFrame:
+    wide = best(t).groupBy("doc").pivot("item", ["current_liabilities", "long_term_liabilities", "net_income"]).agg(F.first("value"))
+    return wide.select("doc", F.round(c("current_liabilities") + c("long_term_liabilities"), 2).alias("total_liabilities"), F.round("net_income", 2).alias("net_income"))
+
+
+@query("WITH w AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM conversations) GROUP BY 1, 2) SELECT conv_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS r FROM w) WHERE r = 1")
+def D18_most_frequent_header(t: Tables) -> DataFrame:
+    words = t.conversations.select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("word")).groupBy("conv_id", "word").agg(F.count("*").alias("n"))
+    return J.keep_first(words, ["conv_id"], [c("n").desc(), c("word")])
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), h AS (SELECT *, (contains(lower(line), 'license') OR contains(lower(line), 'password')) AS hit FROM l),
+k AS (SELECT *, max(hit::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 OR i < 6 AS keep FROM h) SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS reduced FROM k WHERE keep GROUP BY 1""")
+def D19_reduce_document(t: Tables) -> DataFrame:
+    """The first six lines and those with a keyword, with one neighbour on each side."""
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    low = F.lower("line")
+    hit = (F.contains(low, F.lit("license")) | F.contains(low, F.lit("password"))).cast("int")
+    kept = rows.withColumn("hit", hit).withColumn("near", F.max("hit").over(W.partitionBy("doc_id").orderBy("i").rowsBetween(-1, 1))).where("near = 1 or i < 6")
+    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("reduced"))
+
+
+@query(f"WITH {_V} SELECT doc, 9 - 1 + 1 AS n FROM pr")
+def D20_join_label_value_lines(t: Tables) -> DataFrame:
+    return printed(t).select("doc", F.size(X.join_label_value(F.split("text", "\n"))).alias("n"))
+
+
+@query(f"WITH {_FACTS} SELECT doc, max(CASE WHEN item = 'current_assets' THEN value / 1000 END) AS assets FROM fa GROUP BY 1")
+def D21_first_keyword_value(t: Tables) -> DataFrame:
+    """The first keyword that has a value wins over the first line."""
+    hits = F.array_compact(F.array(*[F.when(X.value_after("content", k).isNotNull(), F.struct(F.lit(i).alias("k"), c("line").alias("line"), X.value_after("content", k).alias("v"))) for i, k in enumerate(("total assets", r"current\s+assets", "assets"))]))
+    rows = lines(printed(t)).select("doc", F.explode(hits).alias("h"))
+    return rows.groupBy("doc").agg(F.round(F.min_by("h.v", F.struct("h.k", "h.line")), 2).alias("assets"))
+
+
+@query(f"WITH {_V} SELECT doc, 'a' AS label, v AS value FROM pr UNION ALL SELECT doc, 'b', round(v + 1, 2) FROM pr UNION ALL SELECT doc, 'c', round(v + 2, 2) FROM pr")
+def D22_block_label_values(t: Tables) -> DataFrame:
+    """A block of labels and the block of values after it, matched by place."""
+    v = c("v")
+    block = F.array(F.lit("a"), F.lit("b"), F.lit("c"), *[F.format_string("%.2f", v + k) for k in (0, 1, 2)])
+    rows = printed(t).select("doc", F.posexplode(block).alias("i", "x")).withColumn("num", c("x").rlike("^[0-9.,]+$"))
+    run = W.partitionBy("doc").orderBy("i")
+    rows = rows.withColumn("new", F.coalesce((c("num") != F.lag("num").over(run)).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(run))
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("doc", "island").orderBy("i")))
+    labels, values = rows.where("not num").select("doc", "island", "at", c("x").alias("label")), rows.where("num").select("doc", (c("island") - 1).alias("island"), "at", c("x").cast("double").alias("value"))
+    return labels.join(values, ["doc", "island", "at"]).select("doc", "label", "value")
+
+
+@query(f"WITH {_FACTS} SELECT doc, round(sum(value), 2) AS total FROM fa WHERE item IN ('current_liabilities', 'long_term_liabilities') GROUP BY 1")
+def D23_component_sum(t: Tables) -> DataFrame:
+    parts = best(t).where(c("item").isin("current_liabilities", "long_term_liabilities"))
+    return parts.groupBy("doc").agg(F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"WITH {_V} SELECT doc, 1000.0 AS unit, round(v * 1000, 2) AS rescaled FROM pr")
+def D24_unit_vote(t: Tables) -> DataFrame:
+    """The unit on which most items seen in two readings agree, by the ratio's logarithm."""
+    a = best(t).where("kind = 'money'").select("doc", "item", c("value").alias("x"))
+    b = a.select("doc", "item", (c("x") / 1000).alias("y"))
+    votes = a.join(b, ["doc", "item"]).withColumn("vote", F.round(F.log10(F.abs(c("x") / c("y")))).cast("int")).groupBy("doc", "vote").agg(F.count("*").alias("n"))
+    unit = J.keep_first(votes, ["doc"], [c("n").desc(), c("vote")]).select("doc", F.pow(F.lit(10.0), c("vote")).alias("unit"))
+    return printed(t).join(unit, "doc").select("doc", "unit", F.round(c("v") * c("unit"), 2).alias("rescaled"))
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, c_nationkey::DOUBLE) AS value, CASE WHEN c_custkey % 3 <> 0 THEN 'primary' ELSE 'fallback' END AS source FROM customer")
+def D25_merge_readings(t: Tables) -> DataFrame:
+    one = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", c("c_acctbal").alias("x"))
+    two = t.customer.select("c_custkey", c("c_nationkey").cast("double").alias("y"))
+    return one.join(two, "c_custkey", "full").select("c_custkey", F.coalesce("x", "y").alias("value"), F.when(c("x").isNotNull(), "primary").otherwise("fallback").alias("source"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS accounts, round(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice ELSE 0 END), 2) AS credit, round(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice ELSE 0 END), 2) AS debit, round(avg(l_quantity), 6) AS balance FROM lineitem GROUP BY 1")
+def D26_statement_summary(t: Tables) -> DataFrame:
+    nested = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_suppkey", "l_returnflag", "l_extendedprice", "l_quantity")).alias("rows"))
+    x = nested.select("l_orderkey", F.inline("rows"))
+    back = c("l_returnflag") == "R"
+    return x.groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("accounts"), F.round(F.sum(F.when(back, c("l_extendedprice")).otherwise(0)), 2).alias("credit"), F.round(F.sum(F.when(~back, c("l_extendedprice")).otherwise(0)), 2).alias("debit"), F.round(F.avg("l_quantity"), 6).alias("balance"))
+
+
+@query("SELECT conv_id, concat_ws(',', CASE WHEN NOT bool_or(role = 'system') THEN 'system' END, CASE WHEN NOT bool_or(role = 'assistant') THEN 'assistant' END) AS missing FROM conversations GROUP BY 1")
+def D27_document_completeness(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.concat_ws(",", *[F.when(~F.bool_or(c("role") == r), r) for r in ("system", "assistant")]).alias("missing"))
+
+
+@query(f"WITH {_V}, g AS (SELECT doc, (CASE WHEN doc % 10 = 0 THEN 3 ELSE 2 END) AS hits FROM pr) SELECT round(sum(hits) / (count(*) * 3), 6) AS recall, round(sum(hits) / (count(*) * 6), 6) AS precision, count(*) AS forbidden FROM g")
+def D28_extraction_eval(t: Tables) -> DataFrame:
+    """Expected facts against extracted ones with a relative tolerance; each tax rate counts as forbidden."""
+    expect = printed(t).select("doc", F.inline(F.array(*[F.struct(F.lit(n).alias("item"), x.alias("want")) for n, x in (("current_assets", F.when(c("doc") % 10 == 0, c("v") * 1000).otherwise(1.0)), ("assets", c("v") * 1000), ("tax_rate", F.lit(0.22)))])))
+    got = best(t).select("doc", "item", "value")
+    both = expect.join(got, ["doc", "item"], "full")
+    hit = F.abs(c("want") - c("value")) <= 1e-6 * F.abs("want")
+    return both.agg(F.round(F.count_if(hit) / F.count("want"), 6).alias("recall"), F.round(F.count_if(hit) / F.count("value"), 6).alias("precision"), F.count_if((c("item") == "tax_rate") & c("value").isNotNull()).alias("forbidden"))
+
+
+@query("SELECT min(p_partkey) AS p_partkey, lower(trim(p_name)) AS name FROM part GROUP BY 2")
+def D29_dedupe_by_key(t: Tables) -> DataFrame:
+    return J.keep_first(t.part.withColumn("name", F.lower(F.trim("p_name"))), ["name"], [c("p_partkey")]).select("p_partkey", "name")
+
+
+@query("WITH s AS (SELECT l_orderkey AS doc, l_suppkey AS holder, sum(l_quantity) AS shares FROM lineitem GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY shares DESC, holder) AS r, sum(shares) OVER (PARTITION BY doc) AS total FROM s) SELECT doc, 'Holder ' || holder AS name, round(shares / total, 6) AS share FROM x WHERE r <= 12")
+def D30_extract_shareholders(t: Tables) -> DataFrame:
+    """Name and shares on two lines each; a holder's share is of the sum; the twelve largest."""
+    held = t.lineitem.groupBy(c("l_orderkey").alias("doc"), c("l_suppkey").alias("holder")).agg(F.sum("l_quantity").alias("shares"))
+    text = held.select("doc", "holder", F.concat(F.lit("Holder "), c("holder"), F.lit("\n"), F.format_string("%,.0f", "shares"), F.lit(" shares")).alias("text"))
+    found = text.select("doc", "holder", F.split("text", "\n").alias("l")).select("doc", "holder", c("l")[0].alias("name"), L.parse_local_number(F.regexp_extract(c("l")[1], "^([0-9.,]+)", 1)).alias("shares"))
+    whole = W.partitionBy("doc")
+    return found.withColumns({"r": F.row_number().over(whole.orderBy(c("shares").desc(), "holder")), "total": F.sum("shares").over(whole)}).where("r <= 12").select("doc", "name", F.round(c("shares") / c("total"), 6).alias("share"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 2 = 0 AS flag FROM orders")
+def D31_extract_form_fields(t: Tables) -> DataFrame:
+    """Fields of a form: the first alias that stands there, its value on the same or the next line; A / B labels split."""
+    yes = F.when(c("o_orderkey") % 2 == 0, "Yes").otherwise("No")
+    text = F.concat(F.lit("Status: "), "o_orderstatus", F.lit("\nClass / Priority:\nX / "), "o_orderpriority", F.lit("\nRevolving: "), yes)
+    form = t.orders.select("o_orderkey", text.alias("text"))
+    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract("text", rf"(?i)(?:^|\n){n}:[ ]*\n?([^\n]+)", 1)), F.lit("")) for n in names])
+    pair = F.split(first("class / priority"), " / ")
+    return form.select("o_orderkey", first("state", "status").alias("status"), pair[1].alias("priority"), (F.lower(first("revolving")) == "yes").alias("flag"))
+
+
+@query(f"WITH {_FACTS} SELECT doc, round(sum(value), 2) AS total, 'derived' AS source FROM fa WHERE item IN ('current_liabilities', 'long_term_liabilities') GROUP BY 1")
+def D32_component_liabilities(t: Tables) -> DataFrame:
+    wide = best(t).groupBy("doc").pivot("item", ["total_liabilities", "current_liabilities", "long_term_liabilities"]).agg(F.first("value"))
+    total = c("current_liabilities") + c("long_term_liabilities")
+    return wide.select("doc", F.round(F.coalesce("total_liabilities", total), 2).alias("total"), F.when(c("total_liabilities").isNotNull(), "direct").when(total.isNotNull(), "derived").alias("source"))
