@@ -1,0 +1,410 @@
+"""Small tables against brute force, and the cases of nulls, empty and long texts, repeated rows and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import arrays, common, decontaminate, fingerprints, language, language_model, licenses, ngram_join, packing, passages, quality, secrets
+from ledgerline.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng: random.Random, n: int, stems: str = "abcdefgh") -> str:
+    return " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def corpus(n: int = 60, seed: int = 3) -> list[tuple]:
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = prose(rng, rng.randint(1, 160))
+        if i % 5 == 4:
+            words = rows[-1][1].split()
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = "edited"
+            text = " ".join(words)
+        rows.append((i * 3 + 1, text, "en", f"s{i % 3}", len(text)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and extra columns of names used inside."""
+    long = prose(random.Random(1), 30_000)
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", len(long)), (4, "one two", "fr", "b", 7), (4, "one two", "fr", "b", 7), (None, "three four five six seven eight", "fr", None, 3), (5, " \n\t ", None, "a", 4), (6, "é😀 ß token=abcdef0123 AKIA" + "A1" * 12, "de", "c", 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({"score": F.lit(1.0), "h": F.lit("x"), "cls": F.lit(7), "block": F.lit(0), "range": F.lit(1), "spans": F.lit("s"), "y": F.lit(2), "k": F.lit(1)})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def every_operator(docs, spark):
+    labels = spark.createDataFrame([(2, 0, 0), (3, 1, 0), (4, None, 1), (6, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four"), (2, None), (None, "x y"), (3, "")], "item_id long, text string")
+    return {
+        1: licenses.scan(docs), 2: language_model.score(docs), 3: decontaminate.leaks(docs, items), 4: fingerprints.compare(docs, (8, 32)), 5: language.identify(docs), 6: packing.pack_documents(docs, tokenizer_path()),
+        7: quality.classify(docs, labels), 8: secrets.report(docs), 9: ngram_join.near_duplicates(docs), 10: passages.repeats(docs),
+    }
+
+
+def test_odd_rows(spark, odd):
+    found = {n: df.collect() for n, df in every_operator(odd, spark).items()}
+    for n in (1, 2, 4, 5, 7, 8, 9):
+        assert len(found[n]) == 8, n
+    assert {r.lang_pred for r in found[5] if r.doc_id in (1, 2, 5)} == {"und"}
+    assert all(0 <= r.score <= 1 for r in found[5]) and all(0 <= r.score <= 1 for r in found[7])
+    assert sum(r.length for r in found[6] if r.doc_id == 1) == 1 and len([r for r in found[6] if r.doc_id == 4]) == 2
+    assert [(r.n_assign, r.n_access) for r in found[8] if r.doc_id == 6] == [(1, 1)]
+    assert {r.component_id for r in found[9] if r.doc_id == 4} == {4} and {r.n_shingles for r in found[9] if r.doc_id in (1, 2, 5)} == {0}
+    assert secrets.redact(odd).columns == odd.columns and decontaminate.clean(odd, odd.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == 8
+    assert ngram_join.keep_one(odd).count() == 7
+
+
+def test_empty_tables(spark, empty):
+    assert {n: df.count() for n, df in every_operator(empty, spark).items()} == dict.fromkeys(range(1, 11), 0)
+
+
+def test_words_and_hashes():
+    rng = random.Random(5)
+    for text in ("", " ", "A b\tC\x0b d", "é É\xa0x", prose(rng, 50)):
+        want = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        starts, ends = arrays.word_spans(data)
+        assert [text.encode()[a:b].decode() for a, b in zip(starts, ends, strict=True)] == re.findall(r"[^\x20\x09-\x0d]+", text)
+        hashes = arrays.word_hashes(data).tolist()
+        assert len(set(zip(hashes, want, strict=True))) == len(set(want)) == len(set(hashes))
+
+
+def test_near_duplicates_brute_force(spark):
+    rows = corpus(120)
+    rows += [(1000 + i, rows[7][1], "en", "x", 1) for i in range(20)]
+    sets = {}
+    for i, text, *_ in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    assert len({c for _, c in got.values()}) < len(ids) - 20
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_passages_catch_repeats_and_leave_the_rest(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 55)
+    rows = [(i, prose(rng, 80) + (" " + shared + " " if i in (3, 9, 12) else " ") + prose(rng, 60), "en", "a", 1) for i in range(30)]
+    found = passages.repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(9, 3), (12, 3)}
+    # at the threshold a paragraph may begin or end up to four words outside of what is shared
+    assert all(76 <= r.first_word and r.end_word <= 139 and r.end_word - r.first_word >= 32 for r in found)
+
+
+def test_every_long_repeat_shares_a_paragraph():
+    rng, s = random.Random(4), passages.Settings()
+    for _ in range(200):
+        shared, data = prose(rng, 51), lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
+        a, b = (passages.paragraphs(data(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"), s) for _ in range(2))
+        assert set(a.names.tolist()) & set(b.names.tolist())
+
+
+def test_language_model_brute_force(spark):
+    rows = corpus(40)
+    s = language_model.Settings(order=3, block_rows=7, part_grams=500)
+    texts = {i: t.split() for i, t, *_ in rows}
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    every = sum((grams(w) for w in texts.values()), Counter())
+    total = sum(map(len, texts.values()))
+    want = {}
+    for i, w in texts.items():
+        own, score = grams(w), 0.0
+        count = lambda g: every[g] - own[g]  # noqa: B023, E731
+        for k in range(len(w)):
+            p, weight = None, 1.0
+            for n in (3, 2):
+                if k - n + 1 >= 0:
+                    g = tuple(w[k - n + 1 : k + 1])
+                    if count(g) > 0 and count(g[:-1]) > 0:
+                        p = weight * count(g) / count(g[:-1])
+                        break
+                    weight *= 0.4
+            p = p if p is not None else weight * max(count((w[k],)), 1) / (total - len(w))
+            score += math.log2(p)
+        want[i] = score
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, SCHEMA), s).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i])) for i in want)
+
+
+def test_pack_values():
+    for values in ([0], [1, 2, 300], [2**55, 5], list(range(1000))):
+        x = np.array(values, dtype=np.uint64)
+        assert language_model.unpack(language_model.pack(x), len(x)).tolist() == values
+
+
+def test_decontamination_brute_force(spark):
+    rng = random.Random(6)
+    items = [(i, f"{prose(rng, 30)}. {prose(rng, 12)}.") for i in range(40)]
+    docs = []
+    for i in range(60):
+        middle = items[i % 40][1] if i % 4 == 0 else " ".join(items[i % 40][1].split()[:6])
+        docs.append((i, f"{prose(rng, 90)} {middle} {prose(rng, 70)}", "en", "a", 1))
+    df, it = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i % 40) for i in range(0, 60, 4)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, it).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, it, items_at_once=7).collect()} == want
+    assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == set(range(60)) - {i for i, _ in want}
+
+
+def test_wand_finds_all_above_the_threshold():
+    rng = random.Random(9)
+    index = decontaminate.build([(i, prose(rng, rng.randint(3, 20), "abc")) for i in range(150)], block=8)
+    for _ in range(60):
+        terms = sorted(rng.sample(range(len(index.terms)), min(40, len(index.terms))))
+        scores: Counter = Counter()
+        for t in terms:
+            for i, v in zip(index.items[t], index.impacts[t], strict=True):
+                scores[i] += v
+        for threshold in (0.2, 0.5, 0.9):
+            got = {i for i, _ in decontaminate.wand(index, terms, threshold)}
+            assert {i for i, s in scores.items() if s >= threshold + 1e-9} <= got <= {i for i, s in scores.items() if s >= threshold - 1e-9}
+
+
+def test_fingerprints(spark):
+    rng = random.Random(10)
+    lines = lambda n: "\n".join(prose(rng, 6) for _ in range(n))
+    rows = [(i, lines(rng.randint(0, 60)), "en", "a", 1) for i in range(12)]
+    rows.append((50, rows[3][1], "en", "a", 1))
+    got = {r.doc_id: r for r in fingerprints.compare(spark.createDataFrame(rows, SCHEMA)).collect()}
+    ordered = sorted(rows, key=lambda r: -r[0])
+    parts = lambda t: {x.strip(" ") for x in t.split("\n") if x.strip(" ")}
+    for k, (i, text, *_) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i].near_edited - like(parts(text), parts(edited))) < 1e-9 and abs(got[i].near_next - like(parts(text), parts(following))) < 1e-9
+    assert got[3].fingerprint == got[50].fingerprint != got[4].fingerprint
+
+
+def test_peeling_recovers_the_difference(spark):
+    a, b = list(range(1, 40)), list(range(20, 50))
+    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    hashed = df.select(*[F.transform(x, lambda v: F.xxhash64(v)).alias(x) for x in "ab"])
+    q = 32
+    found = hashed.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), q), fingerprints.sketch(F.col("b"), q)), q).alias("d"), "a", "b").first()
+    assert {(x.k, x.c) for x in found.d} == {(k, 1) for k in set(found.a) - set(found.b)} | {(k, -1) for k in set(found.b) - set(found.a)}
+    small = hashed.select(fingerprints.peel(fingerprints.subtract(fingerprints.sketch(F.col("a"), 2), fingerprints.sketch(F.col("b"), 2)), 2).alias("d")).first()
+    assert small.d is None
+
+
+def test_fingerprints_over_many_ranges(spark):
+    rows = [(i, f"text {i}") for i in range(50)]
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), rows_at_once=7).collect()}
+    assert got == {i: f"text {i - 1 if i else 49}" for i in range(50)}
+
+
+def test_language_id(spark):
+    rng = random.Random(11)
+    stems = {"aa": "abcdefg", "bb": "efghijk", "cc": "klmnopq"}
+    rows = [(i, prose(rng, 60, stems[lang := list(stems)[i % 3]]), lang, "a", 1) for i in range(120)]
+    got = language.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(r.lang_pred == want[r.doc_id] for r in got if r.held_out)
+
+
+def test_code_lengths_by_hand():
+    counts = Counter()
+    text = b"abab abba"
+    for g in language.grams(np.frombuffer(text, dtype=np.uint8)).tolist():
+        counts[g] += 1
+    trees = language.build([("x", g, n) for g, n in counts.items()])
+
+    def bits(history: bytes, b: int) -> float:
+        padded, cost = b"   " + text, 0.0
+        for order in (3, 2, 1, 0):
+            context = history[len(history) - order :]
+            followers = Counter(padded[k + 3] for k in range(len(text)) if padded[k + 3 - order : k + 3] == context)
+            if followers:
+                total = sum(followers.values()) + len(followers)
+                if followers[b]:
+                    return cost - math.log2(followers[b] / total)
+                cost -= math.log2(len(followers) / total)
+        return cost + 8
+
+    probe = b"abba xba"
+    want = sum(bits((b"   " + probe)[k : k + 3], probe[k]) for k in range(len(probe)))
+    assert abs(language.code_lengths(np.frombuffer(probe, dtype=np.uint8), trees)[0] - want) < 1e-3
+
+
+def test_quality(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        rows.append((i, prose(rng, 40) + (" !!! ### | " * 3 if bad else "."), "en", "a", 1))
+        labels.append((i, 0 if bad else 1))
+    got = quality.classify(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert len(held) > 50 and sum(r.predicted == (r.doc_id % 3 != 0) for r in held) / len(held) > 0.95
+
+
+def base_spans(text: str) -> list[tuple[int, int, str, int]]:
+    out = []
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    for k, (kind, pattern, flags, least, group) in enumerate((("assign", assign, re.I | re.A, 6, 2), ("access", "AKIA[A-Z0-9]+", 0, 20, 0), ("hex", "[0-9a-f]+", 0, 24, 0))):
+        out += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text, flags) if m.end(group) - m.start(group) >= least]
+    return sorted(out)
+
+
+def test_secrets_brute_force(spark):
+    rng = random.Random(13)
+    bits = ["password", "Passwd", "SECRET", "token", "api_key", "ApiKey", " = ", ":", '"', "'", "AKIA", "ABCDEF0123", "deadbeef01", "é", "😀", " ", "\n", "xyz", "0123456789abcdef", "==", "akia", "4111111111111111"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 60))), "en", "a", 1) for i in range(200)]
+    for r in secrets.report(spark.createDataFrame(rows, SCHEMA)).collect():
+        want = base_spans(rows[r.doc_id][1])
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        counts = Counter(kind for _, _, kind, _ in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (counts["assign"], counts["access"], counts["hex"])
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == [x for x in joined.split(",") if x]
+
+
+def test_checksums_and_redaction(spark):
+    token = "ghp_" + "a" * 30
+    value, shown = zlib.crc32(b"a" * 30), ""
+    for _ in range(6):
+        value, k = divmod(value, 62)
+        shown = secrets.BASE62.decode()[k] + shown
+    text = f"x {token}{shown} y {token}000000 card 4111111111111111 bad 4111111111111112 DE89370400440532013000 end"
+    df = spark.createDataFrame([(1, text, "en", "a", 1)], SCHEMA)
+    kinds = [x.split(":")[0] for x in secrets.report(df).first().spans.split(",")]
+    assert kinds.count("github") == 1 and kinds.count("card") == 1 and kinds.count("iban") == 1
+    cleaned = secrets.redact(df, ("github", "card", "iban")).first().text
+    assert cleaned == f"x <github> y {token}000000 card <card> bad 4111111111111112 <iban> end"
+
+
+def test_licence_rules(spark):
+    s = licenses.SENTENCES
+    texts = ["no licence. " + s["mit_line"], s["bsd_grant"] + "\n" + s["bsd_source"] + " " + s["bsd_binary"] + "\nother words.\n" + s["bsd_names"], s["bsd_grant"] + "\n" + s["bsd_source"] + "\n" + s["bsd_binary"], s["mit_notice"], "LICENSED UNDER THE APACHE LICENSE , version 2.0"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "", 4: "Apache-2.0"}
+
+
+def test_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(14)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", " ", "  ", "\n", "\t", "a", "bc", "É", "日本", "٣", "²", "12", "!", "?!", "\xa0", "😀", "<|endoftext|>", "'S"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    ids, counts = packing.Ids(tokenizer_path(), most=100)(some)
+    ends = np.cumsum(counts)
+    for text, end, n in zip(some, ends.tolist(), counts.tolist(), strict=True):
+        assert ids[end - n : end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_best_fit_takes_the_tightest_bin():
+    rng = random.Random(15)
+    lengths = sorted((rng.randint(1, 64) for _ in range(500)), reverse=True)
+    rooms: list[int] = []
+    for need in lengths:
+        fit = [r for r in rooms if r >= need]
+        if fit:
+            rooms[rooms.index(min(fit))] -= need
+        else:
+            rooms.append(64 - need)
+    bins, offsets, n = packing.best_fit(lengths, 64)
+    assert n == len(rooms)
+    used = Counter()
+    for b, o, length in zip(bins, offsets, lengths, strict=True):
+        assert o == used[b]
+        used[b] += length
+    assert max(used.values()) <= 64
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.choice((0, 3, 50, 900))), "en", "a", 1) for i in range(40)]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = packing.pack_documents(spark.createDataFrame(rows, SCHEMA), tokenizer_path()).collect()
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, text, *_ in rows:
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        mine = sorted(by_doc[i], key=lambda r: r.piece)
+        assert [r.piece for r in mine] == list(range(len(mine))) and sum(r.length for r in mine) == len(ids)
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and (r.piece == 0 or r.length == 1024)
+    for some in by_sequence.values():
+        at = 0
+        for r in sorted(some, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert len(by_sequence) <= math.ceil(sum(r.length for r in got) / 1024) + 2
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 60) + ("" if i % 4 else " !!! ### |||" * 6), "en", "a", 1) for i in range(80)]
+    benchmark = prose(rng, 40)
+    rows[5] = (5, f"{prose(rng, 30)} {benchmark} {prose(rng, 30)}", "en", "a", 1)
+    rows[7] = (7, rows[6][1], "en", "a", 1)
+    rows[9] = (9, prose(rng, 50) + " token = abcdef0123456789 end", "en", "a", 1)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 if i % 4 else 0, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, benchmark)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert kept[0] == {i for i in range(80) if i % 4} | ({5} & kept[0]) and kept[1] == kept[0] - {7} and kept[2] == kept[1] - {5} and kept[3] == kept[2]
+    assert "abcdef0123456789" not in docs.where("doc_id = 9").first().text
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
