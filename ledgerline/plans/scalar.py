@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import functions as L
+from ledgerline import sources as S
 from ledgerline.operators import rows as R
 from ledgerline.plans import Register, Tables
 
@@ -256,3 +260,38 @@ def P31_row_features(t: Tables) -> DataFrame:
     ratios = {"leverage": L.safe_ratio("long_term_debt", "assets"), "receivable_share": L.safe_ratio("receivables", "revenue")}
     filled, names = R.filled_from({"leverage": 0.15, "receivable_share": 0.05}, ratios)
     return statement(t).select("k", *[F.round(c, 6).alias(n) for n, c in filled.items()], F.array_join(names, ",").alias("filled"))
+
+
+def _scratch(t: Tables, name: str) -> str:
+    """A new path in the folder that the session shares, or in a local one where it names none."""
+    folder = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{folder}/tables/{uuid.uuid4().hex}-{name}"
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def S07_write_table(t: Tables) -> DataFrame:
+    root = _scratch(t, "gold")
+    S.write_table(t.customer.select("c_custkey", "c_acctbal"), root, "gold", "balances")
+    return S.read_table(t.spark, root, "gold", "balances", ["c_custkey", "c_acctbal"])
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def S11_write_csv(t: Tables) -> DataFrame:
+    path = _scratch(t, "csv")
+    S.write_csv(t.part.select("p_partkey", "p_name", "p_retailprice"), path)
+    return S.read_csv(t.spark, path, "p_partkey long, p_name string, p_retailprice double")
+
+
+@query("SELECT item_id::VARCHAR AS id, text AS page_text FROM benchmark")
+def S13_read_goldens(t: Tables) -> DataFrame:
+    path = _scratch(t, "jsonl")
+    t.benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("page_text")).write.json(path)
+    return S.read_goldens(t.spark, path).select("id", "page_text")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 3) > 0 AS unit FROM embeddings")
+def S14_vector_index(t: Tables) -> DataFrame:
+    path = _scratch(t, "index")
+    S.write_vector_index(t.embeddings.select("vec_id", "embedding"), "embedding", "m1", path)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return S.read_vector_index(t.spark, path, "m1").select("vec_id", (F.abs(size - 1) < 1e-3).alias("unit"))
