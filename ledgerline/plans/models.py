@@ -164,9 +164,9 @@ def M18_psi(t: Tables) -> DataFrame:
     return rounded(E.psi(t.orders.where(c("o_orderdate") < cut), t.orders.where(c("o_orderdate") >= cut), "o_totalprice"), 8)
 
 
-@query(f"WITH {_SC}, x AS (SELECT y, {_RANK.format(s='s')} AS r FROM sc WHERE doc_id % 2 = 0), z AS (SELECT y, {_RANK.format(s='s')} AS r FROM sc WHERE doc_id % 2 = 1), a AS (SELECT {_AUC} AS a FROM x), b AS (SELECT {_AUC} AS b FROM z) SELECT round(a, 6) AS source, round(b, 6) AS gold, (a - 0.5) * (b - 0.5) > 0 AS same_direction FROM a, b")
+@query(f"WITH {_SC}, x AS (SELECT y, {_RANK.format(s='s')} AS r FROM sc WHERE lang = 'en'), z AS (SELECT y, {_RANK.format(s='s')} AS r FROM sc WHERE lang <> 'en'), a AS (SELECT {_AUC} AS a FROM x), b AS (SELECT {_AUC} AS b FROM z) SELECT round(a, 6) AS source, round(b, 6) AS gold, (a - 0.5) * (b - 0.5) > 0 AS same_direction FROM a, b")
 def M19_signal_survival(t: Tables) -> DataFrame:
-    one, two = (E.roc_auc(scored(t).where(f"doc_id % 2 = {k}"), "s", "y").select(c("auc").alias(n)) for k, n in ((0, "source"), (1, "gold")))
+    one, two = (E.roc_auc(scored(t).where(f"lang {k} 'en'"), "s", "y").select(c("auc").alias(n)) for k, n in (("=", "source"), ("<>", "gold")))
     both = one.crossJoin(two)
     return rounded(both.withColumn("same_direction", (c("source") - 0.5) * (c("gold") - 0.5) > 0))
 
@@ -307,8 +307,8 @@ def M36_threshold_curve(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT user_id AS k, ts::DATE AS day, count(*) AS n, round(sum(value), 2) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY 1, 2), f AS (SELECT *, max(errors) OVER w AS worst, coalesce(n - lag(n) OVER (PARTITION BY k ORDER BY day), 0) AS dn, row_number() OVER (PARTITION BY k ORDER BY day DESC) AS r FROM p WINDOW w AS (PARTITION BY k ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT k, day::VARCHAR AS day, round(1 / (1 + exp(-(-2 + 0.5 * worst + 0.1 * dn))), 8) AS score FROM f WHERE r = 1""")
 def M37_score_latest_from_history(t: Tables) -> DataFrame:
-    from ledgerline.plans.windows import BY_DAY, panel
+    from ledgerline.plans.windows import by_day, panel
 
-    rows = panel(t).withColumns({"worst": F.max("errors").over(BY_DAY.rowsBetween(-2, 0)), "dn": F.coalesce(c("n") - F.lag("n").over(BY_DAY), F.lit(0))})
+    rows = panel(t).withColumns({"worst": F.max("errors").over(by_day().rowsBetween(-2, 0)), "dn": F.coalesce(c("n") - F.lag("n").over(by_day()), F.lit(0))})
     last = J.keep_first(rows, ["k"], [c("day").desc()])
     return last.select("k", c("day").cast("string").alias("day"), F.round(1 / (1 + F.exp(-(-2 + 0.5 * c("worst") + 0.1 * c("dn")))), 8).alias("score"))

@@ -158,10 +158,10 @@ def Q21_contagion_backward_only(t: Tables) -> DataFrame:
     return rows.groupBy(c("c_nationkey").alias("grp")).agg((F.min("event_at") <= F.min("since")).alias("backward"), (F.countDistinct("c_mktsegment") > 1).alias("crossing"))
 
 
-@query("SELECT 'p_brand' AS name, p_brand AS value FROM (SELECT p_brand FROM part WHERE p_partkey % 50 = 0 EXCEPT SELECT p_brand FROM part WHERE p_partkey % 50 BETWEEN 1 AND 9) UNION ALL SELECT 'p_type', p_type FROM (SELECT p_type FROM part WHERE p_partkey % 50 = 0 EXCEPT SELECT p_type FROM part WHERE p_partkey % 50 BETWEEN 1 AND 9)")
+@query("SELECT 'p_brand' AS name, p_brand AS value FROM (SELECT p_brand FROM part WHERE p_size > 1 EXCEPT SELECT p_brand FROM part WHERE p_size <= 1) UNION ALL SELECT 'p_name', p_name FROM (SELECT p_name FROM part WHERE p_size > 1 EXCEPT SELECT p_name FROM part WHERE p_size <= 1)")
 def Q22_unseen_categories(t: Tables) -> DataFrame:
-    test, train = t.part.where("p_partkey % 50 = 0"), t.part.where("p_partkey % 50 between 1 and 9")
-    rows = [test.select(c(x).alias("value")).subtract(train.select(x)).select(F.lit(x).alias("name"), "value") for x in ("p_brand", "p_type")]
+    test, train = t.part.where("p_size > 1"), t.part.where("p_size <= 1")
+    rows = [test.select(c(x).alias("value")).subtract(train.select(x)).select(F.lit(x).alias("name"), "value") for x in ("p_brand", "p_name")]
     return rows[0].unionByName(rows[1])
 
 

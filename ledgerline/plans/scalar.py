@@ -45,10 +45,10 @@ def statement(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 100 ORDER BY o_orderkey LIMIT 50")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
 def S01_scan_csv(t: Tables) -> DataFrame:
     """A scan with chosen columns and a cap on rows, which is the feature."""
-    return R.scan(t.orders.where("o_orderkey < 100"), ["o_orderkey", "o_totalprice"], 50, "o_orderkey")
+    return R.scan(t.orders, ["o_orderkey", "o_totalprice"], 50, "o_orderkey")
 
 
 @query("SELECT o_orderkey AS application_id, o_custkey AS borrower_id, 'orders' AS origin FROM orders")

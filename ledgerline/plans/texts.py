@@ -18,16 +18,14 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TOK = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT list_contains([" + _STOP + "], t))"
 
 
-def named_rows(t: Tables, most: int) -> DataFrame:
-    return t.customer.where(c("c_custkey") < most).select(c("c_custkey").alias("matched"), X.name_tokens(F.concat(F.lit("NAME"), c("c_custkey"), F.lit(" OF "), "c_mktsegment", F.lit(" K"), c("c_custkey"))).alias("t"))
+def named_rows(t: Tables) -> DataFrame:
+    return t.customer.select(c("c_custkey").alias("matched"), X.name_tokens(F.concat(F.lit("NAME"), c("c_custkey"), F.lit(" OF "), "c_mktsegment", F.lit(" K"), c("c_custkey"))).alias("t"))
 
 
-def canonical_names(t: Tables, every: int, rest: int, within: int) -> DataFrame:
-    """Names as an officer would write them, with titles: those of customers below `within`, asked for by others."""
-    k = c("c_custkey") % within
-    seg = t.customer.select(c("c_custkey").alias("k2"), c("c_mktsegment").alias("s2"))
-    rows = t.customer.where(c("c_custkey") % every == rest).select(c("c_custkey").alias("asked"), k.alias("k2")).join(seg, "k2")
-    return rows.select("asked", X.name_tokens(F.concat(F.lit("Dr. Name"), c("k2"), F.lit(" of "), "s2", F.lit(" K"), c("k2"), F.lit(", S.E., M.M."))).alias("t"))
+def written_names(t: Tables) -> DataFrame:
+    """Names as an officer would write them, with titles: those of the query set, every hundredth customer."""
+    k = c("c_custkey")
+    return t.customer.where(k % 100 == 0).select(k.alias("asked"), X.name_tokens(F.concat(F.lit("Dr. Name"), k, F.lit(" of "), "c_mktsegment", F.lit(" K"), k, F.lit(", S.E., M.M."))).alias("t"))
 
 
 def pages(t: Tables) -> DataFrame:
@@ -37,7 +35,7 @@ def pages(t: Tables) -> DataFrame:
 
 def printed(t: Tables) -> DataFrame:
     """A statement of each order, printed: a page of labelled lines, values in thousands, one loss in parentheses."""
-    rows = t.orders.where("o_orderkey % 5 = 0")
+    rows = t.orders
     money = lambda x: F.format_string("%,.2f", x)
     v = c("o_totalprice")
     whole = F.floor("o_totalprice").cast("double")
@@ -62,7 +60,7 @@ def facts(t: Tables) -> DataFrame:
     return rows.join(unit, ["doc", "page"]).withColumn("value", F.when(c("kind") == "money", c("value") * c("unit")).otherwise(c("value")))
 
 
-_V = "pr AS (SELECT o_orderkey AS doc, o_totalprice AS v FROM orders WHERE o_orderkey % 5 = 0)"
+_V = "pr AS (SELECT o_orderkey AS doc, o_totalprice AS v FROM orders)"
 _FACTS = f"{_V}, fa AS (SELECT doc, 'current_assets' AS item, round(v * 1000, 2) AS value FROM pr UNION ALL SELECT doc, 'assets', round(v * 1000, 2) FROM pr UNION ALL SELECT doc, 'long_term_liabilities', floor(v) * 2000 FROM pr UNION ALL SELECT doc, 'current_liabilities', floor(v) * 3000 FROM pr UNION ALL SELECT doc, 'net_income', -floor(v) * 1000 FROM pr UNION ALL SELECT doc, 'tax_rate', 0.22 FROM pr)"
 
 
@@ -257,9 +255,9 @@ def D24_unit_vote(t: Tables) -> DataFrame:
     return printed(t).join(unit, "doc").select("doc", "unit", F.round(c("v") * c("unit"), 2).alias("rescaled"))
 
 
-@query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, c_nationkey::DOUBLE) AS value, CASE WHEN c_custkey % 3 <> 0 THEN 'primary' ELSE 'fallback' END AS source FROM customer")
+@query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, c_nationkey::DOUBLE) AS value, CASE WHEN c_acctbal >= 0 THEN 'primary' ELSE 'fallback' END AS source FROM customer")
 def D25_merge_readings(t: Tables) -> DataFrame:
-    one = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", c("c_acctbal").alias("x"))
+    one = t.customer.where("c_acctbal >= 0").select("c_custkey", c("c_acctbal").alias("x"))
     two = t.customer.select("c_custkey", c("c_nationkey").cast("double").alias("y"))
     return one.join(two, "c_custkey", "full").select("c_custkey", F.coalesce("x", "y").alias("value"), F.when(c("x").isNotNull(), "primary").otherwise("fallback").alias("source"))
 

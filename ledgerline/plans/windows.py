@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ledgerline import functions as L
 from ledgerline.operators import aggregates as A
@@ -24,8 +25,12 @@ def panel(t: Tables) -> DataFrame:
     return t.events.groupBy(c("user_id").alias("k"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.count_if(c("event_type") == "error").alias("errors"))
 
 
-BY_DAY = W.partitionBy("k").orderBy("day")
-day = c("day").cast("string").alias("day")
+def by_day() -> WindowSpec:
+    return W.partitionBy("k").orderBy("day")
+
+
+def day() -> Column:
+    return c("day").cast("string").alias("day")
 
 
 @query("SELECT c_custkey, round(row_number() OVER (ORDER BY c_acctbal, c_custkey) / count(*) OVER (), 8) AS pct FROM customer")
@@ -52,23 +57,23 @@ def W04_delta_from_first(t: Tables) -> DataFrame:
 
 @query(f"WITH {_PANEL} SELECT k, day::VARCHAR AS day, max(n) OVER (PARTITION BY k ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS worst FROM p")
 def W05_rolling_max(t: Tables) -> DataFrame:
-    return panel(t).select("k", day, F.max("n").over(BY_DAY.rowsBetween(-2, 0)).alias("worst"))
+    return panel(t).select("k", day(), F.max("n").over(by_day().rowsBetween(-2, 0)).alias("worst"))
 
 
 @query(f"WITH {_PANEL} SELECT k, day::VARCHAR AS day, round(avg(total) OVER w, 6) AS mean, round(total - avg(total) OVER w, 6) AS gap FROM p WINDOW w AS (PARTITION BY k ORDER BY day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def W06_rolling_mean(t: Tables) -> DataFrame:
-    mean = F.avg("total").over(BY_DAY.rowsBetween(-2, 0))
-    return panel(t).select("k", day, F.round(mean, 6).alias("mean"), F.round(c("total") - mean, 6).alias("gap"))
+    mean = F.avg("total").over(by_day().rowsBetween(-2, 0))
+    return panel(t).select("k", day(), F.round(mean, 6).alias("mean"), F.round(c("total") - mean, 6).alias("gap"))
 
 
 @query(f"WITH {_PANEL} SELECT k, day::VARCHAR AS day, round(total - lag(total) OVER w, 2) AS d1, round(total - lag(total, 3) OVER w, 2) AS d3, coalesce(n - lag(n) OVER w, 0) AS n1 FROM p WINDOW w AS (PARTITION BY k ORDER BY day)")
 def W07_lag_delta(t: Tables) -> DataFrame:
-    return panel(t).select("k", day, F.round(c("total") - F.lag("total").over(BY_DAY), 2).alias("d1"), F.round(c("total") - F.lag("total", 3).over(BY_DAY), 2).alias("d3"), F.coalesce(c("n") - F.lag("n").over(BY_DAY), F.lit(0)).alias("n1"))
+    return panel(t).select("k", day(), F.round(c("total") - F.lag("total").over(by_day()), 2).alias("d1"), F.round(c("total") - F.lag("total", 3).over(by_day()), 2).alias("d3"), F.coalesce(c("n") - F.lag("n").over(by_day()), F.lit(0)).alias("n1"))
 
 
 @query(f"WITH {_PANEL} SELECT k, day::VARCHAR AS day, coalesce(errors - lag(errors) OVER (PARTITION BY k ORDER BY day), 0) > 0 AS worsened FROM p")
 def W08_worsened_flag(t: Tables) -> DataFrame:
-    return panel(t).select("k", day, (F.coalesce(c("errors") - F.lag("errors").over(BY_DAY), F.lit(0)) > 0).alias("worsened"))
+    return panel(t).select("k", day(), (F.coalesce(c("errors") - F.lag("errors").over(by_day()), F.lit(0)) > 0).alias("worsened"))
 
 
 @query(f"WITH {_YEARS} SELECT k, year, dense_rank() OVER (PARTITION BY k ORDER BY year) AS place, year = max(year) OVER (PARTITION BY k) AS is_last FROM y")

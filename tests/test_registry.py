@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -13,7 +16,7 @@ from ledgerline.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["A08_npl_ratio_trend", "P24_financial_ratios", "J07_asof_join", "J08_interval_join", "A18_column_profile", "W16_cap_table_segments", "W20_composite_score", "C01_abt_pd", "C24_decision", "Q16_shares_sum_to_one", "G15_connected_groups", "M07_roc_auc", "D16_best_fact"]
+CHOSEN = ["A08_npl_ratio_trend", "P24_financial_ratios", "J07_asof_join", "J08_interval_join", "A18_column_profile", "W16_cap_table_segments", "W20_composite_score", "C01_abt_pd", "C24_decision", "Q16_shares_sum_to_one", "G12_circular_payment_flag", "M07_roc_auc", "D16_best_fact"]
 
 
 def plain(v):
@@ -44,3 +47,9 @@ def test_every_query_has_a_name_of_its_item():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_registration_needs_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
