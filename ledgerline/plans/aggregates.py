@@ -58,7 +58,7 @@ def A07_authority_thresholds(t: Tables) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     tops = t.orders.groupBy(c("o_orderpriority").alias("level")).agg(F.max("o_totalprice").alias("top"))
-    place = F.row_number().over(W.orderBy("top", "level"))  # one row a level
+    place = F.row_number().over(W.orderBy("top", "level")).cast("long")  # one row a level
     return tops.withColumn("place", place).withColumn("open_ended", c("place") == F.count("*").over(W.partitionBy()))
 
 

@@ -256,7 +256,7 @@ def C25_scorecard(t: Tables) -> DataFrame:
     return applications(t).select("id", F.round(found["pd"], 8).alias("pd"), found["reasons"][0].alias("first_reason"))
 
 
-@query(f"WITH {_APP} SELECT id, share, m AS months, round(asked * share * (rate / 12) / (1 - pow(1 + rate / 12, -m)) / 1e6, 4) AS pay FROM app, (VALUES (0.5), (1.0)) s(share), (VALUES (12), (36)) n(m)")
+@query(f"WITH {_APP} SELECT id, share, m AS months, round(asked * share * (rate / 12) / (1 - pow(1 + rate / 12, -m)) / 1e6, 4) AS pay FROM app, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) s(share), (VALUES (12), (36)) n(m)")
 def C26_scenario_grid(t: Tables) -> DataFrame:
     grid = applications(t).select("id", "asked", "rate", F.explode(F.array(F.lit(0.5), F.lit(1.0))).alias("share")).select("*", F.explode(F.array(F.lit(12), F.lit(36))).alias("months"))
     return grid.select("id", "share", "months", F.round(K.instalment(c("asked") * c("share"), "months", "rate") / 1e6, 4).alias("pay"))
@@ -291,7 +291,7 @@ def C30_monthly_observation_grid(t: Tables) -> DataFrame:
 _CT = {n: f"coalesce({_case(v).format(c='grade')}, {list(v.values())[-1]})" for n, v in K.COVENANT_TABLE.items()}
 
 
-@query(f"WITH {_APP} SELECT id, 'der_max' AS kind, {_CT['der_max']} AS bound, liabilities / equity > {_CT['der_max']} AS breach FROM gr UNION ALL SELECT id, 'icr_min', {_CT['icr_min']}, coalesce(ebitda / nullif(interest, 0) < {_CT['icr_min']}, false) FROM gr")
+@query(f"WITH {_APP} SELECT id, 'der_max' AS kind, ({_CT['der_max']})::DOUBLE AS bound, liabilities / equity > {_CT['der_max']} AS breach FROM gr UNION ALL SELECT id, 'icr_min', ({_CT['icr_min']})::DOUBLE, coalesce(ebitda / nullif(interest, 0) < {_CT['icr_min']}, false) FROM gr")
 def C31_covenant_thresholds(t: Tables) -> DataFrame:
     value = {"der_max": c("liabilities") / c("equity"), "icr_min": c("ebitda") / L.null_if_zero("interest")}
     rows = []

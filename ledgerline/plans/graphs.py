@@ -211,7 +211,7 @@ def G21_match_address(t: Tables) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy("asked", "p_partkey").agg(F.max("score").alias("score")).where("asked <> p_partkey").groupBy("asked").agg(F.count("*").alias("matches"))
 
 
-@query("SELECT c_custkey AS asked, c_custkey AS matched, 1.0 AS score FROM customer WHERE c_custkey % 100 = 0")
+@query("SELECT c_custkey AS asked, c_custkey AS matched, 1.0::DOUBLE AS score FROM customer WHERE c_custkey % 100 = 0")
 def G22_match_officers(t: Tables) -> DataFrame:
     """Names with titles around them still find their party; best match per party."""
     found = J.token_jaccard_join(written_names(t), named_rows(t), "asked", "matched", "t", 0.85)

@@ -266,7 +266,7 @@ def T05_rank_candidates(t: Tables) -> DataFrame:
     events = first_events(t).select(c("k").alias("b"), F.lit(True).alias("defaulted"))
     rows = pairs.join(events, "b", "left").withColumn("defaulted", F.coalesce("defaulted", F.lit(False)))
     order = W.partitionBy("a").orderBy(c("defaulted").desc(), c("hubs").desc(), "since", "b")
-    return rows.withColumns({"place": F.row_number().over(order), "n_all": F.count("*").over(W.partitionBy("a"))}).where("place <= 3").select(c("a").alias("borrower"), c("b").alias("candidate"), "place", (c("n_all") > 3).alias("truncated"))
+    return rows.withColumns({"place": F.row_number().over(order).cast("long"), "n_all": F.count("*").over(W.partitionBy("a"))}).where("place <= 3").select(c("a").alias("borrower"), c("b").alias("candidate"), "place", (c("n_all") > 3).alias("truncated"))
 
 
 @query(f"""WITH {_PAIRS}, deg AS (SELECT m, count(*) AS degree FROM (SELECT a AS m FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1), last AS (SELECT o_custkey, max(o_orderkey) AS last_order FROM orders GROUP BY 1)

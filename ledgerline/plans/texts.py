@@ -245,7 +245,7 @@ def D23_component_sum(t: Tables) -> DataFrame:
     return parts.groupBy("doc").agg(F.round(F.sum("value"), 2).alias("total"))
 
 
-@query(f"WITH {_V} SELECT doc, 1000.0 AS unit, round(v * 1000, 2) AS rescaled FROM pr")
+@query(f"WITH {_V} SELECT doc, 1000.0::DOUBLE AS unit, round(v * 1000, 2) AS rescaled FROM pr")
 def D24_unit_vote(t: Tables) -> DataFrame:
     """The unit on which most items seen in two readings agree, by the ratio's logarithm."""
     a = best(t).where("kind = 'money'").select("doc", "item", c("value").alias("x"))

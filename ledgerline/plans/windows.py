@@ -78,7 +78,7 @@ def W08_worsened_flag(t: Tables) -> DataFrame:
 
 @query(f"WITH {_YEARS} SELECT k, year, dense_rank() OVER (PARTITION BY k ORDER BY year) AS place, year = max(year) OVER (PARTITION BY k) AS is_last FROM y")
 def W09_dense_year_order(t: Tables) -> DataFrame:
-    return years(t).select("k", "year", F.dense_rank().over(W.partitionBy("k").orderBy("year")).alias("place"), (c("year") == F.max("year").over(W.partitionBy("k"))).alias("is_last"))
+    return years(t).select("k", "year", F.dense_rank().over(W.partitionBy("k").orderBy("year")).cast("long").alias("place"), (c("year") == F.max("year").over(W.partitionBy("k"))).alias("is_last"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(sum(l_extendedprice) OVER (PARTITION BY l_orderkey), 0), 8) AS share FROM lineitem")
