@@ -160,51 +160,60 @@ def only(rows: DataFrame, needed: DataFrame, broadcast_rows: int = 500_000) -> D
     return rows.join(F.broadcast(needed) if needed.count() <= broadcast_rows else needed, "cls", "left_semi")
 
 
-def _across(rows: DataFrame, threshold: int) -> DataFrame:
+FIELDS = ("cls", "n", "pos")
+Extra = Callable[[str, str], Column]
+
+
+def _across(rows: DataFrame, threshold: int, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None) -> DataFrame:
     """Pairs (a, b) of different roots that share an n-gram: each class outside of its largest root, with all others."""
     with_bins = "suffix" in rows.columns
-    columns = ["cls", "n", "pos", "root", "out", *["suffix"] * with_bins]
+    columns = [*fields, "root", "out", *["suffix"] * with_bins]
     me = rows.where("out").select("h", F.struct(*columns).alias("me"))
     other = rows.select("h", F.struct(*columns).alias("with"))
     apart = (F.col("me.root") != F.col("with.root")) & (~F.col("with.out") | (F.col("me.cls") < F.col("with.cls"))) & _may_link("me", "with", threshold)
+    if extra is not None:
+        apart = apart & extra("me", "with")
     if with_bins:
         apart = F.when(apart, _overlap_may_do(F.col("me.suffix"), F.col("with.suffix"), F.col("me.n") + F.col("with.n"), threshold)).otherwise(False)
     return me.withColumnRenamed("h", "_h").join(other, (F.col("_h") == F.col("h")) & apart).select(*_pair("me", "with"))
 
 
-def neighbours(every: DataFrame, *keep: str, also: str = "false") -> DataFrame:
+def neighbours(every: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Rows (h, salt, cls, n, pos) that share their key h, each with the previous and the first of its (h, salt)."""
-    row = F.struct("cls", "n", "pos")
+    row = F.struct(*fields)
     group = W.partitionBy("h", "salt").orderBy("pos", "n", "cls")
     near = every.withColumns({"before": F.lag(row).over(group), "first": F.first(row).over(group), "next": F.lead("cls").over(group)})
     # Of a key that only one class has nothing is kept; one in a salted share may have others elsewhere.
-    return near.withColumn("me", row).where(f"before is not null or next is not null or salt >= 0 or {also}").select("h", "salt", "me", "before", "first", *keep)
+    return near.withColumn("me", row).where("before is not null or next is not null or salt >= 0").select("h", "salt", "me", "before", "first")
 
 
-def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None) -> DataFrame:
+def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None, rows: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None) -> DataFrame:
     """(node, root) of all classes that link with another, from the rows of neighbours.
 
+    rows are those of near by themselves, where there is a table of them.  extra is one more filter on two rows.
+
     A first round compares every class with the first and the previous of its key in order of place (of a salted
     share of them where the key is frequent; the shares' first ones are then compared).  The class with the fewest
     rarer n-grams is the likeliest centre of a group of edited copies.  What the round connects is contracted.  A
     second round compares all remaining pairs that share a key and whose components differ, so no pair is dropped
     and none within a connected group is written out.
     """
-    row = F.struct("cls", "n", "pos")
+    row = F.struct(*fields)
+    filters = _may_link("me", "with", threshold) & (extra("me", "with") if extra else F.lit(True))
     heads = near.where("before is null and salt >= 0").select("h", "me.*")
     over = W.partitionBy("h").orderBy("pos", "n", "cls")
     heads = heads.withColumns({"me": row, "before": F.lag(row).over(over), "first": F.first(row).over(over)})
     star = near.select("me", "before", "first").unionByName(heads.select("me", "before", "first"))
-    pairs = star.select("me", F.explode(F.array("before", "first")).alias("with")).where("with.cls <> me.cls").where(_may_link("me", "with", threshold)).select(*_pair("me", "with"))
+    pairs = star.select("me", F.explode(F.array("before", "first")).alias("with")).where("with.cls <> me.cls").where(filters).select(*_pair("me", "with"))
     roots = cut(components(cut(check(pairs))))
 
-    rows = near.select("h", "me.*").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = (near.select("h", "me.*") if rows is None else rows.select("h", *fields)).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = cut(rows)
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"), F.sum("k").alias("k")).where("roots > 1").select("h", "main", (F.col("k") > LARGE).alias("large"))
     rows = rows.join(largest, "h").withColumn("out", F.col("root") != F.col("main"))
     if bins is None:
-        more = _across(rows, threshold)
+        more = _across(rows, threshold, fields, extra)
     else:
         more = _across(rows.where("not large"), threshold).unionByName(_across(rows.where("large").join(bins.select("cls", "suffix"), "cls"), threshold))
     more = cut(check(more))
