@@ -25,14 +25,14 @@ from ledgerline.llm.ngram_join import connect, neighbours, only, verified
 class Settings(NamedTuple):
     """Words of a paragraph, the choice of its start, its shingles, and the bands.
 
-    Three bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.916, one of 0.85 with 0.979, and equal
+    Four bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.963, one of 0.85 with 0.994, and equal
     ones always.
     """
 
-    size: int = 26
-    window: int = 26
+    size: int = 32
+    window: int = 16
     n: int = 5
-    bands: int = 3
+    bands: int = 4
     rows: int = 2
     threshold: int = 75
 

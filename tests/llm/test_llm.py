@@ -142,6 +142,17 @@ def test_every_long_repeat_shares_a_paragraph():
         assert set(a.names.tolist()) & set(b.names.tolist())
 
 
+def test_passage_settings_keep_their_recall():
+    s = passages.Settings()
+    assert 1 - (1 - (s.threshold / 100) ** s.rows) ** s.bands > 0.96
+    assert s.window + s.size - 1 <= 47
+    rng = random.Random(21)
+    for _ in range(200):
+        shared, data = prose(rng, 47), lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
+        a, b = (passages.paragraphs(data(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"), s) for _ in range(2))
+        assert set(a.names.tolist()) & set(b.names.tolist())
+
+
 def test_language_model_brute_force(spark):
     rows = corpus(40)
     s = language_model.Settings(order=3, block_rows=7, part_grams=500)
