@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -106,13 +106,15 @@ def may_reach(threshold: int) -> Callable[[str, str], Column]:
 def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
     """(h, cls, bits, n, low, high, band): for each key the distinct paragraphs and the least and largest text of each.
 
-    A text goes by a hash here, as only whether there are several matters.
+    A text goes by its task's partition and its place among the task's texts, so that equal texts stay several.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = TaskContext.get().partitionId() << 40
         for batch in batches:
             names, keys, bits, sizes, owners = [], [], [], [], []
             for data in texts(batch.column(0)):
+                text += 1
                 found = paragraphs(data, s)
                 own, first = np.unique(found.names, return_index=True)
                 if not len(own):
@@ -123,21 +125,20 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
                 keys.append(band_keys(some, s))
                 bits.append(bitmap(some))
                 sizes.append(1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1))
-                owners.append(np.full(len(own), len(owners)))
+                owners.append(np.full(len(own), text))
             if not names:
                 continue
-            # the batch's texts are numbered as they come: equal numbers of two batches are told apart by a hash
-            every, owner = np.concatenate(names), mix(np.concatenate(owners).astype(U) ^ U(xxhash.xxh3_64_intdigest(np.concatenate(names).tobytes()))) >> U(33)
+            every, owner = np.concatenate(names), np.concatenate(owners)
             order = np.argsort(every, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
             low, high = np.minimum.reduceat(owner[order], first), np.maximum.reduceat(owner[order], first)
             one = order[first]
             wide, marks, n = np.concatenate(keys)[one], np.concatenate(bits)[one], np.concatenate(sizes)[one]
             for band in range(s.bands):
-                columns = [pa.array(signed(np.ascontiguousarray(wide[:, band]))), pa.array(signed(every[one])), pa.array(signed(marks)), pa.array(n.astype(np.int8)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(np.full(len(one), band, dtype=np.int8))]
+                columns = [pa.array(signed(np.ascontiguousarray(wide[:, band]))), pa.array(signed(every[one])), pa.array(signed(marks)), pa.array(n.astype(np.int8)), pa.array(low), pa.array(high), pa.array(np.full(len(one), band, dtype=np.int8))]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "cls", "bits", "n", "low", "high", "band"])
 
-    return texts_of.mapInArrow(rows, "h long, cls long, bits long, n tinyint, low int, high int, band tinyint")
+    return texts_of.mapInArrow(rows, "h long, cls long, bits long, n tinyint, low long, high long, band tinyint")
 
 
 FIELDS = ("cls", "n", "pos", "bits")

@@ -142,6 +142,19 @@ def test_every_long_repeat_shares_a_paragraph():
         assert set(a.names.tolist()) & set(b.names.tolist())
 
 
+def test_equal_texts_of_separate_batches_are_several(spark, tmp_path):
+    rng = random.Random(22)
+    text = prose(rng, 120)
+    two = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").repartitionByRange(2, "doc_id")
+    assert two.rdd.getNumPartitions() == 2
+    assert {(r.doc_id, r.kept_doc_id) for r in passages.repeats(two).collect()} == {(2, 1)}
+    some = [prose(rng, 120) for _ in range(5)]
+    for k in range(2):
+        spark.createDataFrame([(k * 100 + i, t) for i, t in enumerate(some)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    both = spark.read.parquet(f"{tmp_path}/0").unionByName(spark.read.parquet(f"{tmp_path}/1"))
+    assert {(r.doc_id, r.kept_doc_id) for r in passages.repeats(both).collect()} == {(100 + i, i) for i in range(5)}
+
+
 def test_passage_settings_keep_their_recall():
     s = passages.Settings()
     assert 1 - (1 - (s.threshold / 100) ** s.rows) ** s.bands > 0.96
