@@ -1,29 +1,31 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard of those that collide, removal by components.
 
-A text has no marks that a copied passage keeps to, so its paragraphs are runs of `size` words that start where the
-text itself says: at the least hash among any `window` neighbouring n-grams.  Two texts that share a run of
-``window - 1 + size`` words therefore share a whole paragraph, wherever the run stands in either.
+A text's paragraphs are its lines, long ones being cut at sentence ends.  As a copied passage need not keep to those,
+runs of `size` words count as paragraphs too that start where the text itself says: at the least hash among any `window`
+neighbouring n-grams.  Two texts that share a run of ``window - 1 + size`` words therefore share a whole paragraph,
+wherever the run stands in either.  What is found is widened to all words that agree before and after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerline.llm.arrays import U, _TURN, list_array, mix, ngrams, signed, texts, word_hashes
+from ledgerline.llm.arrays import U, _TURN, list_array, mix, ngrams, signed, span_hashes, texts, word_hashes, word_spans
 from ledgerline.llm.common import cut, text_or_empty
 from ledgerline.llm.ngram_join import connect, neighbours, only, verified
 
 
 class Settings(NamedTuple):
-    """Words of a paragraph, the choice of its start, its shingles, and the bands.
+    """Words of a run, the choice of its start, its shingles, the bands, and the words of a line's pieces.
 
     Four bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.963, one of 0.85 with 0.994, and equal
     ones always.
@@ -35,6 +37,8 @@ class Settings(NamedTuple):
     bands: int = 4
     rows: int = 2
     threshold: int = 75
+    least: int = 48
+    most: int = 96
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -57,39 +61,78 @@ def starts(grams: np.ndarray, words: int, s: Settings) -> np.ndarray:
     return chosen[chosen + s.size <= words]
 
 
-_WIDE = np.array([U(pow(0xE7037ED1A0B428DB, k + 1, 1 << 64)) for k in range(64)], dtype=U)
 _ODD = np.array([U(pow(0x8EBC6AF09C88C6E3, k + 1, 1 << 64)) for k in range(64)], dtype=U)
 
 
+def lines(data: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of a text's lines; those of over `most` words are cut past `least` words at sentence ends."""
+    firsts, ends = word_spans(data)
+    row = np.searchsorted(np.flatnonzero(data == 10), firsts)
+    edges = np.concatenate((np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]))
+    more = []
+    for k in np.flatnonzero(np.diff(edges) > s.most).tolist():
+        a, b = int(edges[k]), int(edges[k + 1])
+        stops = a + 1 + np.flatnonzero(np.isin(data[ends[a:b] - 1], _STOPS))
+        while b - a > s.most:
+            at = int(np.searchsorted(stops, a + s.least))
+            a = int(stops[at]) if at < len(stops) and stops[at] <= a + s.most else a + s.most
+            if a < b:
+                more.append(a)
+    edges = np.sort(np.concatenate((edges, np.array(more, dtype=edges.dtype))))
+    return edges[:-1], edges[1:]
+
+
+_STOPS = np.frombuffer(b".!?", dtype=np.uint8)
+
+
 class Found(NamedTuple):
     at: np.ndarray  # first words
+    ends: np.ndarray
     names: np.ndarray  # one number for equal runs of words
-    shingles: np.ndarray  # their n-grams, a row for each
+    whole: np.ndarray  # whether they are lines
+    grams: np.ndarray  # the text's n-grams, then one for each paragraph of fewer words than n
+    first: np.ndarray  # the first n-gram of each paragraph
+    sizes: np.ndarray  # and how many it has
 
 
 def paragraphs(data: np.ndarray, s: Settings) -> Found:
     words = word_hashes(data)
     grams = ngrams(words, s.n)
-    at = starts(grams, len(words), s)
-    names = mix((words[at[:, None] + np.arange(s.size)] * _WIDE[: s.size]).sum(axis=1, dtype=U)) if len(at) else np.zeros(0, dtype=U)
-    return Found(at, names, grams[at[:, None] + np.arange(s.size - s.n + 1)])
-
-
-def band_keys(shingles: np.ndarray, s: Settings) -> np.ndarray:
+    runs = starts(grams, len(words), s)
+    a, b = lines(data, s) if len(words) else (runs, runs)
+    at, ends, whole = np.concatenate((runs, a)), np.concatenate((runs + s.size, b)), np.repeat([False, True], [len(runs), len(a)])
+    names = span_hashes(words, at, ends) if len(at) else np.zeros(0, dtype=U)
+    short = ends - at < s.n
+    first = np.where(short, len(grams) + np.cumsum(short) - 1, at)
+    return Found(at, ends, names, whole, np.concatenate((grams, names[short])), first, np.where(short, 1, ends - at - s.n + 1))
+
+
+def shingles(found: Found, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of some paragraphs in a row, where each one's begin, and how many distinct ones each has."""
+    first, sizes = found.first[some], found.sizes[some]
+    begin = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum())) + np.repeat(first - begin, sizes)
+    order = np.argsort(found.grams, kind="stable")
+    same = np.flatnonzero(found.grams[order[1:]] == found.grams[order[:-1]])
+    before = np.full(len(found.grams), -1)
+    before[order[same + 1]] = order[same]
+    return found.grams[at], begin, np.add.reduceat((before[at] < np.repeat(first, sizes)).astype(np.int64), begin)
+
+
+def band_keys(grams: np.ndarray, begin: np.ndarray, s: Settings) -> np.ndarray:
     """The keys of each paragraph: the least of `rows` hashes of its n-grams, joined, for each band."""
-    keys = np.empty((len(shingles), s.bands), dtype=U)
+    keys = np.empty((len(begin), s.bands), dtype=U)
     for band in range(s.bands):
-        total = np.full(len(shingles), U(band + 1), dtype=U)
+        total = np.full(len(begin), U(band + 1), dtype=U)
         for row in range(s.rows):
-            least = (shingles * _ODD[band * s.rows + row]).min(axis=1) if len(shingles) else np.zeros(0, dtype=U)
-            total = mix(total + least * _TURN[row])
+            total = mix(total + np.minimum.reduceat(grams * _ODD[band * s.rows + row], begin) * _TURN[row])
         keys[:, band] = total
     return keys
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
+def bitmap(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """64 bits of each paragraph, one set by each of its n-grams."""
-    return np.bitwise_or.reduce(U(1) << (shingles & U(63)), axis=1) if len(shingles) else np.zeros(0, dtype=U)
+    return np.bitwise_or.reduceat(U(1) << (grams & U(63)), begin)
 
 
 def may_reach(threshold: int) -> Callable[[str, str], Column]:
@@ -119,12 +162,11 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
                 own, first = np.unique(found.names, return_index=True)
                 if not len(own):
                     continue
-                some = found.shingles[first]
-                ordered = np.sort(some, axis=1)
+                grams, begin, n = shingles(found, first)
                 names.append(own)
-                keys.append(band_keys(some, s))
-                bits.append(bitmap(some))
-                sizes.append(1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1))
+                keys.append(band_keys(grams, begin, s))
+                bits.append(bitmap(grams, begin))
+                sizes.append(n)
                 owners.append(np.full(len(own), text))
             if not names:
                 continue
@@ -148,9 +190,9 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The runs of words to remove: doc_id, first_word, end_word, component_id, kept_doc_id, paragraphs.
 
     Paragraphs link when their sets of n-grams have the Jaccard similarity of the threshold.  Of each component the
-    document of the smallest doc_id keeps its text; in all others the paragraphs' words are to go, overlapping ones
-    being one run.  kept_doc_id is the smallest of the documents that keep a copy of a part of the run.  A repeat
-    within one document does not count, nor do texts of fewer words than a paragraph, null texts and null doc_ids.
+    document of the smallest doc_id keeps its text; in all others the paragraphs' words are to go, with those around them
+    that agree too, overlapping ones being one run.  kept_doc_id is the smallest of the documents that keep a copy of a part of the run.  A repeat
+    within one document does not count, nor do null texts and null doc_ids.
     """
     texts_of = docs.select(text_or_empty().alias("text"))
     # Dealt by key, then grouped where it is: each class stands once for each key before they are compared.
@@ -166,12 +208,11 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             names, items = [], []
             for data in texts(batch.column(0)):
                 found = paragraphs(data, s)
-                names.append(found.names)
-                items.append(found.shingles)
+                own, first = np.unique(found.names, return_index=True)
+                names.append(own)
+                items += [signed(np.unique(found.grams[a : a + n])) for a, n in zip(found.first[first].tolist(), found.sizes[first].tolist(), strict=True)]
             if names:
-                own, first = np.unique(np.concatenate(names), return_index=True)
-                every_item = np.concatenate(items)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(own)), list_array([signed(np.unique(x)) for x in every_item], pa.int64())], names=["cls", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(names))), list_array(items, pa.int64())], names=["cls", "items"])
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda needed: only(texts_of.mapInArrow(with_items, "cls long, items array<long>"), needed), s.threshold)
@@ -182,24 +223,71 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, first, names = [], [], []
+            at, columns = [], ([], [], [], [])
             for k, data in enumerate(texts(batch.column(1))):
                 found = paragraphs(data, s)
                 at.append(np.full(len(found.at), k))
-                first.append(found.at)
-                names.append(found.names)
+                for column, x in zip(columns, (found.at, found.ends, signed(found.names), found.whole), strict=True):
+                    column.append(x)
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(first)), pa.array(signed(np.concatenate(names)))], names=["doc_id", "at", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), *[pa.array(np.concatenate(x)) for x in columns]], names=["doc_id", "at", "end", "cls", "whole"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(placed, "doc_id long, at long, cls long")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    rows = named.mapInArrow(placed, "doc_id long, at long, end long, cls long, whole boolean")
     small = flagged.count() <= 1_000_000  # two numbers a row; else a shuffled join
-    hits = rows.join(F.broadcast(flagged) if small else flagged, "cls").select("doc_id", "at", "root")
-    hits = cut(hits)
+    hits = cut(rows.join(F.broadcast(flagged) if small else flagged, "cls").select("doc_id", "at", "end", "cls", "whole", "root"))
     keeps = hits.groupBy("root").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last")).where("kept <> last").select("root", "kept")
-    gone = hits.join(keeps, "root").where("doc_id <> kept")
-    order = W.partitionBy("doc_id").orderBy("at", "root")
-    so_far = F.max(F.col("at") + s.size).over(order.rowsBetween(W.unboundedPreceding, -1))
-    gone = gone.withColumn("new", F.when(F.col("at") <= so_far, 0).otherwise(1))
-    gone = gone.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = gone.groupBy("doc_id", "run").agg(F.min("at").alias("first_word"), (F.max("at") + s.size).alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.countDistinct("at").alias("paragraphs"))
+    hits = hits.join(keeps, "root")
+    # What one document keeps of another's words is widened first, then all that overlaps is one run.
+    where = ("doc_id", "kept", "whole")
+    near = _runs(hits.where("doc_id <> kept"), where).agg(F.min("at").alias("at"), F.max("end").alias("end"), F.min_by(F.struct("root", "cls"), F.struct("at", "end", "cls")).alias("l"), F.max_by(F.struct("root", "cls"), F.struct("end", "at", "cls")).alias("r"), F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"))
+    wide = _widened(cut(near), hits.where("doc_id = kept"), named, s)
+    runs = _runs(wide, ("doc_id",)).agg(F.min("at").alias("first_word"), F.max("end").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
     return runs.drop("run")
+
+
+def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
+    """Rows (at, end) grouped by where and by the run of overlapping ones that they are in."""
+    order = W.partitionBy(*where).orderBy("at", "end", "root")
+    so_far = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.when(F.col("at") <= so_far, 0).otherwise(1))
+    return rows.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*where, "run")
+
+
+def _widened(runs: DataFrame, kept: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, at, end, kept, root, places): the runs with the words before and after that agree with the kept text.
+
+    A longer stretch of equal words holds a paragraph of its own, so `window + size - 2` words on either side do.
+    """
+    reach = s.window + s.size - 2
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, sides, near = [], [], [], []
+            for k, data in enumerate(texts(batch.column(1))):
+                words = (word_hashes(data) >> U(32)).astype(np.uint32).view(np.int32)
+                for x in batch.column(2)[k].as_py():
+                    at, side = x["place"], x["side"]
+                    docs.append(k)
+                    places.append(at)
+                    sides.append(side)
+                    near.append(words[at : at + reach] if side else words[max(0, at - reach) : at][::-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), pa.array(sides, pa.int32()), list_array(near, pa.int32())], names=["doc_id", "place", "side", "words"])
+
+    same = kept.groupBy("root", "cls").agg(F.min_by(F.struct("at", "end"), F.struct("at", "end")).alias("same"))
+    like = kept.groupBy("root").agg(F.min_by(F.struct("at", "end"), F.struct("at", "end")).alias("like"))
+    for x, field in (("l", "at"), ("r", "end")):
+        runs = runs.join(same.select(F.struct("root", "cls").alias(x), "same"), x, "left").withColumn("_root", F.col(f"{x}.root")).join(like.withColumnRenamed("root", "_root"), "_root", "left")
+        runs = runs.withColumn(f"{x}_at", F.coalesce(f"same.{field}", f"like.{field}")).drop("same", "like", "_root")
+    runs = cut(runs)
+    asked = [runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(side).alias("side")) for doc, place, side in (("doc_id", "at", 0), ("kept", "l_at", 0), ("doc_id", "end", 1), ("kept", "r_at", 1))]
+    asked = reduce(DataFrame.unionByName, asked).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "side")).alias("asked"))
+    words = named.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(around, "doc_id long, place long, side int, words array<int>")
+    words = cut(words.groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
+    for side, place, other in ((0, "at", "l_at"), (1, "end", "r_at")):
+        one = words.where(F.col("side") == side)
+        for doc, at, name in (("doc_id", place, "own"), ("kept", other, "others")):
+            runs = runs.join(one.select(F.col("doc_id").alias(doc), F.col("place").alias(at), F.col("words").alias(name)), [doc, at])
+        differ = F.array_position(F.zip_with("own", "others", lambda x, y: x.eqNullSafe(y)), False)
+        runs = runs.withColumn(f"more_{side}", F.when(differ > 0, differ - 1).otherwise(F.size("own"))).drop("own", "others")
+    return runs.select("doc_id", (F.col("at") - F.col("more_0")).alias("at"), (F.col("end") + F.col("more_1")).alias("end"), "kept", "root", "places")

@@ -155,6 +155,21 @@ def test_equal_texts_of_separate_batches_are_several(spark, tmp_path):
     assert {(r.doc_id, r.kept_doc_id) for r in passages.repeats(both).collect()} == {(100 + i, i) for i in range(5)}
 
 
+def test_lines_and_whole_passages(spark):
+    rng = random.Random(23)
+    edited = prose(rng, 60).split()
+    other = [*edited[:30], "edited", *edited[31:]]
+    short, line, passage = prose(rng, 12), prose(rng, 20), prose(rng, 51)
+    wrap = lambda x: f"{prose(rng, 25)}\n{x}\n{prose(rng, 25)}"
+    inside = [f"{prose(rng, 70)} {passage} {prose(rng, 70)}" for _ in range(2)]
+    texts = [wrap(" ".join(edited)), wrap(" ".join(other)), short, short, wrap(line), wrap(line), *inside, prose(rng, 200)]
+    got = {r.doc_id: (r.kept_doc_id, r.first_word, r.end_word) for r in passages.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {1: (0, 25, 85), 3: (2, 0, 12), 5: (4, 25, 45), 7: (6, 70, 121)}
+    assert got.keys() == want.keys()
+    for i, (kept, first, end) in want.items():  # a run at the threshold may reach four words further
+        assert got[i][0] == kept and first - 4 <= got[i][1] <= first and end <= got[i][2] <= end + 4
+
+
 def test_passage_settings_keep_their_recall():
     s = passages.Settings()
     assert 1 - (1 - (s.threshold / 100) ** s.rows) ** s.bands > 0.96
@@ -344,6 +359,17 @@ def test_checksums_and_redaction(spark):
     assert cleaned == f"x <github> y {token}000000 card <card> bad 4111111111111112 <iban> end"
 
 
+def test_no_byte_of_a_private_key_stays(spark):
+    rng = random.Random(24)
+    body = ["".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n)) for n in (64, 64, 64, 21)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [*body[:3], body[3] + "=="]
+    texts = ["\n".join(["before", head, *lines, end, "after"]), "\n".join(["before", head, *lines, "after it all"]), "\r\n".join(["before", head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *lines, end, "after"]), f'before "{head}\\n' + "\\n".join(lines) + f'\\n{end}\\n" after', " ".join(["before", head, *lines, end, "after"]), "\n".join(["before", head, *lines, "text", head, *lines, end, "after"])]
+    for r in secrets.redact(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect():
+        assert not any(x[:16] in r.text for x in body) and "KEY-----" not in r.text and "<pem>" in r.text, r
+        assert r.text.startswith("before") and "after" in r.text and (r.doc_id != 5 or "text" in r.text)
+
+
 def test_licence_rules(spark):
     s = licenses.SENTENCES
     texts = ["no licence. " + s["mit_line"], s["bsd_grant"] + "\n" + s["bsd_source"] + " " + s["bsd_binary"] + "\nother words.\n" + s["bsd_names"], s["bsd_grant"] + "\n" + s["bsd_source"] + "\n" + s["bsd_binary"], s["mit_notice"], "LICENSED UNDER THE APACHE LICENSE , version 2.0"]
