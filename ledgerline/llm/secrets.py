@@ -26,7 +26,11 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
-PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: What stands between a key's header and its end: a line end (or one written as an escape), indents and marks of quoted text.
+_GAP = rb"(?:\\[rnt]|[\s>#*|\"',+;])"
+PEM_FIELDS = re.compile(rb"(?:%s*+(?:Proc-Type|DEK-Info|Comment|[Xx]-[A-Za-z-]+): ?[^\r\n\\]*+)*+" % _GAP)
+PEM_LINES = re.compile(rb"%s*+[A-Za-z0-9+/=]{16,}+(?:%s++[A-Za-z0-9+/=]{16,}+)*+(?:(?<!=)%s++[A-Za-z0-9+/]{1,15}={0,2}(?![A-Za-z0-9+/=])(?=[\"',+;]*[ \t]*(?:[\r\n\\]|\Z)))?" % ((_GAP,) * 3))
 KEYWORDS = {b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign", b"apikey": "assign", b"api_key": "assign", b"akia": "access", b"eyj": "jwt", b"private key-----": "pem"} | {b"gh%c_" % c: "github" for c in b"pousr"}
 HEX_LENGTH, ACCESS_LENGTH, VALUE_LENGTH = 24, 20, 6
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -67,6 +71,17 @@ def jwt(text: bytes) -> bool:
         return False
 
 
+def key_end(raw: bytes, header: re.Match[bytes]) -> int:
+    """Where a private key ends: after the END line of its label, or with its base64 lines where that is missing."""
+    other = raw.find(b"-----BEGIN ", header.end())
+    at = raw.find(b"-----END %s-----" % header[1], header.end(), other if other >= 0 else len(raw))
+    if at >= 0:
+        return at + len(header[1]) + 14
+    fields = PEM_FIELDS.match(raw, header.end())
+    body = PEM_LINES.match(raw, fields.end())
+    return body.end() if body else fields.end() if fields[0] else header.end()
+
+
 def runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Maximal runs of True of at least that length."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], member, [False])).view(np.int8)))
@@ -111,8 +126,8 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
             done[kind] = m.end()
             put(kind, m.start(), m.end())
         elif kind == "pem" and (at := raw.rfind(b"-----BEGIN ", max(0, end - 60), end)) >= done[kind] and (m := PEM.match(raw, at)):
-            done[kind] = m.end()
-            put(kind, m.start(), m.end())
+            done[kind] = key_end(raw, m)
+            put(kind, m.start(), done[kind])
     for a, b in runs(_HEX[data], HEX_LENGTH):
         put("hex", a, b)
     digits = _CARD[data]
@@ -132,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Positions are code points, ends exclusive.  The base kinds assign, access and hex are leftmost non-overlapping
     matches of their expression, those too short being dropped.  The other kinds have a checksum or structure that is
     validated: GitHub tokens (CRC-32 in base 62), JSON web tokens (a header with alg), card numbers (Luhn), bank
-    account numbers (modulo 97) and private-key headers.  Null and empty texts have no spans.
+    account numbers (modulo 97) and private keys with their body and END line.  Null and empty texts have no spans.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
