@@ -25,6 +25,8 @@ class Item(NamedTuple):
     question: np.ndarray  # sorted n-gram hashes
     answer: np.ndarray
     length: int
+    sizes: tuple[int, int]  # words of the n-grams of both
+    place: int  # among the items
 
 
 class Index(NamedTuple):
@@ -38,7 +40,7 @@ class Index(NamedTuple):
     peaks: list[list[float]]  # and the largest impact in it
     block: int
     ranges: np.ndarray  # by term and range of items: the largest impact there
-    known: list[Item]
+    known: list[Item]  # by entry: a long item has several, each a piece of it
 
 
 def parts(text: str) -> tuple[str, str]:
@@ -57,29 +59,34 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
 
-def build(rows: list[tuple[int, str]], n: int = 5, block: int = 32, ranges: int = 64) -> Index:
+def build(rows: list[tuple[int, str]], n: int = 5, block: int = 32, ranges: int = 64, piece: int = 64) -> Index:
     """The index of items given as (item_id, text); items without words are left out.
 
-    The items are also cut into a fixed number of ranges, so that all bounds of a text come from one array operation.
+    An item of over `piece` words has an entry for each of its even pieces of at most that many, so that any one lies
+    within a passage.  The entries are also cut into a fixed number of ranges, so that all bounds of a text come from one array operation.
     """
-    known, bags = [], []
-    for name, text in sorted(rows, key=lambda r: (r[0], r[1])):
+    known, bags, lengths = [], [], []
+    for place, (name, text) in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
         words = word_hashes(_bytes(text))
         if len(words):
             question, answer = (word_hashes(_bytes(t)) for t in parts(text))
-            known.append(Item(name, *(np.unique(ngrams(x, min(n, max(1, len(x))))) for x in (question, answer)), len(words)))
-            bags.append(np.unique(words, return_counts=True))
+            sizes = tuple(min(n, max(1, len(x))) for x in (question, answer))
+            item = Item(name, *(np.unique(ngrams(x, size)) for x, size in zip((question, answer), sizes, strict=True)), len(words), sizes, place)
+            for some in np.array_split(words, -(-len(words) // piece)):
+                known.append(item)
+                bags.append(np.unique(some, return_counts=True))
+                lengths.append(len(some))
     terms = np.unique(np.concatenate([b[0] for b in bags])) if bags else np.zeros(0, dtype=np.uint64)
     often = np.zeros(len(terms))
     for b in bags:
         often[np.searchsorted(terms, b[0])] += 1
     idf = np.log(1 + (len(bags) - often + 0.5) / (often + 0.5))
-    usual = sum(i.length for i in known) / max(1, len(known))
+    usual = sum(lengths) / max(1, len(lengths))
     items: list[list[int]] = [[] for _ in terms]
     impacts: list[list[float]] = [[] for _ in terms]
     for i, (words, counts) in enumerate(bags):
         at = np.searchsorted(terms, words)
-        value = idf[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * known[i].length / usual))
+        value = idf[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[i] / usual))
         for t, v in zip(at.tolist(), (value / value.sum()).tolist(), strict=True):
             items[t].append(i)
             impacts[t].append(v)
@@ -157,7 +164,7 @@ class Settings(NamedTuple):
 
 
 def search(data: np.ndarray, index: Index, s: Settings = Settings()) -> list[tuple[int, float, float, float, int, int]]:
-    """Confirmed items in a text, each once with its best score: (item_id, score, overlaps, first and last word)."""
+    """Confirmed items in a text, each once with the best score of its entries: (item_id, score, overlaps, first and last word)."""
     words = word_hashes(data)
     if not len(words) or not len(index.terms):
         return []
@@ -179,13 +186,11 @@ def search(data: np.ndarray, index: Index, s: Settings = Settings()) -> list[tup
             item = index.known[i]
             first, last = max(0, p * s.step - item.length), min(len(words), p * s.step + s.size + item.length)
             region = words[first:last]
-            q, r = (float(np.isin(x, ngrams(region, min(s.n, max(1, size)))).mean()) if len(x) else 1.0 for x, size in ((item.question, s.n), (item.answer, s.n if len(item.answer) > 1 else 0)))
-            if len(item.answer) == 1:
-                r = max(r, *(float(np.isin(item.answer, ngrams(region, k))[0]) for k in range(1, s.n + 1)))
+            q, r = (float(np.isin(x, ngrams(region, size)).mean()) if len(x) else 1.0 for x, size in zip((item.question, item.answer), item.sizes, strict=True))
             total = len(item.question) + len(item.answer)
             if (q >= s.question and r >= s.answer) or q * len(item.question) + r * len(item.answer) >= s.whole * total:
-                if i not in best or score > best[i][1]:
-                    best[i] = (item.name, score, q, r, p * s.step, min(len(words), p * s.step + s.size))
+                if item.place not in best or score > best[item.place][1]:
+                    best[item.place] = (item.name, score, q, r, p * s.step, min(len(words), p * s.step + s.size))
     return sorted(best.values())
 
 
@@ -195,7 +200,7 @@ def _indexes(items: DataFrame, settings: Settings, items_at_once: int) -> Iterat
     shares = max(1, math.ceil(named.count() / items_at_once))
     for share in range(shares):
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share).collect()
-        yield items.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n))
+        yield items.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n, piece=max(1, settings.size - settings.step)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), items_at_once: int = 20_000) -> DataFrame:

@@ -228,6 +228,16 @@ def test_decontamination_brute_force(spark):
     assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == set(range(60)) - {i for i, _ in want}
 
 
+def test_long_and_short_items_are_found(spark):
+    rng = random.Random(25)
+    items = [(i, f"{prose(rng, n - 40)}. {prose(rng, 40)}.") for i, n in enumerate((80, 128, 200, 250, 300, 900))]
+    items += [(10, "What is the capital? Paris."), (11, "Who wrote that? John Smith Jr."), (12, "Where was it? In the old town near here.")]
+    docs = [(i, f"{prose(rng, 37 + i)} {text} {prose(rng, 150)}") for i, text in items] + [(100 + i, f"{prose(rng, 90)} {' '.join(text.split()[-2:])} {prose(rng, 90)}") for i, text in items]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, it).orderBy("doc_id").collect()] == [(i, i) for i, _ in items]
+    assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == {100 + i for i, _ in items}
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(9)
     index = decontaminate.build([(i, prose(rng, rng.randint(3, 20), "abc")) for i in range(150)], block=8)
