@@ -107,10 +107,8 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[Rule,
             raise ValueError(f"a known sentence has a line end: {s}")
     names = {_plain(s): k for k, s in known.items()}
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    longest, shortest = max(map(len, names)), min(map(len, names))
     kept = docs.select("doc_id", F.filter(sentences(text_or_empty()), lambda s: F.length(s) > 0).alias("s"))
-    near = F.filter("s", lambda s: F.length(s).between(shortest, 2 * longest))
-    ids = F.filter(F.transform(near, lambda s: table[normalised(s)]), lambda x: x.isNotNull())
+    ids = F.filter(F.transform("s", lambda s: table[normalised(s)]), lambda x: x.isNotNull())
     kept = kept.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
     listed = F.array(*[F.struct(F.lit(r.licence).alias("licence"), F.lit(_pattern(r)).alias("pattern")) for r in rules])
     start = F.struct(F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(",")))).alias("left"), F.array().cast("array<string>").alias("found"))

@@ -388,6 +388,13 @@ def test_licence_rules(spark):
     assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "", 4: "Apache-2.0"}
 
 
+def test_padded_licence_sentences_count(spark):
+    longest = max(map(len, licenses.SENTENCES.values()))
+    padded = ["  ".join(licenses.SENTENCES["mit_line"].split(" ")) + "/" * 3 * longest, "#" * 3 * longest + licenses.SENTENCES["cc0_line"]]
+    got = licenses.scan(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(padded)], SCHEMA)).collect()
+    assert {r.doc_id: r.licences for r in got} == {0: "MIT", 1: "CC0-1.0"}
+
+
 def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
