@@ -96,6 +96,22 @@ def texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield data[a:b]
 
 
+def chunks(column: pa.Array, least: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about `least` bytes: the place of the first, the bytes of all, and where each begins and ends.
+
+    So that array operations see many short texts at once.  Each text has to end with a line end (see `ended`), so that
+    neither words nor lines run from one into the next.
+    """
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    at = 0
+    while at < len(column):
+        end = min(len(column), max(at + 1, int(np.searchsorted(offsets, offsets[at] + least, side="right")) - 1))
+        yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        at = end
+
+
 def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 

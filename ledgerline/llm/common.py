@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,31 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def ended(name: str = "text") -> Column:
+    """The text (a null one is empty) with a line end behind it, as arrays.chunks needs it."""
+    return F.concat(text_or_empty(name), F.lit("\n"))
+
+
+def marked(names: DataFrame, name: str, most_bits: int = 1 << 27) -> np.ndarray:
+    """Bits that are set where the values of a long column fall, as an array of bytes of at most most_bits / 8 (16 MB).
+
+    About 16 bits a value while they fit, so that a task that knows the bits passes over nearly all other values before
+    they reach Spark.  It is only a first sieve: a join with the values themselves has to follow.
+    """
+    bits = 1 << max(10, min(most_bits.bit_length() - 1, (16 * names.count()).bit_length()))
+    place = names.select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("p"))
+    words = place.selectExpr("p div 32 AS w", "shiftleft(1L, p % 32) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return table.view(np.uint8)
+
+
+def is_marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & np.uint64(len(table) * 8 - 1)
+    return (table[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an edge table as (node, root), root being the smallest node.
 

@@ -1,9 +1,9 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard of those that collide, removal by components.
 
-A text's paragraphs are its lines, long ones being cut at sentence ends.  As a copied passage need not keep to those,
-runs of `size` words count as paragraphs too that start where the text itself says: at the least hash among any `window`
-neighbouring n-grams.  Two texts that share a run of ``window - 1 + size`` words therefore share a whole paragraph,
-wherever the run stands in either.  What is found is widened to all words that agree before and after it.
+A text's paragraphs are its lines, long ones being cut at sentence ends, and a short text as a whole.  As a copied passage
+need not keep to those, runs of `size` words count as paragraphs too that start where the text itself says: at the least
+hash among any `window` neighbouring n-grams.  Two texts that share a run of ``window - 1 + size`` words therefore share
+a whole paragraph, wherever the run stands in either.  What is found is widened to all words that agree before and after it.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerline.llm.arrays import U, _TURN, list_array, mix, ngrams, signed, span_hashes, texts, word_hashes, word_spans
-from ledgerline.llm.common import cut, text_or_empty
-from ledgerline.llm.ngram_join import connect, neighbours, only, verified
+from ledgerline.llm.arrays import U, _TURN, _VALUE_LOWER, chunks, list_array, mix, ngrams, signed, span_hashes, texts, word_hashes, word_spans
+from ledgerline.llm.common import cut, ended, is_marked, marked, text_or_empty
+from ledgerline.llm.ngram_join import connect, neighbours, verified
+
+#: Tables of two or three numbers a row are sent to all tasks up to this many rows (about 5 MB).
+SMALL = 100_000
 
 
 class Settings(NamedTuple):
@@ -31,8 +34,8 @@ class Settings(NamedTuple):
     ones always.
     """
 
-    size: int = 32
-    window: int = 16
+    size: int = 28
+    window: int = 20
     n: int = 5
     bands: int = 4
     rows: int = 2
@@ -40,6 +43,11 @@ class Settings(NamedTuple):
     least: int = 48
     most: int = 96
 
+    @property
+    def sure(self) -> int:
+        """Words that two texts have to share to be sure to share a paragraph."""
+        return self.window - 1 + self.size
+
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The least or largest of each run of width values."""
@@ -51,28 +59,34 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def starts(grams: np.ndarray, words: int, s: Settings) -> np.ndarray:
-    """Where the paragraphs start: n-grams that are least in some window, with room for a paragraph."""
-    if len(grams) < s.window:
+def starts(grams: np.ndarray, owner: np.ndarray, base: np.ndarray, s: Settings) -> np.ndarray:
+    """Where the runs start: n-grams that are least in some window of one text, with room for a run.
+
+    owner: the text of each word; base: the first word of each text, then the number of words.
+    """
+    m = len(grams) - s.window + 1
+    if m <= 0:
         return np.zeros(0, dtype=np.int64)
-    least = _sliding(grams, s.window, np.minimum)
+    within = owner[:m] == owner[s.window + s.n - 2 :]
+    least = np.where(within, _sliding(grams, s.window, np.minimum), U(0))
     pad = np.zeros(s.window - 1, dtype=U)
     chosen = np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), s.window, np.maximum) == grams)
-    return chosen[chosen + s.size <= words]
+    return chosen[chosen + s.size <= base[owner[chosen] + 1]]
 
 
 _ODD = np.array([U(pow(0x8EBC6AF09C88C6E3, k + 1, 1 << 64)) for k in range(64)], dtype=U)
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[*b".!?"]] = True
 
 
-def lines(data: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """First and end words of a text's lines; those of over `most` words are cut past `least` words at sentence ends."""
-    firsts, ends = word_spans(data)
+def lines(data: np.ndarray, firsts: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of the lines; those of over `most` words are cut past `least` words at sentence ends."""
     row = np.searchsorted(np.flatnonzero(data == 10), firsts)
     edges = np.concatenate((np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]))
+    stops = 1 + np.flatnonzero(_STOPS[data[ends - 1]])
     more = []
     for k in np.flatnonzero(np.diff(edges) > s.most).tolist():
         a, b = int(edges[k]), int(edges[k + 1])
-        stops = a + 1 + np.flatnonzero(np.isin(data[ends[a:b] - 1], _STOPS))
         while b - a > s.most:
             at = int(np.searchsorted(stops, a + s.least))
             a = int(stops[at]) if at < len(stops) and stops[at] <= a + s.most else a + s.most
@@ -82,108 +96,137 @@ def lines(data: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1], edges[1:]
 
 
-_STOPS = np.frombuffer(b".!?", dtype=np.uint8)
-
-
 class Found(NamedTuple):
-    at: np.ndarray  # first words
+    owner: np.ndarray  # the text of each paragraph
+    at: np.ndarray  # its first word in that text
     ends: np.ndarray
     names: np.ndarray  # one number for equal runs of words
-    whole: np.ndarray  # whether they are lines
-    grams: np.ndarray  # the text's n-grams, then one for each paragraph of fewer words than n
+    whole: np.ndarray  # whether it is a line or a whole text
+    grams: np.ndarray  # the texts' n-grams, then one for each paragraph of fewer words than n
     first: np.ndarray  # the first n-gram of each paragraph
     sizes: np.ndarray  # and how many it has
 
 
-def paragraphs(data: np.ndarray, s: Settings) -> Found:
-    words = word_hashes(data)
+def paragraphs(data: np.ndarray, bounds: np.ndarray, s: Settings) -> Found:
+    """The paragraphs of texts laid end to end, each with a line end behind it."""
+    firsts, ends = word_spans(data)
+    words = span_hashes(_VALUE_LOWER[data], firsts, ends) if len(firsts) else np.zeros(0, dtype=U)
+    base = np.searchsorted(firsts, bounds)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(base))
     grams = ngrams(words, s.n)
-    runs = starts(grams, len(words), s)
-    a, b = lines(data, s) if len(words) else (runs, runs)
-    at, ends, whole = np.concatenate((runs, a)), np.concatenate((runs + s.size, b)), np.repeat([False, True], [len(runs), len(a)])
+    runs = starts(grams, owner, base, s)
+    a, b = lines(data, firsts, ends, s) if len(words) else (runs, runs)
+    few = np.flatnonzero((np.diff(base) > 0) & (np.diff(base) <= s.sure))  # of one line, it is that line
+    at, ends = np.concatenate((runs, a, base[few])), np.concatenate((runs + s.size, b, base[few + 1]))
+    whole = np.repeat([False, True], [len(runs), len(a) + len(few)])
     names = span_hashes(words, at, ends) if len(at) else np.zeros(0, dtype=U)
     short = ends - at < s.n
     first = np.where(short, len(grams) + np.cumsum(short) - 1, at)
-    return Found(at, ends, names, whole, np.concatenate((grams, names[short])), first, np.where(short, 1, ends - at - s.n + 1))
+    own = owner[at] if len(at) else at
+    return Found(own, at - base[own], ends - base[own], names, whole, np.concatenate((grams, names[short])), first, np.where(short, 1, ends - at - s.n + 1))
 
 
-def shingles(found: Found, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of some paragraphs in a row, where each one's begin, and how many distinct ones each has."""
+def shingles(found: Found, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some paragraphs in a row, and where each one's begin."""
     first, sizes = found.first[some], found.sizes[some]
     begin = np.cumsum(sizes) - sizes
-    at = np.arange(int(sizes.sum())) + np.repeat(first - begin, sizes)
-    order = np.argsort(found.grams, kind="stable")
-    same = np.flatnonzero(found.grams[order[1:]] == found.grams[order[:-1]])
-    before = np.full(len(found.grams), -1)
-    before[order[same + 1]] = order[same]
-    return found.grams[at], begin, np.add.reduceat((before[at] < np.repeat(first, sizes)).astype(np.int64), begin)
+    return found.grams[np.arange(int(sizes.sum())) + np.repeat(first - begin, sizes)], begin
 
 
 def band_keys(grams: np.ndarray, begin: np.ndarray, s: Settings) -> np.ndarray:
-    """The keys of each paragraph: the least of `rows` hashes of its n-grams, joined, for each band."""
+    """The keys of each paragraph: the least of `rows` hashes of its n-grams, joined, for each band; those of band 0 are odd."""
     keys = np.empty((len(begin), s.bands), dtype=U)
     for band in range(s.bands):
         total = np.full(len(begin), U(band + 1), dtype=U)
         for row in range(s.rows):
             total = mix(total + np.minimum.reduceat(grams * _ODD[band * s.rows + row], begin) * _TURN[row])
-        keys[:, band] = total
+        keys[:, band] = total | U(1) if band == 0 else total & ~U(1)
     return keys
 
 
-def bitmap(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """64 bits of each paragraph, one set by each of its n-grams."""
-    return np.bitwise_or.reduceat(U(1) << (grams & U(63)), begin)
+def bitmaps(items: list[np.ndarray]) -> np.ndarray:
+    """256 bits of each set, one for each of its elements, as four numbers."""
+    counts = np.fromiter(map(len, items), dtype=np.int64, count=len(items))
+    if not len(counts):
+        return np.zeros((0, 4), dtype=U)
+    flat = np.concatenate(items)
+    begin, part = np.cumsum(counts) - counts, (flat >> U(6)) & U(3)
+    bit = U(1) << (flat & U(63))
+    return np.stack([np.bitwise_or.reduceat(np.where(part == U(k), bit, U(0)), begin) for k in range(4)], axis=1)
+
+
+_WORDS = ("b0", "b1", "b2", "b3")
 
 
 def may_reach(threshold: int) -> Callable[[str, str], Column]:
     """A bound on what two paragraphs share: the bits that both have, and the n-grams that had no bit of their own."""
 
     def reach(a: str, b: str) -> Column:
-        n, m, x, y = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.bits"), F.col(f"{b}.bits")
-        most = F.bit_count(x.bitwiseAND(y)) + F.least(n - F.bit_count(x), m - F.bit_count(y))
-        return most * (100 + threshold) >= threshold * (n + m)
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        both, x, y = (reduce(lambda p, q: p + q, [F.bit_count(v) for v in some]) for some in ([F.col(f"{a}.{w}").bitwiseAND(F.col(f"{b}.{w}")) for w in _WORDS], [F.col(f"{a}.{w}") for w in _WORDS], [F.col(f"{b}.{w}") for w in _WORDS]))
+        return (both + F.least(n - x, m - y)) * (100 + threshold) >= threshold * (n + m)
 
     return reach
 
 
 def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
-    """(h, cls, bits, n, low, high, band): for each key the distinct paragraphs and the least and largest text of each.
+    """(h, cls, low, high): for each key the distinct paragraphs, and the least and largest text that has each.
 
-    A text goes by its task's partition and its place among the task's texts, so that equal texts stay several.
+    A text goes by its task's partition and its place among the task's texts, so that equal texts stay several.  What
+    repeats within a batch of rows is added up before it is dealt out.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = TaskContext.get().partitionId() << 40
         for batch in batches:
-            names, keys, bits, sizes, owners = [], [], [], [], []
-            for data in texts(batch.column(0)):
-                text += 1
-                found = paragraphs(data, s)
-                own, first = np.unique(found.names, return_index=True)
-                if not len(own):
+            names, keys, owners = [], [], []
+            for at, data, bounds in chunks(batch.column(0)):
+                found = paragraphs(data, bounds, s)
+                # Once for each text; a chunk's equal paragraphs have their keys worked out once.
+                order = np.lexsort((found.owner, found.names))
+                own, who = found.names[order], found.owner[order]
+                new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, dtype=np.int64)
+                if not len(new):
                     continue
-                grams, begin, n = shingles(found, first)
-                names.append(own)
-                keys.append(band_keys(grams, begin, s))
-                bits.append(bitmap(grams, begin))
-                sizes.append(n)
-                owners.append(np.full(len(own), text))
+                last = np.append(new[1:], len(own)) - 1
+                names.append(own[new])
+                keys.append(band_keys(*shingles(found, order[new]), s))
+                owners.append(np.stack((who[new], who[last]), axis=1) + (text + at))
+            text += len(batch)
             if not names:
                 continue
-            every, owner = np.concatenate(names), np.concatenate(owners)
+            every, wide, owner = np.concatenate(names), np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(every, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
-            low, high = np.minimum.reduceat(owner[order], first), np.maximum.reduceat(owner[order], first)
+            low, high = np.minimum.reduceat(owner[order, 0], first), np.maximum.reduceat(owner[order, 1], first)
             one = order[first]
-            wide, marks, n = np.concatenate(keys)[one], np.concatenate(bits)[one], np.concatenate(sizes)[one]
+            cls, low, high = pa.array(signed(every[one])), pa.array(low), pa.array(high)
             for band in range(s.bands):
-                columns = [pa.array(signed(np.ascontiguousarray(wide[:, band]))), pa.array(signed(every[one])), pa.array(signed(marks)), pa.array(n.astype(np.int8)), pa.array(low), pa.array(high), pa.array(np.full(len(one), band, dtype=np.int8))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "cls", "bits", "n", "low", "high", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(wide[one, band])), cls, low, high], names=["h", "cls", "low", "high"])
+
+    return texts_of.mapInArrow(rows, "h long, cls long, low long, high long")
+
 
-    return texts_of.mapInArrow(rows, "h long, cls long, bits long, n tinyint, low long, high long, band tinyint")
+FIELDS = ("cls", "n", "pos", *_WORDS)
 
 
-FIELDS = ("cls", "n", "pos", "bits")
+def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
+    """(cls, n, items, b0..b3): the n-grams of the paragraphs whose names are needed."""
+    sieve = texts_of.sparkSession.sparkContext.broadcast(marked(needed, "cls"))
+
+    def with_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, bounds in chunks(batch.column(0)):
+                found = paragraphs(data, bounds, s)
+                some = np.flatnonzero(is_marked(sieve.value, found.names))
+                own, at = np.unique(found.names[some], return_index=True)
+                items = [np.unique(found.grams[a : a + n]) for a, n in zip(found.first[some[at]].tolist(), found.sizes[some[at]].tolist(), strict=True)]
+                bits = bitmaps(items)
+                columns = [pa.array(signed(own)), pa.array([len(x) for x in items], pa.int64()), list_array([signed(x) for x in items], pa.int64()), *[pa.array(signed(np.ascontiguousarray(bits[:, k]))) for k in range(4)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "items", *_WORDS])
+
+    kind = "cls long, n long, items array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
+    return texts_of.mapInArrow(with_items, kind).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -194,58 +237,59 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     that agree too, overlapping ones being one run.  kept_doc_id is the smallest of the documents that keep a copy of a part of the run.  A repeat
     within one document does not count, nor do null texts and null doc_ids.
     """
-    texts_of = docs.select(text_or_empty().alias("text"))
-    # Dealt by key, then grouped where it is: each class stands once for each key before they are compared.
-    every = _banded(texts_of, s).repartition("h").groupBy("h", "cls").agg(F.first("bits").alias("bits"), F.first("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("band").alias("band"))
+    texts_of = docs.select(ended().alias("text"))
     # Only keys of several texts are kept; most keys are those of one text, whose paragraphs overlap.
     whole = W.partitionBy("h")
-    kept = every.withColumns({"_low": F.min("low").over(whole), "_high": F.max("high").over(whole), "_other": F.min("cls").over(whole) != F.max("cls").over(whole)}).where("_low <> _high and (_other or band = 0)")
-    near = cut(kept.select("h", "cls", F.col("n").cast("long"), "bits", (F.col("low") != F.col("high")).alias("repeated"), "band", "_other"))
-    shared = near.where("_other").select("h", "cls", "n", F.lit(0).alias("pos"), "bits", F.lit(-1).alias("salt"))
-
-    def with_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, items = [], []
-            for data in texts(batch.column(0)):
-                found = paragraphs(data, s)
-                own, first = np.unique(found.names, return_index=True)
-                names.append(own)
-                items += [signed(np.unique(found.grams[a : a + n])) for a, n in zip(found.first[first].tolist(), found.sizes[first].tolist(), strict=True)]
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(names))), list_array(items, pa.int64())], names=["cls", "items"])
+    every = _banded(texts_of, s).repartition("h").withColumns({"_low": F.min("low").over(whole), "_high": F.max("high").over(whole), "several": F.min("cls").over(whole) != F.max("cls").over(whole)})
+    kept = every.where("_low <> _high and (several or h & 1 = 1)").groupBy("h", "cls").agg((F.min("low") != F.max("high")).alias("repeated"), F.first("several").alias("several"))
+    near = cut(kept)
+    sets = cut(_sets(texts_of, cut(near.where("several").select("cls").distinct()), s))
+    shared = cut(near.where("several").select("h", "cls").join(sets.drop("items"), "cls").withColumns({"pos": F.lit(0), "salt": F.lit(-1)}))
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, lambda needed: only(texts_of.mapInArrow(with_items, "cls long, items array<long>"), needed), s.threshold)
+        return verified(pairs, lambda needed: sets.select("cls", "items").join(needed, "cls", "left_semi"), s.threshold)
 
     roots = connect(neighbours(shared, FIELDS), check, s.threshold, rows=shared, fields=FIELDS, extra=may_reach(s.threshold))
-    exact = near.where("band = 0 and repeated").select("cls").join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
+    exact = near.where("h & 1 = 1 and repeated").select("cls").join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
     flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, columns = [], ([], [], [], [])
-            for k, data in enumerate(texts(batch.column(1))):
-                found = paragraphs(data, s)
-                at.append(np.full(len(found.at), k))
-                for column, x in zip(columns, (found.at, found.ends, signed(found.names), found.whole), strict=True):
-                    column.append(x)
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), *[pa.array(np.concatenate(x)) for x in columns]], names=["doc_id", "at", "end", "cls", "whole"])
-
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    rows = named.mapInArrow(placed, "doc_id long, at long, end long, cls long, whole boolean")
-    small = flagged.count() <= 1_000_000  # two numbers a row; else a shuffled join
-    hits = cut(rows.join(F.broadcast(flagged) if small else flagged, "cls").select("doc_id", "at", "end", "cls", "whole", "root"))
-    keeps = hits.groupBy("root").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last")).where("kept <> last").select("root", "kept")
-    hits = hits.join(keeps, "root")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    hits = cut(_sent(flagged, _placed(named.select("doc_id", ended().alias("text")), flagged, s)))
+    # For each class the words of the document that keeps it: of the same class there, else of the root's first.
+    spot = F.struct("doc_id", "at", "end")
+    classes = cut(hits.groupBy("root", "cls").agg(F.min(spot).alias("own"), F.max("doc_id").alias("last")))
+    tops = cut(classes.groupBy("root").agg(F.min("own").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last"))
+    known = _sent(tops, classes.drop("last"), "root").select("cls", F.col("first.doc_id").alias("kept"), F.when(F.col("own.doc_id") == F.col("first.doc_id"), F.col("own")).otherwise(F.col("first")).alias("like"))
+    rows = _sent(cut(known), hits).where("doc_id <> kept")
     # What one document keeps of another's words is widened first, then all that overlaps is one run.
-    where = ("doc_id", "kept", "whole")
-    near = _runs(hits.where("doc_id <> kept"), where).agg(F.min("at").alias("at"), F.max("end").alias("end"), F.min_by(F.struct("root", "cls"), F.struct("at", "end", "cls")).alias("l"), F.max_by(F.struct("root", "cls"), F.struct("end", "at", "cls")).alias("r"), F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"))
-    wide = _widened(cut(near), hits.where("doc_id = kept"), named, s)
+    near = _runs(rows, ("doc_id", "kept", "whole")).agg(
+        F.min("at").alias("at"), F.max("end").alias("end"), F.min_by("like.at", F.struct("at", "end", "cls")).alias("l_at"), F.max_by("like.end", F.struct("end", "at", "cls")).alias("r_at"),
+        F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"),
+    )
+    wide = _widened(cut(near), named.select("doc_id", text_or_empty().alias("text")), s)
     runs = _runs(wide, ("doc_id",)).agg(F.min("at").alias("first_word"), F.max("end").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
     return runs.drop("run")
 
 
+def _sent(table: DataFrame, rows: DataFrame, key: str = "cls") -> DataFrame:
+    """rows joined with a table of one row a key: by broadcast if it is small, else by a shuffle, whose skew Spark splits."""
+    return rows.join(F.broadcast(table) if table.count() <= SMALL else table, key)
+
+
+def _placed(named: DataFrame, flagged: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, at, end, cls, whole) of the paragraphs whose names are flagged, and a few others."""
+    sieve = named.sparkSession.sparkContext.broadcast(marked(flagged, "cls"))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, bounds in chunks(batch.column(1)):
+                found = paragraphs(data, bounds, s)
+                some = np.flatnonzero(is_marked(sieve.value, found.names))
+                columns = [found.at[some], found.ends[some], signed(found.names[some]), found.whole[some]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.owner[some] + first)), *map(pa.array, columns)], names=["doc_id", "at", "end", "cls", "whole"])
+
+    return named.mapInArrow(placed, "doc_id long, at long, end long, cls long, whole boolean")
+
+
 def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
     """Rows (at, end) grouped by where and by the run of overlapping ones that they are in."""
     order = W.partitionBy(*where).orderBy("at", "end", "root")
@@ -254,7 +298,7 @@ def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
     return rows.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*where, "run")
 
 
-def _widened(runs: DataFrame, kept: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
+def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, at, end, kept, root, places): the runs with the words before and after that agree with the kept text.
 
     A longer stretch of equal words holds a paragraph of its own, so `window + size - 2` words on either side do.
@@ -274,12 +318,6 @@ def _widened(runs: DataFrame, kept: DataFrame, named: DataFrame, s: Settings) ->
                     near.append(words[at : at + reach] if side else words[max(0, at - reach) : at][::-1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), pa.array(sides, pa.int32()), list_array(near, pa.int32())], names=["doc_id", "place", "side", "words"])
 
-    same = kept.groupBy("root", "cls").agg(F.min_by(F.struct("at", "end"), F.struct("at", "end")).alias("same"))
-    like = kept.groupBy("root").agg(F.min_by(F.struct("at", "end"), F.struct("at", "end")).alias("like"))
-    for x, field in (("l", "at"), ("r", "end")):
-        runs = runs.join(same.select(F.struct("root", "cls").alias(x), "same"), x, "left").withColumn("_root", F.col(f"{x}.root")).join(like.withColumnRenamed("root", "_root"), "_root", "left")
-        runs = runs.withColumn(f"{x}_at", F.coalesce(f"same.{field}", f"like.{field}")).drop("same", "like", "_root")
-    runs = cut(runs)
     asked = [runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(side).alias("side")) for doc, place, side in (("doc_id", "at", 0), ("kept", "l_at", 0), ("doc_id", "end", 1), ("kept", "r_at", 1))]
     asked = reduce(DataFrame.unionByName, asked).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "side")).alias("asked"))
     words = named.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(around, "doc_id long, place long, side int, words array<int>")

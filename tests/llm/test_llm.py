@@ -134,12 +134,36 @@ def test_passages_catch_repeats_and_leave_the_rest(spark):
     assert all(76 <= r.first_word and r.end_word <= 139 and r.end_word - r.first_word >= 32 for r in found)
 
 
+def one_text(text: str, s: passages.Settings) -> passages.Found:
+    data = np.frombuffer((text + "\n").encode(), dtype=np.uint8)
+    return passages.paragraphs(data, np.array([0, len(data)]), s)
+
+
 def test_every_long_repeat_shares_a_paragraph():
     rng, s = random.Random(4), passages.Settings()
-    for _ in range(200):
-        shared, data = prose(rng, 51), lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
-        a, b = (passages.paragraphs(data(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"), s) for _ in range(2))
-        assert set(a.names.tolist()) & set(b.names.tolist())
+    assert s.sure <= 47
+    for n in (47, 51):
+        for _ in range(200):
+            shared = prose(rng, n)
+            a, b = (one_text(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}", s) for _ in range(2))
+            assert set(a.names.tolist()) & set(b.names.tolist())
+
+
+def test_paragraphs_of_a_chunk_are_those_of_its_texts():
+    import pyarrow as pa
+
+    rng, s = random.Random(31), passages.Settings()
+    some = ["", " ", "one", *("\n".join(prose(rng, rng.randint(0, 130)) + rng.choice(("", ".", " ")) for _ in range(rng.randint(1, 4))) for _ in range(40)), "é ß 😀 x"]
+    for least in (1, 300, 1 << 20):
+        got = []
+        for at, data, bounds in arrays.chunks(pa.array([t + "\n" for t in some]), least):
+            f = passages.paragraphs(data, bounds, s)
+            got += list(zip((f.owner + at).tolist(), f.at.tolist(), f.ends.tolist(), f.names.tolist(), f.whole.tolist(), f.sizes.tolist(), strict=True))
+        want = []
+        for k, t in enumerate(some):
+            f = one_text(t, s)
+            want += list(zip([k] * len(f.at), f.at.tolist(), f.ends.tolist(), f.names.tolist(), f.whole.tolist(), f.sizes.tolist(), strict=True))
+        assert sorted(got) == sorted(want)
 
 
 def test_equal_texts_of_separate_batches_are_several(spark, tmp_path):
@@ -170,15 +194,64 @@ def test_lines_and_whole_passages(spark):
         assert got[i][0] == kept and first - 4 <= got[i][1] <= first and end <= got[i][2] <= end + 4
 
 
-def test_passage_settings_keep_their_recall():
-    s = passages.Settings()
+def paragraph_sets(text: str, s: passages.Settings) -> dict[int, frozenset]:
+    f = one_text(text, s)
+    return {name: frozenset(f.grams[a : a + n].tolist()) for name, a, n in zip(f.names.tolist(), f.first.tolist(), f.sizes.tolist(), strict=True)}
+
+
+def test_links_against_all_pairs_of_paragraphs(spark):
+    """Recall and precision of the links between documents, against every pair of paragraphs compared."""
+    rng, s = random.Random(32), passages.Settings()
+    sources = [prose(rng, 100).split() for _ in range(12)]
+    texts = []
+    for i in range(90):
+        words = list(sources[i % 12])
+        for _ in range(i % 4):
+            words[rng.randrange(100)] = prose(rng, 1)
+        body = "\n".join(" ".join(words[a : a + 25]) for a in range(0, 100, 25)) if i % 3 == 0 else " ".join(words)
+        texts.append(f"{prose(rng, rng.randint(5, 60))}{chr(10) if i % 2 else ' '}{body}{chr(10) if i % 2 else ' '}{prose(rng, rng.randint(5, 60))}")
+    sets = [paragraph_sets(t, s) for t in texts]
+    linked = lambda a, b: any(x & y and 100 * len(x & y) >= 75 * len(x | y) for x in a.values() for y in b.values())
+    want = {j for j in range(90) if any(linked(sets[i], sets[j]) for i in range(j))}
+    got = {r.doc_id for r in passages.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 60
+
+
+def test_equal_texts_of_any_length_are_found(spark):
+    rng = random.Random(33)
+    texts = [prose(rng, n, "abcdefghijklmnop") for n in (4, 9, 14, 25, 29, 30, 33, 40, 46, 47, 48, 50, 60, 200)]
+    rows = [(2 * i + k, t if k == 0 or i % 2 else "\n".join((t[: len(t) // 2].rpartition(" ")[0], t[len(t[: len(t) // 2].rpartition(" ")[0]) :]))) for i, t in enumerate(texts) for k in (0, 1)]
+    got = {r.doc_id: r.kept_doc_id for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * i + 1: 2 * i for i in range(len(texts))}.items() <= got.items()
+
+
+def test_small_tables_or_shuffles_give_the_same(spark, monkeypatch):
+    rng = random.Random(34)
+    shared = [prose(rng, 60) for _ in range(4)]
+    rows = [(i, f"{prose(rng, 30)} {shared[i % 4]} {prose(rng, 30)}\n{shared[(i + 1) % 4]}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = sorted(passages.repeats(df).collect())
+    monkeypatch.setattr(passages, "SMALL", 0)
+    assert sorted(passages.repeats(df).collect()) == sent and len(sent) > 15
+
+
+def test_marked_values_pass_the_sieve(spark):
+    rng = random.Random(35)
+    some = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    table = common.marked(spark.createDataFrame([(x,) for x in some[:1500]], "cls long"), "cls")
+    hit = common.is_marked(table, np.array(some, dtype=np.int64).view(np.uint64))
+    assert hit[:1500].all() and hit[1500:].mean() < 0.15 and len(table) * 8 <= 1 << 27
+
+
+def test_band_recall_is_what_the_settings_say():
+    s, rng = passages.Settings(), np.random.default_rng(36)
     assert 1 - (1 - (s.threshold / 100) ** s.rows) ** s.bands > 0.96
-    assert s.window + s.size - 1 <= 47
-    rng = random.Random(21)
-    for _ in range(200):
-        shared, data = prose(rng, 47), lambda t: np.frombuffer(t.encode(), dtype=np.uint8)
-        a, b = (passages.paragraphs(data(f"{prose(rng, rng.randint(0, 40))} {shared} {prose(rng, rng.randint(0, 40))}"), s) for _ in range(2))
-        assert set(a.names.tolist()) & set(b.names.tolist())
+    hits = 0
+    for _ in range(400):  # sets of 28 that share 24: Jaccard 0.75
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64) for n in (24, 4, 4))
+        keys = passages.band_keys(np.concatenate((both, a, both, b)), np.array([0, 28]), s)
+        hits += bool((keys[0] == keys[1]).any())
+    assert hits / 400 > 0.93
 
 
 def test_language_model_brute_force(spark):
