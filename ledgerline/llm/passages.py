@@ -1,9 +1,10 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard of those that collide, removal by components.
 
-A text's paragraphs are its lines, long ones being cut at sentence ends, and a short text as a whole.  As a copied passage
-need not keep to those, runs of `size` words count as paragraphs too that start where the text itself says: at the least
-hash among any `window` neighbouring n-grams.  Two texts that share a run of ``window - 1 + size`` words therefore share
-a whole paragraph, wherever the run stands in either.  What is found is widened to all words that agree before and after it.
+A text's paragraphs are its lines, long ones being cut at sentence ends, and a short text as a whole.  They are banded by
+MinHash and compared.  As a copied passage need not keep to lines, runs of `size` words count as paragraphs too, if they
+are equal; they start where the text itself says: at the least hash among any `window` neighbouring n-grams.  Two texts
+that share a run of ``window - 1 + size`` words therefore share a whole paragraph, wherever the run stands in either.
+What is found is widened to all words that agree before and after it.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ SMALL = 100_000
 class Settings(NamedTuple):
     """Words of a run, the choice of its start, its shingles, the bands, and the words of a line's pieces.
 
-    Four bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.963, one of 0.85 with 0.994, and equal
-    ones always.
+    Six bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.993, one of 0.85 with 0.9996, and equal
+    ones always.  Short runs far apart find edited passages as well as longer ones compared by Jaccard do: a run that
+    is like another is equal but for its ends.
     """
 
-    size: int = 28
-    window: int = 20
+    size: int = 20
+    window: int = 28
     n: int = 5
-    bands: int = 4
+    bands: int = 6
     rows: int = 2
     threshold: int = 75
     least: int = 48
@@ -134,13 +136,13 @@ def shingles(found: Found, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(grams: np.ndarray, begin: np.ndarray, s: Settings) -> np.ndarray:
-    """The keys of each paragraph: the least of `rows` hashes of its n-grams, joined, for each band; those of band 0 are odd."""
+    """The keys of each paragraph: the least of `rows` hashes of its n-grams, joined, for each band.  They are even."""
     keys = np.empty((len(begin), s.bands), dtype=U)
     for band in range(s.bands):
         total = np.full(len(begin), U(band + 1), dtype=U)
         for row in range(s.rows):
             total = mix(total + np.minimum.reduceat(grams * _ODD[band * s.rows + row], begin) * _TURN[row])
-        keys[:, band] = total | U(1) if band == 0 else total & ~U(1)
+        keys[:, band] = total & ~U(1)
     return keys
 
 
@@ -172,6 +174,7 @@ def may_reach(threshold: int) -> Callable[[str, str], Column]:
 def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
     """(h, cls, low, high): for each key the distinct paragraphs, and the least and largest text that has each.
 
+    Every paragraph has its name as a key, made odd; lines and whole texts have those of the bands too, which are even.
     A text goes by its task's partition and its place among the task's texts, so that equal texts stay several.  What
     repeats within a batch of rows is added up before it is dealt out.
     """
@@ -179,46 +182,51 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = TaskContext.get().partitionId() << 40
         for batch in batches:
-            names, keys, owners = [], [], []
+            names, owners, bands, keys = [], [], [], []
             for at, data, bounds in chunks(batch.column(0)):
                 found = paragraphs(data, bounds, s)
-                # Once for each text; a chunk's equal paragraphs have their keys worked out once.
-                order = np.lexsort((found.owner, found.names))
-                own, who = found.names[order], found.owner[order]
-                new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, dtype=np.int64)
-                if not len(new):
+                if not len(found.names):
                     continue
+                order = np.lexsort((found.owner, found.names))
+                own, who, new = found.names[order], found.owner[order], _firsts(found.names[order])
                 last = np.append(new[1:], len(own)) - 1
                 names.append(own[new])
-                keys.append(band_keys(*shingles(found, order[new]), s))
                 owners.append(np.stack((who[new], who[last]), axis=1) + (text + at))
+                lines_ = np.flatnonzero(np.maximum.reduceat(found.whole[order], new))  # a chunk's equal ones are banded once
+                bands.append(own[new][lines_])
+                keys.append(band_keys(*shingles(found, order[new[lines_]]), s) if len(lines_) else np.zeros((0, s.bands), dtype=U))
             text += len(batch)
             if not names:
                 continue
-            every, wide, owner = np.concatenate(names), np.concatenate(keys), np.concatenate(owners)
+            every, owner = np.concatenate(names), np.concatenate(owners)
             order = np.argsort(every, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
-            low, high = np.minimum.reduceat(owner[order, 0], first), np.maximum.reduceat(owner[order, 1], first)
-            one = order[first]
-            cls, low, high = pa.array(signed(every[one])), pa.array(low), pa.array(high)
-            for band in range(s.bands):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(wide[one, band])), cls, low, high], names=["h", "cls", "low", "high"])
+            first = _firsts(every[order])
+            every, low, high = every[order[first]], np.minimum.reduceat(owner[order, 0], first), np.maximum.reduceat(owner[order, 1], first)
+            banded, one = np.unique(np.concatenate(bands), return_index=True)
+            wide, at = np.concatenate(keys)[one], np.searchsorted(every, banded)
+            for h, some in ((every | U(1), slice(None)), *((wide[:, band], at) for band in range(s.bands))):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(h))), pa.array(signed(every[some])), pa.array(low[some]), pa.array(high[some])], names=["h", "cls", "low", "high"])
 
     return texts_of.mapInArrow(rows, "h long, cls long, low long, high long")
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+
+
 FIELDS = ("cls", "n", "pos", *_WORDS)
 
 
 def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
-    """(cls, n, items, b0..b3): the n-grams of the paragraphs whose names are needed."""
+    """(cls, n, items, b0..b3): the n-grams of the lines and whole texts whose names are needed."""
     sieve = texts_of.sparkSession.sparkContext.broadcast(marked(needed, "cls"))
 
     def with_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, bounds in chunks(batch.column(0)):
                 found = paragraphs(data, bounds, s)
-                some = np.flatnonzero(is_marked(sieve.value, found.names))
+                some = np.flatnonzero(found.whole & is_marked(sieve.value, found.names))
                 own, at = np.unique(found.names[some], return_index=True)
                 items = [np.unique(found.grams[a : a + n]) for a, n in zip(found.first[some[at]].tolist(), found.sizes[some[at]].tolist(), strict=True)]
                 bits = bitmaps(items)
@@ -232,7 +240,8 @@ def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
 def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The runs of words to remove: doc_id, first_word, end_word, component_id, kept_doc_id, paragraphs.
 
-    Paragraphs link when their sets of n-grams have the Jaccard similarity of the threshold.  Of each component the
+    Lines and whole texts link when their sets of n-grams have the Jaccard similarity of the threshold, and all
+    paragraphs that are equal do.  Of each component the
     document of the smallest doc_id keeps its text; in all others the paragraphs' words are to go, with those around them
     that agree too, overlapping ones being one run.  kept_doc_id is the smallest of the documents that keep a copy of a part of the run.  A repeat
     within one document does not count, nor do null texts and null doc_ids.
@@ -241,16 +250,16 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Only keys of several texts are kept; most keys are those of one text, whose paragraphs overlap.
     whole = W.partitionBy("h")
     every = _banded(texts_of, s).repartition("h").withColumns({"_low": F.min("low").over(whole), "_high": F.max("high").over(whole), "several": F.min("cls").over(whole) != F.max("cls").over(whole)})
-    kept = every.where("_low <> _high and (several or h & 1 = 1)").groupBy("h", "cls").agg((F.min("low") != F.max("high")).alias("repeated"), F.first("several").alias("several"))
-    near = cut(kept)
-    sets = cut(_sets(texts_of, cut(near.where("several").select("cls").distinct()), s))
-    shared = cut(near.where("several").select("h", "cls").join(sets.drop("items"), "cls").withColumns({"pos": F.lit(0), "salt": F.lit(-1)}))
+    near = cut(every.where("_low <> _high and (several or h & 1 = 1)").select("h", "cls").distinct())
+    like = near.where("h & 1 = 0")
+    sets = cut(_sets(texts_of, cut(like.select("cls").distinct()), s))
+    shared = cut(like.join(sets.drop("items"), "cls").withColumns({"pos": F.lit(0), "salt": F.lit(-1)}))
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda needed: sets.select("cls", "items").join(needed, "cls", "left_semi"), s.threshold)
 
     roots = connect(neighbours(shared, FIELDS), check, s.threshold, rows=shared, fields=FIELDS, extra=may_reach(s.threshold))
-    exact = near.where("h & 1 = 1 and repeated").select("cls").join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
+    exact = near.where("h & 1 = 1").select("cls").distinct().join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
     flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     hits = cut(_sent(flagged, _placed(named.select("doc_id", ended().alias("text")), flagged, s)))
