@@ -14,15 +14,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ledgerline.llm.arrays import list_array, shingle_set, signed, texts
-from ledgerline.llm.common import components, cut, text_or_empty
+from ledgerline.llm.common import components, cut, fresh, text_or_empty
 
 #: Counters of document frequency (a fixed 4 MB), kept in segments, and bins of the suffix filter.
 COUNTER_BITS, SEGMENT_BITS, SUFFIX_BINS = 20, 16, 256
 #: Rows of one n-gram that one task compares at the first round, and from which on the second filters within the join.
 HOT, LARGE = 4096, 64
+#: A text has a word if this is found in it.
+WORD = r"[^\x20\x09-\x0D]"
 _TOP = np.uint64(64 - COUNTER_BITS)
 
 Sets = Callable[[np.ndarray], np.ndarray]
@@ -219,10 +222,7 @@ def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold:
     more = cut(check(more))
     if more.isEmpty():
         return roots
-    tied = more.select(F.col("a").alias("x"), F.col("b").alias("y")).join(roots.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
-    upper = cut(components(tied.select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b"))))
-    below = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return below.unionByName(upper.select("node", "root").join(roots.select("node"), "node", "left_anti"))
+    return tied_roots(roots, more.select(F.col("a").alias("cls"), F.col("b").alias("low")))
 
 
 def links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -254,23 +254,59 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFra
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id reachable by links (its own if none).
 
     A null or wordless text has no n-grams and links with nothing.  Texts of fewer than n words are one n-gram.  Equal
-    sets link however many rows have them; rows that share a doc_id are separate texts of one node.  Rows whose doc_id
-    is null take part and pass on links; only the doc_ids that are not null can be a component's.
+    sets link however many rows have them.  Rows that share a doc_id are texts of one node, so what any of them links
+    with is in the component of all.  Rows whose doc_id is null take part and pass on links; only the doc_ids that are
+    not null can be a component's.
     """
     found, roots = links(docs.select("doc_id", "text"), n, threshold)
     found = cut(found)
+    repeated = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("rows > 1"))
+    tied = cut(found.where("cls is not null").join(repeated.where("low <> high").select("doc_id", "low"), "doc_id").where("cls <> low").select("cls", "low").distinct())
+    if not tied.isEmpty():
+        roots = tied_roots(roots, tied)
     each = found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     tops = each.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    tops = tops.join(tops.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component")
-    rows = found.join(tops, "cls", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    tops = cut(tops.join(tops.groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component"))
+    rows = found.join(tops, "cls", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if not repeated.isEmpty():  # a row without words goes with the other rows of its doc_id
+        least = rows.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("least"))
+        rows = rows.join(least, "doc_id", "left").withColumn("component", F.coalesce("least", "component"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def tied_roots(roots: DataFrame, ties: DataFrame) -> DataFrame:
+    """(node, root) with further ties (cls, low) between classes taken in."""
+    top = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"r_{name}"))
+    pairs = ties.join(top("cls"), "cls", "left").join(top("low"), "low", "left").select(F.coalesce("r_cls", "cls").alias("a"), F.coalesce("r_low", "low").alias("b"))
+    upper = cut(components(pairs))
+    below = roots.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(below.unionByName(upper.select("node", "root").join(roots.select("node"), "node", "left_anti")))
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id.  All columns stay.
+    """docs with one row of each group of linked texts: that of its smallest doc_id, nulls being the largest.  All columns stay.
 
-    Rows of a null doc_id take part in the links, but having no name they stay.  Of rows that repeat a doc_id one stays.
+    Here a row is a text by itself, whatever doc_id it has, so rows of one doc_id with unlike texts all stay.  Of rows
+    with one doc_id and equal sets any one stays.  Null and wordless texts are like nothing and all stay.
     """
-    first = near_duplicates(docs, n, threshold).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found, roots = links(docs.select("doc_id", "text"), n, threshold)
+    rows = found.where("cls is not null").groupBy("cls", "doc_id").agg(F.count("*").alias("rows"))
+    rows = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "cls", "rows")).alias("f"))
+    cls, doc, count = (fresh(docs, x) for x in ("cls", "kept_doc_id", "rows"))
+    first = cut(first.select(F.col("f.cls").alias(f"{cls}_kept"), F.col("f.doc_id").alias(doc), F.col("f.rows").alias(count)))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [_class(x) if len(x := shingle_set(data, n)) else None for data in texts(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, cls])
+
+    place = docs.columns.index("text")
+    named = docs.mapInArrow(name, StructType([*docs.schema.fields, StructField(cls, LongType())]))
+    kept = named.where(F.col(cls).isNotNull()).join(first, (F.col(cls) == F.col(f"{cls}_kept")) & F.col("doc_id").eqNullSafe(F.col(doc)))
+    if first.where(F.col(count) > 1).isEmpty():
+        one = kept
+    else:
+        one = kept.where(F.col(count) == 1).unionByName(kept.where(F.col(count) > 1).dropDuplicates(["doc_id", cls]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return one.select(*columns).unionByName(docs.where(~F.col("text").rlike(WORD) | F.col("text").isNull()))
