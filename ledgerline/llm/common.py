@@ -15,8 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; sets one only where none is named."""
+    """Uses the folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named a folder is made, but only if driver and executors are one process; else that is an error, as
+    executors would not see it.
+    """
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -26,14 +32,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of its own in the shared folder."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for a table in the shared folder."""
     shared(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/tables/{uuid.uuid4().hex}-{name}"
+    return f"{folder}/tables/{uuid.uuid4().hex}-{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it (Spark does not tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -69,23 +69,17 @@ def token_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Ids:
-    """Token ids of many texts at once: pre-tokens are found by array operations, and each distinct one is encoded once.
+    """Token ids of many texts at once: pre-tokens are found by array operations, and the tokenizer encodes each distinct one once.
 
     The cache of encoded pre-tokens holds at most `most` entries; it starts afresh beyond that.
     """
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
-        import tiktoken
-
-        # The file's vocabulary lists the merges' results in the order of their ranks; bytes are written as printable characters.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-        with open(path, encoding="utf-8") as f:
-            content = json.load(f)
-        special = {x["content"] for x in content.get("added_tokens", [])}
-        ranks = {bytes(shown[c] for c in token): rank for token, rank in content["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of the public byte-level scheme
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.clear()
 
@@ -97,7 +91,7 @@ class Ids:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.known) + len(hashes) > self.most:
             self.clear()
-        found = [self.encode(w) for w in words]
+        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         places = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(counts.sum()))])
@@ -224,7 +218,7 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
 def pack(items: DataFrame, length: int = 1024, shard_pieces: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces of at most `length` tokens by best-fit decreasing.
 
-    Pieces are dealt by a hash of their content to shards of about `shard_pieces`, each packed by itself, so that no
+    Pieces are dealt by a hash to shards of about `shard_pieces`, each packed by itself, so that no
     task sees more; the loss against packing all at once is about the square root of a shard's pieces.  Sequence ids
     are the shard's number times 2**32 plus the bin's.
     """
@@ -238,7 +232,8 @@ def pack(items: DataFrame, length: int = 1024, shard_pieces: int = 100_000) -> D
         names = pa.array(np.array(bins, dtype=np.int64) + (shard << 32))
         return table.drop_columns(["shard"]).append_column("sequence_id", names).append_column("offset", pa.array(offsets, type=pa.int64()))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # A row's place among the written rows is a part of its hash, so that equal rows are dealt out too.
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(fill, PACKED)
 
 

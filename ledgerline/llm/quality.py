@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerline.llm.arrays import _VALUE, mix, ngrams, span_hashes, texts
 from ledgerline.llm.common import text_or_empty
@@ -116,7 +117,7 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
     The weights are a fixed 2**bits numbers.  A null or empty text has only the constant feature.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    columns = [c for c in docs.columns if c != name]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -127,10 +128,9 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
                 found.append(sigmoid(float(w[at] @ x)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*columns, name])
 
-    kept = docs.select(*columns)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
     place = columns.index("text")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(scores, f"{kind}, `{name}` double")
+    return kept.mapInArrow(scores, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out() -> Column:

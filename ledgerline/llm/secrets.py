@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ledgerline.llm.arrays import texts
-from ledgerline.llm.common import text_or_empty
+from ledgerline.llm.common import fresh
 
 #: Kinds in the order that spans of one start are listed in; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "jwt", "card", "iban", "pem")
-SPAN = "kind string, start long, end long"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -37,9 +38,12 @@ BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _HEX = np.zeros(256, dtype=bool)
 _HEX[[*b"0123456789abcdef"]] = True
-_CARD = np.zeros(256, dtype=bool)
-_CARD[[*b"0123456789"]] = True
-_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+CARD = re.compile(rb"(?<![0-9])[2-6][0-9]{12,18}(?![0-9])")
+IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+#: The countries whose bank account numbers are international ones.
+IBAN_COUNTRIES = "AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HN HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE".split()
+#: These keep their case: a country's letters with the first check digit, and the first two digits of a card.
+EXACT_KEYWORDS = {f"{c}{d}": "iban" for c in IBAN_COUNTRIES for d in range(10)} | {str(n): "card" for n in range(20, 70)}
 
 
 def luhn(digits: bytes) -> bool:
@@ -67,7 +71,7 @@ def jwt(text: bytes) -> bool:
     head = text.split(b".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, TypeError, binascii.Error):
+    except (ValueError, TypeError, binascii.Error, RecursionError):  # deeply nested JSON is no header
         return False
 
 
@@ -91,14 +95,18 @@ def runs(member: np.ndarray, least: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=1)
-def _automaton():  # noqa: ANN202
+def _automata():  # noqa: ANN202
+    """One of the keywords in any case, one of those that keep it."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
-    for word, kind in KEYWORDS.items():
-        found.add_word(word.decode(), (kind, len(word)))
-    found.make_automaton()
-    return found
+    both = []
+    for words in ({w.decode(): k for w, k in KEYWORDS.items()}, EXACT_KEYWORDS):
+        found = ahocorasick.Automaton()
+        for word, kind in words.items():
+            found.add_word(word, (kind, len(word)))
+        found.make_automaton()
+        both.append(found)
+    return both
 
 
 def find(data: np.ndarray) -> list[tuple[int, int, int]]:
@@ -110,7 +118,8 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
     def put(kind: str, start: int, end: int) -> None:
         spans.append((start, KINDS.index(kind), end))
 
-    for end, (kind, size) in _automaton().iter(raw.lower().decode("latin-1")):
+    any_case, exact = _automata()
+    for end, (kind, size) in any_case.iter(raw.lower().decode("latin-1")):
         at = end + 1 - size
         if kind == "assign" and at >= done[kind] and (m := ASSIGN.match(raw, at)):
             done[kind] = m.end()
@@ -130,19 +139,17 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
             put(kind, m.start(), done[kind])
     for a, b in runs(_HEX[data], HEX_LENGTH):
         put("hex", a, b)
-    digits = _CARD[data]
-    for a, b in runs(digits, 13):
-        if b - a <= 19 and luhn(raw[a:b]) and (raw[a : a + 1] in b"23456"):
-            put("card", a, b)
-    if len(runs(digits, 2)):
-        for m in _IBAN.finditer(raw):
-            if iban(m[0]):
-                put("iban", m.start(), m.end())
+    for end, (kind, size) in exact.iter(raw.decode("latin-1")):
+        at = end + 1 - size
+        if at >= done[kind] and (m := (IBAN if kind == "iban" else CARD).match(raw, at)):
+            done[kind] = m.end()
+            if iban(m[0]) if kind == "iban" else luhn(m[0]):
+                put(kind, m.start(), m.end())
     return sorted(spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Adds to every row's doc_id and text the column spans: array of (kind, start, end) by start, then kind.
+def scan(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs with the column `name`, in place of any of that name: array of (kind, start, end) by start, then kind.
 
     Positions are code points, ends exclusive.  The base kinds assign, access and hex are leftmost non-overlapping
     matches of their expression, those too short being dropped.  The other kinds have a checksum or structure that is
@@ -153,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ends, kinds, starts, stops = [0], [], [], []
-            for data in texts(batch.column(1)):
+            for data in texts(batch.column(place)):
                 spans = find(data)
                 if spans:
                     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
@@ -163,11 +170,11 @@ def scan(docs: DataFrame) -> DataFrame:
                         stops.append(int(points[b]))
                 ends.append(len(kinds))
             each = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["kind", "start", "end"])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=[*batch.schema.names, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], names=[*batch.schema.names, name])
 
-    kept = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *[c for c in docs.columns if c not in ("doc_id", "text", "spans")])
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(found, f"{kind}, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    place = kept.columns.index("text")
+    return kept.mapInArrow(found, StructType([*kept.schema.fields, StructField(name, SPANS)]))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
@@ -182,13 +189,16 @@ def report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of the base kinds, the digest of the base spans and all spans as a string."""
     base = F.filter("spans", lambda x: x["kind"].isin(*KINDS[:3]))
     counts = [F.size(F.filter(F.transform("spans", lambda x: x["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return scan(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return scan(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, kinds: tuple[str, ...] = KINDS, mark: str = "<{}>") -> DataFrame:
-    """docs with every span of the given kinds replaced by a mark of its kind; overlapping spans are replaced as one."""
-    columns = docs.columns
-    wanted = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    """docs with every span of the given kinds replaced by a mark of its kind; overlapping spans are replaced as one.
+
+    All columns stay as they are but for the text; a null text stays null, and a text without spans is not changed.
+    """
+    spans = fresh(docs, "spans")
+    wanted = F.filter(spans, lambda x: x["kind"].isin(*kinds))
 
     def step(state: Column, x: Column) -> Column:
         text = F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, x["start"].cast("int") - state["at"]), F.lit(mark.split("{}")[0]), x["kind"], F.lit(mark.split("{}")[1]))
@@ -196,4 +206,4 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = KINDS, mark: str = "<{}>")
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     cleaned = F.aggregate(wanted, start, step, lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return scan(docs).withColumn("text", F.when(F.size(wanted) > 0, cleaned).otherwise(F.col("text"))).select(*columns)
+    return scan(docs, spans).withColumn("text", F.when(F.size(wanted) > 0, cleaned).otherwise(F.col("text"))).drop(spans)
