@@ -1,7 +1,7 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard of those that collide, removal by components.
 
-A text's paragraphs are its lines, long ones being cut at sentence ends, and a short text as a whole.  They are banded by
-MinHash and compared.  As a copied passage need not keep to lines, runs of `size` words count as paragraphs too, if they
+A text's paragraphs are its lines of some words (titles and greetings repeat by themselves), long ones being cut at
+sentence ends, and a short text as a whole.  They are banded by MinHash and compared.  As a copied passage need not keep to lines, runs of `size` words count as paragraphs too, if they
 are equal; they start where the text itself says: at the least hash among any `window` neighbouring n-grams.  Two texts
 that share a run of ``window - 1 + size`` words therefore share a whole paragraph, wherever the run stands in either.
 What is found is widened to all words that agree before and after it.
@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerline.llm.arrays import U, _TURN, _VALUE_LOWER, chunks, list_array, mix, ngrams, signed, span_hashes, texts, word_hashes, word_spans
-from ledgerline.llm.common import cut, ended, is_marked, marked, text_or_empty
+from ledgerline.llm.arrays import U, _TURN, _VALUE_LOWER, chunks, list_array, mix, ngrams, signed, span_hashes, word_spans
+from ledgerline.llm.common import cut, ended, is_marked, marked
 from ledgerline.llm.ngram_join import connect, neighbours, verified
 
 #: Tables of two or three numbers a row are sent to all tasks up to this many rows (about 5 MB).
@@ -29,7 +29,7 @@ SMALL = 100_000
 
 
 class Settings(NamedTuple):
-    """Words of a run, the choice of its start, its shingles, the bands, and the words of a line's pieces.
+    """Words of a run, the choice of its start, its shingles, the bands, the least words of a line, and those of its pieces.
 
     Six bands of two rows find a paragraph of Jaccard 0.75 with a chance of 0.993, one of 0.85 with 0.9996, and equal
     ones always.  Short runs far apart find edited passages as well as longer ones compared by Jaccard do: a run that
@@ -42,6 +42,7 @@ class Settings(NamedTuple):
     bands: int = 6
     rows: int = 2
     threshold: int = 75
+    line: int = 16
     least: int = 48
     most: int = 96
 
@@ -82,7 +83,7 @@ _STOPS[[*b".!?"]] = True
 
 
 def lines(data: np.ndarray, firsts: np.ndarray, ends: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """First and end words of the lines; those of over `most` words are cut past `least` words at sentence ends."""
+    """First and end words of the lines of at least `line` words; those of over `most` are cut past `least` at sentence ends."""
     row = np.searchsorted(np.flatnonzero(data == 10), firsts)
     edges = np.concatenate((np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]))
     stops = 1 + np.flatnonzero(_STOPS[data[ends - 1]])
@@ -95,7 +96,8 @@ def lines(data: np.ndarray, firsts: np.ndarray, ends: np.ndarray, s: Settings) -
             if a < b:
                 more.append(a)
     edges = np.sort(np.concatenate((edges, np.array(more, dtype=edges.dtype))))
-    return edges[:-1], edges[1:]
+    long = np.diff(edges) >= s.line
+    return edges[:-1][long], edges[1:][long]
 
 
 class Found(NamedTuple):
@@ -104,6 +106,8 @@ class Found(NamedTuple):
     ends: np.ndarray
     names: np.ndarray  # one number for equal runs of words
     whole: np.ndarray  # whether it is a line or a whole text
+    words: np.ndarray  # the texts' words
+    base: np.ndarray  # and where those of each begin
     grams: np.ndarray  # the texts' n-grams, then one for each paragraph of fewer words than n
     first: np.ndarray  # the first n-gram of each paragraph
     sizes: np.ndarray  # and how many it has
@@ -118,14 +122,14 @@ def paragraphs(data: np.ndarray, bounds: np.ndarray, s: Settings) -> Found:
     grams = ngrams(words, s.n)
     runs = starts(grams, owner, base, s)
     a, b = lines(data, firsts, ends, s) if len(words) else (runs, runs)
-    few = np.flatnonzero((np.diff(base) > 0) & (np.diff(base) <= s.sure))  # of one line, it is that line
+    few = np.flatnonzero((np.diff(base) > 0) & (np.diff(base) <= s.sure))
     at, ends = np.concatenate((runs, a, base[few])), np.concatenate((runs + s.size, b, base[few + 1]))
     whole = np.repeat([False, True], [len(runs), len(a) + len(few)])
     names = span_hashes(words, at, ends) if len(at) else np.zeros(0, dtype=U)
     short = ends - at < s.n
     first = np.where(short, len(grams) + np.cumsum(short) - 1, at)
     own = owner[at] if len(at) else at
-    return Found(own, at - base[own], ends - base[own], names, whole, np.concatenate((grams, names[short])), first, np.where(short, 1, ends - at - s.n + 1))
+    return Found(own, at - base[own], ends - base[own], names, whole, words, base, np.concatenate((grams, names[short])), first, np.where(short, 1, ends - at - s.n + 1))
 
 
 def shingles(found: Found, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +278,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.min("at").alias("at"), F.max("end").alias("end"), F.min_by("like.at", F.struct("at", "end", "cls")).alias("l_at"), F.max_by("like.end", F.struct("end", "at", "cls")).alias("r_at"),
         F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"),
     )
-    wide = _widened(cut(near), named.select("doc_id", text_or_empty().alias("text")), s)
+    wide = _widened(cut(near), named.select("doc_id", ended().alias("text")), s)
     runs = _runs(wide, ("doc_id",)).agg(F.min("at").alias("first_word"), F.max("end").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
     return runs.drop("run")
 
@@ -310,27 +314,37 @@ def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
 def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, at, end, kept, root, places): the runs with the words before and after that agree with the kept text.
 
-    A longer stretch of equal words holds a paragraph of its own, so `window + size - 2` words on either side do.
+    A longer stretch of equal words holds a paragraph of its own, so `window + size - 2` words on either side do.  They
+    are read where a sieve of the places says so, so no text is shuffled; a word is compared by 16 bits.
     """
     reach = s.window + s.size - 2
+    asked = [runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(side).alias("side")) for doc, place, side in (("doc_id", "at", 0), ("kept", "l_at", 0), ("doc_id", "end", 1), ("kept", "r_at", 1))]
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, sides, near = [], [], [], []
-            for k, data in enumerate(texts(batch.column(1))):
-                words = (word_hashes(data) >> U(32)).astype(np.uint32).view(np.int32)
-                for x in batch.column(2)[k].as_py():
-                    at, side = x["place"], x["side"]
-                    docs.append(k)
-                    places.append(at)
-                    sides.append(side)
-                    near.append(words[at : at + reach] if side else words[max(0, at - reach) : at][::-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), pa.array(sides, pa.int32()), list_array(near, pa.int32())], names=["doc_id", "place", "side", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(_spot(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))))], names=["key"])
 
-    asked = [runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(side).alias("side")) for doc, place, side in (("doc_id", "at", 0), ("kept", "l_at", 0), ("doc_id", "end", 1), ("kept", "r_at", 1))]
-    asked = reduce(DataFrame.unionByName, asked).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "side")).alias("asked"))
-    words = named.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(around, "doc_id long, place long, side int, words array<int>")
-    words = cut(words.groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
+    keys = cut(reduce(DataFrame.unionByName, asked).mapInArrow(keyed, "key long").distinct())
+    sieve = named.sparkSession.sparkContext.broadcast(marked(keys, "key"))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, data, bounds in chunks(batch.column(1)):
+                found = paragraphs(data, bounds, s)
+                words = (found.words >> U(48)).astype(np.uint16).view(np.int16)
+                rows = []
+                for side, places in ((0, found.at), (1, found.ends)):
+                    at = np.unique(np.stack((found.owner, places), axis=1), axis=0)
+                    hit = is_marked(sieve.value, _spot(ids[at[:, 0] + first], at[:, 1], np.full(len(at), side)))
+                    for k, place in at[hit].tolist():
+                        a, b = found.base[k], found.base[k + 1]
+                        rows.append((k + first, place, side, words[a + place : min(b, a + place + reach)] if side else words[max(a, a + place - reach) : a + place][::-1]))
+                docs, places, sides, near = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["doc_id", "place", "side", "words"])
+
+    # Rows that share a doc_id: any one of its texts at a place.
+    words = cut(named.mapInArrow(around, "doc_id long, place long, side int, words array<smallint>").groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
     for side, place, other in ((0, "at", "l_at"), (1, "end", "r_at")):
         one = words.where(F.col("side") == side)
         for doc, at, name in (("doc_id", place, "own"), ("kept", other, "others")):
@@ -338,3 +352,8 @@ def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
         differ = F.array_position(F.zip_with("own", "others", lambda x, y: x.eqNullSafe(y)), False)
         runs = runs.withColumn(f"more_{side}", F.when(differ > 0, differ - 1).otherwise(F.size("own"))).drop("own", "others")
     return runs.select("doc_id", (F.col("at") - F.col("more_0")).alias("at"), (F.col("end") + F.col("more_1")).alias("end"), "kept", "root", "places")
+
+
+def _spot(ids: np.ndarray, places: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """One number for a document, a place and a side."""
+    return mix(mix(ids.astype(np.int64).view(U)) + (places * 2 + sides).astype(U))
