@@ -2,11 +2,13 @@
 
 A text is cut into sentences, each normalised sentence is looked up among known licence sentences, and the sequence
 of the identifiers found is matched against ordered rules: a rule that matches takes its identifiers out of the
-sequence, so later rules see only what is left.
+sequence, so later rules see only what is left.  Lines that a paragraph was wrapped into are joined first, without the
+marks of comments before them; as a notice may also be a line without a full stop, single lines are looked up too.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +24,12 @@ class Rule(NamedTuple):
 
 #: Sentences of public licence texts and notices.
 SENTENCES = {
-    "apache2_line": "Licensed under the Apache License, Version 2.0.",
-    "apache2_grant": 'Licensed under the Apache License, Version 2.0 (the "License")',
+    "apache2_grant": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache2_use": "you may not use this file except in compliance with the License.",
-    "apache2_copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "mit_line": "Released under the MIT License.",
-    "mit_line_2": "Licensed under the MIT License.",
+    "apache2_copy": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
+    "apache2_copy_line": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "mit_grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "gpl3_line": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl2_line": "This work is licensed under the GNU General Public License, version 2.",
     "gpl_free": "This program is free software:",
     "gpl_free_2": "This program is free software;",
     "gpl3_terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -41,76 +39,150 @@ SENTENCES = {
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "lgpl3_terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21_library": "This library is free software;",
+    "lgpl21_terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",
+    "lgpl21_either": "either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3_terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "epl2_terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "unlicense_free": "This is free and unencumbered software released into the public domain.",
+    "unlicense_anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "wtfpl_terms": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "mit0_grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
     "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl2_form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc_by_nc_line": "Licensed under CC BY-NC 4.0.",
-    "cc_by_line": "Licensed under CC BY 4.0.",
-    "cc_by_sa_line": "Licensed under CC BY-SA 4.0.",
-    "cc0_line": "Released under CC0 1.0.",
     "public_domain": "This work is released into the public domain.",
 }
 
+#: Names that notices give to licences, and the identifiers that mark them.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"),
+    "MIT": ("MIT License", "MIT license"),
+    "GPL-3.0-only": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"),
+    "GPL-2.0-only": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "AGPL-3.0-only": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "ISC": ("ISC License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Zlib": ("zlib License",),
+    "Unlicense": ("Unlicense",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+}
+#: What stands before the name in a notice, in normalised words; all that counts of it is "under".
+FORM = "^(?:(?:this|the) (?:work|project|software|program|library|file|code|document|material) is )?(?:licensed|released|distributed|published|available|provided) under (?:the |a )?"
+SPDX = "SPDX-License-Identifier:"
+
+
+def _notices() -> dict[str, tuple[str, ...]]:
+    """The known sentences, the notices of each name, and the identifiers of a marked line."""
+    lines = {f"line_{k}": tuple(f"Licensed under {name}" for name in names) for k, names in NAMES.items()}
+    return {**{k: (s,) for k, s in SENTENCES.items()}, **lines, "spdx": (SPDX,), **{f"id_{k}": (k,) for k in NAMES}}
+
+
 #: In the order in which they are tried: a longer rule stands before a rule that is a part of it.
 RULES = (
     Rule("Apache-2.0", ("apache2_grant", "apache2_use", "apache2_copy")),
+    Rule("Apache-2.0", ("apache2_grant", "apache2_use", "apache2_copy_line")),
     Rule("Apache-2.0", ("apache2_grant", "apache2_use")),
     Rule("MIT", ("mit_grant", "mit_notice")),
+    Rule("MIT-0", ("mit0_grant",)),
+    Rule("AGPL-3.0-or-later", ("gpl_free", "agpl3_terms")),
+    Rule("LGPL-3.0-or-later", ("gpl_free", "lgpl3_terms")),
+    Rule("LGPL-2.1-or-later", ("lgpl21_library", "lgpl21_terms", "lgpl21_either")),
     Rule("GPL-3.0-or-later", ("gpl_free", "gpl3_terms")),
     Rule("GPL-2.0-or-later", ("gpl_free_2", "gpl2_terms", "gpl2_either")),
     Rule("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names")),
     Rule("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    Rule("Unlicense", ("unlicense_free", "unlicense_anyone")),
+    Rule("Unlicense", ("unlicense_free",)),
     Rule("ISC", ("isc_grant",)),
     Rule("MPL-2.0", ("mpl2_form",)),
-    Rule("Apache-2.0", ("apache2_line",)),
-    Rule("MIT", ("mit_line",)),
-    Rule("MIT", ("mit_line_2",)),
-    Rule("GPL-3.0-only", ("gpl3_line",)),
-    Rule("GPL-2.0-only", ("gpl2_line",)),
-    Rule("CC-BY-NC-4.0", ("cc_by_nc_line",)),
-    Rule("CC-BY-SA-4.0", ("cc_by_sa_line",)),
-    Rule("CC-BY-4.0", ("cc_by_line",)),
-    Rule("CC0-1.0", ("cc0_line",)),
+    Rule("EPL-2.0", ("epl2_terms",)),
+    Rule("Zlib", ("zlib_grant",)),
+    Rule("WTFPL", ("wtfpl_terms",)),
+    *(Rule(k, ("spdx", f"id_{k}")) for k in NAMES),
+    *(Rule(k, (f"line_{k}",)) for k in NAMES),
     Rule("public-domain", ("public_domain",)),
 )
 
-_BREAK, _OTHER = r"([.!?;:])[ \t\r]+", "[^a-z0-9]+"
+#: Marks at the head of a line, ends of paragraphs, ends of sentences; what is not of a word.  Both engines read them alike.
+_HEAD, _GAP, _BREAK, _OTHER = "\n[^a-zA-Z0-9\n]+", "\n\n+", r"([.!?;:])[ \t\r]+", "[^a-z0-9]+"
+_CUT = "\x1e"
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower case, with every run of other than letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
+    """Lower case, with every run of other than letters and digits as one blank, and a notice's head as "under"."""
+    words = F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
+    return F.when(words.contains(" under "), F.regexp_replace(words, FORM, "under ")).otherwise(words)
+
 
+def bare(text: Column) -> Column:
+    """The text with a line end before it, and no marks at the head of its lines."""
+    return F.regexp_replace(F.concat(F.lit("\n"), text), _HEAD, "\n")
 
-def sentences(text: Column) -> Column:
-    """A text's sentences: it is cut at line ends and at blanks after a mark that ends a sentence or clause."""
-    return F.split(F.regexp_replace(text, _BREAK, "$1\n"), "\n")
+
+def sentences(lines: Column, joined: bool) -> Column:
+    """The sentences of a bare text: cut at empty lines (joined) or at every line end, and at blanks after a mark."""
+    if joined:
+        lines = F.replace(F.regexp_replace(lines, _GAP, _CUT), F.lit("\n"), F.lit(" "))
+    else:
+        lines = F.replace(lines, F.lit("\n"), F.lit(_CUT))
+    return F.filter(F.transform(F.split(F.regexp_replace(lines, _BREAK, f"$1{_CUT}"), _CUT), normalised), lambda s: F.length(s) > 0)
 
 
 def _plain(sentence: str) -> str:
-    import re
+    return re.sub(FORM, "under ", re.sub(_OTHER, " ", sentence.lower()).strip())
+
 
-    return re.sub(_OTHER, " ", sentence.lower()).strip()
+class Catalogue(NamedTuple):
+    names: dict[str, str]  # by normalised sentence
+    patterns: list[tuple[str, str]]  # licence and the identifiers of its rule, wrapped in commas
 
 
-def _pattern(rule: Rule) -> str:
-    return "".join(f",{s}," for s in rule.sentences)
+def catalogue(known: dict[str, tuple[str, ...]] | None = None, rules: tuple[Rule, ...] = RULES) -> Catalogue:
+    """The known sentences, cut as texts are: one that falls into several parts has an identifier for each."""
+    names, parts = {}, {}
+    for name, variants in (known or _notices()).items():
+        for variant in variants:
+            cut = [p for p in map(_plain, re.sub(_BREAK, rf"\1{_CUT}", re.sub(_GAP, _CUT, variant).replace("\n", " ")).split(_CUT)) if p]
+            ids = [f"{name}.{i + 1}" if len(cut) > 1 else name for i in range(len(cut))]
+            if parts.setdefault(name, ids) != ids:
+                raise ValueError(f"the variants of {name} fall into unlike parts")
+            for part, i in zip(cut, ids, strict=True):
+                if names.setdefault(part, i) != i:  # the same part of another sentence
+                    parts[name] = [names[part] if x == i else x for x in parts[name]]
+    return Catalogue(names, [(r.licence, "".join(f",{i}," for s in r.sentences for i in parts[s])) for r in rules])
 
 
-def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, known: Catalogue | None = None) -> DataFrame:
     """Per row: doc_id, n_sentences, sentence_ids (known sentences in order) and licences (in order of the rules).
 
-    Both lists are comma-joined strings.  Unknown sentences between known ones do not break a sequence.  A null or
-    empty text has no sentence.  Nothing is shuffled; the known sentences and rules are constants of the plan.
+    Both lists are comma-joined strings: first the sentences of the joined lines, then those that only single lines
+    give.  Unknown sentences between known ones do not break a sequence.  A null or empty text has no sentence.  Nothing
+    is shuffled; the known sentences and rules are constants of the plan.
     """
-    for s in known.values():
-        if any(c in s for c in "\n"):
-            raise ValueError(f"a known sentence has a line end: {s}")
-    names = {_plain(s): k for k, s in known.items()}
+    names, patterns = known or catalogue()
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    kept = docs.select("doc_id", F.filter(sentences(text_or_empty()), lambda s: F.length(s) > 0).alias("s"))
-    ids = F.filter(F.transform("s", lambda s: table[normalised(s)]), lambda x: x.isNotNull())
-    kept = kept.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
-    listed = F.array(*[F.struct(F.lit(r.licence).alias("licence"), F.lit(_pattern(r)).alias("pattern")) for r in rules])
+    kept = docs.select("doc_id", bare(text_or_empty()).alias("bare"))
+    kept = kept.select("doc_id", sentences(F.col("bare"), True).alias("joined"), sentences(F.col("bare"), False).alias("single"))
+
+    def ids(some: str) -> Column:
+        return F.transform(F.filter(some, lambda s: s.isin(*names)), lambda s: table[s])
+
+    kept = kept.select("doc_id", F.size("joined").cast("long").alias("n_sentences"), ids("joined").alias("ids"), ids("single").alias("more"))
+    kept = kept.select("doc_id", "n_sentences", F.concat("ids", F.filter("more", lambda x: ~F.array_contains("ids", x))).alias("ids"))
+    listed = F.array(*[F.struct(F.lit(x).alias("licence"), F.lit(p).alias("pattern")) for x, p in patterns])
     start = F.struct(F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(",")))).alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:
@@ -121,21 +193,32 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: tuple[Rule,
     return kept.select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(found, ",").alias("licences"))
 
 
-def scan_sql(known: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] = RULES) -> str:
+def scan_sql(known: Catalogue | None = None) -> str:
     """The same in DuckDB's SQL."""
-    values = ", ".join(f"('{k}', '{_plain(s)}')" for k, s in known.items())
+    names, patterns = known or catalogue()
+    values = ", ".join(f"('{i}', '{s}')" for s, i in names.items())
+    cut, end = f"chr({ord(_CUT)})", "chr(10)"
+    bare_ = f"regexp_replace({end} || coalesce(text, ''), {end} || '[^a-zA-Z0-9' || {end} || ']+', {end}, 'g')"
+
+    def split(lines: str) -> str:
+        return f"list_filter(list_transform(string_split(regexp_replace({lines}, '([.!?;:])[ ' || chr(9) || chr(13) || ']+', '\\1' || {cut}, 'g'), {cut}), lambda x: regexp_replace(trim(regexp_replace(lower(x), '{_OTHER}', ' ', 'g')), '{FORM}', 'under ')), lambda x: length(x) > 0)"
+
+    joined = split(f"replace(regexp_replace(bare, {end} || {end} || '+', {cut}, 'g'), {end}, ' ')")
+    single = split(f"replace(bare, {end}, {cut})")
     steps, left = [], "left_0"
-    for k, r in enumerate(rules):
-        steps.append(f"step_{k + 1} AS (SELECT *, CASE WHEN contains({left}, '{_pattern(r)}') THEN list_append(found_{k}, '{r.licence}') ELSE found_{k} END AS found_{k + 1}, replace({left}, '{_pattern(r)}', ';{r.licence};') AS left_{k + 1} FROM step_{k})")
+    for k, (licence, pattern) in enumerate(patterns):
+        steps.append(f"step_{k + 1} AS (SELECT r, CASE WHEN contains({left}, '{pattern}') THEN list_append(found_{k}, '{licence}') ELSE found_{k} END AS found_{k + 1}, replace({left}, '{pattern}', ';{licence};') AS left_{k + 1} FROM step_{k})")
         left = f"left_{k + 1}"
-    last = len(rules)
-    first = f"(SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(found_{last}) AS x, generate_subscripts(found_{last}, 1) AS i) GROUP BY x))"
+    last = len(patterns)
     return f"""
 WITH known(name, plain) AS (VALUES {values}),
-rows AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: length(s) > 0) AS s FROM documents),
-each AS (SELECT r, unnest(s) AS one, generate_subscripts(s, 1) AS i FROM rows),
-hits AS (SELECT e.r, string_agg(k.name, ',' ORDER BY e.i) AS ids, string_agg(',' || k.name || ',', '' ORDER BY e.i) AS wrapped
-         FROM each e JOIN known k ON trim(regexp_replace(lower(e.one), '[^a-z0-9]+', ' ', 'g')) = k.plain GROUP BY e.r),
-step_0 AS (SELECT rows.doc_id, len(rows.s) AS n_sentences, coalesce(h.ids, '') AS sentence_ids, coalesce(h.wrapped, '') AS left_0, []::VARCHAR[] AS found_0 FROM rows LEFT JOIN hits h ON rows.r = h.r),
-{', '.join(steps)}
-SELECT doc_id, n_sentences, sentence_ids, coalesce({first}, '') AS licences FROM step_{last}"""
+rows AS (SELECT row_number() OVER () AS r, doc_id, {bare_} AS bare FROM documents),
+cuts AS (SELECT r, doc_id, {joined} AS joined, {single} AS single FROM rows),
+each AS (SELECT r, 0 AS way, unnest(joined) AS one, generate_subscripts(joined, 1) AS i FROM cuts UNION ALL SELECT r, 1, unnest(single), generate_subscripts(single, 1) FROM cuts),
+named AS (SELECT e.r, e.way, e.i, k.name FROM each e JOIN known k ON e.one = k.plain),
+ids AS (SELECT * FROM named WHERE way = 0 UNION ALL SELECT n.* FROM named n WHERE n.way = 1 AND NOT EXISTS (SELECT 1 FROM named m WHERE m.way = 0 AND m.r = n.r AND m.name = n.name)),
+hits AS (SELECT r, string_agg(name, ',' ORDER BY way, i) AS ids, string_agg(',' || name || ',', '' ORDER BY way, i) AS left_0 FROM ids GROUP BY r),
+step_0 AS (SELECT r, left_0, []::VARCHAR[] AS found_0 FROM hits),
+{', '.join(steps)},
+found AS (SELECT r, string_agg(x, ',' ORDER BY i) AS licences FROM (SELECT r, x, min(i) AS i FROM (SELECT r, unnest(found_{last}) AS x, generate_subscripts(found_{last}, 1) AS i FROM step_{last}) GROUP BY r, x) GROUP BY r)
+SELECT c.doc_id, len(c.joined) AS n_sentences, coalesce(h.ids, '') AS sentence_ids, coalesce(f.licences, '') AS licences FROM cuts c LEFT JOIN hits h ON c.r = h.r LEFT JOIN found f ON c.r = f.r"""

@@ -508,19 +508,38 @@ def test_no_byte_of_a_private_key_stays(spark):
         assert r.text.startswith("before") and "after" in r.text and (r.doc_id != 5 or "text" in r.text)
 
 
-def test_licence_rules(spark):
-    s = licenses.SENTENCES
-    texts = ["no licence. " + s["mit_line"], s["bsd_grant"] + "\n" + s["bsd_source"] + " " + s["bsd_binary"] + "\nother words.\n" + s["bsd_names"], s["bsd_grant"] + "\n" + s["bsd_source"] + "\n" + s["bsd_binary"], s["mit_notice"], "LICENSED UNDER THE APACHE LICENSE , version 2.0"]
-    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
-    got = {r.doc_id: r.licences for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {0: "MIT", 1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: "", 4: "Apache-2.0"}
-
-
-def test_padded_licence_sentences_count(spark):
-    longest = max(map(len, licenses.SENTENCES.values()))
-    padded = ["  ".join(licenses.SENTENCES["mit_line"].split(" ")) + "/" * 3 * longest, "#" * 3 * longest + licenses.SENTENCES["cc0_line"]]
-    got = licenses.scan(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(padded)], SCHEMA)).collect()
-    assert {r.doc_id: r.licences for r in got} == {0: "MIT", 1: "CC0-1.0"}
+def wrapped(text: str, width: int, head: str) -> str:
+    import textwrap
+
+    return "\n".join(head + line for part in text.split("\n\n") for line in [*textwrap.wrap(part, width, break_long_words=False, break_on_hyphens=False), ""])
+
+
+def test_licence_rules_on_wrapped_texts_and_against_sql(spark, tmp_path):
+    import duckdb
+
+    s, rng = licenses.SENTENCES, random.Random(51)
+    texts, want = [], []
+    for rule in licenses.RULES:
+        notices = licenses._notices()
+        if not all(x in s for x in rule.sentences):
+            continue
+        whole = " ".join(notices[x][0] for x in rule.sentences)
+        for head in ("", " * ", "# ", "// ", ";; "):
+            texts.append(f"{head}{prose(rng, 5)}.\n{head}\n{wrapped(whole, rng.choice((40, 60, 78)), head)}\n{prose(rng, 9)}")
+            want.append(rule.licence)
+    for k, names in licenses.NAMES.items():
+        texts += [f"{prose(rng, 7)}\nReleased under the {names[0]}\n{prose(rng, 4)}", f"x.\n/* SPDX-License-Identifier: {k} */\ny"]
+        want += [k, k]
+    longest = max(map(len, s.values()))
+    texts += [f"Released under the MIT License{' ' * 1200}.", "-" * 3 * longest + s["public_domain"], s["mit_notice"], "LICENSED UNDER THE APACHE LICENSE , version 2.0", "", None, s["bsd_grant"] + "\n" + s["bsd_source"] + " " + s["bsd_binary"] + "\nother words.\n" + s["bsd_names"]]
+    want += ["MIT", "public-domain", "", "Apache-2.0", "", "", "BSD-3-Clause"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(docs).collect())
+    assert [r[3] for r in got] == want
+    docs.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.execute(licenses.scan_sql()).fetchall()) == got
 
 
 def test_tokens_equal_the_tokenizer():
