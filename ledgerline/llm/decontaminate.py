@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.arrays import ngrams, texts, word_hashes
-from ledgerline.llm.common import text_or_empty
+from ledgerline.llm.common import cut, text_or_empty
 
 K1, B = 1.2, 0.75
 FOUND = "item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
@@ -59,32 +59,48 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
 
-def build(rows: list[tuple[int, str]], n: int = 5, block: int = 32, ranges: int = 64, piece: int = 64) -> Index:
+class Corpus(NamedTuple):
+    """What BM25 needs to know of all entries: their number, their mean length, and how many have each of some terms."""
+
+    entries: int
+    usual: float
+    terms: np.ndarray  # sorted word hashes
+    often: np.ndarray
+
+
+def bags(text: str, piece: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct words of each entry of an item and their counts: its even pieces of at most `piece` words."""
+    words = word_hashes(_bytes(text))
+    return [np.unique(some, return_counts=True) for some in np.array_split(words, -(-len(words) // piece))] if len(words) else []
+
+
+def build(rows: list[tuple[int, str]], n: int = 5, block: int = 32, ranges: int = 64, piece: int = 64, corpus: Corpus | None = None) -> Index:
     """The index of items given as (item_id, text); items without words are left out.
 
+    Unless told what all entries are like, these items are all there are.
+
     An item of over `piece` words has an entry for each of its even pieces of at most that many, so that any one lies
     within a passage.  The entries are also cut into a fixed number of ranges, so that all bounds of a text come from one array operation.
     """
-    known, bags, lengths = [], [], []
+    known, own_bags = [], []
     for place, (name, text) in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
         words = word_hashes(_bytes(text))
         if len(words):
             question, answer = (word_hashes(_bytes(t)) for t in parts(text))
             sizes = tuple(min(n, max(1, len(x))) for x in (question, answer))
             item = Item(name, *(np.unique(ngrams(x, size)) for x, size in zip((question, answer), sizes, strict=True)), len(words), sizes, place)
-            for some in np.array_split(words, -(-len(words) // piece)):
+            for bag in bags(text, piece):
                 known.append(item)
-                bags.append(np.unique(some, return_counts=True))
-                lengths.append(len(some))
-    terms = np.unique(np.concatenate([b[0] for b in bags])) if bags else np.zeros(0, dtype=np.uint64)
-    often = np.zeros(len(terms))
-    for b in bags:
-        often[np.searchsorted(terms, b[0])] += 1
-    idf = np.log(1 + (len(bags) - often + 0.5) / (often + 0.5))
-    usual = sum(lengths) / max(1, len(lengths))
+                own_bags.append(bag)
+    terms, often = np.unique(np.concatenate([b[0] for b in own_bags]), return_counts=True) if own_bags else (np.zeros(0, dtype=np.uint64), np.zeros(0))
+    lengths = [int(b[1].sum()) for b in own_bags]
+    entries, usual = len(own_bags), sum(lengths) / max(1, len(lengths))
+    if corpus is not None:
+        entries, usual, often = corpus.entries, corpus.usual, corpus.often[np.searchsorted(corpus.terms, terms)]
+    idf = np.log(1 + (entries - often + 0.5) / (often + 0.5))
     items: list[list[int]] = [[] for _ in terms]
     impacts: list[list[float]] = [[] for _ in terms]
-    for i, (words, counts) in enumerate(bags):
+    for i, (words, counts) in enumerate(own_bags):
         at = np.searchsorted(terms, words)
         value = idf[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[i] / usual))
         for t, v in zip(at.tolist(), (value / value.sum()).tolist(), strict=True):
@@ -195,18 +211,47 @@ def search(data: np.ndarray, index: Index, s: Settings = Settings()) -> list[tup
 
 
 def _indexes(items: DataFrame, settings: Settings, items_at_once: int) -> Iterator[object]:
-    """Broadcast indexes of the items, at most about items_at_once in each, so that what is sent is bounded."""
+    """Broadcast indexes of the items, at most about items_at_once in each, so that what is sent is bounded.
+
+    Terms are weighed by how many of all items' entries have them, so an item scores alike whatever it shares an index with.
+    """
     named = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     shares = max(1, math.ceil(named.count() / items_at_once))
+    dealt = named.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)).cast("int"))
+    piece = max(1, settings.size - settings.step)
+    spark = items.sparkSession
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for share, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for words, counts in bags(text, piece):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), share, dtype=np.int32)), pa.array(words.view(np.int64)), pa.array(counts)], names=["share", "term", "times"])
+
+    if shares > 1:
+        seen = cut(dealt.select("share", "text").mapInArrow(terms, "share int, term long, times long").groupBy("share", "term").agg(F.count("*").alias("entries")))
+        often = cut(seen.join(seen.groupBy("term").agg(F.sum("entries").alias("often")), "term").select("share", "term", "often"))
+        sizes = dealt.select("share", "text").mapInArrow(lambda batches: _sizes(batches, piece), "entries long, words long").agg(F.sum("entries"), F.sum("words")).first()
     for share in range(shares):
-        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share).collect()
-        yield items.sparkSession.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n, piece=max(1, settings.size - settings.step)))
+        corpus = None
+        if shares > 1:
+            own = often.where(F.col("share") == share).toArrow()
+            known = own.column("term").to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            corpus = Corpus(sizes[0] or 0, (sizes[1] or 0) / max(1, sizes[0] or 0), known[order], own.column("often").to_numpy()[order])
+        rows = dealt.where(F.col("share") == share).select("item_id", "text").collect()
+        yield spark.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], settings.n, piece=piece, corpus=corpus))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [bag for text in batch.column(1).to_pylist() for bag in bags(text, piece)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([int(sum(c.sum() for _, c in found))], pa.int64())], names=["entries", "words"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), items_at_once: int = 20_000) -> DataFrame:
     """One row per row of docs and confirmed item: doc_id, item_id, score, overlaps, first_word, last_word.
 
-    With more than items_at_once items the documents are read once per share of them.  Null and wordless texts and
+    With more than items_at_once items the documents are read once per share of them, with the same result.  Null and wordless texts and
     items match nothing; equal items each match.
     """
     kept = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
