@@ -181,17 +181,20 @@ def _across(rows: DataFrame, threshold: int, fields: tuple[str, ...] = FIELDS, e
     return me.withColumnRenamed("h", "_h").join(other, (F.col("_h") == F.col("h")) & apart).select(*_pair("me", "with"))
 
 
-def neighbours(every: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+ORDER = ("pos", "n", "cls")
+
+
+def neighbours(every: DataFrame, fields: tuple[str, ...] = FIELDS, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows (h, salt, cls, n, pos) that share their key h, each with the previous and the first of its (h, salt)."""
     row = F.struct(*fields)
-    group = W.partitionBy("h", "salt").orderBy("pos", "n", "cls")
+    group = W.partitionBy("h", "salt").orderBy(*order)
     near = every.withColumns({"before": F.lag(row).over(group), "first": F.first(row).over(group), "next": F.lead("cls").over(group)})
     # Of a key that only one class has nothing is kept; one in a salted share may have others elsewhere.
     return near.withColumn("me", row).where("before is not null or next is not null or salt >= 0").select("h", "salt", "me", "before", "first")
 
 
-def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None, rows: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None) -> DataFrame:
-    """(node, root) of all classes that link with another, from the rows of neighbours.
+def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None, rows: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """(node, root) of all classes that link with another, from the rows of neighbours, which are in the same order.
 
     rows are those of near by themselves, where there is a table of them.  extra is one more filter on two rows.
 
@@ -204,7 +207,7 @@ def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold:
     row = F.struct(*fields)
     filters = _may_link("me", "with", threshold) & (extra("me", "with") if extra else F.lit(True))
     heads = near.where("before is null and salt >= 0").select("h", "me.*")
-    over = W.partitionBy("h").orderBy("pos", "n", "cls")
+    over = W.partitionBy("h").orderBy(*order)
     heads = heads.withColumns({"me": row, "before": F.lag(row).over(over), "first": F.first(row).over(over)})
     star = near.select("me", "before", "first").unionByName(heads.select("me", "before", "first"))
     pairs = star.select("me", F.explode(F.array("before", "first")).alias("with")).where("with.cls <> me.cls").where(filters).select(*_pair("me", "with"))

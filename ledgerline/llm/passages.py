@@ -176,7 +176,7 @@ def may_reach(threshold: int) -> Callable[[str, str], Column]:
 
 
 def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
-    """(h, cls, low, high): for each key the distinct paragraphs, and the least and largest text that has each.
+    """(h, cls, low, high, times): for each key the distinct paragraphs, the least and largest text that has each, and how many have it.
 
     Every paragraph has its name as a key, made odd; lines and whole texts have those of the bands too, which are even.
     A text goes by its task's partition and its place among the task's texts, so that equal texts stay several.  What
@@ -186,7 +186,7 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = TaskContext.get().partitionId() << 40
         for batch in batches:
-            names, owners, bands, keys = [], [], [], []
+            names, owners, times, bands, keys = [], [], [], [], []
             for at, data, bounds in chunks(batch.column(0)):
                 found = paragraphs(data, bounds, s)
                 if not len(found.names):
@@ -195,6 +195,7 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
                 own, who, new = found.names[order], found.owner[order], _firsts(found.names[order])
                 last = np.append(new[1:], len(own)) - 1
                 names.append(own[new])
+                times.append(np.add.reduceat(np.concatenate(([True], (own[1:] != own[:-1]) | (who[1:] != who[:-1]))).astype(np.int64), new))
                 owners.append(np.stack((who[new], who[last]), axis=1) + (text + at))
                 lines_ = np.flatnonzero(np.maximum.reduceat(found.whole[order], new))  # a chunk's equal ones are banded once
                 bands.append(own[new][lines_])
@@ -202,16 +203,17 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
             text += len(batch)
             if not names:
                 continue
-            every, owner = np.concatenate(names), np.concatenate(owners)
+            every, owner, often = np.concatenate(names), np.concatenate(owners), np.concatenate(times)
             order = np.argsort(every, kind="stable")
             first = _firsts(every[order])
             every, low, high = every[order[first]], np.minimum.reduceat(owner[order, 0], first), np.maximum.reduceat(owner[order, 1], first)
+            often = np.add.reduceat(often[order], first)
             banded, one = np.unique(np.concatenate(bands), return_index=True)
             wide, at = np.concatenate(keys)[one], np.searchsorted(every, banded)
             for h, some in ((every | U(1), slice(None)), *((wide[:, band], at) for band in range(s.bands))):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(h))), pa.array(signed(every[some])), pa.array(low[some]), pa.array(high[some])], names=["h", "cls", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(h))), pa.array(signed(every[some])), pa.array(low[some]), pa.array(high[some]), pa.array(often[some])], names=["h", "cls", "low", "high", "times"])
 
-    return texts_of.mapInArrow(rows, "h long, cls long, low long, high long")
+    return texts_of.mapInArrow(rows, "h long, cls long, low long, high long, times long")
 
 
 def _firsts(ordered: np.ndarray) -> np.ndarray:
@@ -219,11 +221,11 @@ def _firsts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
 
 
-FIELDS = ("cls", "n", "pos", *_WORDS)
+FIELDS, ORDER = ("cls", "n", "pos", "rare", *_WORDS), ("rare", "n", "cls")
 
 
 def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
-    """(cls, n, items, b0..b3): the n-grams of the lines and whole texts whose names are needed."""
+    """(cls, n, items, b0..b3): the n-grams, by 32 bits, of the lines and whole texts whose names are needed."""
     sieve = texts_of.sparkSession.sparkContext.broadcast(marked(needed, "cls"))
 
     def with_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +236,10 @@ def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
                 own, at = np.unique(found.names[some], return_index=True)
                 items = [np.unique(found.grams[a : a + n]) for a, n in zip(found.first[some[at]].tolist(), found.sizes[some[at]].tolist(), strict=True)]
                 bits = bitmaps(items)
-                columns = [pa.array(signed(own)), pa.array([len(x) for x in items], pa.int64()), list_array([signed(x) for x in items], pa.int64()), *[pa.array(signed(np.ascontiguousarray(bits[:, k]))) for k in range(4)]]
+                columns = [pa.array(signed(own)), pa.array([len(x) for x in items], pa.int64()), list_array([np.unique((x >> U(32)).astype(np.uint32)).view(np.int32) for x in items], pa.int32()), *[pa.array(signed(np.ascontiguousarray(bits[:, k]))) for k in range(4)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["cls", "n", "items", *_WORDS])
 
-    kind = "cls long, n long, items array<long>, " + ", ".join(f"{w} long" for w in _WORDS)
+    kind = "cls long, n long, items array<int>, " + ", ".join(f"{w} long" for w in _WORDS)
     return texts_of.mapInArrow(with_items, kind).join(needed, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -254,15 +256,16 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Only keys of several texts are kept; most keys are those of one text, whose paragraphs overlap.
     whole = W.partitionBy("h")
     every = _banded(texts_of, s).repartition("h").withColumns({"_low": F.min("low").over(whole), "_high": F.max("high").over(whole), "several": F.min("cls").over(whole) != F.max("cls").over(whole)})
-    near = cut(every.where("_low <> _high and (several or h & 1 = 1)").select("h", "cls").distinct())
+    near = cut(every.where("_low <> _high and (several or h & 1 = 1)").groupBy("h", "cls").agg((-F.sum("times")).alias("rare")))
     like = near.where("h & 1 = 0")
     sets = cut(_sets(texts_of, cut(like.select("cls").distinct()), s))
-    shared = cut(like.join(sets.drop("items"), "cls").withColumns({"pos": F.lit(0), "salt": F.lit(-1)}))
+    # Of a key's paragraphs the one that most texts have comes first: edited copies are like it rather than one another.
+    shared = cut(like.join(sets.drop("items"), "cls")).withColumns({"pos": F.lit(0), "salt": F.lit(-1)})
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda needed: sets.select("cls", "items").join(needed, "cls", "left_semi"), s.threshold)
 
-    roots = connect(neighbours(shared, FIELDS), check, s.threshold, rows=shared, fields=FIELDS, extra=may_reach(s.threshold))
+    roots = connect(neighbours(shared, FIELDS, ORDER), check, s.threshold, rows=shared, fields=FIELDS, extra=may_reach(s.threshold), order=ORDER)
     exact = near.where("h & 1 = 1").select("cls").distinct().join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
     flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -274,12 +277,12 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     known = _sent(tops, classes.drop("last"), "root").select("cls", F.col("first.doc_id").alias("kept"), F.when(F.col("own.doc_id") == F.col("first.doc_id"), F.col("own")).otherwise(F.col("first")).alias("like"))
     rows = _sent(cut(known), hits).where("doc_id <> kept")
     # What one document keeps of another's words is widened first, then all that overlaps is one run.
-    near = _runs(rows, ("doc_id", "kept", "whole")).agg(
+    near = _runs(rows, ("doc_id", "kept")).agg(
         F.min("at").alias("at"), F.max("end").alias("end"), F.min_by("like.at", F.struct("at", "end", "cls")).alias("l_at"), F.max_by("like.end", F.struct("end", "at", "cls")).alias("r_at"),
         F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"),
     )
     wide = _widened(cut(near), named.select("doc_id", ended().alias("text")), s)
-    runs = _runs(wide, ("doc_id",)).agg(F.min("at").alias("first_word"), F.max("end").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
+    runs = _runs(wide, ("doc_id",)).agg(F.min("at").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
     return runs.drop("run")
 
 
@@ -289,7 +292,7 @@ def _sent(table: DataFrame, rows: DataFrame, key: str = "cls") -> DataFrame:
 
 
 def _placed(named: DataFrame, flagged: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, at, end, cls, whole) of the paragraphs whose names are flagged, and a few others."""
+    """(doc_id, at, end, cls) of the paragraphs whose names are flagged, and a few others."""
     sieve = named.sparkSession.sparkContext.broadcast(marked(flagged, "cls"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +300,10 @@ def _placed(named: DataFrame, flagged: DataFrame, s: Settings) -> DataFrame:
             for first, data, bounds in chunks(batch.column(1)):
                 found = paragraphs(data, bounds, s)
                 some = np.flatnonzero(is_marked(sieve.value, found.names))
-                columns = [found.at[some], found.ends[some], signed(found.names[some]), found.whole[some]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.owner[some] + first)), *map(pa.array, columns)], names=["doc_id", "at", "end", "cls", "whole"])
+                columns = [found.at[some].astype(np.int32), found.ends[some].astype(np.int32), signed(found.names[some])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.owner[some] + first)), *map(pa.array, columns)], names=["doc_id", "at", "end", "cls"])
 
-    return named.mapInArrow(placed, "doc_id long, at long, end long, cls long, whole boolean")
+    return named.mapInArrow(placed, "doc_id long, at int, end int, cls long")
 
 
 def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
@@ -341,10 +344,10 @@ def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
                         a, b = found.base[k], found.base[k + 1]
                         rows.append((k + first, place, side, words[a + place : min(b, a + place + reach)] if side else words[max(a, a + place - reach) : a + place][::-1]))
                 docs, places, sides, near = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int64()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["doc_id", "place", "side", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["doc_id", "place", "side", "words"])
 
     # Rows that share a doc_id: any one of its texts at a place.
-    words = cut(named.mapInArrow(around, "doc_id long, place long, side int, words array<smallint>").groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
+    words = cut(named.mapInArrow(around, "doc_id long, place int, side int, words array<smallint>").groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
     for side, place, other in ((0, "at", "l_at"), (1, "end", "r_at")):
         one = words.where(F.col("side") == side)
         for doc, at, name in (("doc_id", place, "own"), ("kept", other, "others")):
