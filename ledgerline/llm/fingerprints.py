@@ -3,7 +3,9 @@
 A sketch has three tables of q cells.  Every distinct paragraph digest is put into one cell of each table: the cell's
 count grows by one, its key and check take the exclusive or of the digest and of the digest's hash.  The difference of
 two sketches of one size holds only the paragraphs that the texts don't share; peeling takes out, round after round,
-the digests of cells that hold just one.  If cells are left over, larger sketches of both texts are made.
+the digests of cells that hold just one.  If cells are left over, larger sketches of both texts are made.  Texts of many
+paragraphs are compared part by part: the digests are dealt to groups by their first bits, so the work grows with their
+number and not with that of cells times paragraphs.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql.window import Window as W
 
 from ledgerline.llm.common import text_or_empty
 
-#: Cells of each table, from the sketch that is the fingerprint to the largest that is tried.
-SIZES = (8, 32, 128, 512, 2048, 8192)
+#: Cells of each table, from the sketch that is the fingerprint to the largest that is tried for a group of digests.
+SIZES = (8, 32, 128)
 ROUNDS = 30
+#: Digests of a group, about, and the most bits that tell groups apart.
+GROUP, GROUP_BITS = 8, 40
 
 
 def paragraphs(text: Column) -> Column:
@@ -104,8 +108,8 @@ def _taken(table: Column, placed: Column) -> Column:
     return _let(placed, lambda own: F.transform(table, lambda x, i: _fold(x, own, i, -1)))
 
 
-def difference(one: Column, other: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """The number of digests that just one of two arrays has, by sketches of rising size.
+def _tried(one: Column, other: Column, sizes: tuple[int, ...]) -> Column:
+    """The number of digests that just one of two short arrays has, by sketches of rising size.
 
     A size is passed over if the arrays' lengths alone differ by more than it can hold.  Should even the largest leave
     cells over, the arrays are compared themselves.
@@ -118,6 +122,31 @@ def difference(one: Column, other: Column, sizes: tuple[int, ...] = SIZES) -> Co
     return F.coalesce(*tries, exact)
 
 
+def groups(one: Column, other: Column) -> Column:
+    """Structs (one, other) of the digests of two sorted arrays that have the same first bits, about GROUP in each."""
+    bits = F.least(F.greatest(F.ceil(F.log2(F.greatest(F.size(one), F.size(other), F.lit(1)) / F.lit(float(GROUP)))), F.lit(0)), F.lit(GROUP_BITS)).cast("int")
+    tagged = F.array_sort(F.concat(F.transform(one, lambda x: F.struct(x.alias("k"), F.lit(1).alias("c"))), F.transform(other, lambda x: F.struct(x.alias("k"), F.lit(-1).alias("c")))))
+
+    def own(part: Column, sign: int) -> Column:
+        return F.transform(F.filter(part, lambda x: x["c"] == sign), lambda x: x["k"])
+
+    def divided(all_: Column) -> Column:
+        """Sorted digests of one group stand together, so a group is a slice from where the first bits change."""
+        return _let(F.transform(all_["t"], lambda x: F.call_function("shiftrightunsigned", x["k"], all_["s"])), lambda g: _let(
+            F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: (i == 1) | (F.get(g, i - 1) != F.get(g, i - 2))),
+            lambda at: F.transform(at, lambda start, k: F.slice(all_["t"], start, F.coalesce(F.get(at, k + 1), F.size(g) + 1) - start)),
+        ))
+
+    parts = F.when(F.size(tagged) == 0, F.array().cast("array<array<struct<k:bigint,c:int>>>")).otherwise(F.when(bits == 0, F.array(tagged)).otherwise(_let(F.struct(tagged.alias("t"), (F.lit(64) - bits).alias("s")), divided)))
+    return F.transform(parts, lambda x: F.struct(own(x, 1).alias("one"), own(x, -1).alias("other")))
+
+
+def difference(one: Column, other: Column, sizes: tuple[int, ...] = SIZES) -> Column:
+    """The number of digests that just one of two sorted arrays has, group by group."""
+    many = F.aggregate(groups(one, other), F.lit(0), lambda total, g: total + _tried(g["one"], g["other"], sizes))
+    return F.when((F.size(one) <= GROUP) & (F.size(other) <= GROUP), _tried(one, other, sizes)).otherwise(many)
+
+
 def likeness(one: Column, other: Column, sizes: tuple[int, ...] = SIZES) -> Column:
     """Shared paragraphs as a share of all of two arrays of digests; 1 if both are empty."""
     n = F.size(one) + F.size(other)
@@ -125,35 +154,43 @@ def likeness(one: Column, other: Column, sizes: tuple[int, ...] = SIZES) -> Colu
 
 
 def fingerprint(found: Column, q: int = SIZES[0]) -> Column:
-    """The number of digests and the cells of the smallest sketch, as text."""
+    """The number of digests and the cells (count, key, check) of the smallest sketch, as text: enough to subtract and peel."""
     cells = F.concat(*sketch(found, q))
-    return F.concat_ws(";", F.size(found).cast("string"), F.transform(cells, lambda x: F.concat_ws(":", F.hex(x["c"]), F.hex(x["k"]))))
+    return F.concat_ws(";", F.size(found).cast("string"), F.transform(cells, lambda x: F.concat_ws(":", F.hex(x["c"]), F.hex(x["k"]), F.hex(x["h"]))))
 
 
-def with_next(docs: DataFrame, rows_at_once: int = 2000, most_ranges: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_at_once: int = 2000, most_ranges: int = 10_000, hot_share: float = 0.001, hot_parts: int = 1024) -> DataFrame:
     """Adds next_text, the text of the row after it in descending doc_id (of the first after the last row).
 
     Rows are dealt to ranges of doc_id, sorted within each, and a range's last row takes the first text of the next
-    range, of which there is one a range; so no task sees all rows.  Equal doc_ids are in order of text, null ones last.
+    range, of which there is one a range; so no task sees all rows.  Null doc_ids come last.  Rows of one doc_id are in
+    order of a hash of the text, then of the text; a doc_id (or null) that has over a hot_share of the rows is a range of
+    its own and is cut by that hash.  Beyond rows_at_once times most_ranges rows the ranges grow; they are sorted, which
+    spills, and never gathered.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    sizes = rows.agg(F.count("*").alias("n")).first()
-    ranges = max(1, min(most_ranges, math.ceil(sizes["n"] / rows_at_once)))
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("k", F.xxhash64("text"))
+    n = rows.count()
+    ranges = max(1, min(most_ranges, math.ceil(n / rows_at_once)))
     marks = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []
-    bounds = sorted(set(marks)) if ranges > 1 else []
+    # at most 1 / hot_share of them
+    hot = [r[0] for r in rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > max(rows_at_once, n * hot_share)).collect()]
+    named = [x for x in hot if x is not None]
+    bounds = sorted({*(marks if ranges > 1 else []), *named, *(x + 1 for x in named if x < (1 << 63) - 1)})
     # the position among the bounds, by halving: a literal array is searched in about log2 steps
     at = _search(F.col("doc_id"), bounds)
-    ranged = rows.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(at))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    over = W.partitionBy("range").orderBy(*order)
+    cut_up = F.col("doc_id").isin(named) if named else F.lit(False)
+    if None in hot:
+        cut_up = F.coalesce(cut_up, F.lit(True)) if named else F.col("doc_id").isNull()
+    part = F.when(cut_up, F.floor((F.col("k") / float(1 << 64) + 0.5) * hot_parts).cast("int")).otherwise(0)
+    ranged = rows.withColumn("range", F.struct((-F.when(F.col("doc_id").isNull(), -1).otherwise(at)).alias("r"), part.alias("p")))
+    over = W.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "k", "text")
     led = ranged.withColumns({"follows": F.lead("text").over(over), "last": F.lead(F.lit(1)).over(over).isNull()})
-    tops = F.broadcast(ranged.groupBy("range").agg(F.max("doc_id").alias("top")).withColumnRenamed("range", "r"))  # at most most_ranges rows of two numbers
-    heads = ranged.join(tops, (F.col("r") == F.col("range")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("range").agg(F.min("text").alias("head"))
-    ring = W.orderBy(F.col("range").desc())  # one row a range
-    every = W.partitionBy(F.lit(0)).orderBy(F.col("range").desc()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.withColumn("after", F.coalesce(F.lead("head").over(ring), F.first("head").over(every))).select("range", "after")
-    return led.join(heads, "range").select("doc_id", "text", F.when(F.col("last"), F.col("after")).otherwise(F.col("follows")).alias("next_text"))
+    heads = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.bitwise_not("doc_id").alias("down"), "k", "text")).alias("first")).select("range", F.col("first.text").alias("head"))
+    numbers = ranged.select("range").distinct()  # two numbers a range; the texts stay where they are
+    ring = numbers.select("range", F.lead("range").over(W.orderBy("range")).alias("following")).crossJoin(F.broadcast(numbers.agg(F.min("range").alias("least"))))
+    after = F.broadcast(ring.select("range", F.coalesce("following", "least").alias("following")))
+    firsts = heads.withColumnRenamed("range", "following").join(after, "following").select("range", F.col("head").alias("after"))
+    return led.join(firsts, "range").select("doc_id", "text", F.when(F.col("last"), F.col("after")).otherwise(F.col("follows")).alias("next_text"))
 
 
 def _search(value: Column, bounds: list[int]) -> Column:

@@ -376,6 +376,55 @@ def test_fingerprints(spark):
     assert got[3].fingerprint == got[50].fingerprint != got[4].fingerprint
 
 
+def test_many_paragraphs_take_time_in_proportion(spark):
+    import time
+
+    rng = random.Random(61)
+    rows = [(i, "\n".join(prose(rng, 4) for _ in range(8000))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    fingerprints.compare(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in fingerprints.compare(df).collect()}
+    assert time.time() - began < 60
+    parts = lambda t: {x.strip(" ") for x in t.split("\n") if x.strip(" ")}
+    a, b = parts(rows[0][1]), parts(rows[1][1])
+    assert abs(got[0].near_next - len(a & b) / len(a | b)) < 1e-9
+    edited = rows[0][1][: len(rows[0][1]) - len(rows[0][1]) // 2] + rows[1][1][: len(rows[0][1]) // 2]
+    assert abs(got[0].near_edited - len(a & parts(edited)) / len(a | parts(edited))) < 1e-9
+
+
+def test_stored_fingerprints_peel(spark):
+    a, b = [f"line {i}" for i in range(40)], [f"line {i}" for i in range(5, 46)]
+    found = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string").select(*[fingerprints.fingerprint(fingerprints.digests(F.col(x))).alias(x) for x in "ab"]).first()
+    tables = []
+    for x in found:
+        cells = F.transform(F.array(*[F.lit(c) for c in x.split(";")[1:]]), lambda c: F.struct(F.conv(F.split(c, ":")[0], 16, -10).cast("int").alias("c"), F.conv(F.split(c, ":")[1], 16, -10).cast("long").alias("k"), F.conv(F.split(c, ":")[2], 16, -10).cast("long").alias("h")))
+        tables.append([F.slice(cells, 8 * j + 1, 8) for j in range(3)])
+    peeled = spark.range(1).select(fingerprints.peel(fingerprints.subtract(*tables), 8).alias("d"), F.array(*[F.xxhash64(F.lit(x)) for x in a]).alias("a"), F.array(*[F.xxhash64(F.lit(x)) for x in b]).alias("b")).first()
+    assert {(x.k, x.c) for x in peeled.d} == {(k, 1) for k in set(peeled.a) - set(peeled.b)} | {(k, -1) for k in set(peeled.b) - set(peeled.a)}
+
+
+def test_next_text_of_repeated_and_null_names(spark):
+    rng = random.Random(62)
+    ids = [None] * 40 + [7] * 40 + list(range(30))
+    rows = [(i, prose(rng, 3)) for i in ids]
+    for some in ({}, {"rows_at_once": 5, "hot_share": 0.05, "hot_parts": 8}):
+        got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), **some).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and Counter(r.next_text for r in got) == Counter(t for _, t in rows)
+        names: dict = {}
+        for i, t in rows:
+            names.setdefault(t, set()).add(i)
+        at = {r.text: r.next_text for r in got}
+        walk, text = [], got[0].text
+        for _ in range(len(rows)):
+            walk.append(text)
+            text = at[text]
+        assert text == got[0].text and len(set(walk)) == len(rows)  # one ring
+        order = [next(iter(names[t])) for t in walk]
+        falls = sum((a is None) < (b is None) or (a is not None and b is not None and a >= b) or a is b for a, b in zip(order, order[1:] + order[:1], strict=True))
+        assert falls == len(rows) - 1
+
+
 def test_peeling_recovers_the_difference(spark):
     a, b = list(range(1, 40)), list(range(20, 50))
     df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
