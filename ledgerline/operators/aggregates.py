@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerline.functions import null_if_zero
+from ledgerline.operators.quantiles import quantiles, row_of
 
 
 def degrees(edges: DataFrame, src: str, dst: str, nodes: DataFrame | None = None, node: str = "node") -> DataFrame:
@@ -42,10 +43,6 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / null_if_zero(F.sum(weight))
 
 
-def medians(columns: Sequence[str], digits: int = 6) -> list[Column]:
-    return [F.round(F.median(c), digits).alias(c) for c in columns]
-
-
 def first_non_null(columns: Sequence[str], order: str) -> list[Column]:
     """The first value of each column that is not null, in an order."""
     return [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
@@ -57,12 +54,17 @@ def profile(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame
 
     def row(c: str) -> Column:
         v = F.col(c).cast("double")
-        wide = F.percentile(v, list(points.values()))
         each = {"n": F.count(v), "nulls": F.avg(v.isNull().cast("double")), "zeros": F.avg((v == 0).cast("double")), "distinct": F.count_distinct(v), "mean": F.avg(v), "std": F.stddev(v), "low": F.min(v), "high": F.max(v)}
         out = [F.lit(c).alias("name")] + [(x if n in ("n", "distinct") else F.round(x, digits)).alias(n) for n, x in each.items()]
-        return F.struct(*out, *[F.round(wide[i], digits).alias(n) for i, n in enumerate(points)])
+        return F.struct(*out)
+
+    rows = df.agg(F.array(*[row(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+    return rows.join(spread(df, columns, points, digits), "name", "left")
+
 
-    return df.agg(F.array(*[row(c) for c in columns]).alias("rows")).select(F.inline("rows"))
+def spread(df: DataFrame, columns: Sequence[str], points: Mapping[str, float], digits: int) -> DataFrame:
+    found = quantiles(df, columns, list(points.values()))
+    return found.select("name", *[F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(points)])
 
 
 def missing(df: DataFrame, n: int) -> DataFrame:
@@ -79,15 +81,17 @@ def bad_rates(df: DataFrame, dims: Sequence[str], target: str) -> DataFrame:
 
 def positive_quartiles(df: DataFrame, value: str) -> DataFrame:
     """A bucket: 'zero' for what is not positive, else the quartile among the positive values by exact bounds."""
-    bounds = df.where(F.col(value) > 0).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_b"))
+    bounds = row_of(df.where(F.col(value) > 0), {"b": value}, [0.25, 0.5, 0.75], "_")
     v, b = F.col(value), F.col("_b")
     bucket = F.when(v <= 0, "zero").when(v <= b[0], "Q1").when(v <= b[1], "Q2").when(v <= b[2], "Q3").when(v.isNotNull(), "Q4")
     return df.crossJoin(F.broadcast(bounds)).withColumn("bucket", bucket).drop("_b")
 
 
-def trimmed_median(value: Column, plausible: Column, default: float, least: int) -> Column:
-    """The median of plausible values if there are more than so many, else a default."""
-    return F.when(F.count_if(plausible & value.isNotNull()) > least, F.median(F.when(plausible, value))).otherwise(F.lit(default))
+def trimmed_medians(df: DataFrame, values: Mapping[str, Column], plausible: Mapping[str, Column], defaults: Mapping[str, float], least: int) -> DataFrame:
+    """One row: of each value the median of the plausible ones if there are more than so many, else a default."""
+    found = quantiles(df, {n: F.when(plausible[n], v) for n, v in values.items()}, [0.5])
+    middle = lambda n: F.max(F.when((F.col("name") == n) & (F.col("n") > least), F.col("q")[0]))
+    return found.agg(*[F.coalesce(middle(n), F.lit(defaults[n])).alias(n) for n in values])
 
 
 def frequencies(df: DataFrame, value: str, worst_first: Sequence[str]) -> DataFrame:
@@ -107,7 +111,7 @@ def with_defaults(df: DataFrame, key: str, value: str, defaults: Mapping[str, fl
 
 def histogram(df: DataFrame, value: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Counts of equal-width bins between two percentiles; values outside count in the end bins."""
-    bounds = df.agg(F.percentile(value, [low, high]).alias("_b"))
+    bounds = row_of(df, {"b": value}, [low, high], "_")
     lo, hi = F.col("_b")[0], F.col("_b")[1]
     at = F.floor((F.col(value) - lo) / null_if_zero(hi - lo) * bins)
     return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(bounds)).withColumn("bin", F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("long")).groupBy("bin").agg(F.count("*").alias("n"))

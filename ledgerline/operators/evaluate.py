@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerline.functions import null_if_zero
+from ledgerline.operators.quantiles import row_of
 from ledgerline.operators.windows import average_rank, running_sum
 
 
@@ -91,7 +93,7 @@ def capture(df: DataFrame, score: str, tie: str, label: str, fractions: Sequence
 
 def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability over the quantiles of the expected values."""
-    edges = expected.agg(F.array_distinct(F.percentile(value, [i / bins for i in range(1, bins)])).alias("edges"))
+    edges = row_of(expected, {"edges": value}, [i / bins for i in range(1, bins)]).select(F.array_distinct("edges").alias("edges"))
     share = lambda df, name: (
         df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(F.size(F.filter("edges", lambda e: e < F.col(value))).alias("bin")).agg(F.count("*").alias("_n"))
         .withColumn(name, F.col("_n") / F.sum("_n").over(W.partitionBy())).select("bin", name)
@@ -110,28 +112,35 @@ def spearman(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     return ranked.agg(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(f"_r_{a}", f"_r_{b}").alias("rho")) for a, b in pairs]).alias("m")).select(F.inline("m"))
 
 
-def regression(actual: Column, predicted: Column) -> list[Column]:
+def regression(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
+    """One row: mean absolute and squared error, its root, the share explained, bias and the 90th percentile of the error's size."""
     e = predicted - actual
     mse = F.avg(e * e)
-    return [F.avg(F.abs(e)).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), (1 - mse / null_if_zero(F.var_pop(actual))).alias("r2"), F.avg(e).alias("bias"), F.percentile(F.abs(e), 0.9).alias("p90")]
+    means = [F.avg(F.abs(e)).alias("mae"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), (1 - mse / null_if_zero(F.var_pop(actual))).alias("r2"), F.avg(e).alias("bias")]
+    return df.agg(*means).crossJoin(F.broadcast(row_of(df, {"p90": F.abs(e)}, [0.9]).select(F.col("p90")[0].alias("p90"))))
 
 
-def bootstrap_auc(df: DataFrame, scores: Sequence[str], label: str, key: str, draws: int, seed: int = 7) -> DataFrame:
-    """(draw, auc of each score) over resamples of as many rows of each class: the same rows for all scores.
+def bootstrap_auc(df: DataFrame, scores: Sequence[str], label: str, key: str, draws: int = 5000, seed: int = 7) -> DataFrame:
+    """(draw, auc of each score) over resamples: the same rows for all scores.
 
-    Which row a draw takes is a hash of the draw and place, so a rerun takes the same.
+    A row stands in a draw as often as a Poisson variable of mean 1 says that is a hash of the draw and the row's key, so
+    a rerun takes the same rows, nothing is joined, and what is shuffled is one sum for each draw and distinct score.
     """
-    from ledgerline.operators.rows import add_row_id
-
-    rows = add_row_id(df.where(F.col(label).isNotNull()).select(key, label, *scores), "_i", [label, key], 0)
-    sizes = rows.groupBy(label).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    placed = rows.join(F.broadcast(sizes), label)
-    picks = placed.select(label, "_n", "_first", "_i").crossJoin(df.sparkSession.range(draws).withColumnRenamed("id", "draw"))
-    picks = picks.select("draw", (F.col("_first") + F.pmod(F.xxhash64("draw", "_i", F.lit(seed)), F.col("_n"))).alias("_i"))
-    sample = picks.join(rows, "_i").select("draw", label, *scores)
+    rows = df.where(F.col(label).isNotNull()).select(key, label, *scores)
+    steps, total, chance = [], 0.0, math.exp(-1)
+    for k in range(1, 12):
+        total += chance
+        steps.append(total)
+        chance /= k
+    u = F.pmod(F.xxhash64("draw", key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    times = sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", times).where("_w > 0")
     out = None
     for s in scores:
-        one = roc_auc(sample, s, label, ["draw"]).select("draw", F.col("auc").alias(f"auc_{s}"))
+        each = drawn.where(F.col(s).isNotNull()).groupBy("draw", F.col(s).alias("_s")).agg(F.sum(F.col("_w") * F.col(label)).alias("p"), F.sum(F.col("_w") * (1 - F.col(label))).alias("q"))
+        below = F.coalesce(F.sum("q").over(W.partitionBy("draw").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        auc = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / null_if_zero(F.sum("p") * F.sum("q"))
+        one = each.withColumn("below", below).groupBy("draw").agg(auc.alias(f"auc_{s}"))
         out = one if out is None else out.join(one, "draw")
     return out
 

@@ -16,11 +16,24 @@ from pyspark.sql.window import Window as W
 from ledgerline.functions import active_at, clip, null_if_zero
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named a folder is made, but only if driver and executors are one process; else that is an error, as
+    executors would not see it.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df written to the shared folder; a folder of its own is set only where none is named."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """The rows of df written to the shared folder, so that lost executors cost no recomputation."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -66,9 +79,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: in
     return ranks.select("node", "rank")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_levels: int = 30) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_levels: int = 1000) -> DataFrame:
     """Betweenness from sampled sources (the first by hash), unweighted, scaled as if all nodes were sources.
 
+    All levels count; it is an error if there are more than most_levels.
+
     Breadth-first levels of all sources at once carry the number of shortest paths; dependencies are then added up
     level by level backwards.
     """
@@ -85,6 +100,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_leve
             break
         levels.append(level)
         seen = seen.unionByName(level.select("s", "v"))
+    else:
+        raise RuntimeError(f"shortest paths are longer than {most_levels}")
     deltas: list[DataFrame] = []
     lower = levels[-1].withColumn("delta", F.lit(0.0))
     for upper in reversed(levels[:-1]):
@@ -105,15 +122,23 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_leve
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
     """Weighted label propagation: each node takes the label of the most weight around it, its own included, ties to the least.
 
+    It ends after so many rounds, or as soon as two rounds, in which every node had its turn, change no label.
+
     Only every other node (by hash and round) moves in a round, so that two neighbours don't swap labels for ever.
     """
     links = cut(both_ways(edges))
     labels = nodes.select("node", F.col("node").alias("label"))
+    moved: list[bool] = []
     for k in range(rounds):
         votes = links.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("src").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
-        moves = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
-        labels = cut(labels.join(best, F.col("src") == F.col("node"), "left").select("node", F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label")).alias("label")))
+        moves = F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2
+        after = F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label"))
+        labels = cut(labels.join(best, F.col("src") == F.col("node"), "left").select("node", after.alias("label"), (after != F.col("label")).alias("moved")))
+        moved.append(labels.where("moved").isEmpty())
+        labels = labels.select("node", "label")
+        if moved[-2:] == [True, True] and k % 2:
+            break
     return labels
 
 
@@ -127,7 +152,12 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes with an edge, root being the least of the component; by alternating contractions."""
+    """(node, root) of all nodes with an edge to another node, root being the least of the component.
+
+    Alternates two contractions: every node's larger neighbours are tied to its least neighbour, then every node and its
+    smaller neighbours are tied to the least of them, until the edges no longer change.  Each round is two grouped joins
+    of the current edges; a node of many links is only ever aggregated by min, never gathered.
+    """
     links = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
@@ -140,12 +170,19 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Nodes on a directed simple cycle of up to four edges.  A cycle is started at its least node only."""
+def cycles(edges: DataFrame, longest: int = 4, most_degree: int = 1000) -> DataFrame:
+    """Nodes on a directed simple cycle of up to four edges.  A cycle is started at its least node only.
+
+    Nodes of more than most_degree distinct edges (exchanges, public bodies) take no part, so paths can't square at a hub.
+    """
     e = edges.where("src <> dst").select("src", "dst").distinct()
+    hubs = e.select(F.explode(F.array("src", "dst")).alias("h")).groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > most_degree).select("h")
+    e = cut(e.join(hubs, F.col("src") == F.col("h"), "left_anti").join(hubs, F.col("dst") == F.col("h"), "left_anti"))
     paths = e.where("src < dst").select(F.col("src").alias("n0"), F.col("dst").alias("n1"))
     found = None
     for k in range(1, longest):
@@ -190,10 +227,13 @@ def neighbour_rate(edges: DataFrame, flags: DataFrame) -> DataFrame:
     return near.groupBy(F.col("src").alias("node")).agg(F.avg(F.col("flag").cast("double")).alias("rate"))
 
 
-def depth(edges: DataFrame, members: DataFrame, most: int = 10) -> DataFrame:
-    """(grp, depth): edges of the longest downward chain within a group, at least 1; only edges to larger ids count."""
-    own = edges.join(members.select(F.col("node").alias("src"), F.col("grp")), "src").join(members.select(F.col("node").alias("dst"), F.col("grp").alias("g2")), "dst").where("grp = g2 and src < dst").select("grp", "src", "dst").distinct()
-    own = cut(own)
+def depth(edges: DataFrame, members: DataFrame, most: int = 1000) -> DataFrame:
+    """(grp, depth): edges of the longest downward chain within a group, at least 1.
+
+    Of a cycle the edges back to a smaller or equal id are left out; all other edges count, whichever way their ids run.
+    """
+    own = edges.join(members.select(F.col("node").alias("src"), F.col("grp")), "src").join(members.select(F.col("node").alias("dst"), F.col("grp").alias("g2")), "dst").where("grp = g2 and src <> dst").select("grp", "src", "dst").distinct()
+    own = acyclic(cut(own), most)
     level = own.select("grp", F.col("dst").alias("v")).distinct()
     depths = members.select("grp").distinct().withColumn("depth", F.lit(1))
     for k in range(2, most + 1):
@@ -203,9 +243,27 @@ def depth(edges: DataFrame, members: DataFrame, most: int = 10) -> DataFrame:
             break
         deeper = level.select("grp").distinct().withColumn("k", F.lit(k))
         depths = cut(depths.join(deeper, "grp", "left").select("grp", F.coalesce("k", "depth").alias("depth")))
+    else:
+        raise RuntimeError(f"chains are longer than {most}")
     return depths
 
 
+def acyclic(edges: DataFrame, most: int) -> DataFrame:
+    """The edges (grp, src, dst) without those that go back to a smaller id among the nodes on cycles.
+
+    Nodes without an edge into them, or out of them, are peeled off round by round; what is left holds all cycles.
+    """
+    core = edges
+    for _ in range(most):
+        into, out = core.select("grp", F.col("dst").alias("src")).distinct(), core.select("grp", F.col("src").alias("dst")).distinct()
+        left = cut(core.join(into, ["grp", "src"], "left_semi").join(out, ["grp", "dst"], "left_semi").select("grp", "src", "dst"))
+        if left.count() == core.count():
+            break
+        core = left
+    back = core.where("src > dst")
+    return cut(edges.join(back, ["grp", "src", "dst"], "left_anti"))
+
+
 def ego(edges: DataFrame, starts: DataFrame, hops: int, budget: int, share: float = 0.6) -> DataFrame:
     """(start, node, hop): the nodes around each start, hop by hop; a hop takes a share of what is left of the budget.
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ledgerline.operators.quantiles import row_of
+
 
 def result(counted: DataFrame, check: str, critical: bool = True) -> DataFrame:
     """A check from a table with one number: it passes at 0."""
@@ -50,8 +52,9 @@ def scd2_no_overlap(df: DataFrame, key: str, check: str) -> DataFrame:
 
 def tail_ratio(df: DataFrame, columns: Sequence[str], most: float, check: str) -> DataFrame:
     """Columns whose largest value is more than so many times their 99th percentile."""
-    bad = [F.when(F.max(c) > most * F.percentile(c, 0.99), 1).otherwise(0) for c in columns]
-    return result(df.agg(reduce(lambda a, b: a + b, bad).alias("n")), check, False)
+    tails = row_of(df, columns, [0.99], "_p_").crossJoin(F.broadcast(df.agg(*[F.max(c).alias(f"_m_{c}") for c in columns])))
+    bad = [F.when(F.col(f"_m_{c}") > most * F.col(f"_p_{c}")[0], 1).otherwise(0) for c in columns]
+    return result(tails.select(reduce(lambda a, b: a + b, bad).alias("n")), check, False)
 
 
 def gate(checks: Sequence[DataFrame], path: str | None = None, strict: bool = False) -> DataFrame:

@@ -12,9 +12,9 @@ from ledgerline.functions import null_if_zero
 from ledgerline.operators.rows import add_row_id, range_of
 
 
-def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str, rows_at_once: int = 100_000) -> DataFrame:
     """The sum of a value up to and with each row in the order of columns that tell rows apart."""
-    ranged = df.withColumn("_range", range_of(df, order))
+    ranged = df.withColumn("_range", range_of(df, order, rows_at_once))
     totals = ranged.groupBy("_range").agg(F.sum(value).alias("_total"))
     before = F.coalesce(F.sum("_total").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.sum(value).over(W.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(W.unboundedPreceding, 0))
@@ -50,8 +50,10 @@ def quantile_bucket(rank: Column, n: int) -> Column:
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Columns bounded by their percentiles, all found in one aggregation."""
-    bounds = df.agg(*[F.percentile(c, [low, high]).alias(f"_b_{c}") for c in columns])
+    """Columns bounded by their percentiles, all found together."""
+    from ledgerline.operators.quantiles import row_of
+
+    bounds = row_of(df, columns, [low, high], "_b_")
     out = df.crossJoin(F.broadcast(bounds))
     for c in columns:
         b = F.col(f"_b_{c}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import functions as L
 from ledgerline.operators import aggregates as A
+from ledgerline.operators import quantiles as Q
 from ledgerline.plans import Register, Tables
 from ledgerline.plans.relational import _FIRST, _INTERVALS, first_events, intervals
 
@@ -39,18 +40,18 @@ def A03_count_distinct(t: Tables) -> DataFrame:
 
 @query("SELECT p_type, p_brand, round(median(p_retailprice), 6) AS p_retailprice, round(median(p_size), 6) AS p_size, count(*) AS n FROM part GROUP BY 1, 2")
 def A04_median_by(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_type", "p_brand").agg(*A.medians(["p_retailprice", "p_size"]), F.count("*").alias("n"))
+    return Q.medians(t.part, ["p_retailprice", "p_size"], ["p_type", "p_brand"]).join(t.part.groupBy("p_type", "p_brand").agg(F.count("*").alias("n")), ["p_type", "p_brand"])
 
 
 @query("SELECT o_orderstatus, round(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 2) AS urgent, round(median(o_totalprice) FILTER (o_orderpriority = '2-HIGH'), 2) AS high FROM orders GROUP BY 1")
 def A05_pivot_median(t: Tables) -> DataFrame:
-    wide = t.orders.groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.round(F.median("o_totalprice"), 2))
-    return wide.select("o_orderstatus", c("1-URGENT").alias("urgent"), c("2-HIGH").alias("high"))
+    own = lambda priority: F.when(c("o_orderpriority") == priority, c("o_totalprice"))
+    return Q.medians(t.orders, {"urgent": own("1-URGENT"), "high": own("2-HIGH")}, ["o_orderstatus"], 2)
 
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.95) / 1000) * 1000 AS p95 FROM orders GROUP BY 1")
 def A06_quantile_by(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg((F.round(F.percentile("o_totalprice", 0.95) / 1000) * 1000).alias("p95"))
+    return Q.quantiles(t.orders, ["o_totalprice"], [0.95], ["o_orderpriority"]).select("o_orderpriority", (F.round(c("q")[0] / 1000) * 1000).alias("p95"))
 
 
 @query("WITH m AS (SELECT o_orderpriority AS level, max(o_totalprice) AS top FROM orders GROUP BY 1) SELECT level, top, row_number() OVER (ORDER BY top, level) AS place, row_number() OVER (ORDER BY top, level) = count(*) OVER () AS open_ended FROM m")
@@ -109,7 +110,7 @@ def A14_collect_members(t: Tables) -> DataFrame:
 
 @query("SELECT round(median(p_retailprice), 6) AS p_retailprice, round(median(p_size), 6) AS p_size, (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 1) AS p_type FROM part")
 def A15_reference_values(t: Tables) -> DataFrame:
-    return t.part.agg(*A.medians(["p_retailprice", "p_size"]), F.mode("p_type", deterministic=True).alias("p_type"))
+    return Q.medians(t.part, ["p_retailprice", "p_size"], []).crossJoin(t.part.agg(F.mode("p_type", deterministic=True).alias("p_type")))
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
@@ -209,7 +210,8 @@ def A29_facility_mix(t: Tables) -> DataFrame:
 @query("SELECT round(CASE WHEN count(CASE WHEN l_quantity > 5 AND l_quantity < 40 THEN 1 END) > 100 THEN median(CASE WHEN l_quantity > 5 AND l_quantity < 40 THEN l_quantity END) ELSE 9 END, 4) AS quantity, round(CASE WHEN count(CASE WHEN l_tax > 5 THEN 1 END) > 100 THEN median(CASE WHEN l_tax > 5 THEN l_tax END) ELSE 0.25 END, 4) AS tax FROM lineitem")
 def A30_trimmed_medians(t: Tables) -> DataFrame:
     q, x = c("l_quantity"), c("l_tax")
-    return t.lineitem.agg(F.round(A.trimmed_median(q, (q > 5) & (q < 40), 9.0, 100), 4).alias("quantity"), F.round(A.trimmed_median(x, x > 5, 0.25, 100), 4).alias("tax"))
+    found = A.trimmed_medians(t.lineitem, {"quantity": q, "tax": x}, {"quantity": (q > 5) & (q < 40), "tax": x > 5}, {"quantity": 9.0, "tax": 0.25}, 100)
+    return found.select(F.round("quantity", 4).alias("quantity"), F.round("tax", 4).alias("tax"))
 
 
 @query(f"WITH {_INTERVALS} SELECT o_custkey, count(*) AS live, round(sum(o_totalprice), 2) AS exposure FROM iv JOIN orders USING (o_orderkey, o_custkey) WHERE valid_from <= DATE '1998-06-30' AND (valid_to IS NULL OR valid_to > DATE '1998-06-30') GROUP BY 1")
@@ -258,7 +260,7 @@ def A37_recovery_by_type(t: Tables) -> DataFrame:
 
 @query("SELECT kind, round(coalesce(v, d), 4) AS v FROM (VALUES ('5-LOW', 1.0), ('9-NONE', 2.0)) b(kind, d) FULL JOIN (SELECT o_orderpriority AS kind, median(o_totalprice) AS v FROM orders GROUP BY 1) USING (kind)")
 def A38_median_price_by_band(t: Tables) -> DataFrame:
-    rows = t.orders.groupBy(c("o_orderpriority").alias("kind")).agg(F.median("o_totalprice").alias("v"))
+    rows = Q.medians(t.orders.withColumnRenamed("o_orderpriority", "kind"), {"v": "o_totalprice"}, ["kind"], None)
     return A.with_defaults(rows, "kind", "v", {"5-LOW": 1.0, "9-NONE": 2.0}).select("kind", F.round("v", 4).alias("v"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerline import functions as L
+from ledgerline.operators import quantiles as Q
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import credit as K
 from ledgerline.operators import relational as J
@@ -101,7 +102,7 @@ def C03_abt_ews(t: Tables) -> DataFrame:
 @query(f"""WITH {_YEARS}, q AS (SELECT quantile_cont(year, 0.8) AS cut FROM y) SELECT l_orderkey, l_linenumber, l_partkey, year(l_shipdate) AS year, round(least(1, greatest(0, l_discount * 12)), 6) AS y_lgd, CASE WHEN year(l_shipdate) <= (SELECT quantile_cont(year(l_shipdate), 0.8) FROM lineitem WHERE l_returnflag = 'R') THEN 'train' ELSE 'test' END AS split FROM lineitem WHERE l_returnflag = 'R'""")
 def C04_abt_lgd(t: Tables) -> DataFrame:
     rows = t.lineitem.where("l_returnflag = 'R'").withColumn("year", F.year("l_shipdate").cast("long"))
-    cut = rows.agg(F.percentile("year", 0.8).alias("cut"))
+    cut = Q.row_of(rows, ["year"], [0.8]).select(c("year")[0].alias("cut"))
     return rows.crossJoin(F.broadcast(cut)).select("l_orderkey", "l_linenumber", "l_partkey", "year", F.round(L.clip(c("l_discount") * 12, 0.0, 1.0), 6).alias("y_lgd"), F.when(c("year") <= c("cut"), "train").otherwise("test").alias("split"))
 
 
@@ -319,6 +320,6 @@ def C33_linked_early_warning(t: Tables) -> DataFrame:
 @query(f"WITH {_APP}, m AS (SELECT median(debt / asked) AS a, median(ebitda / sales) AS b, median(pd) AS p FROM app) SELECT id, round(coalesce(CASE WHEN id % 3 = 0 THEN pd END, p), 8) AS pd, round(coalesce(CASE WHEN id % 2 = 0 THEN debt / asked END, a), 8) AS leverage, 'pd:' || CASE WHEN id % 3 = 0 THEN 'document' ELSE 'portfolio' END || ',leverage:' || CASE WHEN id % 2 = 0 THEN 'document' ELSE 'portfolio' END AS origins FROM app, m")
 def C34_fill_from_portfolio(t: Tables) -> DataFrame:
     rows = applications(t)
-    medians = rows.agg(F.median("pd").alias("_p"), F.median(c("debt") / c("asked")).alias("_a"))
+    medians = Q.medians(rows, {"_p": "pd", "_a": c("debt") / c("asked")}, [], None)
     found = K.fill_with({"pd": F.when(c("id") % 3 == 0, c("pd")), "leverage": F.when(c("id") % 2 == 0, c("debt") / c("asked"))}, {"pd": c("_p"), "leverage": c("_a")})
     return rows.crossJoin(F.broadcast(medians)).select("id", F.round(found["pd"], 8).alias("pd"), F.round(found["leverage"], 8).alias("leverage"), found["origins"].alias("origins"))

@@ -71,12 +71,12 @@ def G04_degree(t: Tables) -> DataFrame:
 
 @query()
 def G05_pagerank(t: Tables) -> DataFrame:
-    return G.pagerank(live(t), nodes(t), rounds=20)
+    return G.pagerank(live(t), nodes(t))
 
 
 @query()
 def G06_betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(live(t), nodes(t), 16, 8)
+    return G.betweenness(live(t), nodes(t))
 
 
 def numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -88,13 +88,13 @@ def numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query()
 def G07_communities(t: Tables) -> DataFrame:
     e, n = numbered(t)
-    return G.communities(e, n, 4)
+    return G.communities(e, n)
 
 
 @query()
 def G08_community_default_rate(t: Tables) -> DataFrame:
     e, n = numbered(t)
-    labels = G.communities(e, n, 4)
+    labels = G.communities(e, n)
     defaulted = first_events(t).where(c("event_at") <= at()).select(c("k").alias("node"), F.lit(1.0).alias("d"))
     return labels.where("node >= 0").join(defaulted, "node", "left").groupBy("label").agg(F.avg(F.coalesce("d", F.lit(0.0))).alias("rate"), F.count("*").alias("members"))
 
@@ -125,7 +125,7 @@ def G11_shared_attribute_degree(t: Tables) -> DataFrame:
     return A.degrees(shared(t), "a", "b", t.customer.select(c("c_custkey").alias("node")))
 
 
-_CYC = "e AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS d FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey IN (SELECT s_suppkey FROM supplier))"
+_CYC = "e0 AS (SELECT DISTINCT l_partkey AS s, l_suppkey AS d FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey IN (SELECT s_suppkey FROM supplier)), hub AS (SELECT n FROM (SELECT s AS n FROM e0 UNION ALL SELECT d FROM e0) GROUP BY 1 HAVING count(*) > 1000), e AS (SELECT * FROM e0 WHERE s NOT IN (FROM hub) AND d NOT IN (FROM hub))"
 
 
 def small_edges(t: Tables) -> DataFrame:
@@ -142,7 +142,7 @@ def G12_circular_payment_flag(t: Tables) -> DataFrame:
 
 @query()
 def G13_spectral_embedding(t: Tables) -> DataFrame:
-    return G.embedding(live(t), nodes(t), 8)
+    return G.embedding(live(t), nodes(t), 16)
 
 
 @query(f"WITH {_PAIRS}, {_FIRST}, ap AS (SELECT o_orderkey, o_custkey, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders), nb AS (SELECT a AS x, b AS y, since FROM pairs UNION ALL SELECT b, a, since FROM pairs) SELECT o_orderkey, snap::VARCHAR AS snapshot, count(y) AS degree, round(avg(CASE WHEN y IS NOT NULL THEN CASE WHEN event_at <= snap THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM ap LEFT JOIN nb ON x = o_custkey AND since <= snap LEFT JOIN ev ON ev.k = y GROUP BY 1, 2")
@@ -173,7 +173,7 @@ def G16_hub_selection(t: Tables) -> DataFrame:
 @query()
 def G17_ownership_depth(t: Tables) -> DataFrame:
     members = t.supplier.select(c("s_suppkey").alias("node"), c("s_nationkey").alias("grp"))
-    return G.depth(small_edges(t), members, 6)
+    return G.depth(small_edges(t), members)
 
 
 @query(f"WITH {_EDGES}, x AS (SELECT src AS node, dst AS other, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' UNION SELECT dst, src, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30') SELECT node, string_agg(rel || ':' || other, ',' ORDER BY rel, other) AS near FROM x GROUP BY 1")

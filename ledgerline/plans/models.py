@@ -9,12 +9,14 @@ from pyspark.sql.window import Window as W
 from ledgerline import functions as L
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import evaluate as E
+from ledgerline.operators import graph as G
 from ledgerline.operators import model as M
+from ledgerline.operators import quantiles as Q
 from ledgerline.operators import relational as J
 from ledgerline.operators import rows as R
 from ledgerline.operators import windows as V
 from ledgerline.plans import Register, Tables
-from ledgerline.plans.aggregates import _LABELLED, _RATES, labelled_orders
+from ledgerline.plans.aggregates import _LABELLED, _RATES, labelled_orders, payments
 
 query = Register()
 c = F.col
@@ -121,8 +123,7 @@ def M12_threshold_min_recall(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SC} SELECT round(quantile_cont(s::DOUBLE, 0.5), 6) AS q50, round(quantile_cont(s::DOUBLE, 0.8), 6) AS q80, round(quantile_cont(s::DOUBLE, 0.95), 6) AS q95 FROM sc")
 def M13_risk_cutoffs(t: Tables) -> DataFrame:
-    q = F.percentile("s", [0.5, 0.8, 0.95])
-    return rounded(scored(t).agg(q.alias("q")).select(*[c("q")[i].alias(n) for i, n in enumerate(("q50", "q80", "q95"))]))
+    return rounded(Q.row_of(scored(t), ["s"], [0.5, 0.8, 0.95]).select(*[c("s")[i].alias(n) for i, n in enumerate(("q50", "q80", "q95"))]))
 
 
 _BAND = "CASE WHEN s <= 0.3 THEN 'low' WHEN s <= 0.5 THEN 'middle' ELSE 'high' END"
@@ -145,12 +146,12 @@ def M15_capture_lift(t: Tables) -> DataFrame:
 @query()
 def M16_bootstrap_ci(t: Tables) -> DataFrame:
     q = F.percentile("auc_s", [0.025, 0.5, 0.975])
-    return E.bootstrap_auc(scored(t), ["s"], "y", "doc_id", 50).agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("middle"), c("q")[2].alias("high"))
+    return E.bootstrap_auc(scored(t), ["s"], "y", "doc_id").agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("middle"), c("q")[2].alias("high"))
 
 
 @query()
 def M17_paired_bootstrap_delta(t: Tables) -> DataFrame:
-    d = E.bootstrap_auc(scored(t), ["s", "s2"], "y", "doc_id", 50).withColumn("d", c("auc_s") - c("auc_s2"))
+    d = E.bootstrap_auc(scored(t), ["s", "s2"], "y", "doc_id").withColumn("d", c("auc_s") - c("auc_s2"))
     return d.agg(F.percentile("d", [0.025, 0.975]).alias("q"), F.avg("d").alias("mean")).select(c("q")[0].alias("low"), c("q")[1].alias("high"), "mean")
 
 
@@ -213,8 +214,7 @@ def M23_cluster_validation(t: Tables) -> DataFrame:
 @query("SELECT 'p_retailprice' AS feature, round(median(p_retailprice) FILTER (p_type = 'SMALL'), 6) AS small, round(median(p_retailprice) FILTER (p_type = 'LARGE'), 6) AS large FROM part UNION ALL SELECT 'p_size', round(median(p_size) FILTER (p_type = 'SMALL'), 6), round(median(p_size) FILTER (p_type = 'LARGE'), 6) FROM part")
 def M24_cluster_profile(t: Tables) -> DataFrame:
     long = t.part.select("p_type", F.expr("stack(2, 'p_retailprice', p_retailprice, 'p_size', cast(p_size as double)) as (feature, value)"))
-    wide = long.groupBy("feature").pivot("p_type", ["SMALL", "LARGE"]).agg(F.median("value"))
-    return wide.select("feature", F.round("SMALL", 6).alias("small"), F.round("LARGE", 6).alias("large"))
+    return Q.medians(long, {x.lower(): F.when(c("p_type") == x, c("value")) for x in ("SMALL", "LARGE")}, ["feature"])
 
 
 @query("""WITH ce AS (SELECT p_type, avg(p_retailprice) AS a, avg(p_size) AS b FROM part GROUP BY 1), d AS (SELECT p_partkey, ce.p_type, sqrt((p_retailprice - a) * (p_retailprice - a) + (p_size - b) * (p_size - b)) AS d FROM part, ce), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, p_type) AS r FROM d) SELECT p_partkey, p_type AS nearest, round(d, 6) AS distance FROM r WHERE r = 1""")
@@ -227,7 +227,7 @@ def M25_cluster_position(t: Tables) -> DataFrame:
 
 @query("WITH e AS (SELECT l_discount AS a, l_tax AS p FROM lineitem) SELECT round(avg(abs(p - a)), 8) AS mae, round(avg((p - a) * (p - a)), 8) AS mse, round(sqrt(avg((p - a) * (p - a))), 8) AS rmse, round(1 - avg((p - a) * (p - a)) / var_pop(a), 6) AS r2, round(avg(p - a), 8) AS bias, round(quantile_cont(abs(p - a), 0.9), 8) AS p90 FROM e")
 def M26_regression_metrics(t: Tables) -> DataFrame:
-    row = t.lineitem.agg(*E.regression(c("l_discount"), c("l_tax")))
+    row = E.regression(t.lineitem, c("l_discount"), c("l_tax"))
     return row.select(*[F.round(x, 6 if x == "r2" else 8).alias(x) for x in row.columns])
 
 
@@ -245,8 +245,23 @@ def M27_permutation_importance(t: Tables) -> DataFrame:
 
 @query()
 def M28_ablation_compare(t: Tables) -> DataFrame:
-    rows = training(t).where("y is not null")
-    parts = [E.roc_auc(M.score(M.fit(rows.where("o_orderkey % 5 <> 0"), "y", f), rows.where("o_orderkey % 5 = 0"), f), "score", "y").select(F.lit(n).alias("block"), "auc") for n, f in (("all", FEATURES), ("without", FEATURES[:2]))]
+    """One row for the folds and one for the time after them: AUC without and with the graph block, and their difference with an interval."""
+    block = payments(t).groupBy(c("src").alias("o_custkey"), "dst").agg(F.sum("amount").alias("w")).groupBy("o_custkey").agg(F.count("*").cast("double").alias("partners"), A.hhi("w").alias("concentration"))
+    rows = labelled_orders(t).select("o_orderkey", "o_custkey", *[c(x).cast("double").alias(x) for x in FEATURES], (c("o_orderdate") < F.lit("1998-01-01").cast("date")).alias("early"), "y")
+    rows = G.cut(rows.where("y is not null").join(block, "o_custkey", "left"))
+    early, late = rows.where("early"), rows.where("not early")
+    folds = G.cut(E.group_folds(early, "o_custkey", "y", 3))
+    parts = []
+    for part in ("folds", "later"):
+        both = None
+        for name, features in (("without", FEATURES), ("with_graph", [*FEATURES, "partners", "concentration"])):
+            own = M.out_of_fold(early, folds, "o_custkey", "y", features, 3) if part == "folds" else M.score(M.fit(early, "y", features), late, features)
+            own = own.select("o_orderkey", "y", c("score").alias(name))
+            both = own if both is None else both.join(own.drop("y"), "o_orderkey")
+        both = G.cut(both)  # plain numbers: no model goes into the evaluation's plan
+        d = E.bootstrap_auc(both, ["without", "with_graph"], "y", "o_orderkey", 200).agg(F.percentile(c("auc_with_graph") - c("auc_without"), [0.025, 0.975]).alias("q"))
+        auc = [E.roc_auc(both, n, "y").select(c("auc").alias(f"auc_{n}")) for n in ("without", "with_graph")]
+        parts.append(auc[0].crossJoin(auc[1]).crossJoin(d).select(F.lit(part).alias("part"), "auc_without", "auc_with_graph", (c("auc_with_graph") - c("auc_without")).alias("delta"), c("q")[0].alias("low"), c("q")[1].alias("high")))
     return parts[0].unionByName(parts[1])
 
 
@@ -271,7 +286,7 @@ def M31_input_completeness(t: Tables) -> DataFrame:
 
 @query("WITH b AS (SELECT quantile_cont(p_retailprice, [0.05, 0.95]) AS q1, quantile_cont(p_size, [0.05, 0.95]) AS q2 FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN p_retailprice < q1[1] OR p_retailprice > q1[2] THEN 'p_retailprice' END, CASE WHEN p_size < q2[1] OR p_size > q2[2] THEN 'p_size' END) AS warnings FROM part, b")
 def M32_reference_warnings(t: Tables) -> DataFrame:
-    bounds = t.part.agg(F.percentile("p_retailprice", [0.05, 0.95]).alias("a"), F.percentile("p_size", [0.05, 0.95]).alias("b"))
+    bounds = Q.row_of(t.part, {"a": "p_retailprice", "b": "p_size"}, [0.05, 0.95])
     out = L.names_where(p_retailprice=~c("p_retailprice").between(c("a")[0], c("a")[1]), p_size=~c("p_size").between(c("b")[0], c("b")[1]))
     return t.part.crossJoin(F.broadcast(bounds)).select("p_partkey", F.array_join(F.slice(out, 1, 10), ",").alias("warnings"))
 
