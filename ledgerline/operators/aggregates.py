@@ -32,6 +32,13 @@ def hhi(weight: str) -> Column:
     return F.when(total > 0, F.sum(F.col(weight) * F.col(weight)) / (total * total))
 
 
+def member_lists(df: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """(group, part, members): the distinct members in order, comma-joined, at most so many in a row."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(member))
+    rows = df.select(group, member).distinct().withColumn("part", F.floor((place - 1) / most).cast("long"))
+    return rows.groupBy(group, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(member)), lambda x: x.cast("string")), ",").alias("members"))
+
+
 def share_where(flag: Column, amount: Column | None = None) -> Column:
     """The share of rows, or of an amount, for which a flag holds."""
     if amount is None:

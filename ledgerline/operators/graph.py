@@ -221,6 +221,44 @@ def embedding(edges: DataFrame, nodes: DataFrame, k: int = 16) -> DataFrame:
     return numbered.join(fixed, "i", "left").select("node", F.coalesce("emb", empty).alias("emb"))
 
 
+def point_in_time(apps: DataFrame, ties: DataFrame, paid: DataFrame, key: str) -> DataFrame:
+    """Per application (key, node, grp, snap) what was known of its node at snap, and nothing later.
+
+    ties: node, other, since, event_at (when the other defaulted, or null); paid: node, other, at, amount.  Gives degree,
+    rate (defaulted neighbours), partners, hhi (concentration of amounts over partners) and group_share (of all amounts of
+    the group).  Every fact is a change at its time; changes are added up along each node's time, applications standing
+    among them, so no application meets each of its node's ties.
+    """
+    zero = {"degree": 0, "bad": 0, "partners": 0, "amount": 0.0, "square": 0.0}
+
+    def change(df: DataFrame, at: Column, **values: Column) -> DataFrame:
+        return df.select("node", at.cast("timestamp").alias("at"), *[values.get(n, F.lit(z)).cast("double").alias(n) for n, z in zero.items()])
+
+    known = F.greatest(F.col("since").cast("timestamp"), F.col("event_at").cast("timestamp"))
+    one = F.lit(1)
+    daily = paid.groupBy("node", "other", "at").agg(F.sum("amount").alias("amount"))
+    run = W.partitionBy("node", "other").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    grown = daily.withColumn("before", F.sum("amount").over(run))
+    old, new = F.coalesce("before", F.lit(0.0)), F.coalesce("before", F.lit(0.0)) + F.col("amount")
+    changes = change(ties, F.col("since"), degree=one).unionByName(change(ties.where("event_at is not null"), known, bad=one))
+    changes = changes.unionByName(change(grown, F.col("at"), partners=F.col("before").isNull().cast("int"), amount=F.col("amount"), square=new * new - old * old))
+    changes = changes.groupBy("node", "at").agg(*[F.sum(n).alias(n) for n in zero])
+    sums = accumulated(changes, apps.select(key, "node", F.col("snap").cast("timestamp").alias("at")), "node", list(zero))
+    owners = apps.select("node", "grp").distinct()
+    months = paid.join(owners, "node").groupBy("grp", F.last_day("at").cast("timestamp").alias("at")).agg(F.sum("amount").alias("whole"))
+    groups = accumulated(months, apps.select("grp", F.col("snap").cast("timestamp").alias("at")).distinct(), "grp", ["whole"]).select("grp", F.col("at").alias("_at"), "whole")
+    rows = apps.join(sums.drop("node", "at"), key).join(groups.withColumnRenamed("grp", "_g"), (F.col("grp") == F.col("_g")) & (F.col("snap").cast("timestamp") == F.col("_at")), "left")
+    total = null_if_zero("amount")
+    return rows.select(key, "node", "snap", F.col("degree").cast("long").alias("degree"), (F.col("bad") / null_if_zero("degree")).alias("rate"), F.col("partners").cast("long").alias("partners"), (F.col("square") / (total * total)).alias("hhi"), (total / null_if_zero("whole")).alias("group_share"))
+
+
+def accumulated(changes: DataFrame, asked: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """asked with the sums of all changes of its key up to and with its time."""
+    both = changes.withColumn("_asked", F.lit(0)).unionByName(asked.withColumn("_asked", F.lit(1)), allowMissingColumns=True)
+    run = W.partitionBy(key).orderBy("at", "_asked").rowsBetween(W.unboundedPreceding, 0)
+    return both.select(*asked.columns, "_asked", *[F.coalesce(F.sum(v).over(run), F.lit(0.0)).alias(v) for v in values]).where("_asked = 1").drop("_asked")
+
+
 def neighbour_rate(edges: DataFrame, flags: DataFrame) -> DataFrame:
     """(node, rate): the share of a node's distinct neighbours that are flagged; no row without neighbours in flags."""
     near = both_ways(edges).select("src", "dst").distinct().join(flags.select(F.col("node").alias("dst"), "flag"), "dst")

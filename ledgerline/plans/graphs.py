@@ -145,16 +145,19 @@ def G13_spectral_embedding(t: Tables) -> DataFrame:
     return G.embedding(live(t), nodes(t), 16)
 
 
-@query(f"WITH {_PAIRS}, {_FIRST}, ap AS (SELECT o_orderkey, o_custkey, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders), nb AS (SELECT a AS x, b AS y, since FROM pairs UNION ALL SELECT b, a, since FROM pairs) SELECT o_orderkey, snap::VARCHAR AS snapshot, count(y) AS degree, round(avg(CASE WHEN y IS NOT NULL THEN CASE WHEN event_at <= snap THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM ap LEFT JOIN nb ON x = o_custkey AND since <= snap LEFT JOIN ev ON ev.k = y GROUP BY 1, 2")
+@query(f"""WITH {_PAIRS}, {_FIRST}, {_PAY}, ap AS (SELECT o_orderkey, o_custkey, c_nationkey, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders JOIN customer ON c_custkey = o_custkey), nb AS (SELECT a AS x, b AS y, since FROM pairs UNION ALL SELECT b, a, since FROM pairs),
+ties AS (SELECT o_orderkey, count(y) AS degree, round(avg(CASE WHEN y IS NOT NULL THEN CASE WHEN event_at <= snap THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM ap LEFT JOIN nb ON x = o_custkey AND since <= snap LEFT JOIN ev ON ev.k = y GROUP BY 1),
+paid AS (SELECT o_orderkey, count(*) AS partners, sum(w) AS total, sum(w * w) / (sum(w) * sum(w)) AS hhi FROM (SELECT o_orderkey, dst, sum(amount) AS w FROM ap JOIN pay ON src = o_custkey AND paid <= snap GROUP BY 1, 2) GROUP BY 1),
+grp AS (SELECT c_nationkey, snap, sum(amount) AS whole FROM (SELECT DISTINCT c_nationkey, snap FROM ap) JOIN (SELECT c_nationkey AS k, amount, paid FROM pay JOIN customer ON c_custkey = src) ON k = c_nationkey AND paid <= snap GROUP BY 1, 2)
+SELECT o_orderkey, snap::VARCHAR AS snapshot, degree, rate, coalesce(partners, 0) AS partners, round(hhi, 6) AS hhi, round(total / whole, 6) AS group_share FROM ap JOIN ties USING (o_orderkey) LEFT JOIN paid USING (o_orderkey) LEFT JOIN grp USING (c_nationkey, snap)""")
 def G14_pit_graph_features(t: Tables) -> DataFrame:
-    """Ties and defaulted neighbours of each application as they were at the month-end before it."""
-    apps = t.orders.select("o_orderkey", c("o_custkey").alias("x"), L.previous_month_end("o_orderdate").alias("snap"))
+    """Each application's ties, defaulted neighbours, partners, concentration and share of its group at the month-end before it."""
+    apps = t.orders.join(t.customer.select(c("c_custkey").alias("o_custkey"), c("c_nationkey").alias("grp")), "o_custkey").select("o_orderkey", c("o_custkey").alias("node"), "grp", L.previous_month_end("o_orderdate").alias("snap"))
     pairs = J.colocated_pairs(bridge(t), "hub", "member", "since", 20)
-    near = pairs.select(c("a").alias("x"), c("b").alias("y"), "since").unionByName(pairs.select(c("b").alias("x"), c("a").alias("y"), "since"))
-    near = near.join(first_events(t).select(c("k").alias("y"), "event_at"), "y", "left")
-    rows = apps.join(near, (apps["x"] == near["x"]) & (c("since") <= c("snap")), "left")
-    flag = F.when(c("y").isNotNull(), F.coalesce(c("event_at") <= c("snap"), F.lit(False)).cast("double"))
-    return rows.groupBy("o_orderkey", c("snap").cast("string").alias("snapshot")).agg(F.count("y").alias("degree"), F.round(F.avg(flag), 6).alias("rate"))
+    near = pairs.select(c("a").alias("node"), c("b").alias("other"), "since").unionByName(pairs.select(c("b").alias("node"), c("a").alias("other"), "since"))
+    near = near.join(first_events(t).select(c("k").alias("other"), "event_at"), "other", "left")
+    paid = payments(t).select(c("src").alias("node"), c("dst").alias("other"), c("paid").alias("at"), "amount")
+    return G.point_in_time(apps, near, paid, "o_orderkey").select("o_orderkey", c("snap").cast("string").alias("snapshot"), "degree", F.round("rate", 6).alias("rate"), "partners", F.round("hhi", 6).alias("hhi"), F.round("group_share", 6).alias("group_share"))
 
 
 @query()
@@ -176,12 +179,12 @@ def G17_ownership_depth(t: Tables) -> DataFrame:
     return G.depth(small_edges(t), members)
 
 
-@query(f"WITH {_EDGES}, x AS (SELECT src AS node, dst AS other, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' UNION SELECT dst, src, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30') SELECT node, string_agg(rel || ':' || other, ',' ORDER BY rel, other) AS near FROM x GROUP BY 1")
+@query(f"WITH {_EDGES}, x AS (SELECT src AS node, dst AS other, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30' UNION SELECT dst, src, rel FROM ed WHERE f <= DATE '1998-06-30' AND e > DATE '1998-06-30') SELECT node, row_number() OVER (PARTITION BY node ORDER BY rel, other) AS place, rel, other FROM x")
 def G18_adjacency(t: Tables) -> DataFrame:
+    """Each node's neighbours as rows in order of relation and name, so that a hub's are never one value."""
     now = edges(t).where(L.active_at(at()))
     both = now.select(c("src").alias("node"), c("dst").alias("other"), "rel").union(now.select("dst", "src", "rel")).distinct()
-    listed = F.array_sort(F.collect_list(F.struct("rel", "other")))
-    return both.groupBy("node").agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["rel"], x["other"])), ",").alias("near"))
+    return both.select("node", F.row_number().over(W.partitionBy("node").orderBy("rel", "other")).cast("long").alias("place"), "rel", "other")
 
 
 @query()

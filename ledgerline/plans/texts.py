@@ -130,24 +130,33 @@ def D07_lexical_score(t: Tables) -> DataFrame:
     return lexical(t).withColumn("lexical", F.round("lexical", 8))
 
 
-_COS = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q0 AS (SELECT v AS q FROM nv WHERE vec_id = 0), co AS (SELECT vec_id, list_cosine_similarity(v, q) AS s FROM nv, q0)"
+_COS = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), co AS (SELECT a.vec_id AS asked, b.vec_id, list_cosine_similarity(b.v, a.v) AS s FROM nv a, nv b WHERE a.vec_id % 100 = 0)"
 
 
 def cosines(t: Tables) -> DataFrame:
+    """Every hundredth vector asks, as the query set, all vectors."""
     rows = t.embeddings.select("vec_id", S.normalised("embedding").alias("v"))
-    asked = rows.where("vec_id = 0").select(c("v").alias("q"))  # one row: the query vector
-    return rows.crossJoin(F.broadcast(asked)).select("vec_id", S.dot("v", "q").alias("cosine"))
+    asked = rows.where("vec_id % 100 = 0").select(c("vec_id").alias("asked"), c("v").alias("q"))
+    return rows.crossJoin(asked).select("asked", "vec_id", S.dot("v", "q").alias("cosine"))
 
 
-@query(f"WITH {_COS} SELECT vec_id, round(s, 6) AS cosine FROM co")
+@query(f"WITH {_COS} SELECT asked, vec_id, round(s, 6) AS cosine FROM co")
 def D08_cosine_score(t: Tables) -> DataFrame:
     return cosines(t).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"WITH {_COS}, x AS (SELECT vec_id, round(0.65 * s + 0.35 * (vec_id % 10) / 10.0, 9) AS s, vec_id % 97 = 5 AS cited FROM co), r AS (SELECT *, row_number() OVER (ORDER BY cited DESC, CASE WHEN cited THEN vec_id END, s DESC, vec_id) AS place, count(CASE WHEN cited THEN 1 END) OVER () AS n FROM x) SELECT vec_id, place, round(s, 6) AS score, cited FROM r WHERE place <= 8 OR place <= n")
+_OWN = f"""tk AS (SELECT doc_id AS item_id, {_TOK.format(x='text')} AS t FROM documents JOIN embeddings ON vec_id = doc_id), df AS (SELECT term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(t)) AS term FROM tk) GROUP BY 1), idf AS (SELECT term, ln(1 + (SELECT count(*) FROM tk) / (1.0 + df)) AS idf FROM df),
+qs AS (SELECT item_id AS asked, unnest(list_distinct(t)) AS term FROM tk WHERE item_id % 100 = 0), qw AS (SELECT asked, term, idf FROM qs JOIN idf USING (term)), tf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(t) AS term FROM tk) GROUP BY 1, 2),
+lex AS (SELECT asked, item_id AS vec_id, least(1, sum(idf * tf * 2.2 / (tf + 1.2)) / any_value(w)) AS l FROM qw JOIN tf USING (term) JOIN (SELECT asked, sum(idf) AS w FROM qw GROUP BY 1) USING (asked) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_COS}, {_OWN}, x AS (SELECT asked, vec_id, 0.65 * s + 0.35 * coalesce(l, 0) AS s, (vec_id + asked) % 97 = 5 AS cited FROM co LEFT JOIN lex USING (asked, vec_id)), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY cited DESC, CASE WHEN cited THEN vec_id END, round(s, 9) DESC, vec_id) AS place, count(CASE WHEN cited THEN 1 END) OVER (PARTITION BY asked) AS n FROM x) SELECT asked, vec_id, place, round(s, 6) AS score, cited FROM r WHERE place <= 8 OR place <= n")
 def D09_hybrid_search(t: Tables) -> DataFrame:
-    rows = cosines(t).withColumns({"lexical": (c("vec_id") % 10) / 10.0, "is_cited": c("vec_id") % 97 == 5, "q": F.lit(0)})
-    return S.hybrid(rows, "q", "vec_id", 8, 0.35, "vec_id", "is_cited").select("vec_id", "place", F.round("score", 6).alias("score"), "cited")
+    """Documents with a vector, asked by every hundredth of them: likeness of vectors and of words together."""
+    own = t.documents.join(t.embeddings.select(c("vec_id").alias("doc_id")), "doc_id", "left_semi").select(c("doc_id").alias("vec_id"), X.tokens("text").alias("t"))
+    words = S.lexical(own.where("vec_id % 100 = 0").select(c("vec_id").alias("asked"), "t"), own, "asked", "vec_id", "t")
+    rows = cosines(t).join(words, ["asked", "vec_id"], "left").withColumn("is_cited", (c("vec_id") + c("asked")) % 97 == 5)
+    return S.hybrid(rows, "asked", "vec_id", 8, 0.35, "vec_id", "is_cited").select("asked", "vec_id", "place", F.round("score", 6).alias("score"), "cited")
 
 
 @query("SELECT p_partkey, 'JL ' || upper(p_name) || ' NO ' || p_size || ' LANTAI 2' AS key FROM part")
@@ -206,11 +215,11 @@ def D18_most_frequent_header(t: Tables) -> DataFrame:
 k AS (SELECT *, max(hit::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 OR i < 6 AS keep FROM h) SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS reduced FROM k WHERE keep GROUP BY 1""")
 def D19_reduce_document(t: Tables) -> DataFrame:
     """The first six lines and those with a keyword, with one neighbour on each side."""
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    low = F.lower("line")
-    hit = (F.contains(low, F.lit("license")) | F.contains(low, F.lit("password"))).cast("int")
-    kept = rows.withColumn("hit", hit).withColumn("near", F.max("hit").over(W.partitionBy("doc_id").orderBy("i").rowsBetween(-1, 1))).where("near = 1 or i < 6")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("reduced"))
+    hit = lambda line: F.contains(F.lower(line), F.lit("license")) | F.contains(F.lower(line), F.lit("password"))
+    rows = t.documents.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines")).withColumn("hits", F.transform("lines", hit))
+    near = lambda i: F.coalesce(F.get("hits", i), F.lit(False))
+    kept = F.filter("lines", lambda line, i: (i < 6) | near(i - 1) | near(i) | near(i + 1))
+    return rows.select("doc_id", F.array_join(kept, "\n").alias("reduced"))
 
 
 @query(f"WITH {_V} SELECT doc, 9 - 1 + 1 AS n FROM pr")
