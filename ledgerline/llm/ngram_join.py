@@ -168,7 +168,10 @@ Extra = Callable[[str, str], Column]
 
 
 def _across(rows: DataFrame, threshold: int, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None) -> DataFrame:
-    """Pairs (a, b) of different roots that share an n-gram: each class outside of its largest root, with all others."""
+    """Pairs (a, b) of different roots that share a key: each class outside of its largest root, with all others.
+
+    With a field keys, all keys of a row, a pair comes from the least of the keys that both have.
+    """
     with_bins = "suffix" in rows.columns
     columns = [*fields, "root", "out", *["suffix"] * with_bins]
     me = rows.where("out").select("h", F.struct(*columns).alias("me"))
@@ -176,6 +179,8 @@ def _across(rows: DataFrame, threshold: int, fields: tuple[str, ...] = FIELDS, e
     apart = (F.col("me.root") != F.col("with.root")) & (~F.col("with.out") | (F.col("me.cls") < F.col("with.cls"))) & _may_link("me", "with", threshold)
     if extra is not None:
         apart = apart & extra("me", "with")
+    if "keys" in fields:
+        apart = F.when(apart, F.array_min(F.array_intersect("me.keys", "with.keys")) == F.col("h")).otherwise(False)
     if with_bins:
         apart = F.when(apart, _overlap_may_do(F.col("me.suffix"), F.col("with.suffix"), F.col("me.n") + F.col("with.n"), threshold)).otherwise(False)
     return me.withColumnRenamed("h", "_h").join(other, (F.col("_h") == F.col("h")) & apart).select(*_pair("me", "with"))
@@ -196,7 +201,7 @@ def neighbours(every: DataFrame, fields: tuple[str, ...] = FIELDS, order: tuple[
 def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, bins: DataFrame | None = None, rows: DataFrame | None = None, fields: tuple[str, ...] = FIELDS, extra: Extra | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
     """(node, root) of all classes that link with another, from the rows of neighbours, which are in the same order.
 
-    rows are those of near by themselves, where there is a table of them.  extra is one more filter on two rows.
+    rows are those of near by themselves, where there is a table of them, and may have all keys of each.  extra is one more filter on two rows.
 
     A first round compares every class with the first and the previous of its key in order of place (of a salted
     share of them where the key is frequent; the shares' first ones are then compared).  The class with the fewest
@@ -213,6 +218,8 @@ def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold:
     pairs = star.select("me", F.explode(F.array("before", "first")).alias("with")).where("with.cls <> me.cls").where(filters).select(*_pair("me", "with"))
     roots = cut(components(cut(check(pairs))))
 
+    if rows is not None and "keys" in rows.columns:
+        fields = (*fields, "keys")
     rows = (near.select("h", "me.*") if rows is None else rows.select("h", *fields)).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = cut(rows)
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("k"))

@@ -265,7 +265,8 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda needed: sets.select("cls", "items").join(needed, "cls", "left_semi"), s.threshold)
 
-    roots = connect(neighbours(shared, FIELDS, ORDER), check, s.threshold, rows=shared, fields=FIELDS, extra=may_reach(s.threshold), order=ORDER)
+    keys = cut(like.groupBy("cls").agg(F.collect_list("h").alias("keys")))  # as many as there are bands
+    roots = connect(neighbours(shared, FIELDS, ORDER), check, s.threshold, rows=shared.join(keys, "cls"), fields=FIELDS, extra=may_reach(s.threshold), order=ORDER)
     exact = near.where("h & 1 = 1").select("cls").distinct().join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
     flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
