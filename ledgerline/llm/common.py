@@ -2,41 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators import graph
+from ledgerline.operators.graph import cut, shared
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir.
-
-    Where none is named a folder is made, but only if driver and executors are one process; else that is an error, as
-    executors would not see it.
-    """
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+__all__ = ["components", "cut", "ended", "fresh", "is_marked", "marked", "read", "removed", "shared", "table_path", "text_or_empty", "written"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder, so that lost executors cost no recomputation."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
     """A path of its own for a table in the shared folder."""
-    shared(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{folder}/tables/{uuid.uuid4().hex}-{name}"
+    return f"{shared(spark)}/tables/{uuid.uuid4().hex}-{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -89,28 +73,6 @@ def is_marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table as (node, root), root being the smallest node.
-
-    Alternates two contractions: every node's larger neighbours are tied to its smallest neighbour, then every node
-    and its smaller neighbours are tied to the smallest of them, until the edges no longer change.  Each round is two
-    grouped joins of the current edges; a node of many links is only ever aggregated by min, never gathered.  Nodes
-    without a link to another node have no row.
-    """
-    spark = links.sparkSession
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = cut(edges)
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError(f"components have not settled in {most_rounds} rounds of {spark.sparkContext.applicationId}")
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of an edge table, root being the smallest node; nodes without a link to another have no row."""
+    return graph.components(links, a, b)

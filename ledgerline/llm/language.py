@@ -90,14 +90,14 @@ def code_lengths(data: np.ndarray, trees: Trees) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = 400) -> Trees | None:
-    """Trees from about per_language documents of each value of lang, those of the least hashes of doc_id.
+    """Trees from about per_language documents of each value of lang, those of the least hashes of doc_id and text.
 
     Which documents are learnt from follows from the counts of each language, so nothing is sorted or gathered; what
     comes to the driver is bounded by the sample: one count for each sequence of four bytes.
     """
     rows = docs.where("lang is not null and doc_id is not null")
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     chosen = rows.join(F.broadcast(share), "lang").where(draw < F.col("share")).select("lang", text_or_empty().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

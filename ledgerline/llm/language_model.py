@@ -19,11 +19,11 @@ SCORES = "doc_id long, n_tokens long, score double, mean_score double, backed_of
 
 
 class Settings(NamedTuple):
-    """Longest n-gram, weight of a step back, documents of a block and n-grams of a part of the counts."""
+    """Longest n-gram, weight of a step back, bytes of a block of texts and n-grams of a part of the counts."""
 
-    order: int = 2
+    order: int = 3
     alpha: float = 0.4
-    block_rows: int = 6_000
+    block_bytes: int = 20_000_000
     part_grams: int = 1_500_000
 
 
@@ -83,17 +83,17 @@ def document_score(words: np.ndarray, known: np.ndarray, totals: np.ndarray, s:
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per row: doc_id, n_tokens, score (sum of log2), mean_score per token, backed_off (words that stepped back).
 
-    Documents are dealt to blocks.  Each block lists its distinct n-grams with their counts, cut by hash into parts;
+    Documents are dealt to blocks of about as many bytes.  Each block lists its distinct n-grams with their counts, cut by hash into parts;
     a part adds up the counts of all blocks and answers each block's list in its order; a block then scores its own
     documents.  So an n-gram is sent once a block however frequent it is, and no task gathers more than a part or a
     block.  All n-grams of all documents are counted.  Null and wordless texts have no tokens and a score of 0.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    n = rows.count()
-    blocks = max(1, math.ceil(n / settings.block_rows))
-    parts = max(1, math.ceil(n * 1_000 * settings.order / settings.part_grams))
-    # the row's own hash, so that repeated rows and null names are dealt out too
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    blocks = max(1, math.ceil(size / settings.block_bytes))
+    parts = max(1, math.ceil(size / 6 * settings.order / settings.part_grams))  # about as many words as a sixth of the bytes
+    # A hash of the whole row, so that only rows equal in everything stay together; their n-grams are listed once.
+    whole = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.pmod(F.xxhash64(*whole), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()

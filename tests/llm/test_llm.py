@@ -288,7 +288,7 @@ def test_band_recall_is_what_the_settings_say():
 
 def test_language_model_brute_force(spark):
     rows = corpus(40)
-    s = language_model.Settings(order=3, block_rows=7, part_grams=500)
+    s = language_model.Settings(block_bytes=2_000, part_grams=500)
     texts = {i: t.split() for i, t, *_ in rows}
     grams = lambda w: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
     every = sum((grams(w) for w in texts.values()), Counter())
@@ -489,6 +489,31 @@ def test_quality(spark):
     assert len(held) > 50 and sum(r.predicted == (r.doc_id % 3 != 0) for r in held) / len(held) > 0.95
 
 
+def test_quality_updates_against_a_plain_learner():
+    """Every weight after some rounds, against follow-the-regularised-leader written one coordinate at a time."""
+    s, rng = quality.Settings(bits=10, epochs=3), random.Random(71)
+    rows = [(prose(rng, rng.randint(0, 30)), rng.randint(0, 1), rng.choice((0.7, 1.0, 1.4))) for _ in range(60)]
+    model, z, n = quality.Leader(s), Counter(), Counter()
+
+    def weight(i: int) -> float:
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for text, y, times in rows:
+            at, x = quality.features(np.frombuffer(text.encode(), dtype=np.uint8), s)
+            model.update(at, x, y, times)
+            w = {i: weight(i) for i in at.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at.tolist(), x.tolist(), strict=True))))
+            for i, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - y) * times * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    got = model.weights()
+    assert all(abs(got[i] - weight(i)) < 1e-9 for i in range(1 << s.bits)) and np.count_nonzero(got) > 50
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     out = []
     assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
