@@ -56,22 +56,22 @@ def first_non_null(columns: Sequence[str], order: str) -> list[Column]:
 
 
 def profile(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """One row per numeric column: counts, share of nulls and zeros, mean, deviation, bounds and percentiles."""
+    """One row per numeric column: type, counts, share of nulls and zeros, mean, deviation, bounds, percentiles, and the most frequent value as a sample."""
     points = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 
     def row(c: str) -> Column:
         v = F.col(c).cast("double")
-        each = {"n": F.count(v), "nulls": F.avg(v.isNull().cast("double")), "zeros": F.avg((v == 0).cast("double")), "distinct": F.count_distinct(v), "mean": F.avg(v), "std": F.stddev(v), "low": F.min(v), "high": F.max(v)}
-        out = [F.lit(c).alias("name")] + [(x if n in ("n", "distinct") else F.round(x, digits)).alias(n) for n, x in each.items()]
+        each = {"n": F.count(v), "nulls": F.avg(v.isNull().cast("double")), "zeros": F.avg((v == 0).cast("double")), "mean": F.avg(v), "std": F.stddev(v), "low": F.min(v), "high": F.max(v)}
+        out = [F.lit(c).alias("name"), F.lit(df.schema[c].dataType.simpleString()).alias("kind")] + [(x if n == "n" else F.round(x, digits)).alias(n) for n, x in each.items()]
         return F.struct(*out)
 
     rows = df.agg(F.array(*[row(c) for c in columns]).alias("rows")).select(F.inline("rows"))
-    return rows.join(spread(df, columns, points, digits), "name", "left")
+    return rows.join(spread(df, columns, points, digits), "name", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def spread(df: DataFrame, columns: Sequence[str], points: Mapping[str, float], digits: int) -> DataFrame:
     found = quantiles(df, columns, list(points.values()))
-    return found.select("name", *[F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(points)])
+    return found.select("name", "distinct", F.round("usual", digits).alias("sample"), *[F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(points)])
 
 
 def missing(df: DataFrame, n: int) -> DataFrame:

@@ -15,7 +15,8 @@ from ledgerline.operators.windows import running_sum
 
 
 def quantiles(df: DataFrame, columns: Mapping[str, Column | str] | Sequence[str], points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by, name, n, q): per group and column its values that are not null and their percentiles, an array as long as points.
+    """(by, name, n, distinct, usual, q): per group and column the number of its values that are not null, of distinct ones,
+    the most frequent (the least of equals), and their percentiles, an array as long as points.
 
     A column without a value in a group has no row.
     """
@@ -32,10 +33,10 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column | str] | Sequence[str]
         return F.max(F.when((last > place) & (last - F.col("_n") <= place), F.col("_v")))
 
     picked = [x for p in points for pos in (p * (n - 1),) for x in (at(F.floor(pos)), at(F.ceil(pos)))]
-    out = rows.groupBy("_g").agg(F.max(n).alias("n"), F.array(*picked).alias("_p"))
+    out = rows.groupBy("_g").agg(F.max(n).alias("n"), F.count("*").alias("distinct"), F.max_by("_v", F.struct("_n", -F.col("_v"))).alias("usual"), F.array(*picked).alias("_p"))
     place = [p * (F.col("n") - 1) for p in points]
     mixed = [F.when(F.col("_p")[2 * k] == F.col("_p")[2 * k + 1], F.col("_p")[2 * k]).otherwise((F.ceil(x) - x) * F.col("_p")[2 * k] + (x - F.floor(x)) * F.col("_p")[2 * k + 1]) for k, x in enumerate(place)]
-    return out.select("_g.*", "n", F.array(*mixed).alias("q"))
+    return out.select("_g.*", "n", "distinct", "usual", F.array(*mixed).alias("q"))
 
 
 def medians(df: DataFrame, columns: Mapping[str, Column | str] | Sequence[str], by: Sequence[str], digits: int | None = 6) -> DataFrame:

@@ -129,7 +129,7 @@ def A17_first_non_null_merge(t: Tables) -> DataFrame:
 
 
 def _profile_sql(table: str, columns: list[str]) -> str:
-    one = "SELECT '{c}' AS name, count({c}) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 4) AS nulls, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END), 4) AS zeros, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS low, round(max({c})::DOUBLE, 4) AS high, " + ", ".join(f"round(quantile_cont({{c}}, {p})::DOUBLE, 4) AS {n}" for n, p in (("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p99", 0.99))) + " FROM {t}"
+    one = "SELECT '{c}' AS name, lower(typeof(any_value({c}))) AS kind, (SELECT round({c}::DOUBLE, 4) FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS sample, count({c}) AS n, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 4) AS nulls, round(avg(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END), 4) AS zeros, count(DISTINCT {c}) AS \"distinct\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS low, round(max({c})::DOUBLE, 4) AS high, " + ", ".join(f"round(quantile_cont({{c}}, {p})::DOUBLE, 4) AS {n}" for n, p in (("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p99", 0.99))) + " FROM {t}"
     return " UNION ALL ".join(one.replace("{c}", x).replace("{t}", table) for x in columns)
 
 

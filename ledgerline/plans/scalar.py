@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import functions as L
 from ledgerline import sources as S
+from ledgerline.operators.graph import shared
 from ledgerline.operators import rows as R
 from ledgerline.plans import Register, Tables
 
@@ -263,9 +263,8 @@ def P31_row_features(t: Tables) -> DataFrame:
 
 
 def _scratch(t: Tables, name: str) -> str:
-    """A new path in the folder that the session shares, or in a local one where it names none."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder}/tables/{uuid.uuid4().hex}-{name}"
+    """A new path in the folder that the session shares."""
+    return f"{shared(t.spark)}/tables/{uuid.uuid4().hex}-{name}"
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer")
@@ -275,6 +274,19 @@ def S07_write_table(t: Tables) -> DataFrame:
     return S.read_table(t.spark, root, "gold", "balances", ["c_custkey", "c_acctbal"])
 
 
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END AS nation, c_acctbal FROM customer")
+def S10_write_jdbc(t: Tables) -> DataFrame:
+    """A round trip over JDBC in batches; whole numbers stay whole where there are nulls.
+
+    The database is the one that Spark ships, in the memory of this process, so this query is for local sessions; the
+    writer takes any URL.
+    """
+    options = S.jdbc_options(f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", "BALANCES", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    rows = t.customer.select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("nation"), "c_acctbal")
+    S.write_jdbc(rows, options)
+    return S.read_jdbc(t.spark, options)
+
+
 @query("SELECT p_partkey, p_name, p_retailprice FROM part")
 def S11_write_csv(t: Tables) -> DataFrame:
     path = _scratch(t, "csv")

@@ -32,9 +32,9 @@ def write_table(df: DataFrame, root: str, layer: str, name: str) -> int:
     return int(seen.get["rows"])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for small tables such as a data dictionary."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV files with a header, one a task; a single file is for small tables such as a data dictionary."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 
 
 def read_goldens(spark: SparkSession, path: str) -> DataFrame:
@@ -42,15 +42,19 @@ def read_goldens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, source_name string, page int, page_text string, expected_raw_facts map<string,string>, forbidden_facts array<string>").json(path)
 
 
-def jdbc_options(url: str, table: str, user: str = "", batch: int = 20_000) -> dict[str, str]:
+def jdbc_options(url: str, table: str, user: str = "", batch: int = 20_000, driver: str | None = None) -> dict[str, str]:
     """Options of a batched JDBC write; whole numbers that may be null stay whole numbers."""
-    return {"url": url, "dbtable": table, "user": user, "batchsize": str(batch), "rewriteBatchedInserts": "true"}
+    return {"url": url, "dbtable": table, "user": user, "batchsize": str(batch), "rewriteBatchedInserts": "true"} | ({"driver": driver} if driver else {})
 
 
 def write_jdbc(df: DataFrame, options: Mapping[str, str], mode: str = "overwrite") -> None:
     df.write.format("jdbc").options(**options).mode(mode).save()
 
 
+def read_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
+    return spark.read.format("jdbc").options(**options).load()
+
+
 def write_vector_index(chunks: DataFrame, vector: str, model: str, path: str) -> None:
     """Chunks with vectors of length 1 and the name of the model that made them."""
     chunks.withColumns({vector: normalised(vector).cast("array<float>"), "model": F.lit(model)}).write.mode("overwrite").parquet(path)
