@@ -150,7 +150,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
     from ledgerline.operators.rows import add_row_id
 
     sizes = df.groupBy(group).agg(F.coalesce(F.sum(label), F.lit(0)).alias("events"))
-    ranked = add_row_id(sizes.withColumns({"_o": -F.col("events"), "_h": F.xxhash64(group)}), "_i", ["_o", "_h", group], 0)
+    ranked = add_row_id(sizes.withColumns({"_o": -F.col("events"), "_h": F.md5(F.col(group).cast("string"))}), "_i", ["_o", "_h", group], 0)
     lap, at = F.floor(F.col("_i") / k), F.col("_i") % k
     return ranked.select(group, F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 

@@ -324,7 +324,7 @@ def hub_selection(bridge: DataFrame, hub: str, member: str, low: int, high: int,
     from ledgerline.operators.rows import add_row_id
 
     sizes = bridge.groupBy(hub).agg(F.countDistinct(member).alias("_n")).where(F.col("_n").between(low, high))
-    kept = bridge.select(hub, member).distinct().join(sizes, hub).withColumn("_h", F.xxhash64(hub))
+    kept = bridge.select(hub, member).distinct().join(sizes, hub).withColumn("_h", F.md5(F.col(hub).cast("string")))
     first = kept.groupBy(member).agg(F.min(F.struct("_h", hub)).alias("f")).select(member, F.col("f._h").alias("_h"), F.col(f"f.{hub}").alias(hub))
     return add_row_id(first, "place", ["_h", hub, member]).where(F.col("place") <= most).drop("_h")
 

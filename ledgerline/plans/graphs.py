@@ -168,7 +168,7 @@ def G15_connected_groups(t: Tables) -> DataFrame:
     return found.join(groups, "root").select("node", "root", "grp")
 
 
-@query()
+@query(f"WITH {_BRIDGE}, s AS (SELECT hub FROM br GROUP BY 1 HAVING count(DISTINCT member) BETWEEN 2 AND 30), k AS (SELECT DISTINCT hub, member FROM br WHERE hub IN (FROM s)), f AS (SELECT member, hub, row_number() OVER (PARTITION BY member ORDER BY md5(hub), hub) AS r FROM k), n AS (SELECT member, hub, row_number() OVER (ORDER BY md5(hub), hub, member) AS place FROM f WHERE r = 1) SELECT member, hub, place FROM n WHERE place <= 500")
 def G16_hub_selection(t: Tables) -> DataFrame:
     return G.hub_selection(bridge(t), "hub", "member", 2, 30, 500)
 

@@ -70,7 +70,7 @@ def M03_fit_lgd(t: Tables) -> DataFrame:
     return predicted.select("l_orderkey", "l_linenumber", "l_partkey", "lgd", L.clip("prediction", 0.0, 1.0).alias("predicted")).crossJoin(F.broadcast(mean))
 
 
-@query()
+@query(f"WITH {_LABELLED}, s AS (SELECT o_custkey, coalesce(sum(y), 0) AS e FROM lab GROUP BY 1), r AS (SELECT o_custkey, row_number() OVER (ORDER BY e DESC, md5(o_custkey::VARCHAR), o_custkey) - 1 AS i FROM s) SELECT o_custkey, (CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END)::INTEGER AS fold FROM r")
 def M04_stratified_group_folds(t: Tables) -> DataFrame:
     return E.group_folds(training(t), "o_custkey", "y", 5)
 
@@ -305,10 +305,10 @@ def M34_resolve_features(t: Tables) -> DataFrame:
     return long.groupBy("o_orderkey").agg(F.min_by("value", "p").alias("value"), F.min_by("origin", "p").alias("origin"))
 
 
-@query()
+@query(f"WITH {_SC}, d AS (SELECT doc_id, greatest(1, least(10, ceil(round(row_number() OVER (ORDER BY s, doc_id) / count(*) OVER () * 10, 9))))::BIGINT AS decile FROM sc), r AS (SELECT *, row_number() OVER (PARTITION BY decile ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY decile) AS n FROM d) SELECT doc_id, decile, CASE WHEN r <= n * 0.8 THEN 'train' ELSE 'test' END AS split FROM r")
 def M35_decile_stratified_split(t: Tables) -> DataFrame:
     ranked = V.percent_rank_first(scored(t), "s", "doc_id", "p").withColumn("decile", V.quantile_bucket(c("p"), 10))
-    run = W.partitionBy("decile").orderBy(F.xxhash64("doc_id"), "doc_id")
+    run = W.partitionBy("decile").orderBy(F.md5(c("doc_id").cast("string")), "doc_id")
     return ranked.withColumns({"r": F.row_number().over(run), "n": F.count("*").over(W.partitionBy("decile"))}).select("doc_id", "decile", F.when(c("r") <= c("n") * 0.8, "train").otherwise("test").alias("split"))
 
 

@@ -81,13 +81,18 @@ def D02_classify_document(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.classify("html", MARKERS).alias("kind"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT conv_id AS doc, turn AS page, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS r FROM conversations),
+g AS (SELECT doc, page, r, n AS used, 0 AS grp FROM p WHERE r = 1 UNION ALL SELECT p.doc, p.page, p.r, CASE WHEN g.used > 0 AND g.used + p.n > 3000 THEN p.n ELSE g.used + p.n END, CASE WHEN g.used > 0 AND g.used + p.n > 3000 THEN grp + 1 ELSE grp END FROM g JOIN p ON p.doc = g.doc AND p.r = g.r + 1)
+SELECT doc, page, grp::INTEGER AS "group" FROM g""")
 def D03_group_pages(t: Tables) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct(c("page").alias("page"), F.length("text").cast("long").alias("length"))))
     return pages(t).groupBy("doc").agg(listed.alias("p")).select("doc", F.inline(X.page_groups("p", 3000)))
 
 
-@query()
+@query("""WITH s AS (SELECT conv_id AS doc, turn, text, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations),
+w AS (SELECT doc, section, string_agg(text, chr(10) ORDER BY turn, text) AS text, min(turn) AS first_page, max(turn) AS last_page FROM s GROUP BY 1, 2),
+x AS (SELECT *, unnest(CASE WHEN length(text) <= 1200 THEN [0] ELSE range(0, length(text), 1050) END) AS k FROM w), y AS (SELECT doc, section::BIGINT AS section, k::INTEGER AS "at", first_page, last_page, trim(substr(text, k + 1, 1200), ' ') AS chunk FROM x)
+SELECT *, 'doc ' || doc || ' section ' || section || ' p. ' || first_page AS label FROM y WHERE length(chunk) >= 40""")
 def D04_chunk_by_section(t: Tables) -> DataFrame:
     """Sections of a conversation (a user's turn opens one) in windows of 1200 characters that overlap by 150."""
     run = W.partitionBy("conv_id").orderBy("turn")
