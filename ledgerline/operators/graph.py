@@ -132,7 +132,8 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFram
     for k in range(rounds):
         votes = links.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("src").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
-        moves = F.pmod(F.xxhash64("node", F.lit(k // 2)), F.lit(2)) == k % 2
+        digit = F.substring(F.md5(F.concat_ws(":", F.col("node").cast("string"), F.lit(str(k // 2)))), 1, 1)
+        moves = F.conv(digit, 16, 10).cast("int") % 2 == k % 2
         after = F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label"))
         labels = cut(labels.join(best, F.col("src") == F.col("node"), "left").select("node", after.alias("label"), (after != F.col("label")).alias("moved")))
         moved.append(labels.where("moved").isEmpty())

@@ -69,9 +69,17 @@ def G04_degree(t: Tables) -> DataFrame:
     return G.weighted_degree(live(t), nodes(t)).withColumn("weighted_degree", F.round("weighted_degree", 5))
 
 
-@query()
+def _ranks(rounds: int, alpha: float = 0.85) -> str:
+    """PageRank in SQL, round by round."""
+    steps = ["r0 AS MATERIALIZED (SELECT node, t IS NULL AS loose, 1.0 / (SELECT count(*) FROM nd) AS r FROM nd LEFT JOIN tot ON src = node)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT node, loose, {1 - alpha} / (SELECT count(*) FROM nd) + {alpha} * (coalesce(got, 0) + (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE loose) / (SELECT count(*) FROM nd)) AS r FROM r{k - 1} LEFT JOIN (SELECT dst, sum(p * r) AS got FROM lk JOIN r{k - 1} ON node = src GROUP BY 1) ON dst = node)")
+    return f"WITH {_EDGES}, bo AS (SELECT a AS src, b AS dst, w FROM sn UNION ALL SELECT b, a, w FROM sn), tot AS MATERIALIZED (SELECT src, sum(w) AS t FROM bo GROUP BY 1), lk AS MATERIALIZED (SELECT src, dst, w / t AS p FROM bo JOIN tot USING (src)), {', '.join(steps)} SELECT node, round(r, 9) AS rank FROM r{rounds}"
+
+
+@query(_ranks(50))
 def G05_pagerank(t: Tables) -> DataFrame:
-    return G.pagerank(live(t), nodes(t))
+    return G.pagerank(live(t), nodes(t), tolerance=0.0).withColumn("rank", F.round("rank", 9))
 
 
 @query()
@@ -85,13 +93,22 @@ def numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
     return live(t).select(n("a").alias("a"), n("b").alias("b"), "w"), nodes(t).select(n("node").alias("node"))
 
 
-@query()
+def _labels(rounds: int = 8) -> str:
+    """Label propagation in SQL, round by round; the last table is lab."""
+    steps = ["l0 AS MATERIALIZED (SELECT node, node AS label FROM num)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT node, CASE WHEN ('0x' || substr(md5(node || ':{k // 2}'), 1, 1))::INTEGER % 2 = {k % 2} THEN coalesce(best, label) ELSE label END AS label FROM l{k} LEFT JOIN (SELECT src, arg_max(label, (w, -label)) AS best FROM (SELECT src, label, sum(w) AS w FROM bo JOIN l{k} ON node = dst GROUP BY 1, 2) GROUP BY 1) ON src = node)")
+    name = "CASE WHEN {0} LIKE 'C%' THEN substr({0}, 2)::BIGINT ELSE -1 - substr({0}, 2)::BIGINT END"
+    return f"{_EDGES}, num AS (SELECT {name.format('node')} AS node FROM nd), bo AS MATERIALIZED (SELECT {name.format('a')} AS src, {name.format('b')} AS dst, w FROM sn UNION ALL SELECT {name.format('b')}, {name.format('a')}, w FROM sn), {', '.join(steps)}, cm AS (SELECT node, label FROM l{rounds})"
+
+
+@query(f"WITH {_labels()} SELECT node, label FROM cm")
 def G07_communities(t: Tables) -> DataFrame:
     e, n = numbered(t)
     return G.communities(e, n)
 
 
-@query()
+@query(f"WITH {_labels()}, {_FIRST} SELECT label, avg(CASE WHEN event_at <= DATE '1998-06-30' THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS members FROM cm LEFT JOIN ev ON ev.k = node WHERE node >= 0 GROUP BY 1")
 def G08_community_default_rate(t: Tables) -> DataFrame:
     e, n = numbered(t)
     labels = G.communities(e, n)
@@ -160,7 +177,15 @@ def G14_pit_graph_features(t: Tables) -> DataFrame:
     return G.point_in_time(apps, near, paid, "o_orderkey").select("o_orderkey", c("snap").cast("string").alias("snapshot"), "degree", F.round("rate", 6).alias("rate"), "partners", F.round("hhi", 6).alias("hhi"), F.round("group_share", 6).alias("group_share"))
 
 
-@query()
+def _least(rounds: int) -> str:
+    """The least node that so many steps reach, in SQL."""
+    steps = ["m0 AS MATERIALIZED (SELECT DISTINCT s AS node, s AS root FROM bo)"]
+    for k in range(rounds):
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT node, min(root) AS root FROM (SELECT node, root FROM m{k} UNION ALL SELECT s, root FROM bo JOIN m{k} ON node = d) GROUP BY 1)")
+    return f"WITH e AS (SELECT DISTINCT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem), bo AS MATERIALIZED (SELECT a AS s, b AS d FROM e UNION ALL SELECT b, a FROM e), {', '.join(steps)} SELECT node, root, dense_rank() OVER (ORDER BY root) AS grp FROM m{rounds}"
+
+
+@query(_least(24))
 def G15_connected_groups(t: Tables) -> DataFrame:
     rows = t.lineitem.select((c("l_partkey") * 2).alias("a"), (c("l_suppkey") * 2 + 1).alias("b"))
     found = G.cut(G.components(rows, "a", "b"))
@@ -173,7 +198,13 @@ def G16_hub_selection(t: Tables) -> DataFrame:
     return G.hub_selection(bridge(t), "hub", "member", 2, 30, 500)
 
 
-@query()
+def _depths(peels: int) -> str:
+    """Longest chains in SQL: the edges that go back within what is left after peeling are dropped, then paths grow."""
+    steps = [f"p{k + 1} AS MATERIALIZED (SELECT * FROM p{k} WHERE (g, s) IN (SELECT g, d FROM p{k}) AND (g, d) IN (SELECT g, s FROM p{k}))" for k in range(peels)]
+    return f"WITH RECURSIVE p0 AS MATERIALIZED (SELECT DISTINCT x.s_nationkey AS g, l_partkey AS s, l_suppkey AS d FROM lineitem JOIN supplier x ON x.s_suppkey = l_partkey JOIN supplier y ON y.s_suppkey = l_suppkey AND y.s_nationkey = x.s_nationkey WHERE l_partkey <> l_suppkey), {', '.join(steps)}, ac AS MATERIALIZED (SELECT * FROM p0 EXCEPT SELECT * FROM p{peels} WHERE s > d), r AS (SELECT g, d AS v, 1 AS k FROM ac UNION SELECT r.g, ac.d, k + 1 FROM r JOIN ac ON ac.g = r.g AND ac.s = r.v) SELECT s_nationkey AS grp, coalesce(max(k), 1)::INTEGER AS depth FROM (SELECT DISTINCT s_nationkey FROM supplier) LEFT JOIN r ON g = s_nationkey GROUP BY 1"
+
+
+@query(_depths(20))
 def G17_ownership_depth(t: Tables) -> DataFrame:
     members = t.supplier.select(c("s_suppkey").alias("node"), c("s_nationkey").alias("grp"))
     return G.depth(small_edges(t), members)
