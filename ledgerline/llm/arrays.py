@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _GOLD = U(0x9E3779B97F4A7C15)
@@ -87,6 +88,27 @@ def shingle_set(data: np.ndarray, n: int = 5) -> np.ndarray:
     return np.unique(ngrams(words, min(n, len(words))))
 
 
+def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
+    """The shingle_set of each text of a column; the words of many texts are hashed at once.  Each text ends with a line end."""
+    for _, data, bounds in chunks(column):
+        firsts, ends = word_spans(data)
+        words = span_hashes(_VALUE_LOWER[data], firsts, ends) if len(firsts) else np.zeros(0, dtype=U)
+        base, grams = np.searchsorted(firsts, bounds).tolist(), ngrams(words, n)
+        for a, b in zip(base[:-1], base[1:], strict=True):
+            if b - a >= n:
+                found = np.sort(grams[a : b - n + 1])
+                new = found[1:] != found[:-1]
+                yield found if new.all() else np.concatenate((found[:1], found[1:][new]))
+            else:
+                yield ngrams(words[a:b], b - a) if b > a else words[a:b]
+
+
+def with_end(column: pa.Array) -> pa.Array:
+    """The texts (null ones empty) with a line end behind each."""
+    kind = pa.large_string()
+    return pc.binary_join_element_wise(column.cast(kind).fill_null(""), pa.scalar("", kind), pa.scalar("\n", kind))
+
+
 def texts(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each text; a null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())

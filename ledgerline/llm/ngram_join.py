@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from ledgerline.llm.arrays import list_array, shingle_set, signed, texts
-from ledgerline.llm.common import components, cut, fresh, text_or_empty
+from ledgerline.llm.arrays import list_array, shingle_sets, signed, with_end
+from ledgerline.llm.common import components, cut, ended, fresh
 
 #: Counters of document frequency (a fixed 4 MB), kept in segments, and bins of the suffix filter.
 COUNTER_BITS, SEGMENT_BITS, SUFFIX_BINS = 20, 16, 256
@@ -28,7 +28,8 @@ HOT, LARGE = 4096, 64
 WORD = r"[^\x20\x09-\x0D]"
 _TOP = np.uint64(64 - COUNTER_BITS)
 
-Sets = Callable[[np.ndarray], np.ndarray]
+#: The sorted distinct hashes of each text of a column, each text having a line end behind it.
+Sets = Callable[[pa.Array], Iterator[np.ndarray]]
 
 
 def frequencies(texts_of: DataFrame, sets: Sets) -> np.ndarray:
@@ -43,8 +44,8 @@ def frequencies(texts_of: DataFrame, sets: Sets) -> np.ndarray:
         waiting: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for data in texts(batch.column(0)):
-                found = sets(data) >> _TOP
+            for own in sets(batch.column(0)):
+                found = own >> _TOP
                 waiting.append(found)
                 size += len(found)
                 if size > 1 << 18:
@@ -82,13 +83,12 @@ def members(docs: DataFrame, sets: Sets, extra: tuple[str, ...] = ()) -> DataFra
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names = [], []
-            for data in texts(batch.column(batch.num_columns - 1)):
-                found = sets(data)
+            for found in sets(batch.column(batch.num_columns - 1)):
                 sizes.append(len(found))
                 names.append(_class(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=names_out)
 
-    kept = docs.select(*extra, "doc_id", text_or_empty().alias("text"))
+    kept = docs.select(*extra, "doc_id", ended().alias("text"))
     names_out = [*kept.columns[:-1], "n", "cls"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(describe, kind + ", n long, cls long")
@@ -102,8 +102,7 @@ def prefixes(texts_of: DataFrame, sets: Sets, counters: object, threshold: int)
         usual = 2 * (table.sum(dtype=np.uint64) >> np.uint64(COUNTER_BITS))
         for batch in batches:
             names, sizes, firsts, hots, bins = [], [], [], [], []
-            for data in texts(batch.column(0)):
-                found = sets(data)
+            for found in sets(batch.column(0)):
                 n = len(found)
                 if not n:
                     continue
@@ -238,15 +237,15 @@ def connect(near: DataFrame, check: Callable[[DataFrame], DataFrame], threshold:
 def links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame]:
     """(members, roots): each row's class of equal sets, and the component of each class that links with another."""
 
-    def sets(data: np.ndarray) -> np.ndarray:
-        return shingle_set(data, n)
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        return shingle_sets(column, n)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for data in texts(batch.column(0)) if len(x := sets(data))]
+            found = [x for x in sets(batch.column(0)) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in found], pa.int64()), list_array([signed(x) for x in found], pa.int64())], names=["cls", "items"])
 
-    texts_of = docs.select(text_or_empty().alias("text"))
+    texts_of = docs.select(ended().alias("text"))
     counters = docs.sparkSession.sparkContext.broadcast(frequencies(texts_of, sets))
     classes = cut(prefixes(texts_of, sets, counters, threshold))
     every = classes.select("cls", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "x"))
@@ -308,7 +307,7 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [_class(x) if len(x := shingle_set(data, n)) else None for data in texts(batch.column(place))]
+            names = [_class(x) if len(x) else None for x in shingle_sets(with_end(batch.column(place)), n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], names=[*batch.schema.names, cls])
 
     place = docs.columns.index("text")
