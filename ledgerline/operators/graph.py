@@ -88,7 +88,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_leve
     level by level backwards.
     """
     n = nodes.count()
-    chosen = nodes.select(F.col("node").alias("s")).orderBy(F.xxhash64("s"), "s").limit(sources)
+    chosen = nodes.select(F.col("node").alias("s")).orderBy(F.md5(F.col("s").cast("string")), "s").limit(sources)
     k = min(sources, n)
     links = both_ways(edges).select("src", "dst").distinct()
     level = cut(chosen.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))

@@ -82,9 +82,21 @@ def G05_pagerank(t: Tables) -> DataFrame:
     return G.pagerank(live(t), nodes(t), tolerance=0.0).withColumn("rank", F.round("rank", 9))
 
 
-@query()
+def _between(levels: int, sources: int = 64) -> str:
+    """Betweenness in SQL, level by level forth and back."""
+    steps = [f"v0 AS MATERIALIZED (SELECT node AS s, node AS v, 1.0::DOUBLE AS paths FROM nd ORDER BY md5(node), node LIMIT {sources})", "w0 AS MATERIALIZED (SELECT s, v FROM v0)"]
+    for k in range(1, levels + 1):
+        steps.append(f"v{k} AS MATERIALIZED (SELECT s, dst AS v, sum(paths) AS paths FROM v{k - 1} JOIN bo ON src = v WHERE NOT EXISTS (SELECT 1 FROM w{k - 1} w WHERE w.s = v{k - 1}.s AND w.v = dst) GROUP BY 1, 2), w{k} AS MATERIALIZED (SELECT * FROM w{k - 1} UNION ALL SELECT s, v FROM v{k})")
+    steps.append(f"d{levels} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS delta FROM v{levels})")
+    for k in range(levels - 1, 0, -1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT u.s, u.v, u.paths, coalesce(g.delta, 0) AS delta FROM v{k} u LEFT JOIN (SELECT a.s, a.v, sum(a.paths / b.paths * (1 + b.delta)) AS delta FROM v{k} a JOIN bo ON src = a.v JOIN d{k + 1} b ON b.s = a.s AND b.v = dst GROUP BY 1, 2) g ON g.s = u.s AND g.v = u.v)")
+    every = " UNION ALL ".join(f"SELECT v, delta FROM d{k}" for k in range(1, levels + 1))
+    return f"WITH {_EDGES}, bo AS MATERIALIZED (SELECT DISTINCT a AS src, b AS dst FROM sn UNION SELECT b, a FROM sn), {', '.join(steps)}, n AS (SELECT count(*) AS n FROM nd) SELECT node, round(coalesce(sum(delta), 0) * n / least({sources}, n) / greatest(1, (n - 1) * (n - 2)), 9) AS betweenness FROM nd CROSS JOIN n LEFT JOIN ({every}) x ON x.v = node GROUP BY node, n"
+
+
+@query(_between(16))
 def G06_betweenness(t: Tables) -> DataFrame:
-    return G.betweenness(live(t), nodes(t))
+    return G.betweenness(live(t), nodes(t)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 def numbered(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +230,18 @@ def G18_adjacency(t: Tables) -> DataFrame:
     return both.select("node", F.row_number().over(W.partitionBy("node").orderBy("rel", "other")).cast("long").alias("place"), "rel", "other")
 
 
-@query()
+def _egos(budget: int, shares: tuple[float, ...]) -> str:
+    """Neighbourhoods in SQL, hop by hop."""
+    live_ = "f <= DATE '1998-06-30' AND e > DATE '1998-06-30'"
+    steps = ["s0 AS (SELECT 'S' || s_suppkey AS start, 'S' || s_suppkey AS node, 0 AS hop FROM supplier)"]
+    for h, share in enumerate(shares, 1):
+        steps.append(f"f{h} AS (SELECT s.start, bo.dst AS node, min(rel) AS rel FROM s{h - 1} s JOIN bo ON bo.src = s.node WHERE s.hop = {h - 1} AND NOT EXISTS (SELECT 1 FROM s{h - 1} o WHERE o.start = s.start AND o.node = bo.dst) GROUP BY 1, 2)")
+        steps.append(f"t{h} AS (SELECT *, row_number() OVER (PARTITION BY start, rel ORDER BY node) AS turn FROM f{h}), k{h} AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY turn, rel, node) AS place FROM t{h})")
+        steps.append(f"s{h} AS (SELECT * FROM s{h - 1} UNION ALL SELECT start, node, {h} FROM k{h} JOIN (SELECT start, count(*) AS used FROM s{h - 1} GROUP BY 1) USING (start) WHERE place <= ceil(({budget} - used) * {share}))")
+    return f"WITH {_EDGES}, bo AS (SELECT src, dst, rel FROM ed WHERE {live_} UNION SELECT dst, src, rel FROM ed WHERE {live_}), {', '.join(steps)} SELECT start, node, hop::INTEGER AS hop FROM s{len(shares)}"
+
+
+@query(_egos(40, (0.6, 1.0)))
 def G19_ego_subgraph(t: Tables) -> DataFrame:
     now = edges(t).where(L.active_at(at())).select("src", "dst", "rel")
     both = now.unionByName(now.select(c("dst").alias("src"), c("src").alias("dst"), "rel")).distinct()
