@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.arrays import U, mix, ngrams, texts, word_hashes
-from ledgerline.llm.common import text_or_empty
+from ledgerline.llm.arrays import U, _VALUE_LOWER, chunks, mix, ngrams, span_hashes, word_spans
+from ledgerline.llm.common import ended
 
 SCORES = "doc_id long, n_tokens long, score double, mean_score double, backed_off long"
 
@@ -27,10 +27,35 @@ class Settings(NamedTuple):
     part_grams: int = 1_500_000
 
 
-def keys_of(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """56-bit hashes of the n-grams of each order; the first holds the empty n-gram once for each word."""
-    empty = np.full(len(words), U(1), dtype=U)
-    return [empty] + [mix(ngrams(words, n) + U(n)) >> U(8) if n > 1 else mix(words) >> U(8) for n in range(1, order + 1)]
+class Block(NamedTuple):
+    """Texts laid end to end: the text of each word, where each text's words begin, and for each order the n-grams' hashes and first words."""
+
+    owner: np.ndarray
+    base: np.ndarray
+    keys: list[np.ndarray]
+    at: list[np.ndarray]
+
+
+#: The key of the empty n-gram, which stands once for each word.
+EMPTY = U(1)
+
+
+def block_of(column: pa.ChunkedArray, order: int) -> Block:
+    """The n-grams of each order, as 56-bit hashes, of all texts of a column; each text has a line end behind it."""
+    words, counts = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)]
+    for part in column.chunks:
+        for _, data, bounds in chunks(part):
+            firsts, ends = word_spans(data)
+            words.append(span_hashes(_VALUE_LOWER[data], firsts, ends) if len(firsts) else words[0])
+            counts.append(np.diff(np.searchsorted(firsts, bounds)))
+    every, sizes = np.concatenate(words), np.concatenate(counts)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    keys, at = [], []
+    for n in range(1, order + 1):
+        there = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]).astype(np.int32)
+        keys.append((mix(ngrams(every, n)[there] + U(n)) if n > 1 else mix(every)) >> U(8))
+        at.append(there)
+    return Block(owner, np.concatenate(([0], np.cumsum(sizes))), keys, at)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -51,33 +76,52 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def document_score(words: np.ndarray, known: np.ndarray, totals: np.ndarray, s: Settings) -> tuple[float, int]:
-    """Sum of log2 scores of a document's words and how many words had to step back.
+def block_scores(block: Block, totals: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the sum of log2 scores of its words, and how many words had to step back.
 
-    The counts are those of all documents less the document's own, so that it does not speak for itself.
+    totals are the counts of the block's distinct n-grams (and the empty one) in order of their keys.  Counts are those of
+    all documents less the document's own, so that it does not speak for itself.  The block's keys are used up.
     """
-    keys = keys_of(words, s.order)
-    counts: list[np.ndarray] = []
-    for k in keys:
-        own, back, times = np.unique(k, return_inverse=True, return_counts=True)
-        counts.append(np.maximum(totals[np.searchsorted(known, own)].astype(np.int64) - times, 0)[back])
-    n = len(words)
-    everything = max(int(counts[0][0]), 1)
-    single = counts[1]
-    score = np.where(single > 0, single, 1.0) / everything  # a word that no other text has counts once
-    best = score
-    stepped = np.ones(n, dtype=bool)
-    for order in range(2, s.order + 1):
-        # the n-gram that ends at a word, and its context
-        full, context = counts[order], counts[order - 1][: len(counts[order])]
-        at = np.arange(order - 1, n)
+    docs, words = len(block.base) - 1, len(block.owner)
+    if not words:
+        return np.zeros(docs), np.zeros(docs, dtype=np.int64)
+    # One stable sort brings equal n-grams together, those of one text next to each other, so own counts are lengths of runs.
+    keys, sizes = np.concatenate([*block.keys, [EMPTY]]), [len(k) for k in block.keys]
+    block.keys.clear()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    other = np.concatenate(([True], keys[1:] != keys[:-1]))
+    del keys
+    owner = np.concatenate([*[block.owner[at] for at in block.at], [-1]]).astype(np.int32)[order]
+    own = np.flatnonzero(other | np.concatenate(([True], owner[1:] != owner[:-1])))
+    del owner
+    place = np.cumsum(other, dtype=np.int32)
+    place -= 1
+    net = totals[place]
+    del place, other
+    everything = int(net[np.flatnonzero(order == len(order) - 1)[0]])
+    times = np.diff(own, append=len(order)).astype(np.int32)
+    net -= np.repeat(times, times)
+    np.maximum(net, 0, out=net)
+    counts = np.empty(len(order), dtype=np.int64)
+    counts[order] = net
+    del net, order, own, times
+    parts = np.split(counts[:-1], np.cumsum(sizes)[:-1])
+    rest = np.maximum(everything - np.diff(block.base), 1)[block.owner]
+    score = np.where(parts[0] > 0, parts[0], 1) / rest  # a word that no other text has counts once
+    stepped = parts[0] == 0 if s.order == 1 else np.zeros(words, dtype=bool)
+    before = parts[0]  # by first word
+    for n in range(2, s.order + 1):
+        at, full = block.at[n - 1], parts[n - 1]
+        last, context = at + (n - 1), before[at]
+        score[last] *= s.alpha
         hit = (full > 0) & (context > 0)
-        best = best * np.where(np.arange(n) >= order - 1, s.alpha, 1.0)
-        best[at[hit]] = full[hit] / context[hit]
-        stepped[at] = ~hit if order == s.order else stepped[at]
-    if s.order == 1:
-        stepped = single == 0
-    return float(np.log2(best).sum()), int(stepped[min(s.order - 1, n) :].sum())
+        score[last[hit]] = full[hit] / context[hit]
+        if n == s.order:
+            stepped[last] = ~hit
+        before = np.zeros(words, dtype=np.int64)
+        before[at] = full
+    return np.bincount(block.owner, np.log2(score), docs), np.bincount(block.owner[stepped], minlength=docs)
 
 
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -93,12 +137,13 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     parts = max(1, math.ceil(size / 6 * settings.order / settings.part_grams))  # about as many words as a sixth of the bytes
     # A hash of the whole row, so that only rows equal in everything stay together; their n-grams are listed once.
     whole = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    dealt = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.pmod(F.xxhash64(*whole), F.lit(blocks)).cast("int").alias("block"))
+    dealt = docs.select(F.col("doc_id").cast("long"), ended().alias("text"), F.pmod(F.xxhash64(*whole), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        keys = [k for c in table.column("text").chunks for data in texts(c) for k in keys_of(word_hashes(data), settings.order)]
-        known, counts = np.unique(np.concatenate(keys), return_counts=True)
+        found = block_of(table.column("text"), settings.order)
+        known, counts = np.unique(np.concatenate([*found.keys, [EMPTY]]), return_counts=True)
+        counts[np.searchsorted(known, EMPTY)] += len(found.owner) - 1
         bounds = np.searchsorted(known >> U(32), -(-np.arange(parts + 1, dtype=np.int64) * (1 << 24) // parts).astype(U))
         out: dict[str, list] = {x: [] for x in ("part", "block", "size", "grams", "counts")}
         for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -123,15 +168,12 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return pa.table({"block": table.column("block"), "part": table.column("part"), "size": table.column("size"), "totals": pa.array(replies, pa.binary())})
 
     def combine(own: pa.Table, replies: pa.Table) -> pa.Table:
-        data = [d for c in own.column("text").chunks for d in texts(c)]
-        words = [word_hashes(d) for d in data]
-        known = np.unique(np.concatenate([k for w in words for k in keys_of(w, settings.order)])) if words else np.zeros(0, dtype=U)
         replies = replies.sort_by("part")
         totals = [unpack(t.as_py(), n) for t, n in zip(replies.column("totals"), replies.column("size").to_pylist(), strict=True)]
-        totals = np.concatenate(totals) if totals else np.zeros(0, dtype=np.int64)
-        found = [document_score(w, known, totals, settings) if len(w) else (0.0, 0) for w in words]
-        sizes = [len(w) for w in words]
-        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array([f[0] for f in found], pa.float64()), "mean_score": pa.array([f[0] / n if n else 0.0 for f, n in zip(found, sizes, strict=True)], pa.float64()), "backed_off": pa.array([f[1] for f in found], pa.int64())})
+        block = block_of(own.column("text"), settings.order)
+        scores, backed = block_scores(block, np.concatenate(totals).astype(np.int64), settings)
+        sizes = np.diff(block.base)
+        return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(sizes), "score": pa.array(scores), "mean_score": pa.array(scores / np.maximum(sizes, 1)), "backed_off": pa.array(backed)})
 
     asked = dealt.groupBy("block").applyInArrow(ask, "part int, block int, size int, grams binary, counts binary")
     replies = asked.groupBy("part").applyInArrow(answer, "block int, part int, size int, totals binary")
