@@ -16,7 +16,7 @@ from ledgerline.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHOSEN = ["A08_npl_ratio_trend", "P24_financial_ratios", "J07_asof_join", "J08_interval_join", "A18_column_profile", "W16_cap_table_segments", "W20_composite_score", "C01_abt_pd", "C24_decision", "Q16_shares_sum_to_one", "G12_circular_payment_flag", "M07_roc_auc", "D16_best_fact"]
+CHOSEN = ["A08_npl_ratio_trend", "P24_financial_ratios", "J07_asof_join", "J08_interval_join", "A18_column_profile", "W16_cap_table_segments", "W20_composite_score", "C01_abt_pd", "C24_decision", "Q16_shares_sum_to_one", "G12_circular_payment_flag", "M07_roc_auc", "D16_best_fact", "A04_median_by", "M18_psi", "G14_pit_graph_features", "G17_ownership_depth", "G19_ego_subgraph", "D09_hybrid_search", "M35_decile_stratified_split", "S10_write_jdbc"]
 
 
 def plain(v):
