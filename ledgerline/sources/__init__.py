@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,10 +26,14 @@ def read_table(spark: SparkSession, root: str, layer: str, name: str, columns: S
 
 
 def write_table(df: DataFrame, root: str, layer: str, name: str) -> int:
-    """Overwrites a Parquet table of a layer; returns its rows, counted while it is written."""
-    seen = Observation(f"{layer}.{name}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{root}/{layer}/{name}")
-    return int(seen.get["rows"])
+    """Overwrites a Parquet table of a layer; returns its rows, read from the footers of the files.
+
+    Rows are not observed while they are written: once a session has observed anything, Spark 4.1 can't send a logistic
+    model that was fitted in it to its tasks (the model's training summary holds the session).
+    """
+    path = f"{root}/{layer}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

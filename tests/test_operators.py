@@ -17,6 +17,7 @@ from ledgerline.operators import graph as G
 from ledgerline.operators import model as M
 from ledgerline.operators import quantiles as Q
 from ledgerline.operators import windows as V
+from ledgerline.sources import write_table
 
 
 def test_quantiles_over_many_ranges(spark, monkeypatch):
@@ -140,10 +141,11 @@ def test_resamples_are_the_same_again_and_centred(spark):
         assert abs(found.mean() - full) < 0.01 and 0.01 < found.std() < 0.06
 
 
-def test_folds_fit_and_calibration(spark):
+def test_folds_fit_and_calibration(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, i % 60, float(y + rng.gauss(0, 1)), rng.choice((None, 1.0, 2.0)), y) for i in range(600) for y in (int(rng.random() < 0.3),)]
     df = spark.createDataFrame(rows, "id int, g int, a double, b double, y int")
+    write_table(df, str(tmp_path), "gold", "rows")  # a write before must not keep models from being sent to tasks
     folds = G.cut(E.group_folds(df, "g", "y", 3))
     sizes = Counter(r.fold for r in folds.collect())
     assert set(sizes.values()) == {20} and folds.select("g").distinct().count() == 60
