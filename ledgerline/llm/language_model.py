@@ -23,7 +23,7 @@ class Settings(NamedTuple):
 
     order: int = 3
     alpha: float = 0.4
-    block_bytes: int = 20_000_000
+    block_bytes: int = 16_000_000
     part_grams: int = 1_500_000
 
 
@@ -79,34 +79,34 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 def block_scores(block: Block, totals: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """For each text the sum of log2 scores of its words, and how many words had to step back.
 
-    totals are the counts of the block's distinct n-grams (and the empty one) in order of their keys.  Counts are those of
+    totals are the counts of the block's distinct n-grams, order by order (the empty one is with the words), each in order
+    of their keys.  Counts are those of
     all documents less the document's own, so that it does not speak for itself.  The block's keys are used up.
     """
     docs, words = len(block.base) - 1, len(block.owner)
     if not words:
         return np.zeros(docs), np.zeros(docs, dtype=np.int64)
-    # One stable sort brings equal n-grams together, those of one text next to each other, so own counts are lengths of runs.
-    keys, sizes = np.concatenate([*block.keys, [EMPTY]]), [len(k) for k in block.keys]
-    block.keys.clear()
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    other = np.concatenate(([True], keys[1:] != keys[:-1]))
-    del keys
-    owner = np.concatenate([*[block.owner[at] for at in block.at], [-1]]).astype(np.int32)[order]
-    own = np.flatnonzero(other | np.concatenate(([True], owner[1:] != owner[:-1])))
-    del owner
-    place = np.cumsum(other, dtype=np.int32)
-    place -= 1
-    net = totals[place]
-    del place, other
-    everything = int(net[np.flatnonzero(order == len(order) - 1)[0]])
-    times = np.diff(own, append=len(order)).astype(np.int32)
-    net -= np.repeat(times, times)
-    np.maximum(net, 0, out=net)
-    counts = np.empty(len(order), dtype=np.int64)
-    counts[order] = net
-    del net, order, own, times
-    parts = np.split(counts[:-1], np.cumsum(sizes)[:-1])
+    parts, done, everything = [], 0, 0
+    for n in range(s.order):  # order by order, so that little stands in memory at once
+        keys, owner = block.keys[n], block.owner[block.at[n]]
+        block.keys[n] = np.zeros(0, dtype=U)
+        if n == 0:
+            keys, owner = np.append(keys, EMPTY), np.append(owner, np.int32(-1))
+        # A stable sort brings equal n-grams together, those of one text next to each other, so own counts are lengths of runs.
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        other = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
+        own = np.flatnonzero(other | np.concatenate(([True], owner[1:] != owner[:-1]))[: len(keys)])
+        place = np.cumsum(other, dtype=np.int32)
+        net = totals[done + place - 1]
+        done += int(place[-1]) if len(place) else 0
+        if n == 0:
+            everything = int(net[np.flatnonzero(order == len(order) - 1)[0]])
+        times = np.diff(own, append=len(order)).astype(np.int32)
+        net -= np.repeat(times, times)
+        counts = np.empty(len(order), dtype=np.int64)
+        counts[order] = np.maximum(net, 0, out=net)
+        parts.append(counts[:words] if n == 0 else counts)
     rest = np.maximum(everything - np.diff(block.base), 1)[block.owner]
     score = np.where(parts[0] > 0, parts[0], 1) / rest  # a word that no other text has counts once
     stepped = parts[0] == 0 if s.order == 1 else np.zeros(words, dtype=bool)
@@ -134,7 +134,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, math.ceil(size / settings.block_bytes))
-    parts = max(1, math.ceil(size / 6 * settings.order / settings.part_grams))  # about as many words as a sixth of the bytes
+    parts = max(1, math.ceil(size / 6 / settings.part_grams))  # of each order: about as many words as a sixth of the bytes
     # A hash of the whole row, so that only rows equal in everything stay together; their n-grams are listed once.
     whole = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     dealt = docs.select(F.col("doc_id").cast("long"), ended().alias("text"), F.pmod(F.xxhash64(*whole), F.lit(blocks)).cast("int").alias("block"))
@@ -142,14 +142,19 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         found = block_of(table.column("text"), settings.order)
-        known, counts = np.unique(np.concatenate([*found.keys, [EMPTY]]), return_counts=True)
-        counts[np.searchsorted(known, EMPTY)] += len(found.owner) - 1
-        bounds = np.searchsorted(known >> U(32), -(-np.arange(parts + 1, dtype=np.int64) * (1 << 24) // parts).astype(U))
         out: dict[str, list] = {x: [] for x in ("part", "block", "size", "grams", "counts")}
-        for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if b > a:
+        for n in range(settings.order):
+            keys = found.keys[n] if n else np.append(found.keys[0], EMPTY)
+            found.keys[n] = np.zeros(0, dtype=U)
+            known, counts = np.unique(keys, return_counts=True)
+            if n == 0:
+                counts[np.searchsorted(known, EMPTY)] += len(found.owner) - 1
+            bounds = np.searchsorted(known >> U(32), -(-np.arange(parts + 1, dtype=np.int64) * (1 << 24) // parts).astype(U))
+            for part, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if b <= a:
+                    continue
                 steps = np.diff(known[a:b], prepend=U(0))
-                for name, value in zip(out, (part, block, b - a, int(steps[0]).to_bytes(8, "little") + pack(steps[1:]) if b - a > 1 else int(steps[0]).to_bytes(8, "little"), pack(counts[a:b])), strict=True):
+                for name, value in zip(out, (n * parts + part, block, b - a, int(steps[0]).to_bytes(8, "little") + pack(steps[1:]) if b - a > 1 else int(steps[0]).to_bytes(8, "little"), pack(counts[a:b])), strict=True):
                     out[name].append(value)
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.int32()), "size": pa.array(out["size"], pa.int32()), "grams": pa.array(out["grams"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
