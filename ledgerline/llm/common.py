@@ -53,13 +53,14 @@ def ended(name: str = "text") -> Column:
     return F.concat(text_or_empty(name), F.lit("\n"))
 
 
-def marked(names: DataFrame, name: str, most_bits: int = 1 << 27) -> np.ndarray:
+def marked(names: DataFrame, name: str, most_bits: int = 1 << 27, exact: bool = False) -> np.ndarray:
     """Bits that are set where the values of a long column fall, as an array of bytes of at most most_bits / 8 (16 MB).
 
     About 16 bits a value while they fit, so that a task that knows the bits passes over nearly all other values before
-    they reach Spark.  It is only a first sieve: a join with the values themselves has to follow.
+    they reach Spark.  It is only a first sieve: a join with the values themselves has to follow.  If exact, it is most_bits
+    long, whatever the values.
     """
-    bits = 1 << max(10, min(most_bits.bit_length() - 1, (16 * names.count()).bit_length()))
+    bits = most_bits if exact else 1 << max(10, min(most_bits.bit_length() - 1, (16 * names.count()).bit_length()))
     place = names.select(F.pmod(F.col(name), F.lit(bits)).cast("int").alias("p"))
     words = place.selectExpr("p div 32 AS w", "shiftleft(1L, p % 32) AS b")
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
