@@ -20,22 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ledgerline.llm.arrays import U, _LOWER, _TURN, _VALUE, _VALUE_LOWER, chunks, list_array, mix, signed, span_hashes
+from ledgerline.llm.arrays import U, _LOWER, _TURN, _VALUE, _VALUE_LOWER, chunks, mix, signed, span_hashes
 from ledgerline.llm.common import cut, ended, is_marked, marked
 
 RESULT = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 class Settings(NamedTuple):
-    """Longest phrase, least count, size of the sample (per cent of documents) and how far its threshold is lowered,
-    what a longer phrase must reach (per cent) to stand for one inside, how many are listed, bits of the table, keys held by a task.
+    """Longest phrase, least count, size of the sample (per cent of documents), how far its threshold is
+    lowered, how many are listed, bits of the table, keys held by a task.
     """
 
     longest: int = 5
     least: int = 100
     sample: int = 10
     lowered: float = 0.6
-    covered: int = 100
     top: int = 2000
     bits: int = 1 << 27
     held: int = 2_000_000
@@ -94,35 +93,36 @@ def lang_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class Tally:
-    """Counts of keys, merged as they come; what a task holds is bounded, as the counts are handed on when they are many."""
+    """Counts of keys and the largest spot of each, merged as they come; what a task holds is bounded, as it hands them on when they are many."""
 
     def __init__(self, held: int) -> None:
         self.held, self.waiting, self.size = held, [], 0
 
-    def add(self, keys: np.ndarray, times: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def add(self, keys: np.ndarray, times: np.ndarray, spots: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if len(keys):
-            self.waiting.append(np.unique(keys, return_counts=True) if times is None else (keys, times))
+            self.waiting.append(merged(keys, times, spots))
             self.size += len(self.waiting[-1][0])
         if self.size > 2 * self.held:
-            keys, times = self.merge()
-            if len(keys) > self.held:
-                yield keys, times
+            whole = self.all()
+            if len(whole[0]) > self.held:
+                yield whole
             else:
-                self.waiting, self.size = [(keys, times)], len(keys)
+                self.waiting, self.size = [whole], len(whole[0])
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.waiting:
-            return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64)
-        keys, times = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        self.waiting, self.size = [], 0
-        order = np.argsort(keys, kind="stable")
-        keys, times = keys[order], times[order]
-        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[new], np.add.reduceat(times, new)
+    def all(self) -> tuple[np.ndarray, ...]:
+        waiting, self.waiting, self.size = self.waiting, [], 0
+        return merged(*(np.concatenate(x) for x in zip(*waiting, strict=True))) if waiting else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+
+
+def merged(keys: np.ndarray, times: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[new], np.add.reduceat(times[order], new), np.maximum.reduceat(spots[order], new)
 
 
 def counted(texts_of: DataFrame, s: Settings, table: np.ndarray | None = None, before: np.ndarray | None = None) -> DataFrame:
-    """(key, times): how often each phrase occurs, and, under the key of no words, how many words each language has.
+    """(key, times, spot): how often each phrase occurs, with the spot of a text that holds it; under the key of no words, how many words a language has.
 
     With a table only phrases whose two parts are marked in it, and every word; with another one of before, only those
     that it did not mark so, and no words.
@@ -132,14 +132,15 @@ def counted(texts_of: DataFrame, s: Settings, table: np.ndarray | None = None, b
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, table, before = Tally(s.held), now.value, old.value
-        out = lambda found: pa.RecordBatch.from_arrays([pa.array(signed(found[0])), pa.array(found[1])], names=["key", "times"])
+        out = lambda found: pa.RecordBatch.from_arrays([pa.array(signed(found[0])), pa.array(found[1]), pa.array(found[2])], names=["key", "times", "spot"])
         for batch in batches:
             numbers, codes, _ = lang_numbers(batch.column(0))
+            places = batch.column(2).to_numpy()
             for at, data, bounds in chunks(batch.column(1)):
                 words = words_of(data, bounds)
-                own = numbers[at:][words.owner]
+                own, spots = numbers[at:][words.owner], places[at:][words.owner]
                 if before is None:
-                    yield from map(out, tally.add(key_of(codes, 0), np.array([np.count_nonzero(own == c) for c in codes], dtype=np.int64)))
+                    yield from map(out, tally.add(key_of(codes, 0), np.array([np.count_nonzero(own == c) for c in codes], dtype=np.int64), np.zeros(len(codes), dtype=np.int32)))
                 parts = parts_before = None
                 for k, (keys, whole) in enumerate(keys_of(words, numbers[at:], s.longest), 1):
                     some = whole
@@ -149,21 +150,22 @@ def counted(texts_of: DataFrame, s: Settings, table: np.ndarray | None = None, b
                     if before is not None:
                         some = some & ~(parts_before[:-1] & parts_before[1:]) if k > 1 else np.zeros(len(keys), dtype=bool)
                         parts_before = whole & is_marked(before, keys)
-                    yield from map(out, tally.add(keys[some]))
-        yield out(tally.merge())
+                    some = np.flatnonzero(some)
+                    yield from map(out, tally.add(keys[some], np.ones(len(some), dtype=np.int64), spots[some]))
+        yield out(tally.all())
 
-    return texts_of.select("lang", "text").mapInArrow(rows, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    return texts_of.select("lang", "text", "spot").mapInArrow(rows, "key long, times long, spot int").groupBy("key").agg(F.sum("times").alias("times"), F.max("spot").alias("spot"))
 
 
 def frequent(texts_of: DataFrame, s: Settings) -> DataFrame:
-    """(key, times) of all phrases up to the longest that occur `least` times in texts_of (row, lang, text), and of no words.
+    """(key, times, spot) of all phrases up to the longest that occur `least` times in texts_of (lang, text, spot), and of no words.
 
     Bits are only ever added to the table, so a phrase was counted by an earlier pass if and only if both its parts were
     marked then.  When no frequent phrase that could be a part is unmarked, all phrases with two frequent parts have been
     counted, and no other phrase can be frequent.
     """
-    dealt = F.pmod(F.xxhash64("row", "lang", "text"), F.lit(100)) < s.sample
-    failed = cut(counted(texts_of.where(dealt), s).where(F.col("times") >= s.sample_least).select("key"))
+    sample = texts_of.where(F.pmod("spot", F.lit(100)) < s.sample)
+    failed = cut(counted(sample, s).where(F.col("times") >= s.sample_least).select("key"))
     table, before, found = marked(failed, "key", s.bits), None, []
     while True:
         found.append(cut(counted(texts_of, s, table, before).where(F.col("times") >= s.least)))
@@ -191,36 +193,57 @@ def unmarked(rows: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.select("key").mapInArrow(sieve, "key long")
 
 
+def where(keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """One number for a phrase and the spot of a text."""
+    return mix(keys + spots.astype(np.int64).view(U) * _TURN[0])
+
+
 def spelled(texts_of: DataFrame, phrases: DataFrame, s: Settings) -> DataFrame:
-    """For each of some phrases (key), once: lang, phrase, the language's key, those of the parts at each cut and of the phrases inside."""
-    sieve = texts_of.sparkSession.sparkContext.broadcast(marked(phrases, "key", s.bits))
+    """For each of some phrases (key, spot), once: lang, phrase, the language's key, and those of the parts at each cut.
+
+    Each phrase is read in the text of its spot only, so what is sent grows with the phrases, not with how often they occur.
+    """
+    context = texts_of.sparkSession.sparkContext
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(where(batch.column(0).to_numpy().view(U), batch.column(1).to_numpy())))], names=["there"])
+
+    of_keys = context.broadcast(marked(phrases, "key", s.bits))
+    of_spots = context.broadcast(marked(phrases.select("key", "spot").mapInArrow(keyed, "there long"), "there", s.bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, dtype=U)  # what the task has spelled already; forgotten when it is many, as a repeat does no harm
+        done = [np.zeros(0, dtype=U)] * (s.longest + 1)  # what the task has spelled already; forgotten when it is many, as a repeat does no harm
         for batch in batches:
             numbers, codes, names = lang_numbers(batch.column(0))
+            places = batch.column(2).to_numpy()
             for at, data, bounds in chunks(batch.column(1)):
                 words = words_of(data, bounds)
-                every = list(keys_of(words, numbers[at:], s.longest))
-                raw = _LOWER[data].tobytes()
+                pairs = list(keys_of(words, numbers[at:], s.longest))
+                every = [keys for keys, _ in pairs]
+                raw, spots = _LOWER[data].tobytes(), places[at:][words.owner]
                 for k in range(2, s.longest + 1):
-                    keys, whole = every[k - 1]
-                    some = np.flatnonzero(whole & is_marked(sieve.value, keys))
+                    keys, whole = pairs[k - 1]
+                    some = np.flatnonzero(whole & is_marked(of_keys.value, keys))
+                    some = some[is_marked(of_spots.value, where(keys[some], spots[some]))]
                     own, one = np.unique(keys[some], return_index=True)
-                    new = ~np.isin(own, seen)
-                    own, place = own[new], some[one[new]]
-                    seen = np.union1d(seen, own) if len(seen) < s.held else own
-                    lang = [names[c] for c in np.argmax(numbers[at:][words.owner[place]][:, None] == codes, axis=1).tolist()] if len(own) else []
-                    firsts, ends = (x.tolist() for x in (words.firsts, words.ends))
-                    phrase = [b" ".join(raw[firsts[w] : ends[w]] for w in range(p, p + k)).decode() for p in place.tolist()]
-                    at_cut = lambda parts: [np.array(x) for x in signed(np.stack(parts, axis=1))] if len(own) else []
-                    left, right = at_cut([every[j - 1][0][place] for j in range(1, k)]), at_cut([every[k - j - 1][0][place + j] for j in range(1, k)])
-                    inside = at_cut([every[m - 1][0][place + j] for m in range(2, k) for j in range(k - m + 1)]) if k > 2 else [np.zeros(0, dtype=np.int64)] * len(own)
-                    columns = [pa.array(signed(own)), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(signed(key_of(numbers[at:][words.owner[place]], 0))), *(list_array(x, pa.int64()) for x in (left, right, inside))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "phrase", "total", "left", "right", "inside"])
-
-    kind = "key long, lang string, phrase string, total long, left array<long>, right array<long>, inside array<long>"
-    return texts_of.mapInArrow(rows, kind).join(phrases, "key", "left_semi").dropDuplicates(["key"])
+                    place = some[one]
+                    if len(done[k]):
+                        new = done[k][np.minimum(np.searchsorted(done[k], own), len(done[k]) - 1)] != own
+                        own, place = own[new], place[new]
+                    if not len(own):
+                        continue
+                    done[k] = np.sort(np.concatenate((done[k], own)), kind="stable") if len(done[k]) < s.held else own
+                    langs = numbers[at:][words.owner[place]]
+                    lang = [names[c] for c in np.argmax(langs[:, None] == codes, axis=1).tolist()]
+                    phrase = [b" ".join(raw[a:b].split()).decode() for a, b in zip(words.firsts[place].tolist(), words.ends[place + k - 1].tolist(), strict=True)]
+                    left, right = ([every[j - 1][place] for j in range(1, k)], [every[k - j - 1][place + j] for j in range(1, k)])
+                    offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * (k - 1))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(signed(np.stack(x, axis=1).ravel()))) for x in (left, right)]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(signed(key_of(langs, 0))), *lists], names=["key", "lang", "phrase", "total", "left", "right"])
+
+    kind = "key long, lang string, phrase string, total long, left array<long>, right array<long>"
+    return texts_of.select("lang", "text", "spot").mapInArrow(rows, kind).join(phrases.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -235,16 +258,17 @@ def mine(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Null, empty and wordless texts have no phrases; a null lang is und; a null doc_id only takes part in the choice of the
     sample; repeated rows count each.  Ties of score go to the larger count, then to the smaller phrase in bytes.
     """
-    texts_of = docs.select(F.col("doc_id").cast("string").alias("row"), F.col("lang").cast("string"), ended().alias("text"))
-    counts, texts_of = cut(frequent(texts_of, s)), texts_of.select("lang", "text")
-    several = counts.where(F.col("key").bitwiseAND(F.lit(7)) > 1)
-    phrases = cut(spelled(texts_of, several.select("key"), s))
+    texts_of = docs.select(F.col("lang").cast("string"), ended().alias("text"), F.shiftright(F.xxhash64("doc_id", "lang", "text"), 32).cast("int").alias("spot"))
+    counts = cut(frequent(texts_of, s))
+    phrases = cut(spelled(texts_of, counts.where(F.col("key").bitwiseAND(F.lit(7)) > 1), s))
 
     def count_of(key: str, name: str) -> DataFrame:
         return counts.select(F.col("key").alias(key), F.col("times").alias(name))
 
-    longer = phrases.join(count_of("key", "f"), "key").select(F.explode("inside").alias("key"), "f").groupBy("key").agg(F.max("f").alias("longer"))
-    alone = phrases.join(count_of("key", "a"), "key").join(longer, "key", "left").where(F.coalesce(100 * F.col("longer") < s.covered * F.col("a"), F.lit(True)))
+    # A phrase is as frequent as a longer one around it only if it is so as one with a word more, before or after.
+    inside = F.explode(F.array(F.element_at("left", -1), F.element_at("right", 1)))
+    longer = phrases.join(count_of("key", "f"), "key").select(inside.alias("key"), "f").groupBy("key").agg(F.max("f").alias("longer"))
+    alone = phrases.join(count_of("key", "a"), "key").join(longer, "key", "left").where(F.coalesce(F.col("longer") < F.col("a"), F.lit(True)))
     totals = count_of("total", "n").where(F.col("total").bitwiseAND(F.lit(7)) == 0)
     cuts = alone.join(F.broadcast(totals) if totals.count() <= 100_000 else totals, "total").select("key", "lang", "phrase", "a", "n", F.posexplode(F.arrays_zip("left", "right")).alias("at", "cut"))
     cuts = cuts.select("key", "lang", "phrase", "a", "n", "at", F.col("cut.left").alias("left"), F.col("cut.right").alias("right")).join(count_of("left", "l"), "left").join(count_of("right", "r"), "right")
@@ -275,7 +299,7 @@ def mine_sql(s: Settings = Settings()) -> str:
       SELECT lang, {span("i", "i + m - 1")} AS phrase, max(f) AS longer
       FROM several, range(2, {s.longest}) AS sizes(m), range(1, {s.longest}) AS firsts(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
     alone AS (
-      SELECT s.* FROM several s LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < {s.covered} * s.f),
+      SELECT s.* FROM several s LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR i.longer < s.f),
     cuts AS (
       SELECT a.lang, a.phrase, a.f AS a, x.f AS l, y.f AS r, n, j, (1000 * a.f * n) // (x.f * y.f) AS score
       FROM alone a, range(1, {s.longest}) AS places(j), counts x, counts y, totals t
