@@ -47,97 +47,107 @@ def snapshot(edges: DataFrame, at: Column, weight: str = "w") -> DataFrame:
     return merged.withColumn("w", F.log1p(F.greatest("w", F.lit(0.0))))
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+def both_ways(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return edges.select(*by, F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(edges.select(*by, F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
 
 
-def weighted_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, degree, weighted_degree; zeros for isolated nodes."""
-    sums = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("w").alias("weighted_degree"))
-    return nodes.select("node").join(sums, "node", "left").na.fill(0, ["degree", "weighted_degree"])
+def per_graph(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """df with the columns of a table of one row a graph; of one row in all where there is one graph."""
+    return df.join(table, list(by), "left") if by else df.crossJoin(F.broadcast(table))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """Weighted PageRank on undirected edges; the mass of nodes without edges is spread over all nodes."""
-    n = nodes.count()
-    links = both_ways(edges)
-    out = links.groupBy("src").agg(F.sum("w").alias("total"))
-    links = cut(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
-    ranks = nodes.select("node").join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank"))
-    ranks = cut(ranks)
+def weighted_degree(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """node, degree, weighted_degree; zeros for isolated nodes.  With `by` the columns that tell several graphs apart."""
+    sums = both_ways(edges, by).groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("w").alias("weighted_degree"))
+    return nodes.select(*by, "node").join(sums, [*by, "node"], "left").na.fill(0, ["degree", "weighted_degree"])
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance: float = 1e-6, every: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted PageRank on undirected edges; the mass of nodes without edges is spread over all nodes.
+
+    Rounds end when all graphs have settled (the sum of changes is below the tolerance a node), or after `rounds`, as usual
+    for this measure.  With `by` every round runs over all graphs at once, each of its own size and mass.
+    """
+    sizes = cut(nodes.groupBy(*by).agg(F.count("*").cast("double").alias("n")))
+    links = both_ways(edges, by)
+    out = links.groupBy(*by, "src").agg(F.sum("w").alias("total"))
+    links = cut(links.join(out, [*by, "src"]).select(*by, "src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    ranks = nodes.select(*by, "node").join(out.withColumnRenamed("src", "node"), [*by, "node"], "left").select(*by, "node", F.col("total").isNull().alias("dangling"))
+    ranks = cut(per_graph(ranks, sizes, by).withColumn("rank", 1.0 / F.col("n")))
     for k in range(rounds):
-        loose = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose")))
-        sent = links.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        fresh = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)
-        after = ranks.join(sent, "node", "left").crossJoin(loose).select("node", "dangling", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
+        loose = ranks.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"))
+        sent = links.join(ranks.select(*by, F.col("node").alias("src"), "rank"), [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
+        fresh = (1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        after = per_graph(ranks.join(sent, [*by, "node"], "left"), loose, by).select(*by, "node", "dangling", "n", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved"))
         if (k + 1) % every == 0 or k + 1 == rounds:
             after = cut(after)
-            if after.agg(F.sum("moved")).first()[0] < n * tolerance:
+            if after.groupBy(*by).agg((F.sum("moved") / F.max("n")).alias("m")).agg(F.max("m")).first()[0] < tolerance:
                 ranks = after
                 break
-        ranks = after.select("node", "dangling", "rank")
-    return ranks.select("node", "rank")
+        ranks = after.select(*by, "node", "dangling", "n", "rank")
+    return ranks.select(*by, "node", "rank")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_levels: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 64, most_levels: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """Betweenness from sampled sources (the first by hash), unweighted, scaled as if all nodes were sources.
 
     All levels count; it is an error if there are more than most_levels.
 
-    Breadth-first levels of all sources at once carry the number of shortest paths; dependencies are then added up
-    level by level backwards.
+    Breadth-first levels of all sources (of all graphs, with `by`) at once carry the number of shortest paths;
+    dependencies are then added up level by level backwards.
     """
-    n = nodes.count()
-    chosen = nodes.select(F.col("node").alias("s")).orderBy(F.md5(F.col("s").cast("string")), "s").limit(sources)
-    k = min(sources, n)
-    links = both_ways(edges).select("src", "dst").distinct()
-    level = cut(chosen.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
-    levels, seen = [level], level.select("s", "v")
+    sizes = cut(nodes.groupBy(*by).agg(F.count("*").alias("n")))
+    named, order = nodes.select(*by, F.col("node").alias("s")), [F.md5(F.col("s").cast("string")), F.col("s")]
+    chosen = named.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= sources).drop("_r") if by else named.orderBy(*order).limit(sources)
+    links = both_ways(edges, by).select(*by, "src", "dst").distinct()
+    step = lambda up: up.withColumnRenamed("v", "src").join(links, [*by, "src"])
+    level = cut(chosen.select(*by, "s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
+    levels, seen = [level], level.select(*by, "s", "v")
     for _ in range(most_levels):
-        reached = level.join(links, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = cut(reached.join(seen, ["s", "v"], "left_anti"))
+        reached = step(level).groupBy(*by, "s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        level = cut(reached.join(seen, [*by, "s", "v"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("s", "v"))
+        seen = seen.unionByName(level.select(*by, "s", "v"))
     else:
         raise RuntimeError(f"shortest paths are longer than {most_levels}")
     deltas: list[DataFrame] = []
     lower = levels[-1].withColumn("delta", F.lit(0.0))
     for upper in reversed(levels[:-1]):
         deltas.append(lower)
-        edge = upper.withColumnRenamed("paths", "p_up").join(links, F.col("v") == F.col("src")).select("s", "v", "p_up", F.col("dst").alias("x"))
-        below = lower.select("s", F.col("v").alias("x"), "paths", "delta")
-        gained = edge.join(below, ["s", "x"]).groupBy("s", "v").agg(F.sum(F.col("p_up") / F.col("paths") * (1 + F.col("delta"))).alias("delta"))
-        lower = cut(upper.join(gained, ["s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
+        edge = step(upper.withColumnRenamed("paths", "p_up")).select(*by, "s", F.col("src").alias("v"), "p_up", F.col("dst").alias("x"))
+        below = lower.select(*by, "s", F.col("v").alias("x"), "paths", "delta")
+        gained = edge.join(below, [*by, "s", "x"]).groupBy(*by, "s", "v").agg(F.sum(F.col("p_up") / F.col("paths") * (1 + F.col("delta"))).alias("delta"))
+        lower = cut(upper.join(gained, [*by, "s", "v"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0))))
     total = None
     for d in deltas:
-        part = d.select("v", "delta")
+        part = d.select(*by, F.col("v").alias("node"), "delta")
         total = part if total is None else total.unionByName(part)
-    pairs = max(1, (n - 1) * (n - 2))
-    sums = total.groupBy(F.col("v").alias("node")).agg((F.sum("delta") * n / k / pairs).alias("betweenness")) if total is not None else nodes.select("node", F.lit(0.0).alias("betweenness")).limit(0)
-    return nodes.select("node").join(sums, "node", "left").na.fill(0.0, ["betweenness"])
+    sums = total.groupBy(*by, "node").agg(F.sum("delta").alias("_sum")) if total is not None else nodes.select(*by, "node", F.lit(0.0).alias("_sum")).limit(0)
+    n = F.col("n")
+    scaled = F.coalesce("_sum", F.lit(0.0)) * n / F.least(n, F.lit(sources)) / F.greatest((n - 1) * (n - 2), F.lit(1))
+    return per_graph(nodes.select(*by, "node").join(sums, [*by, "node"], "left"), sizes, by).select(*by, "node", scaled.alias("betweenness"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8, by: Sequence[str] = ()) -> DataFrame:
     """Weighted label propagation: each node takes the label of the most weight around it, its own included, ties to the least.
 
-    It ends after so many rounds, or as soon as two rounds, in which every node had its turn, change no label.
-
-    Only every other node (by hash and round) moves in a round, so that two neighbours don't swap labels for ever.
+    It ends after so many rounds, settled or not, or as soon as two rounds, in which every node had its turn, change no
+    label.  Only every other node (by hash and round) moves in a round, so that two neighbours don't swap labels for ever.
     """
-    links = cut(both_ways(edges))
-    labels = nodes.select("node", F.col("node").alias("label"))
+    links = cut(both_ways(edges, by))
+    labels = nodes.select(*by, "node", F.col("node").alias("label"))
     moved: list[bool] = []
     for k in range(rounds):
-        votes = links.join(labels, F.col("dst") == F.col("node")).groupBy("src", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("src").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
+        votes = links.join(labels.withColumnRenamed("node", "dst"), [*by, "dst"]).groupBy(*by, "src", "label").agg(F.sum("w").alias("w"))
+        best = votes.groupBy(*by, F.col("src").alias("node")).agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
         digit = F.substring(F.md5(F.concat_ws(":", F.col("node").cast("string"), F.lit(str(k // 2)))), 1, 1)
         moves = F.conv(digit, 16, 10).cast("int") % 2 == k % 2
         after = F.when(moves, F.coalesce("best", "label")).otherwise(F.col("label"))
-        labels = cut(labels.join(best, F.col("src") == F.col("node"), "left").select("node", after.alias("label"), (after != F.col("label")).alias("moved")))
+        labels = cut(labels.join(best, [*by, "node"], "left").select(*by, "node", after.alias("label"), (after != F.col("label")).alias("moved")))
         moved.append(labels.where("moved").isEmpty())
-        labels = labels.select("node", "label")
+        labels = labels.select(*by, "node", "label")
         if moved[-2:] == [True, True] and k % 2:
             break
     return labels
@@ -176,52 +186,27 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def cycles(edges: DataFrame, longest: int = 4, most_degree: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 4, most_degree: int = 1000, by: Sequence[str] = ()) -> DataFrame:
     """Nodes on a directed simple cycle of up to four edges.  A cycle is started at its least node only.
 
     Nodes of more than most_degree distinct edges (exchanges, public bodies) take no part, so paths can't square at a hub.
     """
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    hubs = e.select(F.explode(F.array("src", "dst")).alias("h")).groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > most_degree).select("h")
-    e = cut(e.join(hubs, F.col("src") == F.col("h"), "left_anti").join(hubs, F.col("dst") == F.col("h"), "left_anti"))
-    paths = e.where("src < dst").select(F.col("src").alias("n0"), F.col("dst").alias("n1"))
+    e = edges.where("src <> dst").select(*by, "src", "dst").distinct()
+    hubs = e.select(*by, F.explode(F.array("src", "dst")).alias("h")).groupBy(*by, "h").agg(F.count("*").alias("_n")).where(F.col("_n") > most_degree)
+    e = cut(e.join(hubs.select(*by, F.col("h").alias("src")), [*by, "src"], "left_anti").join(hubs.select(*by, F.col("h").alias("dst")), [*by, "dst"], "left_anti").select(*by, "src", "dst"))
+    paths = e.where("src < dst").select(*by, F.col("src").alias("n0"), F.col("dst").alias("n1"))
     found = None
     for k in range(1, longest):
-        last = f"n{k}"
-        closed = paths.join(e, (F.col("src") == F.col(last)) & (F.col("dst") == F.col("n0")), "left_semi").select(F.explode(F.array(*[f"n{i}" for i in range(k + 1)])).alias("node"))
+        names = [f"n{i}" for i in range(k + 1)]
+        closed = paths.join(e.select(*by, F.col("src").alias(f"n{k}"), F.col("dst").alias("n0")), [*by, f"n{k}", "n0"], "left_semi").select(*by, F.explode(F.array(*names)).alias("node"))
         found = closed if found is None else found.unionByName(closed)
         if k + 1 < longest:
             new = F.col("dst")
-            fresh = (new > F.col("n0")) & ~new.isin(*[F.col(f"n{i}") for i in range(1, k + 1)])
-            paths = paths.join(e, F.col("src") == F.col(last)).where(fresh).select(*[f"n{i}" for i in range(k + 1)], new.alias(f"n{k + 1}"))
+            fresh = (new > F.col("n0")) & ~new.isin(*[F.col(x) for x in names[1:]])
+            paths = paths.join(e.withColumnRenamed("src", f"n{k}"), [*by, f"n{k}"]).where(fresh).select(*by, *names, new.alias(f"n{k + 1}"))
     return found.distinct()
 
 
-def embedding(edges: DataFrame, nodes: DataFrame, k: int = 16) -> DataFrame:
-    """(node, emb): the first k left singular vectors of the adjacency times their values, largest value first.
-
-    In each component the entry of the largest size is positive.  Nodes without edges have zeros; the matrix is kept
-    by rows and never on the driver, which only sees k vectors of its width.
-    """
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-    from ledgerline.operators.rows import add_row_id
-
-    numbered = cut(add_row_id(nodes.select("node"), "i", ["node"], 0))
-    n = numbered.count()
-    at = lambda name: numbered.select(F.col("node").alias(name), F.col("i").alias(f"i_{name}"))
-    entries = both_ways(edges).join(at("src"), "src").join(at("dst"), "dst").select("i_src", "i_dst", "w")
-    matrix = CoordinateMatrix(entries.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), n, n).toIndexedRowMatrix()
-    found = matrix.computeSVD(min(k, n - 1), computeU=True)
-    values = [float(x) for x in found.s]
-    rows = found.U.rows.map(lambda r: (r.index, [float(x) * s for x, s in zip(r.vector, values, strict=True)])).toDF("i long, v array<double>")
-    long = rows.select("i", F.posexplode("v").alias("d", "x"))
-    sign = long.groupBy("d").agg(F.signum(F.max_by("x", F.struct(F.abs("x"), -F.col("i")))).alias("sign"))
-    fixed = long.join(F.broadcast(sign), "d").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", (F.col("x") * F.col("sign")).alias("x")))), lambda y: y["x"]).alias("emb"))
-    empty = F.array(*[F.lit(0.0)] * len(values))
-    return numbered.join(fixed, "i", "left").select("node", F.coalesce("emb", empty).alias("emb"))
-
-
 def point_in_time(apps: DataFrame, ties: DataFrame, paid: DataFrame, key: str) -> DataFrame:
     """Per application (key, node, grp, snap) what was known of its node at snap, and nothing later.
 

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window as W
 from ledgerline import functions as L
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import graph as G
+from ledgerline.operators import panel as P
 from ledgerline.operators import relational as J
 from ledgerline.operators import rows as R
+from ledgerline.operators import spectral
 from ledgerline.plans import Register, Tables
 from ledgerline.plans.aggregates import _PAY, payments
 from ledgerline.plans.relational import _BRIDGE, _FIRST, _PAIRS, bridge, first_events
@@ -171,7 +173,7 @@ def G12_circular_payment_flag(t: Tables) -> DataFrame:
 
 @query()
 def G13_spectral_embedding(t: Tables) -> DataFrame:
-    return G.embedding(live(t), nodes(t), 16)
+    return spectral.embedding(live(t), nodes(t), 16)
 
 
 @query(f"""WITH {_PAIRS}, {_FIRST}, {_PAY}, ap AS (SELECT o_orderkey, o_custkey, c_nationkey, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders JOIN customer ON c_custkey = o_custkey), nb AS (SELECT a AS x, b AS y, since FROM pairs UNION ALL SELECT b, a, since FROM pairs),
@@ -189,6 +191,89 @@ def G14_pit_graph_features(t: Tables) -> DataFrame:
     return G.point_in_time(apps, near, paid, "o_orderkey").select("o_orderkey", c("snap").cast("string").alias("snapshot"), "degree", F.round("rate", 6).alias("rate"), "partners", F.round("hhi", 6).alias("hhi"), F.round("group_share", 6).alias("group_share"))
 
 
+def dated(t: Tables) -> DataFrame:
+    """Companies, a supplier being the customer of its number: payments, and ties by what few bought, each valid for a month."""
+    day = F.to_date("paid")
+    paid = payments(t).select("src", "dst", c("amount").alias("w"), day.alias("valid_from"), F.add_months(day, 1).alias("valid_to"), F.lit("pays").alias("rel"))
+    ties = J.colocated_pairs(bridge(t), "hub", "member", "since", 4).select(c("a").alias("src"), c("b").alias("dst"), F.lit(1.0).alias("w"), c("since").alias("valid_from"), F.add_months("since", 1).alias("valid_to"), F.lit("shares").alias("rel"))
+    return paid.unionByName(ties)
+
+
+def applied(t: Tables) -> DataFrame:
+    """Each order as an application of its customer, judged by the last month-end before it."""
+    return t.orders.select("o_orderkey", c("o_custkey").alias("node"), L.previous_month_end("o_orderdate").alias("snap"))
+
+
+def panel(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges at every month-end that an application asks for, every company at each of them, and first defaults."""
+    snaps = G.cut(applied(t).select("snap").distinct())
+    every = t.customer.select(c("c_custkey").alias("node"), F.lit(True).alias("debtor")).unionByName(t.supplier.select(c("s_suppkey").alias("node"), F.lit(False).alias("debtor")))
+    companies = every.groupBy("node").agg(F.bool_or("debtor").alias("debtor"))
+    return G.cut(P.live_at(dated(t), snaps)), G.cut(companies.crossJoin(F.broadcast(snaps))), first_events(t).select(c("k").alias("node"), "event_at")
+
+
+_LIVE = f"""{_PAIRS.replace("<= 20", "<= 4")}, {_FIRST}, {_PAY}, ap AS (SELECT o_orderkey, o_custkey AS node, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders), snaps AS (SELECT DISTINCT snap FROM ap),
+ed AS (SELECT src, dst, amount AS w, paid::DATE AS f, (paid + INTERVAL 1 MONTH)::DATE AS e, 'pays' AS rel FROM pay UNION ALL SELECT a, b, 1.0, since, (since + INTERVAL 1 MONTH)::DATE, 'shares' FROM pairs),
+lv AS MATERIALIZED (SELECT snap, src, dst, w, rel FROM ed JOIN snaps ON f <= snap AND e > snap), sn AS MATERIALIZED (SELECT snap, least(src, dst) AS a, greatest(src, dst) AS b, ln(1 + sum(w)) AS w FROM lv WHERE src <> dst GROUP BY 1, 2, 3),
+bo AS MATERIALIZED (SELECT snap, a AS src, b AS dst, w FROM sn UNION ALL SELECT snap, b, a, w FROM sn), num AS MATERIALIZED (SELECT snap, node, coalesce(event_at <= snap, false) AS bad, c_custkey IS NOT NULL AS debtor FROM (SELECT c_custkey AS node FROM customer UNION SELECT s_suppkey FROM supplier) CROSS JOIN snaps LEFT JOIN customer ON c_custkey = node LEFT JOIN ev ON k = node)"""
+_HHI = "(SELECT snap, {0} AS node, sum(w * w) / (sum(w) * sum(w)) AS {2} FROM (SELECT snap, {0}, {1}, sum(w) AS w FROM lv WHERE rel = 'pays' GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_LIVE}, deg AS (SELECT snap, src AS node, count(*) AS degree, sum(bo.w) AS weighted FROM bo GROUP BY 1, 2), near AS (SELECT snap, src AS node, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS rate FROM bo JOIN (SELECT snap, node AS dst, bad FROM num WHERE debtor) USING (snap, dst) GROUP BY 1, 2),
+tied AS (SELECT snap, node, count(*) AS n FROM (SELECT snap, src AS node FROM lv WHERE rel = 'shares' UNION ALL SELECT snap, dst FROM lv WHERE rel = 'shares') GROUP BY 1, 2), e AS MATERIALIZED (SELECT DISTINCT snap, src AS s, dst AS d FROM lv WHERE rel = 'pays' AND src <> dst),
+two AS MATERIALIZED (SELECT a.snap, a.s AS x, a.d AS y, b.d AS z FROM e a JOIN e b ON a.snap = b.snap AND a.d = b.s), three AS (SELECT p.snap, x, y, z, d AS u FROM two p JOIN e ON e.snap = p.snap AND z = s WHERE x <> z),
+ring AS (SELECT snap, x AS node FROM two WHERE x = z UNION SELECT snap, x FROM three WHERE u = x UNION SELECT p.snap, x FROM three p JOIN e ON e.snap = p.snap AND s = u AND d = x WHERE u <> x AND u <> y),
+own AS (SELECT snap, src AS node, sum(w) AS w FROM lv WHERE rel = 'pays' GROUP BY 1, 2), grp AS (SELECT snap, c_nationkey, sum(w) AS w FROM own JOIN customer ON c_custkey = node GROUP BY 1, 2)
+SELECT o_orderkey, snap::VARCHAR AS snapshot, coalesce(degree, 0) AS degree, round(coalesce(weighted, 0), 5) AS weighted_degree, round(h.hhi, 6) AS supplier_hhi, round(i.hhi, 6) AS buyer_hhi, round(rate, 6) AS neighbour_default_rate, coalesce(tied.n, 0) AS shared_attribute_degree, ring.node IS NOT NULL AS circular_payment_flag, round(coalesce(own.w / grp.w, 0), 6) AS group_share
+FROM ap JOIN customer ON c_custkey = ap.node LEFT JOIN deg USING (snap, node) LEFT JOIN {_HHI.format("src", "dst", "hhi")} h USING (snap, node) LEFT JOIN {_HHI.format("dst", "src", "hhi")} i USING (snap, node) LEFT JOIN near USING (snap, node) LEFT JOIN tied USING (snap, node) LEFT JOIN ring USING (snap, node) LEFT JOIN own USING (snap, node) LEFT JOIN grp USING (snap, c_nationkey)""")
+def G14_snapshot_panel(t: Tables) -> DataFrame:
+    """For each application what the graph of its month-end says of its company without iterating, and its share of its nation's payments."""
+    live_, every, defaults = panel(t)
+    own = live_.where("rel = 'pays'").groupBy("snap", c("src").alias("node")).agg(F.sum("w").alias("own"))
+    home = t.customer.select(c("c_custkey").alias("node"), "c_nationkey")
+    group = own.join(home, "node").groupBy("snap", "c_nationkey").agg(F.sum("own").alias("whole"))
+    rows = applied(t).join(home, "node").join(P.direct_metrics(live_, every, defaults, "pays", "shares"), ["snap", "node"], "left").join(own, ["snap", "node"], "left").join(group, ["snap", "c_nationkey"], "left")
+    share = F.coalesce(c("own") / L.null_if_zero("whole"), F.lit(0.0))
+    rounded = [F.round(x, 6).alias(x) for x in ("supplier_hhi", "buyer_hhi", "neighbour_default_rate")]
+    return rows.select("o_orderkey", c("snap").cast("string").alias("snapshot"), "degree", F.round("weighted_degree", 5).alias("weighted_degree"), *rounded, "shared_attribute_degree", "circular_payment_flag", F.round(share, 6).alias("group_share"))
+
+
+def _panel_ranks(rounds: int = 50, turns: int = 8, levels: int = 12, sources: int = 64) -> str:
+    """PageRank, label propagation and betweenness of all month-ends in SQL, round by round."""
+    steps = ["size AS (SELECT snap, count(*)::DOUBLE AS n FROM num GROUP BY 1), tot AS MATERIALIZED (SELECT snap, src, sum(w) AS t FROM bo GROUP BY 1, 2), lk AS MATERIALIZED (SELECT snap, src, dst, w / t AS p FROM bo JOIN tot USING (snap, src))"]
+    steps.append("r0 AS MATERIALIZED (SELECT num.snap, node, n, t IS NULL AS loose, 1 / n AS r FROM num JOIN size USING (snap) LEFT JOIN tot ON tot.snap = num.snap AND src = node)")
+    for k in range(1, rounds + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT x.snap, node, n, loose, 0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(m, 0) / n) AS r FROM r{k - 1} x LEFT JOIN (SELECT lk.snap, dst, sum(p * r) AS got FROM lk JOIN r{k - 1} y ON y.snap = lk.snap AND y.node = src GROUP BY 1, 2) g ON g.snap = x.snap AND g.dst = node LEFT JOIN (SELECT snap, sum(r) AS m FROM r{k - 1} WHERE loose GROUP BY 1) o ON o.snap = x.snap)")
+    steps.append("l0 AS MATERIALIZED (SELECT snap, node, node AS label FROM num)")
+    for k in range(turns):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT l.snap, node, CASE WHEN ('0x' || substr(md5(node || ':{k // 2}'), 1, 1))::INTEGER % 2 = {k % 2} THEN coalesce(best, label) ELSE label END AS label FROM l{k} l LEFT JOIN (SELECT snap, src, arg_max(label, (w, -label)) AS best FROM (SELECT bo.snap, src, label, sum(w) AS w FROM bo JOIN l{k} y ON y.snap = bo.snap AND y.node = dst GROUP BY 1, 2, 3) GROUP BY 1, 2) b ON b.snap = l.snap AND src = node)")
+    steps.append(f"v0 AS MATERIALIZED (SELECT snap, node AS s, node AS v, 1.0::DOUBLE AS paths FROM num QUALIFY row_number() OVER (PARTITION BY snap ORDER BY md5(node::VARCHAR), node) <= {sources}), w0 AS MATERIALIZED (SELECT snap, s, v FROM v0)")
+    for k in range(1, levels + 1):
+        steps.append(f"v{k} AS MATERIALIZED (SELECT * FROM (SELECT x.snap, s, dst AS v, sum(paths) AS paths FROM v{k - 1} x JOIN bo ON bo.snap = x.snap AND src = v GROUP BY 1, 2, 3) ANTI JOIN w{k - 1} USING (snap, s, v)), w{k} AS MATERIALIZED (SELECT * FROM w{k - 1} UNION ALL SELECT snap, s, v FROM v{k})")
+    steps.append(f"d{levels} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS delta FROM v{levels})")
+    for k in range(levels - 1, 0, -1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT u.*, coalesce(g.delta, 0) AS delta FROM v{k} u LEFT JOIN (SELECT a.snap, a.s, a.v, sum(a.paths / b.paths * (1 + b.delta)) AS delta FROM v{k} a JOIN bo ON bo.snap = a.snap AND src = a.v JOIN d{k + 1} b ON b.snap = a.snap AND b.s = a.s AND b.v = dst GROUP BY 1, 2, 3) g ON g.snap = u.snap AND g.s = u.s AND g.v = u.v)")
+    every = " UNION ALL ".join(f"SELECT snap, v, delta FROM d{k}" for k in range(1, levels + 1))
+    return f"""WITH {_LIVE}, {', '.join(steps)}, bt AS (SELECT snap, v AS node, sum(delta) AS total FROM ({every}) GROUP BY 1, 2), cr AS (SELECT l.snap, label, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS rate FROM l{turns} l JOIN num USING (snap, node) WHERE debtor GROUP BY 1, 2)
+    SELECT o_orderkey, snap::VARCHAR AS snapshot, label AS community, round(rate, 6) AS community_default_rate, round(r, 9) AS pagerank, round(coalesce(total, 0) * n / least({sources}, n) / greatest(1, (n - 1) * (n - 2)), 9) AS betweenness
+    FROM ap JOIN r{rounds} USING (snap, node) JOIN l{turns} USING (snap, node) LEFT JOIN cr USING (snap, label) LEFT JOIN bt USING (snap, node)"""
+
+
+@query(_panel_ranks())
+def G14_snapshot_ranks(t: Tables) -> DataFrame:
+    """For each application its company's community, PageRank and betweenness in the graph of its month-end."""
+    found = P.iterated_metrics(*panel(t), tolerance=0.0)
+    rounded = [F.round(x, k).alias(x) for x, k in (("community_default_rate", 6), ("pagerank", 9), ("betweenness", 9))]
+    return applied(t).join(found, ["snap", "node"]).select("o_orderkey", c("snap").cast("string").alias("snapshot"), "community", *rounded)
+
+
+@query()
+def G14_snapshot_embeddings(t: Tables) -> DataFrame:
+    """For each application its company's row of the leading singular vectors of its month-end's graph."""
+    live_, every, _ = panel(t)
+    return applied(t).join(P.embeddings(live_, every), ["snap", "node"]).select("o_orderkey", c("snap").cast("string").alias("snapshot"), "emb")
+
+
 def _least(rounds: int) -> str:
     """The least node that so many steps reach, in SQL."""
     steps = ["m0 AS MATERIALIZED (SELECT DISTINCT s AS node, s AS root FROM bo)"]
