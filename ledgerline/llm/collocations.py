@@ -199,7 +199,7 @@ def where(keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
 
 def spelled(texts_of: DataFrame, phrases: DataFrame, s: Settings) -> DataFrame:
-    """For each of some phrases (key, spot), once: lang, phrase, the language's key, and those of the parts at each cut.
+    """For each of some phrases (key, times, spot), once: times as a, lang, phrase, the language's key, and those of the parts at each cut.
 
     Each phrase is read in the text of its spot only, so what is sent grows with the phrases, not with how often they occur.
     """
@@ -243,7 +243,9 @@ def spelled(texts_of: DataFrame, phrases: DataFrame, s: Settings) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(signed(key_of(langs, 0))), *lists], names=["key", "lang", "phrase", "total", "left", "right"])
 
     kind = "key long, lang string, phrase string, total long, left array<long>, right array<long>"
-    return texts_of.select("lang", "text", "spot").mapInArrow(rows, kind).join(phrases.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    # Spelled and counted rows of a key meet in one group; what only a bit has let through has no count.
+    found = texts_of.select("lang", "text", "spot").mapInArrow(rows, kind).unionByName(phrases.select("key", F.col("times").alias("a")), allowMissingColumns=True)
+    return found.groupBy("key").agg(*[F.max(x).alias(x) for x in ("a", "lang", "phrase", "total", "left", "right")]).where("a is not null and phrase is not null")
 
 
 def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -267,8 +269,8 @@ def mine(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     # A phrase is as frequent as a longer one around it only if it is so as one with a word more, before or after.
     inside = F.explode(F.array(F.element_at("left", -1), F.element_at("right", 1)))
-    longer = phrases.join(count_of("key", "f"), "key").select(inside.alias("key"), "f").groupBy("key").agg(F.max("f").alias("longer"))
-    alone = phrases.join(count_of("key", "a"), "key").join(longer, "key", "left").where(F.coalesce(F.col("longer") < F.col("a"), F.lit(True)))
+    longer = phrases.select(inside.alias("key"), "a").groupBy("key").agg(F.max("a").alias("longer"))
+    alone = phrases.join(longer, "key", "left").where(F.coalesce(F.col("longer") < F.col("a"), F.lit(True)))
     totals = count_of("total", "n").where(F.col("total").bitwiseAND(F.lit(7)) == 0)
     cuts = alone.join(F.broadcast(totals) if totals.count() <= 100_000 else totals, "total").select("key", "lang", "phrase", "a", "n", F.posexplode(F.arrays_zip("left", "right")).alias("at", "cut"))
     cuts = cuts.select("key", "lang", "phrase", "a", "n", "at", F.col("cut.left").alias("left"), F.col("cut.right").alias("right")).join(count_of("left", "l"), "left").join(count_of("right", "r"), "right")
