@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ledgerline import functions as L
 from ledgerline.operators import aggregates as A
 from ledgerline.operators import evaluate as E
+from ledgerline.operators import features as N
 from ledgerline.operators import graph as G
 from ledgerline.operators import model as M
 from ledgerline.operators import quantiles as Q
@@ -327,3 +328,45 @@ def M37_score_latest_from_history(t: Tables) -> DataFrame:
     rows = panel(t).withColumns({"worst": F.max("errors").over(by_day().rowsBetween(-2, 0)), "dn": F.coalesce(c("n") - F.lag("n").over(by_day()), F.lit(0))})
     last = J.keep_first(rows, ["k"], [c("day").desc()])
     return last.select("k", c("day").cast("string").alias("day"), F.round(1 / (1 + F.exp(-(-2 + 0.5 * c("worst") + 0.1 * c("dn")))), 8).alias("score"))
+
+
+FEATURES = (
+    N.Feature("fin_sales", aliases=("sales", "revenue")),
+    N.Feature("fin_cost", aliases=("cost",)),
+    N.Feature("fin_lines", "integer", ("line_count",)),
+    N.Feature("fin_margin_to_tax", needs=("fin_margin", "tax_rate"), formula="try_divide(fin_margin, tax_rate)"),
+    N.Feature("fin_margin", needs=("fin_profit", "fin_sales"), formula="try_divide(fin_profit, fin_sales)"),
+    N.Feature("fin_profit", needs=("fin_sales", "fin_cost"), formula="fin_sales - fin_cost"),
+    N.Feature("fin_loss", "boolean", needs=("fin_profit",), formula="if(fin_profit < 0, 1, 0)"),
+)
+
+
+def order_facts(t: Tables) -> DataFrame:
+    """Facts of each order from its lines under names that differ, some of them set by hand or read as the feature itself."""
+    k, lines = c("l_orderkey"), t.lineitem
+    sums = lines.groupBy(k).agg(F.round(F.sum("l_extendedprice"), 2).alias("sales"), F.round(F.sum(c("l_extendedprice") * c("l_discount")) * 18, 4).alias("cost"), F.round(F.avg("l_tax"), 6).alias("tax"), F.count("*").cast("double").alias("lines"))
+    row = lambda layer, name, value, where=None: F.struct(F.lit(layer).alias("layer"), (F.lit(name) if isinstance(name, str) else name).alias("name"), (value if where is None else F.when(where, value)).cast("double").alias("value"))
+    every = F.array(
+        row("fact", F.when(k % 3 == 0, F.lit("Revenue")).otherwise("sales"), c("sales")), row("fact", "COST", c("cost")), row("fact", "Tax Rate", c("tax")), row("fact", "line-count", c("lines"), k % 2 == 0),
+        row("manual_feature", "fin_margin", F.lit(0.5), k % 7 == 0), row("manual", "fin_cost", F.lit(1.0), k % 5 == 0), row("direct", "fin_sales", F.lit(1000.0), k % 11 == 0), row("fact", "fin_profit", F.lit(-1.0), k % 13 == 0),
+    )
+    return sums.select(k, F.inline(every)).where("value is not null")
+
+
+_STORE = """WITH s AS (SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS sales, round(sum(l_extendedprice * l_discount) * 18, 4) AS cost, round(avg(l_tax), 6) AS tax, count(*) AS lines FROM lineitem GROUP BY 1),
+a AS (SELECT k, tax, CASE WHEN k % 11 = 0 THEN 1000.0 ELSE sales END AS sales, CASE WHEN k % 11 = 0 THEN 'direct' WHEN k % 3 = 0 THEN 'alias revenue' ELSE 'alias sales' END AS s1, CASE WHEN k % 5 = 0 THEN 1.0 ELSE cost END AS cost, CASE WHEN k % 5 = 0 THEN 'manual fact' ELSE 'alias cost' END AS s2, CASE WHEN k % 2 = 0 THEN lines END AS lines FROM s),
+b AS (SELECT *, CASE WHEN k % 13 = 0 THEN -1.0 ELSE sales - cost END AS profit, CASE WHEN k % 13 = 0 THEN 'fact' ELSE 'formula' END AS s3 FROM a), d AS (SELECT *, CASE WHEN k % 7 = 0 THEN 0.5 ELSE profit / nullif(sales, 0) END AS margin, CASE WHEN k % 7 = 0 THEN 'manual feature' ELSE 'formula' END AS s4 FROM b),
+u AS (SELECT k, 'fin_sales' AS feature, sales::DOUBLE AS value, s1 AS source FROM d UNION ALL SELECT k, 'fin_cost', cost, s2 FROM d UNION ALL SELECT k, 'fin_lines', lines, 'alias line_count' FROM d UNION ALL SELECT k, 'fin_profit', profit, s3 FROM d UNION ALL SELECT k, 'fin_margin', margin, s4 FROM d UNION ALL SELECT k, 'fin_margin_to_tax', margin / nullif(tax, 0), 'formula' FROM d UNION ALL SELECT k, 'fin_loss', (profit < 0)::INTEGER, 'formula' FROM d)"""
+
+
+@query(f"{_STORE} SELECT k AS l_orderkey, feature, round(value, 5) AS value, source FROM u WHERE value IS NOT NULL")
+def M34_feature_store(t: Tables) -> DataFrame:
+    """Features by precedence, aliases and formulas over other features, with where each value comes from."""
+    return N.resolve(order_facts(t), "l_orderkey", FEATURES).select("l_orderkey", "feature", F.round("value", 5).alias("value"), "source")
+
+
+@query(f"{_STORE} SELECT k AS l_orderkey, count(value) AS observed, round(count(value) / 7.0, 4)::DOUBLE AS share, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (value IS NULL), '') AS missing FROM u GROUP BY 1")
+def M34_feature_completeness(t: Tables) -> DataFrame:
+    """Of each order the features that have a value and the names of those that have none."""
+    found = N.completeness(N.resolve(order_facts(t), "l_orderkey", FEATURES), t.lineitem.select("l_orderkey").distinct(), "l_orderkey", FEATURES)
+    return found.withColumn("missing", F.array_join(F.array_sort("missing"), ","))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ledgerline import functions as L
 from ledgerline.functions import text as X
+from ledgerline.operators import documents as O
 from ledgerline.operators import relational as J
 from ledgerline.operators import search as S
 from ledgerline.plans import Register, Tables
@@ -306,12 +307,12 @@ def D29_dedupe_by_key(t: Tables) -> DataFrame:
 
 @query("WITH s AS (SELECT l_orderkey AS doc, l_suppkey AS holder, sum(l_quantity) AS shares FROM lineitem GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY shares DESC, holder) AS r, sum(shares) OVER (PARTITION BY doc) AS total FROM s) SELECT doc, 'Holder ' || holder AS name, round(shares / total, 6) AS share FROM x WHERE r <= 12")
 def D30_extract_shareholders(t: Tables) -> DataFrame:
-    """Name and shares on two lines each; a holder's share is of the sum; the twelve largest."""
+    """Lists of holders, three lines each (name, shares, position); a holder's share is of the sum; the twelve largest."""
     held = t.lineitem.groupBy(c("l_orderkey").alias("doc"), c("l_suppkey").alias("holder")).agg(F.sum("l_quantity").alias("shares"))
-    text = held.select("doc", "holder", F.concat(F.lit("Holder "), c("holder"), F.lit("\n"), F.format_string("%,.0f", "shares"), F.lit(" shares")).alias("text"))
-    found = text.select("doc", "holder", F.split("text", "\n").alias("l")).select("doc", "holder", c("l")[0].alias("name"), L.parse_local_number(F.regexp_extract(c("l")[1], "^([0-9.,]+)", 1)).alias("shares"))
-    whole = W.partitionBy("doc")
-    return found.withColumns({"r": F.row_number().over(whole.orderBy(c("shares").desc(), "holder")), "total": F.sum("shares").over(whole)}).where("r <= 12").select("doc", "name", F.round(c("shares") / c("total"), 6).alias("share"))
+    cells = F.concat(F.lit("Holder "), c("holder"), F.lit("\n "), F.format_string("%,.0f", c("shares") * 1000), F.lit("\nDirector"))
+    listed = F.array_sort(F.collect_list(F.struct("holder", cells.alias("x"))))  # an order's holders are the lines of one page
+    text = held.groupBy("doc").agg(F.concat(F.lit("HOLDERS\n"), F.array_join(F.transform(listed, lambda h: h["x"]), "\n")).alias("text"))
+    return O.holders(text).select("doc", "name", F.round("share", 6).alias("share"))
 
 
 @query("SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 2 = 0 AS flag FROM orders")
@@ -319,10 +320,8 @@ def D31_extract_form_fields(t: Tables) -> DataFrame:
     """Fields of a form: the first alias that stands there, its value on the same or the next line; A / B labels split."""
     yes = F.when(c("o_orderkey") % 2 == 0, "Yes").otherwise("No")
     text = F.concat(F.lit("Status: "), "o_orderstatus", F.lit("\nClass / Priority:\nX / "), "o_orderpriority", F.lit("\nRevolving: "), yes)
-    form = t.orders.select("o_orderkey", text.alias("text"))
-    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract("text", rf"(?i)(?:^|\n){n}:[ ]*\n?([^\n]+)", 1)), F.lit("")) for n in names])
-    pair = F.split(first("class / priority"), " / ")
-    return form.select("o_orderkey", first("state", "status").alias("status"), pair[1].alias("priority"), (F.lower(first("revolving")) == "yes").alias("flag"))
+    form = t.orders.select(c("o_orderkey").alias("doc"), text.alias("text"))
+    return O.fields(form, {"status": ("state", "status"), "priority": ("priority",), "flag": ("revolving",)}, ["flag"]).withColumnRenamed("doc", "o_orderkey")
 
 
 @query(f"WITH {_FACTS} SELECT doc, round(sum(value), 2) AS total, 'derived' AS source FROM fa WHERE item IN ('current_liabilities', 'long_term_liabilities') GROUP BY 1")
@@ -330,3 +329,79 @@ def D32_component_liabilities(t: Tables) -> DataFrame:
     wide = best(t).groupBy("doc").pivot("item", ["total_liabilities", "current_liabilities", "long_term_liabilities"]).agg(F.first("value"))
     total = c("current_liabilities") + c("long_term_liabilities")
     return wide.select("doc", F.round(F.coalesce("total_liabilities", total), 2).alias("total"), F.when(c("total_liabilities").isNotNull(), "direct").when(total.isNotNull(), "derived").alias("source"))
+
+
+#: The rules of statements: labels, kinds and priorities.
+STATEMENT = (
+    O.Rule("current_assets", (r"current\s+assets",), "money", 180), O.Rule("total_assets", (r"total\s+assets",), "money", 170), O.Rule("current_liabilities", (r"^current\s+liabilities$", r"total\s+current\s+liabilities"), "money", 170),
+    O.Rule("revenue", (r"net\s+sales", "revenue"), "money", 160), O.Rule("net_income", (r"net\s+(?:income|loss)",), "money", 175), O.Rule("tax_rate", (r"tax\s+rate",), "percent", 90), O.Rule("tenor", (r"^tenor",), "int", 100),
+)
+
+
+def statements(t: Tables) -> DataFrame:
+    """Two pages of a statement of each order, as a firm would print them: units by page and by line, totals, losses in parentheses."""
+    k, v = c("o_orderkey"), c("o_totalprice")
+    two = F.format_string("%,.2f", v)
+    one = F.concat(F.lit("CONSOLIDATED BALANCE SHEET\nIn thousands of rupiah\nCurrent   assets: "), two, F.lit("\nTotal assets Rp "), two, F.lit("\n\nCurrent liabilities "), two, F.lit("\nTotal current liabilities: "), F.format_string("%,d", F.floor(v)), F.lit("\nNote to page"))
+    other = F.concat(F.lit("INCOME\nNet sales "), F.format_string("%,d", k % 90 + 1000), F.lit(" million\nRevenue "), F.format_string("%,d", k), F.lit("\nNet loss ("), two, F.lit(")\nTax rate "), (k % 30).cast("string"), F.lit("%\nTenor (months) "), (k % 60).cast("string"))
+    return t.orders.select(k.alias("doc"), F.lit(1).alias("page"), one.alias("text")).unionByName(t.orders.select(k.alias("doc"), F.lit(2).alias("page"), other.alias("text")))
+
+
+_RULES = ", ".join(f"('{r.item}', {k}, '{label}', '{r.kind}', {r.priority})" for r in STATEMENT for k, label in enumerate(r.labels))
+_PRINTED = rf"""WITH pg AS (SELECT o_orderkey AS doc, 1 AS page, concat_ws(chr(10), 'CONSOLIDATED BALANCE SHEET', 'In thousands of rupiah', 'Current   assets: ' || format('{{:,.2f}}', o_totalprice), 'Total assets Rp ' || format('{{:,.2f}}', o_totalprice), '', 'Current liabilities ' || format('{{:,.2f}}', o_totalprice), 'Total current liabilities: ' || format('{{:,}}', floor(o_totalprice)::BIGINT), 'Note to page') AS text FROM orders
+UNION ALL SELECT o_orderkey, 2, concat_ws(chr(10), 'INCOME', 'Net sales ' || format('{{:,}}', o_orderkey % 90 + 1000) || ' million', 'Revenue ' || format('{{:,}}', o_orderkey), 'Net loss (' || format('{{:,.2f}}', o_totalprice) || ')', 'Tax rate ' || (o_orderkey % 30) || '%', 'Tenor (months) ' || (o_orderkey % 60)) FROM orders),
+ln AS (SELECT doc, page, CASE WHEN regexp_matches(text, '(?i)in thousands') THEN 1000.0 ELSE 1.0 END AS scale, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')) AS quote, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) - 1 AS line FROM pg),
+pt AS (SELECT *, regexp_extract(quote, '^(.*?)[\s:.]*(\b[Rr]p\.? *)?(\(?-?\b[0-9][0-9.,]*\)?) *(%)? *(million|thousand)?$', ['label', 'money', 'num', 'pct', 'word']) AS m FROM ln),
+rd AS (SELECT *, trim(m.label) AS label, (CASE WHEN m.num LIKE '(%' THEN -1 ELSE 1 END) * replace(regexp_replace(m.num, '[()]', '', 'g'), ',', '')::DOUBLE / CASE WHEN m.pct = '%' THEN 100 ELSE 1 END AS read, CASE m.word WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE scale END AS unit FROM pt WHERE m.num <> ''),
+hit AS (SELECT doc, item, kind, round(CASE kind WHEN 'money' THEN read * unit WHEN 'int' THEN round(read) ELSE read END, 2) AS value, CASE WHEN kind = 'money' THEN unit ELSE 1 END AS unit, priority + CASE WHEN regexp_matches(quote, '(?i)\btotal\b') THEN 15 ELSE 0 END + CASE WHEN contains(quote, ':') THEN 2 ELSE 0 END AS score, page, line::INTEGER AS line, quote
+FROM rd JOIN (VALUES {_RULES}) r(item, k, pattern, kind, priority) ON regexp_matches(label, pattern, 'i') QUALIFY row_number() OVER (PARTITION BY doc, page, item, k ORDER BY line) = 1)"""
+
+
+@query(f"{_PRINTED} SELECT * FROM hit")
+def D15_statement_facts(t: Tables) -> DataFrame:
+    """What the rules find in statements, with unit, score, page, line and quote."""
+    return O.facts(statements(t), STATEMENT).withColumn("value", F.round("value", 2))
+
+
+@query(f"{_PRINTED} SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc, item ORDER BY score DESC, page, line, value) = 1")
+def D16_statement_best(t: Tables) -> DataFrame:
+    """Of each statement's items the fact of the highest score, with its evidence."""
+    return O.best_facts(O.facts(statements(t), STATEMENT).withColumn("value", F.round("value", 2)))
+
+
+@query(rf"""WITH ln AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\r\f\x0B]+', ' ', 'g'))), lambda x: x <> '')) AS quote FROM documents), x AS (SELECT *, regexp_extract(quote, '(?i)^(.*(?:version|CC BY[A-Z-]*))[ :.]*([0-9]+(?:\.[0-9]+)?)\.?$', ['label', 'num']) AS m FROM ln) SELECT doc_id, quote, m.num::DOUBLE AS value, count(*) AS n FROM x WHERE m.num <> '' GROUP BY ALL""")
+def D15_licence_versions(t: Tables) -> DataFrame:
+    """Versions of licences that documents name: the rules held against real lines."""
+    rules = [O.Rule("version", (r"(?:version|CC BY[A-Z-]*)$",), "number")]
+    lines_ = t.documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(O.clean_lines(c("text"))).alias("page", "text"))
+    found = O.facts(lines_.select(F.struct("row", "doc_id").alias("doc"), "page", F.regexp_replace("text", r"\.$", "").alias("text")), rules)
+    quotes = lines_.select(F.struct("row", "doc_id").alias("doc"), "page", c("text").alias("quote"))
+    return found.drop("quote").join(quotes, ["doc", "page"]).groupBy("doc.doc_id", "quote", "value").agg(F.count("*").alias("n"))
+
+
+SECTION, CHAPTER = r"^([A-Z][a-z]{0,3})\.$", r"^([A-Z][a-z]+) [a-z]+\.$"
+
+
+@query(rf"""WITH RECURSIVE cv AS (SELECT conv_id AS doc, turn AS page, text FROM conversations), pt AS (SELECT doc, page, sum(length(text) + 1) OVER w - length(text) - 1 AS a, sum(length(text) + 1) OVER w AS b FROM cv WINDOW w AS (PARTITION BY doc ORDER BY page, text ROWS UNBOUNDED PRECEDING)),
+wh AS (SELECT doc, string_agg(text, chr(10) ORDER BY page, text) AS text FROM cv GROUP BY 1), l0 AS (SELECT doc, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM wh),
+l1 AS (SELECT *, sum(length(x) + 1) OVER w - length(x) - 1 AS o, nullif(regexp_extract(x, '{SECTION}', 1), '') AS sec, nullif(regexp_extract(x, '{CHAPTER}', 1), '') AS ch FROM l0 WINDOW w AS (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING)),
+l2 AS (SELECT *, sum((sec IS NOT NULL OR ch IS NOT NULL OR i = 1)::INTEGER) OVER w AS run, last_value(ch IGNORE NULLS) OVER w AS cur FROM l1 WINDOW w AS (PARTITION BY doc ORDER BY i ROWS UNBOUNDED PRECEDING)),
+rn AS (SELECT doc, run, min(o) AS base, string_agg(x, chr(10) ORDER BY i) AS text, arg_min(sec, i) AS section, CASE WHEN arg_min(sec, i) IS NOT NULL THEN arg_min(cur, i) END AS chapter, bool_or(ch IS NOT NULL) AS gone FROM l2 GROUP BY 1, 2),
+ar AS (SELECT r.* REPLACE (CASE WHEN (SELECT any_value(sec) FROM l2 WHERE l2.doc = r.doc AND l2.run = r.run AND l2.o = r.base) IS NULL THEN NULL ELSE section END AS section) FROM rn r WHERE NOT gone),
+w AS (SELECT doc, run, 0::BIGINT AS k, CASE WHEN length(text) > 1200 AND contains(substr(text, 1, 1200), chr(10)) AND 1200 - strpos(reverse(substr(text, 1, 1200)), chr(10)) > 600 THEN 1200 - strpos(reverse(substr(text, 1, 1200)), chr(10)) ELSE least(length(text), 1200) END AS cut, length(text) AS n FROM ar
+UNION ALL SELECT w.doc, w.run, k + greatest(1050, cut - 150), CASE WHEN k + greatest(1050, cut - 150) + 1200 < n AND contains(substr(text, k + greatest(1050, cut - 150) + 1, 1200), chr(10)) AND 1200 - strpos(reverse(substr(text, k + greatest(1050, cut - 150) + 1, 1200)), chr(10)) > 600 THEN 1200 - strpos(reverse(substr(text, k + greatest(1050, cut - 150) + 1, 1200)), chr(10)) ELSE length(substr(text, k + greatest(1050, cut - 150) + 1, 1200)) END, n FROM w JOIN ar USING (doc, run) WHERE n > 1200 AND k + greatest(1050, cut - 150) < n),
+c AS (SELECT doc, chapter, section, (base + k)::BIGINT AS "at", base + k + cut AS e, regexp_replace(substr(text, k + 1, cut), '^\s+|\s+$', '', 'g') AS chunk FROM w JOIN ar USING (doc, run))
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY "at") AS place, chapter, section, "at", (SELECT min(page) FROM pt WHERE pt.doc = c.doc AND a < e AND b > "at") AS first_page, (SELECT max(page) FROM pt WHERE pt.doc = c.doc AND a < e AND b > "at") AS last_page, chunk FROM c WHERE length(chunk) >= 40""")
+def D04_chunk_by_mark(t: Tables) -> DataFrame:
+    """Conversations as documents, a turn a page: sections by lines of one short word, chapters by lines of two words."""
+    return O.chunks(pages(t), SECTION, CHAPTER).select("doc", "place", "chapter", "section", "at", "first_page", "last_page", "chunk")
+
+
+@query(r"""WITH pg AS (SELECT conv_id AS doc, turn AS page, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, length(text) AS n FROM conversations WHERE trim(text) <> ''), l AS (SELECT doc, page, t, n, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pg),
+h AS (SELECT *, list_transform(l, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'ment')) AS h FROM l),
+b AS (SELECT doc, page, n, '[page ' || page || ']' || chr(10) || CASE WHEN length(t) <= 400 THEN t ELSE array_to_string(list_filter(l, lambda x, i: i <= 6 OR list_contains(h[greatest(i - 1, 1):i + 1], true)), chr(10)) END AS block, CASE WHEN length(t) <= 400 THEN len(l) ELSE len(list_filter(l, lambda x, i: i <= 6 OR list_contains(h[greatest(i - 1, 1):i + 1], true))) END AS k FROM h),
+d AS (SELECT doc, string_agg(block, chr(10) || chr(10) ORDER BY page, block) AS text, sum(n)::BIGINT AS original, sum(k)::BIGINT AS chosen FROM b GROUP BY 1)
+SELECT doc, CASE WHEN length(text) > 1500 THEN regexp_replace(substr(text, 1, 1064), '\s+$', '') || chr(10) || chr(10) || '[... reduced ...]' || chr(10) || chr(10) || regexp_replace(right(text, 415), '^\s+', '') ELSE text END AS reduced, original, chosen FROM d""")
+def D19_reduce_to_budget(t: Tables) -> DataFrame:
+    """Conversations reduced to 1500 characters: short turns whole, of others the head and lines with a keyword."""
+    return O.reduced(pages(t), ("license", "ment"), budget=1500, short=400)
