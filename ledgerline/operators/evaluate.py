@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerline.functions import null_if_zero
+from ledgerline.operators.graph import cut
 from ledgerline.operators.quantiles import row_of
 from ledgerline.operators.windows import average_rank, running_sum
 
@@ -145,6 +148,80 @@ def bootstrap_auc(df: DataFrame, scores: Sequence[str], label: str, key: str, dr
     return out
 
 
+def resampled_auc(df: DataFrame, scores: Sequence[str], label: str, draws: int = 5000, seed: int = 7, most: int = 4_000_000) -> DataFrame:
+    """(draw, auc_ of each score) over resamples within each class, so that a draw has as many events as the rows: the same for all scores.
+
+    Rows are first counted by their scores and class.  A draw is one multinomial count for each of those, by a generator
+    of its number, so draws are dealt to tasks and a rerun gives the same; no row meets a draw.  The counts go to every
+    task: about 8 bytes a score and distinct row; over `most` of them it is an error, and scores are to be rounded or
+    `bootstrap_auc` used, which needs no such table.  Rows without a label or any score are left out; one class alone has
+    no AUC.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    for s in scores:
+        rows = rows.where(F.col(s).isNotNull())
+    counts = cut(rows.groupBy(*[F.col(s).cast("double").alias(s) for s in scores], (F.col(label) == 1).alias("_y")).agg(F.count("*").alias("_n")))
+    if counts.count() > most:
+        raise ValueError(f"there are more than {most} different rows of scores")
+    table = counts.toArrow()
+    values, y, n = [table.column(s).to_numpy() for s in scores], table.column("_y").to_numpy(zero_copy_only=False).astype(bool), table.column("_n").to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast((values, y, n))
+    names = ["draw", *[f"auc_{s}" for s in scores]]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, y, n = sent.value
+        orders = [np.argsort(v, kind="stable") for v in values]
+        edges = [np.flatnonzero(np.concatenate(([True], v[o][1:] != v[o][:-1]))) for v, o in zip(values, orders, strict=True)] if len(n) else []
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for draw in batch.column(0).to_pylist():
+                times = resample_counts(y, n, np.random.default_rng([seed, draw]))
+                out[0].append(draw)
+                for k, order in enumerate(orders):
+                    out[k + 1].append(_auc_of(times[order], y[order], edges[k]) if len(n) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.float64()) for x in out[1:])], names=names)
+
+    numbers = df.sparkSession.range(draws).select(F.col("id").alias("draw")).repartition(max(1, draws // 100))
+    return numbers.mapInArrow(drawn, ", ".join(f"{x} {'long' if x == 'draw' else 'double'}" for x in names))
+
+
+def resample_counts(y: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """How often each of the distinct rows stands in a resample; each class keeps its total."""
+    times = np.zeros(len(n), dtype=np.int64)
+    for side in (y, ~y):
+        if side.any():
+            times[side] = rng.multinomial(n[side].sum(), n[side] / n[side].sum())
+    return times
+
+
+def _auc_of(times: np.ndarray, y: np.ndarray, edges: np.ndarray) -> float | None:
+    """The AUC of counted rows in order of their score; edges is where each distinct score begins."""
+    p, q = np.add.reduceat(times * y, edges), np.add.reduceat(times * ~y, edges)
+    pairs = float(p.sum()) * float(q.sum())
+    return float((p * (np.cumsum(q) - q / 2)).sum() / pairs) if pairs else None
+
+
+def matrix_shifts(source: DataFrame, gold: DataFrame) -> DataFrame:
+    """Pair by pair (x, y, rho) of two correlation matrices: both values, the shift, whether the sign flips, and the place by size of the shift."""
+    both = source.select("x", "y", F.col("rho").alias("source")).join(gold.select("x", "y", F.col("rho").alias("gold")), ["x", "y"])
+    shift = F.col("gold") - F.col("source")
+    rows = both.select("*", shift.alias("shift"), (F.signum("source") != F.signum("gold")).alias("flipped"))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy().orderBy(F.abs("shift").desc(), "x", "y")))  # one row a pair of columns
+
+
+def matrix_drift(source: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: the correlation of the two matrices' entries, the mean size of a shift, and how many of how many signs flip."""
+    return matrix_shifts(source, gold).agg(F.corr("source", "gold").alias("agreement"), F.avg(F.abs("shift")).alias("mean_shift"), F.count_if("flipped").alias("flipped"), F.count("*").alias("pairs"))
+
+
+def cluster_events(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """Per cluster: rows, events, their rate, share of all events and lift over all rows; the riskiest has the highest rate (ties by name)."""
+    each = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("events"), F.avg(label).alias("rate"))
+    every = W.partitionBy()  # one row a cluster
+    events, rows = F.sum("events").over(every), F.sum("n").over(every)
+    return each.withColumns({"captured": F.col("events") / null_if_zero(events), "lift": F.col("rate") / null_if_zero(events / rows), "riskiest": F.row_number().over(every.orderBy(F.col("rate").desc(), cluster)) == 1})
+
+
 def group_folds(df: DataFrame, group: str, label: str, k: int) -> DataFrame:
     """(group, fold): groups in order of their events, dealt to folds there and back, so that events are balanced."""
     from ledgerline.operators.rows import add_row_id

@@ -79,7 +79,7 @@ def M04_stratified_group_folds(t: Tables) -> DataFrame:
 @query()
 def M05_oof_predictions(t: Tables) -> DataFrame:
     rows = training(t).where("y is not null")
-    return M.out_of_fold(rows, E.group_folds(rows, "o_custkey", "y", 3), "o_custkey", "y", FEATURES, 3).select("o_orderkey", "fold", "y", "score")
+    return M.out_of_fold(rows, E.group_folds(rows, "o_custkey", "y", 5), "o_custkey", "y", FEATURES, 5).select("o_orderkey", "fold", "y", "score")
 
 
 @query()
@@ -147,12 +147,12 @@ def M15_capture_lift(t: Tables) -> DataFrame:
 @query()
 def M16_bootstrap_ci(t: Tables) -> DataFrame:
     q = F.percentile("auc_s", [0.025, 0.5, 0.975])
-    return E.bootstrap_auc(scored(t), ["s"], "y", "doc_id").agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("middle"), c("q")[2].alias("high"))
+    return E.resampled_auc(scored(t), ["s"], "y").agg(q.alias("q")).select(c("q")[0].alias("low"), c("q")[1].alias("middle"), c("q")[2].alias("high"))
 
 
 @query()
 def M17_paired_bootstrap_delta(t: Tables) -> DataFrame:
-    d = E.bootstrap_auc(scored(t), ["s", "s2"], "y", "doc_id").withColumn("d", c("auc_s") - c("auc_s2"))
+    d = E.resampled_auc(scored(t), ["s", "s2"], "y").withColumn("d", c("auc_s") - c("auc_s2"))
     return d.agg(F.percentile("d", [0.025, 0.975]).alias("q"), F.avg("d").alias("mean")).select(c("q")[0].alias("low"), c("q")[1].alias("high"), "mean")
 
 
@@ -178,6 +178,33 @@ def M20_spearman_matrix(t: Tables) -> DataFrame:
     return rounded(E.spearman(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "l_orderkey"))
 
 
+DRIFT = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _drift() -> str:
+    """The two correlation matrices in SQL, and what they have in common."""
+    pairs = [(x, y) for i, x in enumerate(DRIFT) for y in DRIFT[i + 1 :]]
+    side = lambda name, where: f"{name} AS MATERIALIZED (SELECT {', '.join(f'{_RANK.format(s=x)} AS {x}' for x in DRIFT)} FROM lineitem WHERE {where})"
+    rows = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, (SELECT corr({x}, {y}) FROM a) AS source, (SELECT corr({x}, {y}) FROM b) AS gold" for x, y in pairs)
+    return f"WITH {side('a', chr(39).join(('l_returnflag = ', 'R', '')))}, {side('b', chr(39).join(('l_returnflag <> ', 'R', '')))}, m AS ({rows})"
+
+
+@query(f"{_drift()} SELECT x, y, round(source, 6) AS source, round(gold, 6) AS gold, round(gold - source, 6) AS shift, sign(source) <> sign(gold) AS flipped, row_number() OVER (ORDER BY abs(gold - source) DESC, x, y) AS place FROM m")
+def M20_matrix_shifts(t: Tables) -> DataFrame:
+    """The rank correlations of returned and of other lines, pair by pair, the largest shift first."""
+    return rounded(E.matrix_shifts(*_matrices(t)))
+
+
+@query(f"{_drift()} SELECT round(corr(source, gold), 6) AS agreement, round(avg(abs(gold - source)), 6) AS mean_shift, count(CASE WHEN sign(source) <> sign(gold) THEN 1 END) AS flipped, count(*) AS pairs FROM m")
+def M20_matrix_drift(t: Tables) -> DataFrame:
+    """How far the two matrices agree."""
+    return rounded(E.matrix_drift(*_matrices(t)))
+
+
+def _matrices(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return E.spearman(t.lineitem.where("l_returnflag = 'R'"), DRIFT, "l_orderkey"), E.spearman(t.lineitem.where("l_returnflag <> 'R'"), DRIFT, "l_orderkey")
+
+
 def customer_features(t: Tables) -> DataFrame:
     spent = t.orders.groupBy("o_custkey").agg(F.count("*").cast("double").alias("orders"), F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
     rows = t.customer.join(spent, c("o_custkey") == c("c_custkey")).select("c_custkey", "c_acctbal", "orders", "mean", "most", "c_mktsegment")
@@ -194,16 +221,47 @@ def M21_kmeans_segments(t: Tables) -> DataFrame:
 
 @query()
 def M22_cluster_quality(t: Tables) -> DataFrame:
-    """Silhouette, and inertia within and between clusters as one pass over distances."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    """Silhouette, inertia, Calinski-Harabasz and Davies-Bouldin of the segments."""
+    return M.cluster_indices(M.segments(customer_features(t), NUMERIC)[1])
+
+
+@query()
+def M21_segment_sweep(t: Tables) -> DataFrame:
+    """The indices of two to eight segments over the same components."""
+    return M.sweep(customer_features(t), NUMERIC, range(2, 9))
+
+
+_GROUPS = "gr AS (SELECT c_mktsegment AS cluster, (EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R' AND l_shipdate >= DATE '1995-01-01'))::INTEGER AS y, c_acctbal, c_nationkey FROM customer)"
+
+
+def grouped_events(t: Tables) -> DataFrame:
+    """Customers by segment, with whether they returned anything since 1995."""
+    late = t.lineitem.where("l_returnflag = 'R' and l_shipdate >= date '1995-01-01'").join(t.orders, c("l_orderkey") == c("o_orderkey")).select(c("o_custkey").alias("c_custkey")).distinct().withColumn("y", F.lit(1))
+    return t.customer.join(late, "c_custkey", "left").select(c("c_mktsegment").alias("cluster"), F.coalesce("y", F.lit(0)).alias("y"), "c_acctbal", "c_nationkey")
+
+
+@query(f"WITH {_GROUPS}, r AS (SELECT cluster, count(*) AS n, sum(y)::BIGINT AS events, avg(y) AS rate FROM gr GROUP BY 1), w AS (SELECT *, row_number() OVER (ORDER BY rate DESC, cluster) = 1 AS riskiest, sum(n) OVER () AS all_n, sum(events) OVER () AS all_e FROM r) SELECT cluster, n, events, round(rate, 6) AS rate, round(events / all_e, 6) AS captured, round(rate / (all_e / all_n), 6) AS lift, riskiest FROM w")
+def M23_cluster_events(t: Tables) -> DataFrame:
+    """Of each cluster its events, their rate, share and lift, and which one is the riskiest."""
+    return rounded(E.cluster_events(grouped_events(t), "cluster", "y"))
+
+
+@query(f"WITH {_GROUPS}, r AS (SELECT cluster, avg(y) AS rate FROM gr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1), x AS (SELECT count(CASE WHEN gr.cluster = r.cluster AND y = 1 THEN 1 END)::DOUBLE AS tp, count(CASE WHEN gr.cluster = r.cluster AND y = 0 THEN 1 END)::DOUBLE AS fp, count(CASE WHEN gr.cluster <> r.cluster AND y = 0 THEN 1 END)::DOUBLE AS tn, count(CASE WHEN gr.cluster <> r.cluster AND y = 1 THEN 1 END)::DOUBLE AS fn FROM gr, r) SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM x")
+def M23_cluster_confusion(t: Tables) -> DataFrame:
+    """The riskiest cluster as a forecast of events."""
+    rows = grouped_events(t)
+    worst = E.cluster_events(rows, "cluster", "y").where("riskiest").select(c("cluster").alias("_worst"))
+    hit = rows.crossJoin(F.broadcast(worst)).withColumn("_hit", (c("cluster") == c("_worst")).cast("double"))
+    found = E.confusion(c("_hit"), c("y"), F.lit(0.5))
+    return rounded(hit.agg(*[found[n].alias(n) for n in ("tp", "fp", "tn", "fn", "accuracy", "precision", "recall")]))
+
 
-    rows = M.segments(customer_features(t), NUMERIC)[1]
-    silhouette = ClusteringEvaluator(featuresCol="pca", predictionCol="cluster").evaluate(rows)
-    long = rows.select("c_custkey", "cluster", F.posexplode("place").alias("d", "x"))
-    centre = long.groupBy("cluster", "d").agg(F.avg("x").alias("m"), F.count("*").alias("n"), F.var_pop("x").alias("v"))
-    every = long.groupBy("d").agg(F.avg("x").alias("g"))
-    sums = centre.join(every, "d").agg(F.sum(c("n") * c("v")).alias("inertia"), F.sum(c("n") * (c("m") - c("g")) * (c("m") - c("g"))).alias("between"), F.countDistinct("cluster").alias("k"), (F.sum("n") / F.countDistinct("d")).alias("n"))
-    return sums.select(F.lit(silhouette).alias("silhouette"), "inertia", (c("between") / (c("k") - 1) / (c("inertia") / (c("n") - c("k")))).alias("calinski_harabasz"))
+@query(f"WITH {_GROUPS}, l AS (SELECT cluster, 'c_acctbal' AS feature, c_acctbal AS v FROM gr UNION ALL SELECT cluster, 'c_nationkey', c_nationkey FROM gr) SELECT cluster, feature, count(v) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM l GROUP BY 1, 2")
+def M24_cluster_means(t: Tables) -> DataFrame:
+    """Mean and median of each feature by cluster."""
+    long = grouped_events(t).select("cluster", F.expr("stack(2, 'c_acctbal', c_acctbal, 'c_nationkey', cast(c_nationkey as double)) as (feature, v)"))
+    means = long.groupBy("cluster", "feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    return rounded(means.join(Q.medians(long, {"median": c("v")}, ["cluster", "feature"]), ["cluster", "feature"]))
 
 
 @query("""WITH x AS (SELECT o_orderstatus AS a, o_orderkey % 3 AS b FROM orders), ce AS (SELECT a, b, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2), sa AS (SELECT sum(m * (m - 1) / 2) AS s, -sum(m * ln(m)) AS h FROM (SELECT a, sum(n) AS m FROM ce GROUP BY 1)), sb AS (SELECT sum(m * (m - 1) / 2) AS s, -sum(m * ln(m)) AS h FROM (SELECT b, sum(n) AS m FROM ce GROUP BY 1)),
@@ -251,16 +309,16 @@ def M28_ablation_compare(t: Tables) -> DataFrame:
     rows = labelled_orders(t).select("o_orderkey", "o_custkey", *[c(x).cast("double").alias(x) for x in FEATURES], (c("o_orderdate") < F.lit("1998-01-01").cast("date")).alias("early"), "y")
     rows = G.cut(rows.where("y is not null").join(block, "o_custkey", "left"))
     early, late = rows.where("early"), rows.where("not early")
-    folds = G.cut(E.group_folds(early, "o_custkey", "y", 3))
+    folds = G.cut(E.group_folds(early, "o_custkey", "y", 5))
     parts = []
     for part in ("folds", "later"):
         both = None
         for name, features in (("without", FEATURES), ("with_graph", [*FEATURES, "partners", "concentration"])):
-            own = M.out_of_fold(early, folds, "o_custkey", "y", features, 3) if part == "folds" else M.score(M.fit(early, "y", features), late, features)
+            own = M.out_of_fold(early, folds, "o_custkey", "y", features, 5) if part == "folds" else M.score(M.fit(early, "y", features), late, features)
             own = own.select("o_orderkey", "y", c("score").alias(name))
             both = own if both is None else both.join(own.drop("y"), "o_orderkey")
         both = G.cut(both)  # plain numbers: no model goes into the evaluation's plan
-        d = E.bootstrap_auc(both, ["without", "with_graph"], "y", "o_orderkey", 200).agg(F.percentile(c("auc_with_graph") - c("auc_without"), [0.025, 0.975]).alias("q"))
+        d = E.resampled_auc(both, ["without", "with_graph"], "y").agg(F.percentile(c("auc_with_graph") - c("auc_without"), [0.025, 0.975]).alias("q"))
         auc = [E.roc_auc(both, n, "y").select(c("auc").alias(f"auc_{n}")) for n in ("without", "with_graph")]
         parts.append(auc[0].crossJoin(auc[1]).crossJoin(d).select(F.lit(part).alias("part"), "auc_without", "auc_with_graph", (c("auc_with_graph") - c("auc_without")).alias("delta"), c("q")[0].alias("low"), c("q")[1].alias("high")))
     return parts[0].unionByName(parts[1])
@@ -330,7 +388,7 @@ def M37_score_latest_from_history(t: Tables) -> DataFrame:
     return last.select("k", c("day").cast("string").alias("day"), F.round(1 / (1 + F.exp(-(-2 + 0.5 * c("worst") + 0.1 * c("dn")))), 8).alias("score"))
 
 
-FEATURES = (
+STORED = (
     N.Feature("fin_sales", aliases=("sales", "revenue")),
     N.Feature("fin_cost", aliases=("cost",)),
     N.Feature("fin_lines", "integer", ("line_count",)),
@@ -362,11 +420,11 @@ u AS (SELECT k, 'fin_sales' AS feature, sales::DOUBLE AS value, s1 AS source FRO
 @query(f"{_STORE} SELECT k AS l_orderkey, feature, round(value, 5) AS value, source FROM u WHERE value IS NOT NULL")
 def M34_feature_store(t: Tables) -> DataFrame:
     """Features by precedence, aliases and formulas over other features, with where each value comes from."""
-    return N.resolve(order_facts(t), "l_orderkey", FEATURES).select("l_orderkey", "feature", F.round("value", 5).alias("value"), "source")
+    return N.resolve(order_facts(t), "l_orderkey", STORED).select("l_orderkey", "feature", F.round("value", 5).alias("value"), "source")
 
 
 @query(f"{_STORE} SELECT k AS l_orderkey, count(value) AS observed, round(count(value) / 7.0, 4)::DOUBLE AS share, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (value IS NULL), '') AS missing FROM u GROUP BY 1")
 def M34_feature_completeness(t: Tables) -> DataFrame:
     """Of each order the features that have a value and the names of those that have none."""
-    found = N.completeness(N.resolve(order_facts(t), "l_orderkey", FEATURES), t.lineitem.select("l_orderkey").distinct(), "l_orderkey", FEATURES)
+    found = N.completeness(N.resolve(order_facts(t), "l_orderkey", STORED), t.lineitem.select("l_orderkey").distinct(), "l_orderkey", STORED)
     return found.withColumn("missing", F.array_join(F.array_sort("missing"), ","))
