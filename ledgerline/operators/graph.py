@@ -207,6 +207,13 @@ def cycles(edges: DataFrame, longest: int = 4, most_degree: int = 1000, by: Sequ
     return found.distinct()
 
 
+def mutual(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(node, mutual): to how many others a node has an edge that comes back; nodes without such have no row."""
+    e = edges.where("src <> dst").select(*by, "src", "dst").distinct()
+    back = e.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return e.join(back, [*by, "src", "dst"], "left_semi").groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("mutual"))
+
+
 def point_in_time(apps: DataFrame, ties: DataFrame, paid: DataFrame, key: str) -> DataFrame:
     """Per application (key, node, grp, snap) what was known of its node at snap, and nothing later.
 

@@ -204,12 +204,16 @@ def applied(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", c("o_custkey").alias("node"), L.previous_month_end("o_orderdate").alias("snap"))
 
 
+def panel_nodes(t: Tables) -> DataFrame:
+    """(node, debtor) of all companies; those that buy are debtors."""
+    every = t.customer.select(c("c_custkey").alias("node"), F.lit(True).alias("debtor")).unionByName(t.supplier.select(c("s_suppkey").alias("node"), F.lit(False).alias("debtor")))
+    return every.groupBy("node").agg(F.bool_or("debtor").alias("debtor"))
+
+
 def panel(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The edges at every month-end that an application asks for, every company at each of them, and first defaults."""
     snaps = G.cut(applied(t).select("snap").distinct())
-    every = t.customer.select(c("c_custkey").alias("node"), F.lit(True).alias("debtor")).unionByName(t.supplier.select(c("s_suppkey").alias("node"), F.lit(False).alias("debtor")))
-    companies = every.groupBy("node").agg(F.bool_or("debtor").alias("debtor"))
-    return G.cut(P.live_at(dated(t), snaps)), G.cut(companies.crossJoin(F.broadcast(snaps))), first_events(t).select(c("k").alias("node"), "event_at")
+    return G.cut(P.live_at(dated(t), snaps)), G.cut(panel_nodes(t).crossJoin(F.broadcast(snaps))), first_events(t).select(c("k").alias("node"), "event_at")
 
 
 _LIVE = f"""{_PAIRS.replace("<= 20", "<= 4")}, {_FIRST}, {_PAY}, ap AS (SELECT o_orderkey, o_custkey AS node, (date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS snap FROM orders), snaps AS (SELECT DISTINCT snap FROM ap),
@@ -219,11 +223,14 @@ bo AS MATERIALIZED (SELECT snap, a AS src, b AS dst, w FROM sn UNION ALL SELECT
 _HHI = "(SELECT snap, {0} AS node, sum(w * w) / (sum(w) * sum(w)) AS {2} FROM (SELECT snap, {0}, {1}, sum(w) AS w FROM lv WHERE rel = 'pays' GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 
 
-@query(f"""WITH {_LIVE}, deg AS (SELECT snap, src AS node, count(*) AS degree, sum(bo.w) AS weighted FROM bo GROUP BY 1, 2), near AS (SELECT snap, src AS node, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS rate FROM bo JOIN (SELECT snap, node AS dst, bad FROM num WHERE debtor) USING (snap, dst) GROUP BY 1, 2),
+_DIRECT = """deg AS (SELECT snap, src AS node, count(*) AS degree, sum(bo.w) AS weighted FROM bo GROUP BY 1, 2), near AS (SELECT snap, src AS node, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS rate FROM bo JOIN (SELECT snap, node AS dst, bad FROM num WHERE debtor) USING (snap, dst) GROUP BY 1, 2),
 tied AS (SELECT snap, node, count(*) AS n FROM (SELECT snap, src AS node FROM lv WHERE rel = 'shares' UNION ALL SELECT snap, dst FROM lv WHERE rel = 'shares') GROUP BY 1, 2), e AS MATERIALIZED (SELECT DISTINCT snap, src AS s, dst AS d FROM lv WHERE rel = 'pays' AND src <> dst),
 two AS MATERIALIZED (SELECT a.snap, a.s AS x, a.d AS y, b.d AS z FROM e a JOIN e b ON a.snap = b.snap AND a.d = b.s), three AS (SELECT p.snap, x, y, z, d AS u FROM two p JOIN e ON e.snap = p.snap AND z = s WHERE x <> z),
 ring AS (SELECT snap, x AS node FROM two WHERE x = z UNION SELECT snap, x FROM three WHERE u = x UNION SELECT p.snap, x FROM three p JOIN e ON e.snap = p.snap AND s = u AND d = x WHERE u <> x AND u <> y),
-own AS (SELECT snap, src AS node, sum(w) AS w FROM lv WHERE rel = 'pays' GROUP BY 1, 2), grp AS (SELECT snap, c_nationkey, sum(w) AS w FROM own JOIN customer ON c_custkey = node GROUP BY 1, 2)
+own AS (SELECT snap, src AS node, sum(w) AS w FROM lv WHERE rel = 'pays' GROUP BY 1, 2), grp AS (SELECT snap, c_nationkey, sum(w) AS w FROM own JOIN customer ON c_custkey = node GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_LIVE}, {_DIRECT}
 SELECT o_orderkey, snap::VARCHAR AS snapshot, coalesce(degree, 0) AS degree, round(coalesce(weighted, 0), 5) AS weighted_degree, round(h.hhi, 6) AS supplier_hhi, round(i.hhi, 6) AS buyer_hhi, round(rate, 6) AS neighbour_default_rate, coalesce(tied.n, 0) AS shared_attribute_degree, ring.node IS NOT NULL AS circular_payment_flag, round(coalesce(own.w / grp.w, 0), 6) AS group_share
 FROM ap JOIN customer ON c_custkey = ap.node LEFT JOIN deg USING (snap, node) LEFT JOIN {_HHI.format("src", "dst", "hhi")} h USING (snap, node) LEFT JOIN {_HHI.format("dst", "src", "hhi")} i USING (snap, node) LEFT JOIN near USING (snap, node) LEFT JOIN tied USING (snap, node) LEFT JOIN ring USING (snap, node) LEFT JOIN own USING (snap, node) LEFT JOIN grp USING (snap, c_nationkey)""")
 def G14_snapshot_panel(t: Tables) -> DataFrame:
@@ -238,15 +245,21 @@ def G14_snapshot_panel(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", c("snap").cast("string").alias("snapshot"), "degree", F.round("weighted_degree", 5).alias("weighted_degree"), *rounded, "shared_attribute_degree", "circular_payment_flag", F.round(share, 6).alias("group_share"))
 
 
+def _panel_labels(turns: int) -> list[str]:
+    """Label propagation of all month-ends in SQL, round by round; the last table is l and the number of rounds."""
+    steps = ["l0 AS MATERIALIZED (SELECT snap, node, node AS label FROM num)"]
+    for k in range(turns):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT l.snap, node, CASE WHEN ('0x' || substr(md5(node || ':{k // 2}'), 1, 1))::INTEGER % 2 = {k % 2} THEN coalesce(best, label) ELSE label END AS label FROM l{k} l LEFT JOIN (SELECT snap, src, arg_max(label, (w, -label)) AS best FROM (SELECT bo.snap, src, label, sum(w) AS w FROM bo JOIN l{k} y ON y.snap = bo.snap AND y.node = dst GROUP BY 1, 2, 3) GROUP BY 1, 2) b ON b.snap = l.snap AND src = node)")
+    return steps
+
+
 def _panel_ranks(rounds: int = 50, turns: int = 8, levels: int = 12, sources: int = 64) -> str:
     """PageRank, label propagation and betweenness of all month-ends in SQL, round by round."""
     steps = ["size AS (SELECT snap, count(*)::DOUBLE AS n FROM num GROUP BY 1), tot AS MATERIALIZED (SELECT snap, src, sum(w) AS t FROM bo GROUP BY 1, 2), lk AS MATERIALIZED (SELECT snap, src, dst, w / t AS p FROM bo JOIN tot USING (snap, src))"]
     steps.append("r0 AS MATERIALIZED (SELECT num.snap, node, n, t IS NULL AS loose, 1 / n AS r FROM num JOIN size USING (snap) LEFT JOIN tot ON tot.snap = num.snap AND src = node)")
     for k in range(1, rounds + 1):
         steps.append(f"r{k} AS MATERIALIZED (SELECT x.snap, node, n, loose, 0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(m, 0) / n) AS r FROM r{k - 1} x LEFT JOIN (SELECT lk.snap, dst, sum(p * r) AS got FROM lk JOIN r{k - 1} y ON y.snap = lk.snap AND y.node = src GROUP BY 1, 2) g ON g.snap = x.snap AND g.dst = node LEFT JOIN (SELECT snap, sum(r) AS m FROM r{k - 1} WHERE loose GROUP BY 1) o ON o.snap = x.snap)")
-    steps.append("l0 AS MATERIALIZED (SELECT snap, node, node AS label FROM num)")
-    for k in range(turns):
-        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT l.snap, node, CASE WHEN ('0x' || substr(md5(node || ':{k // 2}'), 1, 1))::INTEGER % 2 = {k % 2} THEN coalesce(best, label) ELSE label END AS label FROM l{k} l LEFT JOIN (SELECT snap, src, arg_max(label, (w, -label)) AS best FROM (SELECT bo.snap, src, label, sum(w) AS w FROM bo JOIN l{k} y ON y.snap = bo.snap AND y.node = dst GROUP BY 1, 2, 3) GROUP BY 1, 2) b ON b.snap = l.snap AND src = node)")
+    steps += _panel_labels(turns)
     steps.append(f"v0 AS MATERIALIZED (SELECT snap, node AS s, node AS v, 1.0::DOUBLE AS paths FROM num QUALIFY row_number() OVER (PARTITION BY snap ORDER BY md5(node::VARCHAR), node) <= {sources}), w0 AS MATERIALIZED (SELECT snap, s, v FROM v0)")
     for k in range(1, levels + 1):
         steps.append(f"v{k} AS MATERIALIZED (SELECT * FROM (SELECT x.snap, s, dst AS v, sum(paths) AS paths FROM v{k - 1} x JOIN bo ON bo.snap = x.snap AND src = v GROUP BY 1, 2, 3) ANTI JOIN w{k - 1} USING (snap, s, v)), w{k} AS MATERIALIZED (SELECT * FROM w{k - 1} UNION ALL SELECT snap, s, v FROM v{k})")
@@ -403,6 +416,58 @@ def G26_network_patterns(t: Tables) -> DataFrame:
     return resolved(t).groupBy("asked").agg(F.concat_ws(",", code("shared_attribute", n["shared"], 1), code("hidden_affiliation", n["nation"], 5)).alias("patterns"))
 
 
+_NOW = _LIVE.replace("snaps AS (SELECT DISTINCT snap FROM ap)", "snaps AS (SELECT DATE '1998-06-30' AS snap)")
+_BOTH = "mut AS (SELECT a.s AS node, count(*) AS n FROM e a JOIN e b ON a.s = b.d AND a.d = b.s GROUP BY 1)"
+_OWN = "pth AS (SELECT src AS asked, dst AS borrower, 'shared' AS path FROM bo SEMI JOIN (SELECT src, dst FROM lv WHERE rel = 'shares' UNION SELECT dst, src FROM lv WHERE rel = 'shares') USING (src, dst) WHERE src % 10 = 0 UNION SELECT a.c_custkey, b.c_custkey, 'nation' FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey WHERE a.c_custkey % 10 = 0)"
+_CAND = "cand AS (SELECT asked, borrower, bool_or(path = 'shared') AS shared, bool_or(path = 'nation') AS nation FROM pth GROUP BY 1, 2)"
+
+
+def evidence(t: Tables) -> DataFrame:
+    """(asked, borrower, shared, nation, and the borrower's metrics) at the snapshot: every tenth customer asks.
+
+    A candidate shares what few bought, or is of the same nation and segment.  What is known of it comes from the graph of
+    that month-end: ties, payments in a circle, mutual ones, defaults near it and in its community.
+    """
+    snaps = t.spark.range(1).select(at().alias("snap"))
+    live_, every, defaults = G.cut(P.live_at(dated(t), snaps)), G.cut(panel_nodes(t).crossJoin(F.broadcast(snaps))), first_events(t).select(c("k").alias("node"), "event_at")
+    ties = live_.where("rel = 'shares' and src <> dst").select("src", "dst")
+    one = ties.unionByName(ties.select(c("dst").alias("src"), c("src").alias("dst"))).where("src % 10 = 0").select(c("src").alias("asked"), c("dst").alias("borrower"), F.lit(True).alias("shared"), F.lit(False).alias("nation"))
+    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    two = cust.where("c_custkey % 10 = 0").withColumnRenamed("c_custkey", "asked").join(cust.withColumnRenamed("c_custkey", "borrower"), ["c_nationkey", "c_mktsegment"]).where("asked <> borrower").select("asked", "borrower", F.lit(False).alias("shared"), F.lit(True).alias("nation"))
+    pairs = one.unionByName(two).groupBy("asked", "borrower").agg(F.bool_or("shared").alias("shared"), F.bool_or("nation").alias("nation"))
+    links = G.cut(P.merged(live_))
+    flagged = P.rates(links, every, defaults)[0]
+    labels = G.cut(G.communities(links, every, by=P.SNAP))
+    rates = labels.join(flagged, ["snap", "node"]).groupBy("snap", "label").agg(F.avg("bad").alias("community_default_rate"))
+    own = live_.where("rel = 'pays'").groupBy(c("src").alias("node")).agg(F.sum("w").alias("own"))
+    home = t.customer.select(c("c_custkey").alias("node"), "c_nationkey")
+    share = own.join(home, "node").withColumn("group_share", c("own") / F.sum("own").over(W.partitionBy("c_nationkey"))).select("node", "group_share")
+    facts = P.direct_metrics(live_, every, defaults, "pays", "shares").join(labels, ["snap", "node"]).join(rates, ["snap", "label"], "left").join(flagged.select("node", "bad"), "node", "left")
+    facts = facts.join(G.mutual(live_.where("rel = 'pays'")), "node", "left").join(share, "node", "left")
+    return pairs.join(facts.withColumnRenamed("node", "borrower"), "borrower", "left")
+
+
+@query(f"""WITH {_NOW}, {_DIRECT}, {', '.join(_panel_labels(8))}, {_OWN}, {_CAND}, cr AS (SELECT label, avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END) AS rate FROM l8 JOIN num USING (snap, node) WHERE debtor GROUP BY 1),
+x AS (SELECT asked, avg(CASE WHEN num.debtor THEN num.bad::INTEGER END) AS a, avg(near.rate) AS b, avg(cr.rate) AS c, avg((shared AND NOT nation)::INTEGER) AS d, avg(greatest(h.hhi, i.hhi)) AS e, max(coalesce(own.w / grp.w, 0)) AS f
+FROM cand JOIN num ON num.node = borrower LEFT JOIN customer ON c_custkey = borrower LEFT JOIN near ON near.node = borrower LEFT JOIN l8 ON l8.node = borrower LEFT JOIN cr USING (label) LEFT JOIN {_HHI.format("src", "dst", "hhi")} h ON h.node = borrower LEFT JOIN {_HHI.format("dst", "src", "hhi")} i ON i.node = borrower LEFT JOIN own ON own.node = borrower LEFT JOIN grp ON grp.c_nationkey = customer.c_nationkey GROUP BY 1),
+y AS (SELECT asked, a, CASE WHEN b IS NOT NULL THEN least(1, b / 0.15) END AS b, CASE WHEN c IS NOT NULL THEN least(1, c / 0.15) END AS c, d, CASE WHEN e IS NOT NULL THEN greatest(0, least(1, (e - 0.25) / 0.5)) END AS e, least(1, f) AS f FROM x)
+SELECT asked, round(a, 6) AS affiliated_defaults, round(b, 6) AS neighbours, round(c, 6) AS community, round(d, 6) AS hidden, round(e, 6) AS concentration, round(f, 6) AS exposure, round(100 * (coalesce(a * 0.3, 0) + coalesce(b * 0.2, 0) + coalesce(c * 0.15, 0) + coalesce(d * 0.15, 0) + coalesce(e * 0.1, 0) + coalesce(f * 0.1, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END + CASE WHEN c IS NULL THEN 0 ELSE 0.15 END + CASE WHEN d IS NULL THEN 0 ELSE 0.15 END + CASE WHEN e IS NULL THEN 0 ELSE 0.1 END + CASE WHEN f IS NULL THEN 0 ELSE 0.1 END), 5) AS score FROM y""")
+def G25_network_components(t: Tables) -> DataFrame:
+    """The six weighted components of the network indicator over each customer's candidates, and the indicator."""
+    top = F.greatest("supplier_hhi", "buyer_hhi")
+    rows = evidence(t).groupBy("asked").agg(F.avg("bad").alias("a"), F.avg("neighbour_default_rate").alias("b"), F.avg("community_default_rate").alias("c"), F.avg((c("shared") & ~c("nation")).cast("int")).alias("d"), F.avg(top).alias("e"), F.max(F.coalesce("group_share", F.lit(0.0))).alias("f"))
+    parts = {"affiliated_defaults": (c("a"), 0.30), "neighbours": (c("b") / 0.15, 0.20), "community": (c("c") / 0.15, 0.15), "hidden": (c("d"), 0.15), "concentration": ((c("e") - 0.25) / 0.5, 0.10), "exposure": (c("f"), 0.10)}
+    return rows.select("asked", *[F.round(L.clip(value, 0.0, 1.0), 6).alias(name) for name, (value, _) in parts.items()], F.round(G.risk_indicator(list(parts.values())), 5).alias("score"))
+
+
+@query(f"""WITH {_NOW}, {_DIRECT}, {_BOTH}, {_OWN}, {_CAND}, x AS (SELECT asked, count(CASE WHEN shared THEN 1 END) AS a, count(ring.node) AS b, count(CASE WHEN mut.n > 0 THEN 1 END) AS c, count(CASE WHEN shared AND NOT nation THEN 1 END) AS d FROM cand LEFT JOIN ring ON ring.node = borrower LEFT JOIN mut ON mut.node = borrower GROUP BY 1)
+SELECT asked, unnest(['shared_attribute', 'circular_payment', 'cross_guarantee', 'hidden_affiliation']) AS pattern, unnest([a, b, c, d]) AS evidence FROM x""")
+def G26_pattern_evidence(t: Tables) -> DataFrame:
+    """For each customer the four patterns among its candidates, with how many of them show each."""
+    n = evidence(t).groupBy("asked").agg(F.count_if("shared").alias("shared_attribute"), F.count_if("circular_payment_flag").alias("circular_payment"), F.count_if(c("mutual") > 0).alias("cross_guarantee"), F.count_if(c("shared") & ~c("nation")).alias("hidden_affiliation"))
+    return n.unpivot("asked", ["shared_attribute", "circular_payment", "cross_guarantee", "hidden_affiliation"], "pattern", "evidence")
+
+
 @query(f"WITH {_RES} SELECT DISTINCT 'A' || asked AS src, path AS dst FROM pth UNION ALL SELECT DISTINCT path, 'B' || borrower FROM pth")
 def G27_evidence_graph(t: Tables) -> DataFrame:
     rows = resolved(t)

@@ -417,10 +417,10 @@ b AS (SELECT *, CASE WHEN k % 13 = 0 THEN -1.0 ELSE sales - cost END AS profit,
 u AS (SELECT k, 'fin_sales' AS feature, sales::DOUBLE AS value, s1 AS source FROM d UNION ALL SELECT k, 'fin_cost', cost, s2 FROM d UNION ALL SELECT k, 'fin_lines', lines, 'alias line_count' FROM d UNION ALL SELECT k, 'fin_profit', profit, s3 FROM d UNION ALL SELECT k, 'fin_margin', margin, s4 FROM d UNION ALL SELECT k, 'fin_margin_to_tax', margin / nullif(tax, 0), 'formula' FROM d UNION ALL SELECT k, 'fin_loss', (profit < 0)::INTEGER, 'formula' FROM d)"""
 
 
-@query(f"{_STORE} SELECT k AS l_orderkey, feature, round(value, 5) AS value, source FROM u WHERE value IS NOT NULL")
+@query(f"{_STORE} SELECT k AS l_orderkey, feature, round(value, 8) AS value, source FROM u WHERE value IS NOT NULL")
 def M34_feature_store(t: Tables) -> DataFrame:
     """Features by precedence, aliases and formulas over other features, with where each value comes from."""
-    return N.resolve(order_facts(t), "l_orderkey", STORED).select("l_orderkey", "feature", F.round("value", 5).alias("value"), "source")
+    return N.resolve(order_facts(t), "l_orderkey", STORED).select("l_orderkey", "feature", F.round("value", 8).alias("value"), "source")
 
 
 @query(f"{_STORE} SELECT k AS l_orderkey, count(value) AS observed, round(count(value) / 7.0, 4)::DOUBLE AS share, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (value IS NULL), '') AS missing FROM u GROUP BY 1")
