@@ -26,7 +26,9 @@ SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("st
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
+JWT = re.compile(rb"[A-Za-z0-9_-]+(?:(\.)[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,})?")
+#: Characters of a web token's header; longer ones are none.
+JWT_HEADER = 4096
 PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 #: What stands between a key's header and its end: a line end (or one written as an escape), indents and marks of quoted text.
 _GAP = rb"(?:\\[rnt]|[\s>#*|\"',+;])"
@@ -54,6 +56,15 @@ def luhn(digits: bytes) -> bool:
     return total % 10 == 0
 
 
+#: What the issuers' card numbers begin with (from, to) and their lengths.
+ISSUERS = (((4, 4), (13, 16, 19)), ((51, 55), (16,)), ((2221, 2720), (16,)), ((34, 34), (15,)), ((37, 37), (15,)), ((6011, 6011), (16, 19)), ((644, 649), (16, 19)), ((65, 65), (16, 19)), ((3528, 3589), (16, 19)), ((300, 305), (14,)), ((36, 36), (14,)), ((38, 39), (14,)))
+
+
+def issued(digits: bytes) -> bool:
+    """Whether a number is of an issuer's range and length, and its check digit is right."""
+    return any(low <= int(digits[: len(str(low))]) <= high and len(digits) in sizes for (low, high), sizes in ISSUERS) and luhn(digits)
+
+
 def iban(text: bytes) -> bool:
     return int("".join(str(int(chr(c), 36)) for c in text[4:] + text[:4])) % 97 == 1
 
@@ -114,6 +125,7 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
     raw = data.tobytes()
     spans: list[tuple[int, int, int]] = []
     done = dict.fromkeys(KINDS, 0)
+    dot = rest = 0  # where the header and the whole of the web token end whose characters are being looked at; the same for all places in its header
 
     def put(kind: str, start: int, end: int) -> None:
         spans.append((start, KINDS.index(kind), end))
@@ -131,9 +143,14 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
                 put(kind, m.start(), m.end())
         elif kind == "github" and (m := GITHUB.match(raw, at)) and github(m):
             put(kind, m.start(), m.end())
-        elif kind == "jwt" and at >= done[kind] and (m := JWT.match(raw, at)) and jwt(m[0]):
-            done[kind] = m.end()
-            put(kind, m.start(), m.end())
+        elif kind == "jwt" and at >= done[kind] and raw.startswith(b"eyJ", at):
+            if at >= dot:
+                m = JWT.match(raw, at)
+                dot, rest = (m.start(1), m.end()) if m[1] else (0, 0)
+                done[kind] = 0 if m[1] else m.end()  # without a rest no place in the run begins a token
+            if at < dot and 8 <= dot - at <= JWT_HEADER and jwt(raw[at:rest]):
+                done[kind] = rest
+                put(kind, at, rest)
         elif kind == "pem" and (at := raw.rfind(b"-----BEGIN ", max(0, end - 60), end)) >= done[kind] and (m := PEM.match(raw, at)):
             done[kind] = key_end(raw, m)
             put(kind, m.start(), done[kind])
@@ -143,7 +160,7 @@ def find(data: np.ndarray) -> list[tuple[int, int, int]]:
         at = end + 1 - size
         if at >= done[kind] and (m := (IBAN if kind == "iban" else CARD).match(raw, at)):
             done[kind] = m.end()
-            if iban(m[0]) if kind == "iban" else luhn(m[0]):
+            if iban(m[0]) if kind == "iban" else issued(m[0]):
                 put(kind, m.start(), m.end())
     return sorted(spans)
 
@@ -153,7 +170,7 @@ def scan(docs: DataFrame, name: str = "spans") -> DataFrame:
 
     Positions are code points, ends exclusive.  The base kinds assign, access and hex are leftmost non-overlapping
     matches of their expression, those too short being dropped.  The other kinds have a checksum or structure that is
-    validated: GitHub tokens (CRC-32 in base 62), JSON web tokens (a header with alg), card numbers (Luhn), bank
+    validated: GitHub tokens (CRC-32 in base 62), JSON web tokens (a header with alg), card numbers (an issuer's range, Luhn), bank
     account numbers (modulo 97) and private keys with their body and END line.  Null and empty texts have no spans.
     """
 
@@ -197,13 +214,22 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = KINDS, mark: str = "<{}>")
 
     All columns stay as they are but for the text; a null text stays null, and a text without spans is not changed.
     """
-    spans = fresh(docs, "spans")
-    wanted = F.filter(spans, lambda x: x["kind"].isin(*kinds))
-
-    def step(state: Column, x: Column) -> Column:
-        text = F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, x["start"].cast("int") - state["at"]), F.lit(mark.split("{}")[0]), x["kind"], F.lit(mark.split("{}")[1]))
-        return F.when(x["start"] >= state["at"], F.struct(text.alias("text"), x["end"].cast("int").alias("at"))).otherwise(F.struct(state["text"].alias("text"), F.greatest(state["at"], x["end"].cast("int")).alias("at")))
+    wanted, marks = {KINDS.index(k) for k in kinds}, [mark.format(k).encode() for k in KINDS]
+
+    def cleaned(data: np.ndarray) -> bytes:
+        raw, out, at = data.tobytes(), [], 0
+        for a, k, b in find(data):
+            if k in wanted:
+                if a >= at:
+                    out += (raw[at:a], marks[k])
+                at = max(at, b)
+        return b"".join((*out, raw[at:]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(place)
+            new = [x if there else None for x, there in zip(map(cleaned, texts(old)), old.is_valid().to_pylist(), strict=True)]
+            yield batch.set_column(place, "text", pa.array(new, pa.binary()).cast(pa.string()))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    cleaned = F.aggregate(wanted, start, step, lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return scan(docs, spans).withColumn("text", F.when(F.size(wanted) > 0, cleaned).otherwise(F.col("text"))).drop(spans)
+    place = [x.lower() for x in docs.columns].index("text")
+    return docs.mapInArrow(rows, docs.schema)
