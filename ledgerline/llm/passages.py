@@ -1,8 +1,8 @@
 """Substring dedup: MinHash banding of paragraphs, exact Jaccard of those that collide, removal by components.
 
-A text's paragraphs are its lines of some words (titles and greetings repeat by themselves), long ones being cut at
-sentence ends, and a short text as a whole.  They are banded by MinHash and compared.  As a copied passage need not keep to lines, runs of `size` words count as paragraphs too, if they
-are equal; they start where the text itself says: at the least hash among any `window` neighbouring n-grams.  Two texts
+A text's paragraphs are its lines of as many words as a shingle has, long ones being cut at sentence ends, and a short
+text as a whole.  They are banded by MinHash and compared; those of one or two shingles are like none but their equals,
+so they are not banded.  As a copied passage need not keep to lines, runs of `size` words count as paragraphs too, if they are equal; they start where the text itself says: at the least hash among any `window` neighbouring n-grams.  Two texts
 that share a run of ``window - 1 + size`` words therefore share a whole paragraph, wherever the run stands in either.
 What is found is widened to all words that agree before and after it.
 """
@@ -42,7 +42,7 @@ class Settings(NamedTuple):
     bands: int = 6
     rows: int = 2
     threshold: int = 75
-    line: int = 16
+    line: int = 5
     least: int = 48
     most: int = 96
 
@@ -197,7 +197,7 @@ def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
                 names.append(own[new])
                 times.append(np.add.reduceat(np.concatenate(([True], (own[1:] != own[:-1]) | (who[1:] != who[:-1]))).astype(np.int64), new))
                 owners.append(np.stack((who[new], who[last]), axis=1) + (text + at))
-                lines_ = np.flatnonzero(np.maximum.reduceat(found.whole[order], new))  # a chunk's equal ones are banded once
+                lines_ = np.flatnonzero(np.maximum.reduceat(found.whole[order], new) & (found.sizes[order[new]] * (100 - s.threshold) >= s.threshold))  # a chunk's equal ones are banded once
                 bands.append(own[new][lines_])
                 keys.append(band_keys(*shingles(found, order[new[lines_]]), s) if len(lines_) else np.zeros((0, s.bands), dtype=U))
             text += len(batch)
@@ -244,13 +244,14 @@ def _sets(texts_of: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
 
 
 def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The runs of words to remove: doc_id, first_word, end_word, component_id, kept_doc_id, paragraphs.
+    """The runs of words to remove: doc_id, first_word, end_word, component_id, kept_doc_id, paragraphs, row (a hash of doc_id and text).
 
     Lines and whole texts link when their sets of n-grams have the Jaccard similarity of the threshold, and all
     paragraphs that are equal do.  Of each component the
     document of the smallest doc_id keeps its text; in all others the paragraphs' words are to go, with those around them
     that agree too, overlapping ones being one run.  kept_doc_id is the smallest of the documents that keep a copy of a part of the run.  A repeat
-    within one document does not count, nor do null texts and null doc_ids.
+    within one document does not count, nor do null texts and null doc_ids.  Rows that share a doc_id are one document, but
+    each has its own runs; rows equal in doc_id and text have the same.
     """
     texts_of = docs.select(ended().alias("text"))
     # Only keys of several texts are kept; most keys are those of one text, whose paragraphs overlap.
@@ -269,22 +270,22 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     roots = connect(neighbours(shared, FIELDS, ORDER), check, s.threshold, rows=shared.join(keys, "cls"), fields=FIELDS, extra=may_reach(s.threshold), order=ORDER)
     exact = near.where("h & 1 = 1").select("cls").distinct().join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
     flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    hits = cut(_sent(flagged, _placed(named.select("doc_id", ended().alias("text")), flagged, s)))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), ended().alias("text"))
+    hits = cut(_sent(flagged, _placed(named, flagged, s)))
     # For each class the words of the document that keeps it: of the same class there, else of the root's first.
-    spot = F.struct("doc_id", "at", "end")
+    spot = F.struct("doc_id", "row", "at", "end")
     classes = cut(hits.groupBy("root", "cls").agg(F.min(spot).alias("own"), F.max("doc_id").alias("last")))
     tops = cut(classes.groupBy("root").agg(F.min("own").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last"))
     known = _sent(tops, classes.drop("last"), "root").select("cls", F.col("first.doc_id").alias("kept"), F.when(F.col("own.doc_id") == F.col("first.doc_id"), F.col("own")).otherwise(F.col("first")).alias("like"))
     rows = _sent(cut(known), hits).where("doc_id <> kept")
     # What one document keeps of another's words is widened first, then all that overlaps is one run.
-    near = _runs(rows, ("doc_id", "kept")).agg(
-        F.min("at").alias("at"), F.max("end").alias("end"), F.min_by("like.at", F.struct("at", "end", "cls")).alias("l_at"), F.max_by("like.end", F.struct("end", "at", "cls")).alias("r_at"),
+    near = _runs(rows, ("doc_id", "row", "kept")).agg(
+        F.min("at").alias("at"), F.max("end").alias("end"), F.min_by(F.struct("like.row", "like.at"), F.struct("at", "end", "cls")).alias("left"), F.max_by(F.struct("like.row", "like.end"), F.struct("end", "at", "cls")).alias("right"),
         F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"),
     )
-    wide = _widened(cut(near), named.select("doc_id", ended().alias("text")), s)
-    runs = _runs(wide, ("doc_id",)).agg(F.min("at").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
-    return runs.drop("run")
+    wide = _widened(cut(near.select("*", F.col("left.row").alias("l_row"), F.col("left.at").alias("l_at"), F.col("right.row").alias("r_row"), F.col("right.end").alias("r_at")).drop("left", "right")), named, s)
+    runs = _runs(wide, ("doc_id", "row")).agg(F.min("at").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
+    return runs.select("doc_id", "first_word", "end_word", "component_id", "kept_doc_id", "paragraphs", "row")
 
 
 def _sent(table: DataFrame, rows: DataFrame, key: str = "cls") -> DataFrame:
@@ -293,18 +294,19 @@ def _sent(table: DataFrame, rows: DataFrame, key: str = "cls") -> DataFrame:
 
 
 def _placed(named: DataFrame, flagged: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, at, end, cls) of the paragraphs whose names are flagged, and a few others."""
+    """(doc_id, row, at, end, cls) of the paragraphs whose names are flagged, and a few others."""
     sieve = named.sparkSession.sparkContext.broadcast(marked(flagged, "cls"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, bounds in chunks(batch.column(1)):
+            for first, data, bounds in chunks(batch.column(2)):
                 found = paragraphs(data, bounds, s)
                 some = np.flatnonzero(is_marked(sieve.value, found.names))
                 columns = [found.at[some].astype(np.int32), found.ends[some].astype(np.int32), signed(found.names[some])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found.owner[some] + first)), *map(pa.array, columns)], names=["doc_id", "at", "end", "cls"])
+                own = pa.array(found.owner[some] + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *map(pa.array, columns)], names=["doc_id", "row", "at", "end", "cls"])
 
-    return named.mapInArrow(placed, "doc_id long, at int, end int, cls long")
+    return named.mapInArrow(placed, "doc_id long, row long, at int, end int, cls long")
 
 
 def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
@@ -316,13 +318,13 @@ def _runs(rows: DataFrame, where: tuple[str, ...]) -> GroupedData:
 
 
 def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, at, end, kept, root, places): the runs with the words before and after that agree with the kept text.
+    """(doc_id, row, at, end, kept, root, places): the runs with the words before and after that agree with the kept text.
 
     A longer stretch of equal words holds a paragraph of its own, so `window + size - 2` words on either side do.  They
     are read where a sieve of the places says so, so no text is shuffled; a word is compared by 16 bits.
     """
     reach = s.window + s.size - 2
-    asked = [runs.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), F.lit(side).alias("side")) for doc, place, side in (("doc_id", "at", 0), ("kept", "l_at", 0), ("doc_id", "end", 1), ("kept", "r_at", 1))]
+    asked = [runs.select(F.col(row).alias("row"), F.col(place).alias("place"), F.lit(side).alias("side")) for row, place, side in (("row", "at", 0), ("l_row", "l_at", 0), ("row", "end", 1), ("r_row", "r_at", 1))]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,17 +347,17 @@ def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
                         a, b = found.base[k], found.base[k + 1]
                         rows.append((k + first, place, side, words[a + place : min(b, a + place + reach)] if side else words[max(a, a + place - reach) : a + place][::-1]))
                 docs, places, sides, near = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["doc_id", "place", "side", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["row", "place", "side", "words"])
 
-    # Rows that share a doc_id: any one of its texts at a place.
-    words = cut(named.mapInArrow(around, "doc_id long, place int, side int, words array<smallint>").groupBy("doc_id", "place", "side").agg(F.max("words").alias("words")))
-    for side, place, other in ((0, "at", "l_at"), (1, "end", "r_at")):
+    # Equal rows have equal words.
+    words = cut(named.select("row", "text").mapInArrow(around, "row long, place int, side int, words array<smallint>").groupBy("row", "place", "side").agg(F.max("words").alias("words")))
+    for side, place, other, like in ((0, "at", "l_at", "l_row"), (1, "end", "r_at", "r_row")):
         one = words.where(F.col("side") == side)
-        for doc, at, name in (("doc_id", place, "own"), ("kept", other, "others")):
-            runs = runs.join(one.select(F.col("doc_id").alias(doc), F.col("place").alias(at), F.col("words").alias(name)), [doc, at])
+        for row, at, name in (("row", place, "own"), (like, other, "others")):
+            runs = runs.join(one.select(F.col("row").alias(row), F.col("place").alias(at), F.col("words").alias(name)), [row, at])
         differ = F.array_position(F.zip_with("own", "others", lambda x, y: x.eqNullSafe(y)), False)
         runs = runs.withColumn(f"more_{side}", F.when(differ > 0, differ - 1).otherwise(F.size("own"))).drop("own", "others")
-    return runs.select("doc_id", (F.col("at") - F.col("more_0")).alias("at"), (F.col("end") + F.col("more_1")).alias("end"), "kept", "root", "places")
+    return runs.select("doc_id", "row", (F.col("at") - F.col("more_0")).alias("at"), (F.col("end") + F.col("more_1")).alias("end"), "kept", "root", "places")
 
 
 def _spot(ids: np.ndarray, places: np.ndarray, sides: np.ndarray) -> np.ndarray:
