@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.arrays import ngrams, texts, word_hashes
-from ledgerline.llm.common import cut, text_or_empty
+from ledgerline.llm.common import cut, fresh, text_or_empty
 
 K1, B = 1.2, 0.75
 FOUND = "item_id long, score double, question_overlap double, answer_overlap double, first_word long, last_word long"
@@ -210,13 +211,14 @@ def search(data: np.ndarray, index: Index, s: Settings = Settings()) -> list[tup
     return sorted(best.values())
 
 
-def _indexes(items: DataFrame, settings: Settings, items_at_once: int) -> Iterator[object]:
-    """Broadcast indexes of the items, at most about items_at_once in each, so that what is sent is bounded.
+def _indexes(items: DataFrame, settings: Settings, items_at_once: int, bytes_at_once: int = 1 << 24) -> Iterator[object]:
+    """Broadcast indexes of the items, at most about items_at_once and bytes_at_once of text in each, so that what is sent is bounded.
 
     Terms are weighed by how many of all items' entries have them, so an item scores alike whatever it shares an index with.
     """
     named = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    shares = max(1, math.ceil(named.count() / items_at_once))
+    size = named.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shares = max(1, math.ceil(size["n"] / items_at_once), math.ceil(size["bytes"] / bytes_at_once))
     dealt = named.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)).cast("int"))
     piece = max(1, settings.size - settings.step)
     spark = items.sparkSession
@@ -270,18 +272,47 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), it
 
         return kept.mapInArrow(query, f"doc_id long, {FOUND}")
 
-    return reduce(DataFrame.unionByName, map(part, _indexes(items, settings, items_at_once)))
+    return reduce(DataFrame.unionByName, _one_by_one(part, _indexes(items, settings, items_at_once)))
+
+
+def _one_by_one(part: Callable[[object], DataFrame], indexes: Iterator) -> Iterator[DataFrame]:
+    """The part of each index; where there are several each is written before the next index is built, so one is held at a time."""
+    first = next(indexes)
+    second = next(indexes, None)
+    if second is None:
+        yield part(first)
+        return
+    for sent in chain((first, second), indexes):
+        yield cut(part(sent))
+        sent.unpersist()
 
 
 def clean(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), items_at_once: int = 20_000) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay, and nothing is shuffled."""
+    """docs without the rows that hold a benchmark item; all columns stay.
+
+    With one share of items nothing is shuffled.  With more, each share's matches are written as hashes of doc_id and text
+    (equal rows match alike), and the rows that have none are kept by one join on them.
+    """
     place = docs.columns.index("text")
+    key = fresh(docs, "key")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias(key), text_or_empty().alias("text"))
 
-    def without(kept: DataFrame, sent) -> DataFrame:  # noqa: ANN001
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(sent) -> DataFrame:  # noqa: ANN001
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not search(data, sent.value, settings) for data in texts(batch.column(place))], pa.bool_()))
+                some = pa.array([bool(search(data, sent.value, settings)) for data in texts(batch.column(1))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(some)], names=[key])
 
-        return kept.mapInArrow(keep, docs.schema)
+        return keyed.mapInArrow(hits, f"`{key}` long")
 
-    return reduce(without, _indexes(items, settings, items_at_once), docs)
+    def keep(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        for batch in batches:
+            yield batch.filter(pa.array([not search(data, sent.value, settings) for data in texts(batch.column(place))], pa.bool_()))
+
+    indexes = _indexes(items, settings, items_at_once)
+    first = next(indexes)
+    second = next(indexes, None)
+    if second is None:
+        return docs.mapInArrow(partial(keep, first), docs.schema)
+    parts = reduce(DataFrame.unionByName, _one_by_one(found, chain((first, second), indexes)))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(parts.distinct(), key, "left_anti").drop(key)

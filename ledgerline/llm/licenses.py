@@ -57,8 +57,8 @@ SENTENCES = {
 
 #: Names that notices give to licences, and the identifiers that mark them.
 NAMES = {
-    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"),
-    "MIT": ("MIT License", "MIT license"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache-2.0"),
+    "MIT": ("MIT License", "MIT license", "MIT"),
     "GPL-3.0-only": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"),
     "GPL-2.0-only": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"),
     "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
@@ -78,16 +78,52 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "GPL-3.0-or-later": ("GNU General Public License, version 3 or later", "GNU General Public License v3 or later", "GPL version 3 or later"),
+    "GPL-2.0-or-later": ("GNU General Public License, version 2 or later", "GNU General Public License v2 or later", "GPL version 2 or later"),
+    "LGPL-3.0-or-later": ("GNU Lesser General Public License, version 3 or later", "LGPL version 3 or later"),
+    "LGPL-2.1-or-later": ("GNU Lesser General Public License, version 2.1 or later", "LGPL version 2.1 or later"),
+    "AGPL-3.0-or-later": ("GNU Affero General Public License, version 3 or later", "AGPL version 3 or later"),
+    "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"),
+    "AFL-3.0": ("Academic Free License 3.0", "Academic Free License v3.0"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD-4-Clause": ("BSD 4-Clause License", "Original BSD License"),
+    "BlueOak-1.0.0": ("Blue Oak Model License 1.0.0",),
+    "CC-BY-3.0": ("CC BY 3.0", "Creative Commons Attribution 3.0 Unported License"),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "CDDL-1.0": ("CDDL 1.0", "CDDL version 1.0"),
+    "ECL-2.0": ("Educational Community License 2.0", "Educational Community License, Version 2.0"),
+    "EPL-1.0": ("Eclipse Public License 1.0", "Eclipse Public License v1.0"),
+    "EUPL-1.2": ("European Union Public Licence 1.2", "EUPL 1.2", "EUPL v1.2"),
+    "GFDL-1.3-only": ("GNU Free Documentation License, version 1.3", "GNU Free Documentation License 1.3"),
+    "LPPL-1.3c": ("LaTeX Project Public License 1.3c", "LaTeX Project Public License, version 1.3c"),
+    "MIT-0": ("MIT No Attribution License",),
+    "MPL-1.1": ("Mozilla Public License 1.1", "Mozilla Public License, version 1.1"),
+    "MS-PL": ("Microsoft Public License", "Ms-PL"),
+    "NCSA": ("University of Illinois/NCSA Open Source License", "NCSA Open Source License"),
+    "ODbL-1.0": ("Open Database License 1.0", "Open Database License v1.0"),
+    "OFL-1.1": ("SIL Open Font License 1.1", "SIL Open Font License, Version 1.1"),
+    "PostgreSQL": ("PostgreSQL License",),
+    "Python-2.0": ("Python License 2.0", "Python Software Foundation License Version 2"),
+    "WTFPL": ("WTFPL License", "WTFPL"),
+    "X11": ("X11 License",),
+    "ZPL-2.1": ("Zope Public License 2.1", "Zope Public License, Version 2.1"),
 }
+#: Exceptions that stand behind WITH in marked lines.
+EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "OpenSSL-exception")
 #: What stands before the name in a notice, in normalised words; all that counts of it is "under".
-FORM = "^(?:(?:this|the) (?:work|project|software|program|library|file|code|document|material) is )?(?:licensed|released|distributed|published|available|provided) under (?:the |a )?"
+FORM = "^(?:(?:this|the) (?:work|project|software|program|library|file|code|document|material) is )?(?:licensed|released|distributed|published|made available|available|provided) under (?:the )?(?:terms (?:and conditions )?of )?(?:the |a )?"
+#: A sentence that only says that something is licensed so, and what joins the names of several licences in a notice.
+LICENSED, JOINED = "^(?:this|the) (?:work|project|software|program|library|file|code|document|material) is (.+) licensed$", " (?:and the|and|or the) "
 SPDX = "SPDX-License-Identifier:"
+#: Marked lines hold expressions: an operator opens a marked line of its own, so many times, and "+" is a later version.
+OPERATOR, LATER, OPERATORS = f"({SPDX}[^\\n]*?)[ \\t]+(?:OR|AND|WITH|or|and|with)[ \\t]+", f"({SPDX}[ \\t(]*[A-Za-z0-9.-]+)[+]", 8
 
 
 def _notices() -> dict[str, tuple[str, ...]]:
     """The known sentences, the notices of each name, and the identifiers of a marked line."""
     lines = {f"line_{k}": tuple(f"Licensed under {name}" for name in names) for k, names in NAMES.items()}
-    return {**{k: (s,) for k, s in SENTENCES.items()}, **lines, "spdx": (SPDX,), **{f"id_{k}": (k,) for k in NAMES}}
+    return {**{k: (s,) for k, s in SENTENCES.items()}, **lines, "spdx": (SPDX,), **{f"id_{k}": (k,) for k in (*NAMES, *EXCEPTIONS)}}
 
 
 #: In the order in which they are tried: a longer rule stands before a rule that is a part of it.
@@ -111,7 +147,7 @@ RULES = (
     Rule("EPL-2.0", ("epl2_terms",)),
     Rule("Zlib", ("zlib_grant",)),
     Rule("WTFPL", ("wtfpl_terms",)),
-    *(Rule(k, ("spdx", f"id_{k}")) for k in NAMES),
+    *(Rule(k, ("spdx", f"id_{k}")) for k in (*NAMES, *EXCEPTIONS)),
     *(Rule(k, (f"line_{k}",)) for k in NAMES),
     Rule("public-domain", ("public_domain",)),
 )
@@ -124,7 +160,22 @@ _CUT = "\x1e"
 def normalised(sentence: Column) -> Column:
     """Lower case, with every run of other than letters and digits as one blank, and a notice's head as "under"."""
     words = F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
-    return F.when(words.contains(" under "), F.regexp_replace(words, FORM, "under ")).otherwise(words)
+    words = F.when(words.contains(" under "), F.regexp_replace(words, FORM, "under ")).otherwise(words)
+    return F.when(words.endswith(" licensed"), F.regexp_replace(words, LICENSED, "under $1 license")).otherwise(words)
+
+
+def apart(words: Column) -> Column:
+    """A notice of several licences as one of each; any other sentence by itself."""
+    several = words.startswith("under ") & words.rlike(JOINED)
+    return F.when(several, F.split(F.regexp_replace(words, JOINED, f"{_CUT}under "), _CUT)).otherwise(F.array(words))
+
+
+def expanded(text: Column) -> Column:
+    """The text with the expressions of marked lines written as a marked line for each of their terms."""
+    out = text
+    for _ in range(OPERATORS):
+        out = F.regexp_replace(out, OPERATOR, f"$1\n\n{SPDX} ")
+    return F.when(F.contains(text, F.lit(SPDX)), F.regexp_replace(out, LATER, "$1-or-later")).otherwise(text)
 
 
 def bare(text: Column) -> Column:
@@ -138,11 +189,13 @@ def sentences(lines: Column, joined: bool) -> Column:
         lines = F.replace(F.regexp_replace(lines, _GAP, _CUT), F.lit("\n"), F.lit(" "))
     else:
         lines = F.replace(lines, F.lit("\n"), F.lit(_CUT))
-    return F.filter(F.transform(F.split(F.regexp_replace(lines, _BREAK, f"$1{_CUT}"), _CUT), normalised), lambda s: F.length(s) > 0)
+    cut = F.transform(F.split(F.regexp_replace(lines, _BREAK, f"$1{_CUT}"), _CUT), normalised)
+    return F.flatten(F.transform(F.filter(cut, lambda s: F.length(s) > 0), apart))
 
 
-def _plain(sentence: str) -> str:
-    return re.sub(FORM, "under ", re.sub(_OTHER, " ", sentence.lower()).strip())
+def _plain(sentence: str) -> list[str]:
+    words = re.sub(LICENSED, r"under \1 license", re.sub(FORM, "under ", re.sub(_OTHER, " ", sentence.lower()).strip()))
+    return re.sub(JOINED, f"{_CUT}under ", words).split(_CUT) if words.startswith("under ") else [words]
 
 
 class Catalogue(NamedTuple):
@@ -155,7 +208,7 @@ def catalogue(known: dict[str, tuple[str, ...]] | None = None, rules: tuple[Rule
     names, parts = {}, {}
     for name, variants in (known or _notices()).items():
         for variant in variants:
-            cut = [p for p in map(_plain, re.sub(_BREAK, rf"\1{_CUT}", re.sub(_GAP, _CUT, variant).replace("\n", " ")).split(_CUT)) if p]
+            cut = [p for x in re.sub(_BREAK, rf"\1{_CUT}", re.sub(_GAP, _CUT, variant).replace("\n", " ")).split(_CUT) for p in _plain(x) if p]
             ids = [f"{name}.{i + 1}" if len(cut) > 1 else name for i in range(len(cut))]
             if parts.setdefault(name, ids) != ids:
                 raise ValueError(f"the variants of {name} fall into unlike parts")
@@ -169,12 +222,13 @@ def scan(docs: DataFrame, known: Catalogue | None = None) -> DataFrame:
     """Per row: doc_id, n_sentences, sentence_ids (known sentences in order) and licences (in order of the rules).
 
     Both lists are comma-joined strings: first the sentences of the joined lines, then those that only single lines
-    give.  Unknown sentences between known ones do not break a sequence.  A null or empty text has no sentence.  Nothing
+    give.  Expressions of marked lines (up to nine terms) count term by term, exceptions too; a notice of several licences
+    counts for each.  Unknown sentences between known ones do not break a sequence.  A null or empty text has no sentence.  Nothing
     is shuffled; the known sentences and rules are constants of the plan.
     """
     names, patterns = known or catalogue()
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    kept = docs.select("doc_id", bare(text_or_empty()).alias("bare"))
+    kept = docs.select("doc_id", bare(expanded(text_or_empty())).alias("bare"))
     kept = kept.select("doc_id", sentences(F.col("bare"), True).alias("joined"), sentences(F.col("bare"), False).alias("single"))
 
     def ids(some: str) -> Column:
@@ -198,10 +252,15 @@ def scan_sql(known: Catalogue | None = None) -> str:
     names, patterns = known or catalogue()
     values = ", ".join(f"('{i}', '{s}')" for s, i in names.items())
     cut, end = f"chr({ord(_CUT)})", "chr(10)"
-    bare_ = f"regexp_replace({end} || coalesce(text, ''), {end} || '[^a-zA-Z0-9' || {end} || ']+', {end}, 'g')"
+    text = "coalesce(text, '')"
+    for _ in range(OPERATORS):
+        text = f"regexp_replace({text}, '{OPERATOR}', '\\1' || {end} || {end} || '{SPDX} ', 'g')"
+    text = f"regexp_replace({text}, '{LATER}', '\\1-or-later', 'g')"
+    bare_ = f"regexp_replace({end} || {text}, {end} || '[^a-zA-Z0-9' || {end} || ']+', {end}, 'g')"
 
     def split(lines: str) -> str:
-        return f"list_filter(list_transform(string_split(regexp_replace({lines}, '([.!?;:])[ ' || chr(9) || chr(13) || ']+', '\\1' || {cut}, 'g'), {cut}), lambda x: regexp_replace(trim(regexp_replace(lower(x), '{_OTHER}', ' ', 'g')), '{FORM}', 'under ')), lambda x: length(x) > 0)"
+        cut_ = f"list_filter(list_transform(string_split(regexp_replace({lines}, '([.!?;:])[ ' || chr(9) || chr(13) || ']+', '\\1' || {cut}, 'g'), {cut}), lambda x: regexp_replace(regexp_replace(trim(regexp_replace(lower(x), '{_OTHER}', ' ', 'g')), '{FORM}', 'under '), '{LICENSED}', 'under \\1 license')), lambda x: length(x) > 0)"
+        return f"flatten(list_transform({cut_}, lambda x: CASE WHEN starts_with(x, 'under ') THEN string_split(regexp_replace(x, '{JOINED}', {cut} || 'under ', 'g'), {cut}) ELSE [x] END))"
 
     joined = split(f"replace(regexp_replace(bare, {end} || {end} || '+', {cut}, 'g'), {end}, ' ')")
     single = split(f"replace(bare, {end}, {cut})")

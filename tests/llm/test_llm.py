@@ -331,7 +331,8 @@ def test_decontamination_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, it).collect()} == want
     whole, shared = (sorted(tuple(r) for r in decontaminate.leaks(df, it, items_at_once=k).collect()) for k in (1000, 7))
     assert [x[:2] + x[3:] for x in whole] == [x[:2] + x[3:] for x in shared] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(whole, shared, strict=True))
-    assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == set(range(60)) - {i for i, _ in want}
+    for k in (1000, 3):
+        assert {r.doc_id for r in decontaminate.clean(df, it, items_at_once=k).collect()} == set(range(60)) - {i for i, _ in want}
 
 
 def test_long_and_short_items_are_found(spark):
@@ -739,7 +740,8 @@ def test_lines_against_all_pairs_of_lines(spark):
 def test_rows_of_one_document_keep_their_own_runs(spark):
     rng = random.Random(53)
     a, b = prose(rng, 60), prose(rng, 60)
-    rows = [(1, a), (2, b), (5, prose(rng, 10) + " " + a), (5, prose(rng, 20) + " " + b)]
+    own = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n)) + "\n"
+    rows = [(1, own("p", 9) + a), (2, own("q", 9) + b), (5, own("r", 10) + a), (5, own("s", 20) + b)]
     found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.kept_doc_id, r.first_word, r.end_word) for r in found) == [(5, 1, 10, 70), (5, 2, 20, 80)] and len({r.row for r in found}) == 2
 
@@ -756,3 +758,26 @@ def test_secrets_in_linear_time():
     kinds = lambda raw: [secrets.KINDS[k] for _, k, _ in find(raw)]
     assert kinds(b"eyJ" + head + b".eyJzdWIi.abcdefghijkl " + head + b".aaaaa.bbbbbbbbbbb") == ["jwt", "jwt"] and kinds(head + b".aaaa.bbbbbbbbbbb") == []
     assert kinds(b"4111111111111111 5105105105105100") == ["card", "card"] and kinds(b"2000000000000008") == []  # no issuer
+
+
+def test_licence_expressions_and_wider_notices(spark):
+    import duckdb
+
+    want = {
+        "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": "GPL-3.0-or-later",
+        "/* SPDX-License-Identifier: MIT OR Apache-2.0 */": "Apache-2.0,MIT",
+        "# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only,Classpath-exception-2.0",
+        "SPDX-License-Identifier: (GPL-2.0+ AND MIT) OR BSD-3-Clause": "MIT,BSD-3-Clause,GPL-2.0-or-later",
+        "Licensed under the terms of the MIT license.": "MIT",
+        "This code is MIT licensed.": "MIT",
+        "Licensed under the Apache License, Version 2.0 and the MIT License.": "Apache-2.0,MIT",
+        "This library is released under the GNU General Public License, version 3 or later.": "GPL-3.0-or-later",
+        "Made OR broken: MIT.": "",
+    }
+    rows = list(enumerate(want))
+    df = spark.createDataFrame([*rows, (99, None)], "doc_id int, text string")
+    got = licenses.scan(df).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: want[t] for i, t in rows} | {99: ""}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(con.execute(licenses.scan_sql()).fetchall()) == sorted(map(tuple, got))
