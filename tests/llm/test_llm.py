@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import arrays, common, decontaminate, fingerprints, language, language_model, licenses, ngram_join, packing, passages, quality, secrets
+from ledgerline.llm import arrays, collocations, common, decontaminate, fertility, fingerprints, language, language_model, licenses, ngram_join, packing, passages, quality, resampling, secrets
 from ledgerline.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,12 +57,13 @@ def every_operator(docs, spark):
     return {
         1: licenses.scan(docs), 2: language_model.score(docs), 3: decontaminate.leaks(docs, items), 4: fingerprints.compare(docs, (8, 32)), 5: language.identify(docs), 6: packing.pack_documents(docs, tokenizer_path()),
         7: quality.classify(docs, labels), 8: secrets.report(docs), 9: ngram_join.near_duplicates(docs), 10: passages.repeats(docs),
+        11: collocations.mine(docs, collocations.Settings(least=2, sample=50)), 12: resampling.resample(docs, items), 13: fertility.rules(docs, tokenizer_path("piece_bpe_32k.model"), tokenizer_path()),
     }
 
 
 def test_odd_rows(spark, odd):
     found = {n: df.collect() for n, df in every_operator(odd, spark).items()}
-    for n in (1, 2, 4, 5, 7, 8, 9):
+    for n in (1, 2, 4, 5, 7, 8, 9, 12, 13):
         assert len(found[n]) == 8, n
     assert {r.lang_pred for r in found[5] if r.doc_id in (1, 2, 5)} == {"und"}
     assert all(0 <= r.score <= 1 for r in found[5]) and all(0 <= r.score <= 1 for r in found[7])
@@ -71,10 +72,13 @@ def test_odd_rows(spark, odd):
     assert {r.component_id for r in found[9] if r.doc_id == 4} == {4} and {r.n_shingles for r in found[9] if r.doc_id in (1, 2, 5)} == {0}
     assert secrets.redact(odd).columns == odd.columns and decontaminate.clean(odd, odd.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == 8
     assert ngram_join.keep_one(odd).count() == 7
+    assert {r.lang for r in found[11]} >= {"en", "fr"} and {(r.phrase, r.a, r.n) for r in found[11] if r.lang == "fr"} == {("one two", 2, 10)}
+    assert [(r.rank, r.n_features > 100) for r in found[12] if r.rank] == [] and {r.weight for r in found[12] if r.n_features == 0} == {0}
+    assert {r.doc_id for r in found[13] if r.kept} == {3} and {r.script for r in found[13] if r.doc_id in (1, 2, 5)} == {"None"}
 
 
 def test_empty_tables(spark, empty):
-    assert {n: df.count() for n, df in every_operator(empty, spark).items()} == dict.fromkeys(range(1, 11), 0)
+    assert {n: df.count() for n, df in every_operator(empty, spark).items()} == dict.fromkeys(range(1, 14), 0)
 
 
 def test_words_and_hashes():
@@ -781,3 +785,135 @@ def test_licence_expressions_and_wider_notices(spark):
     con = duckdb.connect()
     con.register("documents", df.toPandas())
     assert sorted(con.execute(licenses.scan_sql()).fetchall()) == sorted(map(tuple, got))
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_phrases(rows, longest, least, top):
+    """Collocations by counting every phrase in one dictionary."""
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\\x0a-\\x0d]", (text or "").translate(LOW)):
+            words = re.findall("[^\\x20\\x09]+", piece)
+            totals[lang] += len(words)
+            counts.update((lang, tuple(words[i : i + k])) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    out = []
+    for (lang, p), a in counts.items():
+        if len(p) > 1 and a >= least:
+            around = [f for (other, q), f in counts.items() if other == lang and len(q) > len(p) and f >= least and any(q[i : i + len(p)] == p for i in range(len(q)))]
+            if not any(f >= a for f in around):
+                n = totals[lang]
+                low = min((1000 * a * n // (counts[lang, p[:k]] * counts[lang, p[k:]]), k) for k in range(1, len(p)))
+                out.append((lang, " ".join(p), a, counts[lang, p[: low[1]]], counts[lang, p[low[1] :]], n, low[0]))
+    ranked = []
+    for lang in totals:
+        own = sorted((r for r in out if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1].encode()))[:top]
+        ranked += [(lang, i + 1, *r[1:]) for i, r in enumerate(own)]
+    return sorted(ranked)
+
+
+def test_collocations_brute_force(spark):
+    import duckdb
+
+    rng = random.Random(61)
+    stock = ["new york city", "É sí  señor", "In\tOther words", "the the the"]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(stock) if rng.random() < 0.3 else prose(rng, 1, "abc") for _ in range(rng.randint(0, 25))]
+        rows.append((i % 140, ("en", "de", None, "und")[i % 4], " ".join(w + rng.choice(("", "", "", ",", ".", "\n", "; ")) for w in words)))
+    rows += [(900, "en", None), (901, None, ""), (None, "de", "new york city"), (902, "en", "echo echo " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    want = plain_phrases([r[1:] for r in rows], 4, 6, 20)
+    assert len(want) > 15 and any(r[2] == "the the the" for r in want)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    for sample, held in ((30, 2_000_000), (0, 50), (100, 50)):  # without a sample every length takes a pass of its own
+        s = collocations.Settings(longest=4, least=6, sample=sample, top=20, held=held)
+        assert sorted(tuple(r) for r in collocations.mine(df, s).collect()) == want, sample
+    assert sorted(con.execute(collocations.mine_sql(collocations.Settings(longest=4, least=6, top=20))).fetchall()) == want
+
+
+def test_scores_of_collocations_are_exact(spark):
+    rows = [(a, n, left, right) for a, n, left, right in ((10**12 + 7, 10**18 - 1, 10**13 + 3, 10**12 + 9), (10**12, 10**15, 10**15, 10**15), (3, 7, 3, 7), (10**14 - 1, 10**18, 10**14, 10**14))]
+    got = spark.createDataFrame(rows, "a long, n long, l long, r long").select(collocations.score_of(*map(F.col, "anlr")).alias("s")).collect()
+    assert [r.s for r in got] == [1000 * a * n // (left * right) for a, n, left, right in rows]
+
+
+def test_resampling_brute_force(spark):
+    rng = random.Random(62)
+    docs = [(i % 190, None if i % 50 == 7 else prose(rng, rng.randint(0, 60), "abcdeé") + rng.choice(("", " A-B_c", " x\u00a0y", " 1.2"))) for i in range(200)]
+    items = [(i, prose(rng, 12, "abc")) for i in range(10)] + [(None, None), (3, "")]
+    s = resampling.Settings(longest=2, buckets=64, percent=15, least_words=20)
+    own = "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def features(text):
+        words = re.findall(own, (text or "").translate(LOW))
+        return words, [zlib.crc32(" ".join(words[i : i + n]).encode()) % 64 for n in (1, 2) for i in range(len(words) - n + 1)]
+
+    raw, target = (Counter(b for _, t in rows for b in features(t)[1]) for rows in (docs, items))
+    total, goal = sum(raw.values()), sum(target.values())
+    gain = [math.floor(1000 * math.log((target[b] + 1) * (total + 64) / ((raw[b] + 1) * (goal + 64)))) for b in range(64)]
+    want = []
+    for doc_id, text in docs:
+        words, found = features(text)
+        weight = sum(gain[b] for b in found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"2024:{doc_id}".encode()).hexdigest()[:8], 16)
+        want.append([doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None, len(words)])
+    able = sorted((r for r in want if r[5] >= 20), key=lambda r: (-r[3], r[0]))
+    got = [tuple(r) for r in resampling.resample(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), s).collect()]
+    assert sorted(r[:4] for r in got) == sorted(tuple(r[:4]) for r in want)
+    drawn = sorted((r for r in got if r[4] is not None), key=lambda r: r[4])
+    assert [r[4] for r in drawn] == list(range(1, 15 * len(able) // 100 + 1)) and [(r[3], r[0]) for r in drawn] == [(r[3], r[0]) for r in able[: len(drawn)]] and len(drawn) > 10
+
+
+def test_ranges_number_rows_in_order(spark):
+    rows = [(i % 7, i) for i in range(500)]
+    got = {r.rank: (r.a, r.b) for r in resampling.numbered(spark.createDataFrame(rows, "a long, b long"), ["a desc", "b"], "rank", rows_at_once=40).collect()}
+    assert [got[i + 1] for i in range(500)] == sorted(rows, key=lambda r: (-r[0], r[1]))
+
+
+def test_quality_rules_brute_force(spark):
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    paths = tokenizer_path("piece_bpe_32k.model"), tokenizer_path()
+    pieces, pairs = SentencePieceProcessor(model_file=paths[0]), Tokenizer.from_file(paths[1])
+    rng = random.Random(63)
+    texts_ = [None, "", " \n\t", "Line one here\n\nLine one here\n \nLine one here", "#tag $5 <b> * a|b & c%", "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 2, "我们在这里写一些中文的句子 " * 8, "word " * 40, "\x01\U0001f600 é\u0301 ﬁ"]
+    texts_ += ["\n".join(prose(rng, rng.randint(1, 12)) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    texts_ += [f"{t} {t}" for t in texts_[12:18]] + ["the quick brown fox jumps over the lazy dog while seven wizards quietly mix a potion of dragon blood and honey for tea", "x" * 30_000, "%d " * 3 % (1, 2, 3) + "9 8 7 " * 10]
+    rows = {r.doc_id: r for r in fertility.rules(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3), *paths).collect()}
+    assert len(rows) == len(texts_)
+    for i, text in enumerate(texts_):
+        x, r = text or "", rows[i]
+        words = re.findall(r"[^\x20\x09-\x0D]+", x)
+        seen, again = set(), 0
+        for line in x.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                again += line in seen
+                seen.add(line)
+        windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        covered = {k + j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(8)}
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", x)), again, len(covered)), i
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r.kept and r.base_failed)
+        ids = [t for w in words for t in pieces.encode(w)]
+        n = max(len(ids), 1)
+        assert abs(r.piece_chars - r.word_chars / n) < 1e-9 and abs(r.fallback_share - sum(map(pieces.is_byte, ids)) / n) < 1e-9
+        assert abs(r.byte_pair_chars - r.word_chars / max(1, sum(len(pairs.encode(" " + w, add_special_tokens=False).ids) for w in words))) < 1e-9
+        assert abs(r.entropy - -sum(k / n * math.log2(k / n) for k in Counter(ids).values())) < 1e-9
+    at = lambda start: next(rows[i] for i, t in enumerate(texts_) if t and t.startswith(start))
+    assert (at("Съешь").script, at("我们").script, at("the quick").script, at("#tag").script) == ("Cyrillic", "Han", "Latin", "Latin")
+    assert at("the quick").kept and at("word").rejected_by == "base" and at("1 2 3").script == "None"
+
+
+def test_bands_reject(spark):
+    paths = tokenizer_path("piece_bpe_32k.model"), tokenizer_path()
+    rng = random.Random(64)
+    noise = " ".join("".join(chr(rng.randrange(0x1E00, 0x1EFF)) for _ in range(6)) for _ in range(40))
+    clean = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix a potion of dragon blood and honey for tea"
+    dull = " ".join(rng.choice(("world", "house", "people", "water")) for _ in range(60))
+    df = spark.createDataFrame([(1, "en", noise), (2, "en", clean), (3, "en", dull), (4, "xx", clean)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r.rejected_by for r in fertility.rules(df, *paths, bands={**fertility.BANDS, "xx": fertility.BANDS["Latin"]._replace(least_piece_chars=99.0)}).collect()}
+    assert got[1] in ("piece_chars", "byte_pair_chars") and got[2] is None and got[3] == "entropy" and got[4] == "piece_chars"
