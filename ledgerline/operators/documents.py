@@ -52,13 +52,13 @@ def facts(pages: DataFrame, rules: Sequence[Rule], units: Sequence[tuple[str, fl
     """
     words = "|".join(word for word, _ in units)
     number = _LINE.format(units=words)
-    low = F.lower(F.regexp_extract("quote", f"(?i){number}", 3))
-    line_unit = F.coalesce(*[F.when(low == word, F.lit(scale)) for word, scale in units])
+    part = lambda k: F.regexp_extract("quote", f"(?i){number}", k)
     rows = pages.select("doc", "page", unit_of(F.col("text"), units).alias("page_unit"), F.posexplode(join_label_value(clean_lines(F.col("text")))).alias("line", "quote"))
-    raw = F.regexp_replace(F.regexp_extract("quote", f"(?i){number}", 2), r"^[A-Za-z]+\.?\s*|\s+", "")
-    taken = F.struct(F.trim(F.regexp_extract("quote", f"(?i){number}", 1)).alias("label"), F.when(raw != "", parse_local_number(raw)).alias("read"), line_unit.alias("line_unit"))
-    # A generator's rows are worked out once, however many rules read them.
-    rows = rows.select("doc", "page", "page_unit", "line", "quote", F.inline(F.array(taken))).where("read is not null and label <> ''")
+    raw = F.regexp_replace(part(2), r"^[A-Za-z]+\.?\s*|\s+", "")
+    # A generator's rows are worked out once, however many expressions read them.
+    rows = rows.select("doc", "page", "page_unit", "line", "quote", F.inline(F.array(F.struct(F.trim(part(1)).alias("label"), raw.alias("raw"), F.lower(part(3)).alias("word")))))
+    line_unit = F.coalesce(*[F.when(F.col("word") == word, F.lit(scale)) for word, scale in units])
+    rows = rows.where("raw <> '' and label <> ''").select("doc", "page", "page_unit", "line", "quote", "label", F.inline(F.array(F.struct(parse_local_number("raw").alias("read"), line_unit.alias("line_unit"))))).where("read is not null")
     unit = F.coalesce("line_unit", "page_unit")
     hits = []
     for r in rules:

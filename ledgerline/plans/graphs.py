@@ -16,7 +16,7 @@ from ledgerline.operators import spectral
 from ledgerline.plans import Register, Tables
 from ledgerline.plans.aggregates import _PAY, payments
 from ledgerline.plans.relational import _BRIDGE, _FIRST, _PAIRS, bridge, first_events
-from ledgerline.plans.texts import named_rows, written_names
+from ledgerline.plans.texts import _NAMES, named_rows, written_names
 
 query = Register()
 c = F.col
@@ -366,7 +366,7 @@ def G21_match_address(t: Tables) -> DataFrame:
     return exact.unionByName(fuzzy).groupBy("asked", "p_partkey").agg(F.max("score").alias("score")).where("asked <> p_partkey").groupBy("asked").agg(F.count("*").alias("matches"))
 
 
-@query("SELECT c_custkey AS asked, c_custkey AS matched, 1.0::DOUBLE AS score FROM customer WHERE c_custkey % 100 = 0")
+@query("WITH a AS (SELECT c_custkey AS asked, " + _NAMES.format(x="'Dr. Name' || c_custkey || ' of ' || c_mktsegment || ' K' || c_custkey || ', S.E., M.M.'") + " AS t FROM customer WHERE c_custkey % 100 = 0), b AS (SELECT c_custkey AS matched, " + _NAMES.format(x="'NAME' || c_custkey || ' OF ' || c_mktsegment || ' K' || c_custkey") + " AS t FROM customer), x AS (SELECT asked, matched, len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE AS score FROM a, b) SELECT * FROM x WHERE score >= 0.85")
 def G22_match_officers(t: Tables) -> DataFrame:
     """Names with titles around them still find their party; best match per party."""
     found = J.token_jaccard_join(written_names(t), named_rows(t), "asked", "matched", "t", 0.85)

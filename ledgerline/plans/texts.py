@@ -165,12 +165,19 @@ def D09_hybrid_search(t: Tables) -> DataFrame:
     return S.hybrid(rows, "asked", "vec_id", 8, 0.35, "vec_id", "is_cited").select("asked", "vec_id", "place", F.round("score", 6).alias("score"), "cited")
 
 
-@query("SELECT p_partkey, 'JL ' || upper(p_name) || ' NO ' || p_size || ' LANTAI 2' AS key FROM part")
+_ADDRESS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ADDRESS_WORDS.items()) + "}"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform(string_split(trim(regexp_replace(upper('Jalan ' || p_name || ', Nomor ' || p_size || ' (Lt. 2), Kec. ' || p_type || ' bldg ' || p_brand), '[^0-9A-Z]+', ' ', 'g')), ' '), lambda w: coalesce({_ADDRESS}[w], w)), ' ') AS key FROM part")
 def D10_canonical_address(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", X.canonical_address(F.concat(F.lit("Jalan "), "p_name", F.lit(", Nomor "), c("p_size"), F.lit(" (Lt. 2)"))).alias("key"))
+    written = F.concat(F.lit("Jalan "), "p_name", F.lit(", Nomor "), c("p_size"), F.lit(" (Lt. 2), Kec. "), "p_type", F.lit(" bldg "), "p_brand")
+    return t.part.select("p_partkey", X.canonical_address(written).alias("key"))
+
 
+_NAMES = "list_distinct(list_filter(string_split(regexp_replace(replace(upper({x}), '.', ''), '[^0-9A-Z]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in X.NAME_STOPWORDS) + "], w)))"
 
-@query("SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter([upper(c_mktsegment), 'CUSTOMER', lpad(c_custkey::VARCHAR, greatest(9, length(c_custkey::VARCHAR))::INTEGER, '0')], lambda x: length(x) > 1))), ' ') AS t FROM customer")
+
+@query("SELECT c_custkey, array_to_string(list_sort(" + _NAMES.format(x="'PT. ' || c_name || ' ' || c_mktsegment || ' A, S.E., M.B.A.'") + "), ' ') AS t FROM customer")
 def D11_name_tokens(t: Tables) -> DataFrame:
     written = F.concat(F.lit("PT. "), "c_name", F.lit(" "), "c_mktsegment", F.lit(" A, S.E., M.B.A."))
     return t.customer.select("c_custkey", F.array_join(F.array_sort(X.name_tokens(written)), " ").alias("t"))
@@ -205,12 +212,6 @@ def D16_best_fact(t: Tables) -> DataFrame:
     return best(t).select("doc", "item", F.round("value", 2).alias("value"), "page")
 
 
-@query(f"WITH {_FACTS} SELECT doc, round(sum(CASE WHEN item IN ('current_liabilities', 'long_term_liabilities') THEN value END), 2) AS total_liabilities, max(CASE WHEN item = 'net_income' THEN value END) AS net_income FROM fa GROUP BY 1")
-def D17_derive_facts(t: Tables) -> DataFrame:
-    wide = best(t).groupBy("doc").pivot("item", ["current_liabilities", "long_term_liabilities", "net_income"]).agg(F.first("value"))
-    return wide.select("doc", F.round(c("current_liabilities") + c("long_term_liabilities"), 2).alias("total_liabilities"), F.round("net_income", 2).alias("net_income"))
-
-
 @query("WITH w AS (SELECT conv_id, word, count(*) AS n FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word FROM conversations) GROUP BY 1, 2) SELECT conv_id, word, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, word) AS r FROM w) WHERE r = 1")
 def D18_most_frequent_header(t: Tables) -> DataFrame:
     words = t.conversations.select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+)"), 1)).alias("word")).groupBy("conv_id", "word").agg(F.count("*").alias("n"))
@@ -228,48 +229,6 @@ def D19_reduce_document(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.array_join(kept, "\n").alias("reduced"))
 
 
-@query(f"WITH {_V} SELECT doc, 9 - 1 + 1 AS n FROM pr")
-def D20_join_label_value_lines(t: Tables) -> DataFrame:
-    return printed(t).select("doc", F.size(X.join_label_value(F.split("text", "\n"))).alias("n"))
-
-
-@query(f"WITH {_FACTS} SELECT doc, max(CASE WHEN item = 'current_assets' THEN value / 1000 END) AS assets FROM fa GROUP BY 1")
-def D21_first_keyword_value(t: Tables) -> DataFrame:
-    """The first keyword that has a value wins over the first line."""
-    hits = F.array_compact(F.array(*[F.when(X.value_after("content", k).isNotNull(), F.struct(F.lit(i).alias("k"), c("line").alias("line"), X.value_after("content", k).alias("v"))) for i, k in enumerate(("total assets", r"current\s+assets", "assets"))]))
-    rows = lines(printed(t)).select("doc", F.explode(hits).alias("h"))
-    return rows.groupBy("doc").agg(F.round(F.min_by("h.v", F.struct("h.k", "h.line")), 2).alias("assets"))
-
-
-@query(f"WITH {_V} SELECT doc, 'a' AS label, v AS value FROM pr UNION ALL SELECT doc, 'b', round(v + 1, 2) FROM pr UNION ALL SELECT doc, 'c', round(v + 2, 2) FROM pr")
-def D22_block_label_values(t: Tables) -> DataFrame:
-    """A block of labels and the block of values after it, matched by place."""
-    v = c("v")
-    block = F.array(F.lit("a"), F.lit("b"), F.lit("c"), *[F.format_string("%.2f", v + k) for k in (0, 1, 2)])
-    rows = printed(t).select("doc", F.posexplode(block).alias("i", "x")).withColumn("num", c("x").rlike("^[0-9.,]+$"))
-    run = W.partitionBy("doc").orderBy("i")
-    rows = rows.withColumn("new", F.coalesce((c("num") != F.lag("num").over(run)).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(run))
-    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("doc", "island").orderBy("i")))
-    labels, values = rows.where("not num").select("doc", "island", "at", c("x").alias("label")), rows.where("num").select("doc", (c("island") - 1).alias("island"), "at", c("x").cast("double").alias("value"))
-    return labels.join(values, ["doc", "island", "at"]).select("doc", "label", "value")
-
-
-@query(f"WITH {_FACTS} SELECT doc, round(sum(value), 2) AS total FROM fa WHERE item IN ('current_liabilities', 'long_term_liabilities') GROUP BY 1")
-def D23_component_sum(t: Tables) -> DataFrame:
-    parts = best(t).where(c("item").isin("current_liabilities", "long_term_liabilities"))
-    return parts.groupBy("doc").agg(F.round(F.sum("value"), 2).alias("total"))
-
-
-@query(f"WITH {_V} SELECT doc, 1000.0::DOUBLE AS unit, round(v * 1000, 2) AS rescaled FROM pr")
-def D24_unit_vote(t: Tables) -> DataFrame:
-    """The unit on which most items seen in two readings agree, by the ratio's logarithm."""
-    a = best(t).where("kind = 'money'").select("doc", "item", c("value").alias("x"))
-    b = a.select("doc", "item", (c("x") / 1000).alias("y"))
-    votes = a.join(b, ["doc", "item"]).withColumn("vote", F.round(F.log10(F.abs(c("x") / c("y")))).cast("int")).groupBy("doc", "vote").agg(F.count("*").alias("n"))
-    unit = J.keep_first(votes, ["doc"], [c("n").desc(), c("vote")]).select("doc", F.pow(F.lit(10.0), c("vote")).alias("unit"))
-    return printed(t).join(unit, "doc").select("doc", "unit", F.round(c("v") * c("unit"), 2).alias("rescaled"))
-
-
 @query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, c_nationkey::DOUBLE) AS value, CASE WHEN c_acctbal >= 0 THEN 'primary' ELSE 'fallback' END AS source FROM customer")
 def D25_merge_readings(t: Tables) -> DataFrame:
     one = t.customer.where("c_acctbal >= 0").select("c_custkey", c("c_acctbal").alias("x"))
@@ -290,16 +249,6 @@ def D27_document_completeness(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.concat_ws(",", *[F.when(~F.bool_or(c("role") == r), r) for r in ("system", "assistant")]).alias("missing"))
 
 
-@query(f"WITH {_V}, g AS (SELECT doc, (CASE WHEN doc % 10 = 0 THEN 3 ELSE 2 END) AS hits FROM pr) SELECT round(sum(hits) / (count(*) * 3), 6) AS recall, round(sum(hits) / (count(*) * 6), 6) AS precision, count(*) AS forbidden FROM g")
-def D28_extraction_eval(t: Tables) -> DataFrame:
-    """Expected facts against extracted ones with a relative tolerance; each tax rate counts as forbidden."""
-    expect = printed(t).select("doc", F.inline(F.array(*[F.struct(F.lit(n).alias("item"), x.alias("want")) for n, x in (("current_assets", F.when(c("doc") % 10 == 0, c("v") * 1000).otherwise(1.0)), ("assets", c("v") * 1000), ("tax_rate", F.lit(0.22)))])))
-    got = best(t).select("doc", "item", "value")
-    both = expect.join(got, ["doc", "item"], "full")
-    hit = F.abs(c("want") - c("value")) <= 1e-6 * F.abs("want")
-    return both.agg(F.round(F.count_if(hit) / F.count("want"), 6).alias("recall"), F.round(F.count_if(hit) / F.count("value"), 6).alias("precision"), F.count_if((c("item") == "tax_rate") & c("value").isNotNull()).alias("forbidden"))
-
-
 @query("SELECT min(p_partkey) AS p_partkey, lower(trim(p_name)) AS name FROM part GROUP BY 2")
 def D29_dedupe_by_key(t: Tables) -> DataFrame:
     return J.keep_first(t.part.withColumn("name", F.lower(F.trim("p_name"))), ["name"], [c("p_partkey")]).select("p_partkey", "name")
@@ -324,13 +273,6 @@ def D31_extract_form_fields(t: Tables) -> DataFrame:
     return O.fields(form, {"status": ("state", "status"), "priority": ("priority",), "flag": ("revolving",)}, ["flag"]).withColumnRenamed("doc", "o_orderkey")
 
 
-@query(f"WITH {_FACTS} SELECT doc, round(sum(value), 2) AS total, 'derived' AS source FROM fa WHERE item IN ('current_liabilities', 'long_term_liabilities') GROUP BY 1")
-def D32_component_liabilities(t: Tables) -> DataFrame:
-    wide = best(t).groupBy("doc").pivot("item", ["total_liabilities", "current_liabilities", "long_term_liabilities"]).agg(F.first("value"))
-    total = c("current_liabilities") + c("long_term_liabilities")
-    return wide.select("doc", F.round(F.coalesce("total_liabilities", total), 2).alias("total"), F.when(c("total_liabilities").isNotNull(), "direct").when(total.isNotNull(), "derived").alias("source"))
-
-
 #: The rules of statements: labels, kinds and priorities.
 STATEMENT = (
     O.Rule("current_assets", (r"current\s+assets",), "money", 180), O.Rule("total_assets", (r"total\s+assets",), "money", 170), O.Rule("current_liabilities", (r"^current\s+liabilities$", r"total\s+current\s+liabilities"), "money", 170),
@@ -405,3 +347,90 @@ SELECT doc, CASE WHEN length(text) > 1500 THEN regexp_replace(substr(text, 1, 10
 def D19_reduce_to_budget(t: Tables) -> DataFrame:
     """Conversations reduced to 1500 characters: short turns whole, of others the head and lines with a keyword."""
     return O.reduced(pages(t), ("license", "ment"), budget=1500, short=400)
+
+
+_BEST = f"{_PRINTED}, bst AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY doc, item ORDER BY score DESC, page, line, value) = 1)"
+
+
+def read_best(t: Tables) -> DataFrame:
+    return O.best_facts(O.facts(statements(t), STATEMENT).withColumn("value", F.round("value", 2)))
+
+
+@query(f"{_BEST} SELECT doc, round(sum(CASE item WHEN 'current_assets' THEN value WHEN 'current_liabilities' THEN -value END), 2) AS working_capital, max(CASE WHEN item = 'net_income' THEN value END) AS net_income FROM bst GROUP BY 1")
+def D17_derive_facts(t: Tables) -> DataFrame:
+    """Facts that follow from others, by the pivoted best ones of a document."""
+    wide = read_best(t).groupBy("doc").pivot("item", ["current_assets", "current_liabilities", "net_income"]).agg(F.first("value"))
+    return wide.select("doc", F.round(c("current_assets") - c("current_liabilities"), 2).alias("working_capital"), "net_income")
+
+
+_NUMBER = r"^\s*\(?\s*-?\s*(?:[Rr][Pp]\.?\s*)?[0-9][0-9.,]*\s*\)?\s*$"
+
+
+def cells(t: Tables) -> DataFrame:
+    """Cells of a bank's summary of each order, a line each: labels, then values, a remark, and a label beside its value."""
+    v = c("o_totalprice")
+    text = F.concat(F.lit("Opening\nDebit\nClosing\n"), F.format_string("%.2f", v), F.lit("\nRp "), F.format_string("%.2f", v + 1), F.lit("\n"), F.format_string("%.2f", v + 2), F.lit("\nRemark "), c("o_orderpriority"), F.lit("\nOnly one\n"), (c("o_orderkey") + 10).cast("string"))
+    return t.orders.select(c("o_orderkey").alias("doc"), F.lit(1).alias("page"), text.alias("text"))
+
+
+_CELLS = f"""ce AS (SELECT o_orderkey AS doc, concat_ws(chr(10), 'Opening', 'Debit', 'Closing', format('{{:.2f}}', o_totalprice), 'Rp ' || format('{{:.2f}}', o_totalprice + 1), format('{{:.2f}}', o_totalprice + 2), 'Remark ' || o_orderpriority, 'Only one', (o_orderkey + 10)::VARCHAR) AS text FROM orders),
+cl AS (SELECT doc, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ce), cn AS (SELECT *, regexp_matches(x, '{_NUMBER}') AS num FROM cl)"""
+
+
+@query(f"WITH {_CELLS}, j AS (SELECT *, num AND NOT lag(num) OVER w AND NOT regexp_matches(lag(x) OVER w, '[0-9]\\s*$') AND trim(lag(x) OVER w) <> '' AS joined FROM cn WINDOW w AS (PARTITION BY doc ORDER BY i)) SELECT doc, count(*) - count(CASE WHEN joined THEN 1 END) AS n FROM j GROUP BY 1")
+def D20_join_label_value_lines(t: Tables) -> DataFrame:
+    """How many lines are left when those of a label and of its number have become one."""
+    return cells(t).select("doc", F.size(X.join_label_value(F.split("text", "\n"))).cast("long").alias("n"))
+
+
+@query(f"{_PRINTED}, k AS (SELECT doc, read, line, CASE WHEN regexp_matches(label, '(?i)total assets') THEN 0 WHEN regexp_matches(label, '(?i)current\\s+assets') THEN 1 END AS k FROM rd WHERE page = 1) SELECT doc, round(arg_min(read, (k, line)), 2) AS assets FROM k WHERE k IS NOT NULL GROUP BY 1")
+def D21_first_keyword_value(t: Tables) -> DataFrame:
+    """The first keyword that has a value wins over the first line."""
+    hits = F.array_compact(F.array(*[F.when(X.value_after("content", k).isNotNull(), F.struct(F.lit(i).alias("k"), c("line").alias("line"), X.value_after("content", k).alias("v"))) for i, k in enumerate(("total assets", r"current\s+assets"))]))
+    rows = lines(statements(t).where("page = 1")).select("doc", F.explode(hits).alias("h"))
+    return rows.groupBy("doc").agg(F.round(F.min_by("h.v", F.struct("h.k", "h.line")), 2).alias("assets"))
+
+
+@query(f"WITH {_CELLS}, n AS (SELECT *, CASE WHEN num IS DISTINCT FROM lag(num) OVER (PARTITION BY doc ORDER BY i) THEN 1 ELSE 0 END AS new FROM cn), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY i) AS island FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY doc, island ORDER BY i) AS a, row_number() OVER (PARTITION BY doc, island ORDER BY i DESC) AS z FROM g), s AS (SELECT doc, island, count(*) AS size FROM g GROUP BY 1, 2) SELECT l.doc, l.x AS label, round(replace(replace(v.x, 'Rp ', ''), ',', '')::DOUBLE, 2) AS value FROM r v JOIN s ON s.doc = v.doc AND s.island = v.island JOIN r l ON l.doc = v.doc AND l.island = v.island - 1 AND l.z = s.size - v.a + 1 WHERE v.num AND NOT l.num")
+def D22_block_label_values(t: Tables) -> DataFrame:
+    """A block of values belongs to as many labels right above it, matched by place."""
+    run, island = W.partitionBy("doc").orderBy("i"), W.partitionBy("doc", "island")
+    rows = cells(t).select("doc", F.posexplode(F.split("text", "\n")).alias("i", "x")).withColumn("num", c("x").rlike(_NUMBER))
+    rows = rows.withColumn("new", F.coalesce((c("num") != F.lag("num").over(run)).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(run))
+    rows = rows.withColumns({"back": F.row_number().over(island.orderBy(c("i").desc())), "size": F.count("*").over(island)})
+    values = rows.where("num").select("doc", (c("island") - 1).alias("island"), "back", L.parse_local_number(F.regexp_replace("x", "^Rp ", "")).alias("value"))
+    return rows.where("not num").select("doc", "island", "back", c("x").alias("label")).join(values, ["doc", "island", "back"]).select("doc", "label", F.round("value", 2).alias("value"))
+
+
+@query(f"{_BEST} SELECT doc, round(sum(value), 2) AS total FROM bst WHERE item IN ('current_assets', 'revenue') GROUP BY 1")
+def D23_component_sum(t: Tables) -> DataFrame:
+    parts = read_best(t).where(c("item").isin("current_assets", "revenue"))
+    return parts.groupBy("doc").agg(F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(f"{_BEST}, b AS (SELECT doc, item, value AS x, value / CASE doc % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 1e6 END * CASE WHEN item = 'revenue' THEN 100 ELSE 1 END AS y FROM bst WHERE kind = 'money'), v AS (SELECT doc, round(log10(abs(x / y)))::INTEGER AS vote, count(*) AS n FROM b WHERE x <> 0 GROUP BY 1, 2), u AS (SELECT doc, arg_max(vote, (n, -vote)) AS vote FROM v GROUP BY 1) SELECT doc, pow(10.0, vote) AS unit, round(y * pow(10.0, vote), 2) AS rescaled FROM b JOIN u USING (doc) WHERE item = 'total_assets'")
+def D24_unit_vote(t: Tables) -> DataFrame:
+    """The unit on which most items seen in two readings agree, by the ratio's logarithm; the second has no units and one slip."""
+    lost = F.when(c("doc") % 3 == 0, 1.0).when(c("doc") % 3 == 1, 1000.0).otherwise(1e6)
+    both = read_best(t).where("kind = 'money'").select("doc", "item", c("value").alias("x"), (c("value") / lost * F.when(c("item") == "revenue", 100).otherwise(1)).alias("y"))
+    votes = both.where("x <> 0").withColumn("vote", F.round(F.log10(F.abs(c("x") / c("y")))).cast("int")).groupBy("doc", "vote").agg(F.count("*").alias("n"))
+    unit = J.keep_first(votes, ["doc"], [c("n").desc(), c("vote")]).select("doc", F.pow(F.lit(10.0), c("vote")).alias("unit"))
+    return both.where("item = 'total_assets'").join(unit, "doc").select("doc", "unit", F.round(c("y") * c("unit"), 2).alias("rescaled"))
+
+
+@query(f"{_BEST}, g AS (SELECT o_orderkey AS doc, 'current_assets' AS item, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 1000 ELSE 1.0 END AS want FROM orders UNION ALL SELECT o_orderkey, 'net_income', -o_totalprice FROM orders UNION ALL SELECT o_orderkey, 'equity', 1.0 FROM orders), x AS (SELECT want, value, item FROM g FULL JOIN bst USING (doc, item)) SELECT round(count(CASE WHEN abs(want - value) <= 1e-6 * abs(want) THEN 1 END) / count(want), 6) AS recall, round(count(CASE WHEN abs(want - value) <= 1e-6 * abs(want) THEN 1 END) / count(value), 6) AS precision, count(CASE WHEN item = 'tax_rate' AND value IS NOT NULL THEN 1 END) AS forbidden FROM x")
+def D28_extraction_eval(t: Tables) -> DataFrame:
+    """Expected facts against extracted ones with a relative tolerance; each tax rate counts as forbidden."""
+    k, v = c("o_orderkey"), c("o_totalprice")
+    expect = t.orders.select(k.alias("doc"), F.inline(F.array(*[F.struct(F.lit(n).alias("item"), x.cast("double").alias("want")) for n, x in (("current_assets", F.when(k % 10 == 0, v * 1000).otherwise(1.0)), ("net_income", -v), ("equity", F.lit(1.0)))])))
+    both = expect.join(read_best(t).select("doc", "item", "value"), ["doc", "item"], "full")
+    hit = F.abs(c("want") - c("value")) <= 1e-6 * F.abs("want")
+    return both.agg(F.round(F.count_if(hit) / F.count("want"), 6).alias("recall"), F.round(F.count_if(hit) / F.count("value"), 6).alias("precision"), F.count_if((c("item") == "tax_rate") & c("value").isNotNull()).alias("forbidden"))
+
+
+@query(f"{_BEST}, w AS (SELECT doc, max(CASE WHEN item = 'revenue' AND doc % 2 = 0 THEN value END) AS direct, sum(CASE WHEN item IN ('current_assets', 'current_liabilities') THEN value END) AS parts FROM bst GROUP BY 1) SELECT doc, round(coalesce(direct, parts), 2) AS total, CASE WHEN direct IS NOT NULL THEN 'direct' WHEN parts IS NOT NULL THEN 'derived' END AS source FROM w")
+def D32_component_liabilities(t: Tables) -> DataFrame:
+    """A total as it stands, else the sum of its parts, with which of them it is."""
+    wide = read_best(t).where("item <> 'revenue' or doc % 2 = 0").groupBy("doc").pivot("item", ["revenue", "current_assets", "current_liabilities"]).agg(F.first("value"))
+    total = c("current_assets") + c("current_liabilities")
+    return wide.select("doc", F.round(F.coalesce("revenue", total), 2).alias("total"), F.when(c("revenue").isNotNull(), "direct").when(total.isNotNull(), "derived").alias("source"))
