@@ -175,6 +175,12 @@ def may_reach(threshold: int) -> Callable[[str, str], Column]:
     return reach
 
 
+def _kept(df: DataFrame, rows_at_once: int = 20_000) -> DataFrame:
+    """The rows written to the shared folder, read by no more tasks than they need."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // rows_at_once)))
+
+
 def _banded(texts_of: DataFrame, s: Settings) -> DataFrame:
     """(h, cls, low, high, times): for each key the distinct paragraphs, the least and largest text that has each, and how many have it.
 
@@ -257,33 +263,33 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # Only keys of several texts are kept; most keys are those of one text, whose paragraphs overlap.
     whole = W.partitionBy("h")
     every = _banded(texts_of, s).repartition("h").withColumns({"_low": F.min("low").over(whole), "_high": F.max("high").over(whole), "several": F.min("cls").over(whole) != F.max("cls").over(whole)})
-    near = cut(every.where("_low <> _high and (several or h & 1 = 1)").groupBy("h", "cls").agg((-F.sum("times")).alias("rare")))
+    near = _kept(every.where("_low <> _high and (several or h & 1 = 1)").groupBy("h", "cls").agg((-F.sum("times")).alias("rare")))
     like = near.where("h & 1 = 0")
-    sets = cut(_sets(texts_of, cut(like.select("cls").distinct()), s))
+    sets = _kept(_sets(texts_of, _kept(like.select("cls").distinct()), s))
     # Of a key's paragraphs the one that most texts have comes first: edited copies are like it rather than one another.
-    shared = cut(like.join(sets.drop("items"), "cls")).withColumns({"pos": F.lit(0), "salt": F.lit(-1)})
+    shared = _kept(like.join(sets.drop("items"), "cls")).withColumns({"pos": F.lit(0), "salt": F.lit(-1)})
 
     def check(pairs: DataFrame) -> DataFrame:
         return verified(pairs, lambda needed: sets.select("cls", "items").join(needed, "cls", "left_semi"), s.threshold)
 
-    keys = cut(like.groupBy("cls").agg(F.collect_list("h").alias("keys")))  # as many as there are bands
+    keys = _kept(like.groupBy("cls").agg(F.collect_list("h").alias("keys")))  # as many as there are bands
     roots = connect(neighbours(shared, FIELDS, ORDER), check, s.threshold, rows=shared.join(keys, "cls"), fields=FIELDS, extra=may_reach(s.threshold), order=ORDER)
     exact = near.where("h & 1 = 1").select("cls").distinct().join(roots.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("cls").alias("root"))
-    flagged = cut(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
+    flagged = _kept(roots.select(F.col("node").alias("cls"), "root").unionByName(exact))
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), ended().alias("text"))
-    hits = cut(_sent(flagged, _placed(named, flagged, s)))
+    hits = _kept(_sent(flagged, _placed(named, flagged, s)))
     # For each class the words of the document that keeps it: of the same class there, else of the root's first.
     spot = F.struct("doc_id", "row", "at", "end")
-    classes = cut(hits.groupBy("root", "cls").agg(F.min(spot).alias("own"), F.max("doc_id").alias("last")))
-    tops = cut(classes.groupBy("root").agg(F.min("own").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last"))
+    classes = _kept(hits.groupBy("root", "cls").agg(F.min(spot).alias("own"), F.max("doc_id").alias("last")))
+    tops = _kept(classes.groupBy("root").agg(F.min("own").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last"))
     known = _sent(tops, classes.drop("last"), "root").select("cls", F.col("first.doc_id").alias("kept"), F.when(F.col("own.doc_id") == F.col("first.doc_id"), F.col("own")).otherwise(F.col("first")).alias("like"))
-    rows = _sent(cut(known), hits).where("doc_id <> kept")
+    rows = _sent(_kept(known), hits).where("doc_id <> kept")
     # What one document keeps of another's words is widened first, then all that overlaps is one run.
     near = _runs(rows, ("doc_id", "row", "kept")).agg(
         F.min("at").alias("at"), F.max("end").alias("end"), F.min_by(F.struct("like.row", "like.at"), F.struct("at", "end", "cls")).alias("left"), F.max_by(F.struct("like.row", "like.end"), F.struct("end", "at", "cls")).alias("right"),
         F.min_by("root", F.struct("at", "root")).alias("root"), F.collect_set("at").alias("places"),
     )
-    wide = _widened(cut(near.select("*", F.col("left.row").alias("l_row"), F.col("left.at").alias("l_at"), F.col("right.row").alias("r_row"), F.col("right.end").alias("r_at")).drop("left", "right")), named, s)
+    wide = _widened(_kept(near.select("*", F.col("left.row").alias("l_row"), F.col("left.at").alias("l_at"), F.col("right.row").alias("r_row"), F.col("right.end").alias("r_at")).drop("left", "right")), named, s)
     runs = _runs(wide, ("doc_id", "row")).agg(F.min("at").cast("long").alias("first_word"), F.max("end").cast("long").alias("end_word"), F.min_by("root", F.struct("kept", "at", "root")).alias("component_id"), F.min("kept").alias("kept_doc_id"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("paragraphs"))
     return runs.select("doc_id", "first_word", "end_word", "component_id", "kept_doc_id", "paragraphs", "row")
 
@@ -330,7 +336,7 @@ def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(_spot(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))))], names=["key"])
 
-    keys = cut(reduce(DataFrame.unionByName, asked).mapInArrow(keyed, "key long").distinct())
+    keys = _kept(reduce(DataFrame.unionByName, asked).mapInArrow(keyed, "key long").distinct())
     sieve = named.sparkSession.sparkContext.broadcast(marked(keys, "key"))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +356,7 @@ def _widened(runs: DataFrame, named: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), pa.array(places, pa.int32()), pa.array(sides, pa.int32()), list_array(list(near), pa.int16())], names=["row", "place", "side", "words"])
 
     # Equal rows have equal words.
-    words = cut(named.select("row", "text").mapInArrow(around, "row long, place int, side int, words array<smallint>").groupBy("row", "place", "side").agg(F.max("words").alias("words")))
+    words = _kept(named.select("row", "text").mapInArrow(around, "row long, place int, side int, words array<smallint>").groupBy("row", "place", "side").agg(F.max("words").alias("words")))
     for side, place, other, like in ((0, "at", "l_at", "l_row"), (1, "end", "r_at", "r_row")):
         one = words.where(F.col("side") == side)
         for row, at, name in (("row", place, "own"), (like, other, "others")):
