@@ -253,7 +253,7 @@ def _panel_labels(turns: int) -> list[str]:
     return steps
 
 
-def _panel_ranks(rounds: int = 50, turns: int = 8, levels: int = 12, sources: int = 64) -> str:
+def _panel_ranks(rounds: int = 50, turns: int = 8, levels: int = 30, sources: int = 64) -> str:
     """PageRank, label propagation and betweenness of all month-ends in SQL, round by round."""
     steps = ["size AS (SELECT snap, count(*)::DOUBLE AS n FROM num GROUP BY 1), tot AS MATERIALIZED (SELECT snap, src, sum(w) AS t FROM bo GROUP BY 1, 2), lk AS MATERIALIZED (SELECT snap, src, dst, w / t AS p FROM bo JOIN tot USING (snap, src))"]
     steps.append("r0 AS MATERIALIZED (SELECT num.snap, node, n, t IS NULL AS loose, 1 / n AS r FROM num JOIN size USING (snap) LEFT JOIN tot ON tot.snap = num.snap AND src = node)")
