@@ -16,6 +16,7 @@ from ledgerline.operators import evaluate as E
 from ledgerline.operators import graph as G
 from ledgerline.operators import model as M
 from ledgerline.operators import quantiles as Q
+from ledgerline.operators import relational as J
 from ledgerline.operators import windows as V
 from ledgerline.sources import write_table
 
@@ -154,3 +155,16 @@ def test_folds_fit_and_calibration(spark, tmp_path):
     assert E.roc_auc(scored, "score", "y").first().auc > 0.7
     fixed = M.platt(scored.select("id", "y", "score"), "score", "y").orderBy("score").collect()
     assert all(x.calibrated <= y.calibrated + 1e-12 for x, y in zip(fixed, fixed[1:], strict=False)) and abs(np.mean([r.calibrated for r in fixed]) - np.mean([r.y for r in fixed])) < 0.02
+
+
+def test_token_join_finds_every_pair_among_copies(spark):
+    """Against all pairs: copies, words in another order, a match that must share 7 of 35 words, sets too long to match."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefghij"), rng.integers(1, 7))) for _ in range(60)] + ["a b c", "c b a", "a b c"] + [""]
+    texts += [" ".join(f"w{i}" for i in range(35)), " ".join(f"w{i}" for i in range(7)), " ".join(f"w{i}" for i in range(40))]
+    rows = spark.createDataFrame([(i, x.split()) for i, x in enumerate(texts)], "id long, t array<string>")
+    for threshold in (0.2, 0.5, 0.8):
+        got = {(r.q, r.id): r.score for r in J.token_jaccard_join(rows.where("id % 3 = 1").withColumnRenamed("id", "q"), rows, "q", "id", "t", threshold).collect()}
+        sets = [set(x.split()) for x in texts]
+        want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) if i % 3 == 1 for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= threshold}
+        assert got == want
