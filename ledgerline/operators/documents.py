@@ -52,28 +52,44 @@ def facts(pages: DataFrame, rules: Sequence[Rule], units: Sequence[tuple[str, fl
     """
     words = "|".join(word for word, _ in units)
     number = _LINE.format(units=words)
-    part = lambda k: F.regexp_extract("quote", f"(?i){number}", k)
-    rows = pages.select("doc", "page", unit_of(F.col("text"), units).alias("page_unit"), F.posexplode(join_label_value(clean_lines(F.col("text")))).alias("line", "quote"))
-    raw = F.regexp_replace(part(2), r"^[A-Za-z]+\.?\s*|\s+", "")
-    # A generator's rows are worked out once, however many expressions read them.
-    rows = rows.select("doc", "page", "page_unit", "line", "quote", F.inline(F.array(F.struct(F.trim(part(1)).alias("label"), raw.alias("raw"), F.lower(part(3)).alias("word")))))
+    # Beside a generator it would be worked out for each line: a page's unit comes before.
+    rows = pages.select("doc", "page", "text", unit_of(F.col("text"), units).alias("page_unit"))
+    rows = rows.select("doc", "page", "page_unit", F.posexplode(join_label_value(clean_lines(F.col("text")))).alias("line", "quote"))
+    # One match a line: unit's word, number and label between line ends, which no line holds itself.
+    split = F.split(F.regexp_replace("quote", f"(?i){number}", "\n$3\n$2\n$1\n"), "\n")
+    rows = rows.where(F.col("quote").rlike("[0-9]")).select("*", split.alias("_p"))
+    raw = F.regexp_replace(F.get("_p", 2), r"^[A-Za-z]+\.?\s*|\s+", "")
+    rows = _once(rows, {"label": F.trim(F.get("_p", 3)), "raw": raw, "word": F.lower(F.get("_p", 1))}).where("raw <> '' and label <> ''")
     line_unit = F.coalesce(*[F.when(F.col("word") == word, F.lit(scale)) for word, scale in units])
-    rows = rows.where("raw <> '' and label <> ''").select("doc", "page", "page_unit", "line", "quote", "label", F.inline(F.array(F.struct(parse_local_number("raw").alias("read"), line_unit.alias("line_unit"))))).where("read is not null")
-    unit = F.coalesce("line_unit", "page_unit")
+    rows = _once(rows, {"read": parse_local_number("raw"), "unit": F.coalesce(line_unit, "page_unit")}).where("read is not null")
     hits = []
     for r in rules:
-        value = {"money": F.col("read") * unit, "int": F.round("read")}.get(r.kind, F.col("read"))
+        value = {"money": F.col("read") * F.col("unit"), "int": F.round("read")}.get(r.kind, F.col("read"))
         for k, label in enumerate(r.labels):
-            hits.append(F.when(F.col("label").rlike(f"(?i){label}"), F.struct(F.lit(r.item).alias("item"), F.lit(k).alias("k"), F.lit(r.kind).alias("kind"), value.alias("value"), F.when(F.lit(r.kind == "money"), unit).otherwise(1.0).alias("unit"), F.lit(r.priority).alias("priority"))))
+            hits.append(F.when(F.col("label").rlike(f"(?i){label}"), F.struct(F.lit(r.item).alias("item"), F.lit(k).alias("k"), F.lit(r.kind).alias("kind"), value.alias("value"), F.when(F.lit(r.kind == "money"), F.col("unit")).otherwise(1.0).alias("unit"), F.lit(r.priority).alias("priority"))))
     bonus = F.when(F.col("quote").rlike(r"(?i)\btotal\b"), 15).otherwise(0) + F.when(F.contains("quote", F.lit(":")), 2).otherwise(0)
-    found = rows.select("doc", "page", "line", "quote", F.inline(F.array_compact(F.array(*hits))))
-    first = keep_first(found, ["doc", "page", "item", "k"], [F.col("line")])
+    found = rows.select("doc", "page", "line", "quote", F.inline(F.array(*hits))).where("item is not null")
+    # What was found of a document lies together: its first lines, its best facts and sums over it need no other shuffle.
+    rest = F.struct("line", "quote", "kind", "value", "unit", "priority")
+    first = found.repartition("doc").groupBy("doc", "page", "item", "k").agg(F.min(rest).alias("x")).select("doc", "page", "item", "x.*")
     return first.select("doc", "item", "kind", "value", "unit", (F.col("priority") + bonus).alias("score"), "page", "line", "quote")
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with columns that are worked out once, in a projection of their own, however many expressions and filters read them.
+
+    A projection shares what its expressions have in common, a generator doesn't; the generator above it only keeps filters
+    from being moved below, where they would work the columns out again.
+    """
+    packed = df.select("*", F.struct(*[x.alias(name) for name, x in columns.items()]).alias("_s"))
+    return packed.select(*df.columns, F.inline(F.array("_s")))
+
+
 def best_facts(found: DataFrame) -> DataFrame:
     """Of each document's items the fact of the highest score, then of the earliest page and line."""
-    return keep_first(found, ["doc", "item"], [F.col("score").desc(), F.col("page"), F.col("line"), F.col("value")])
+    order = F.struct((-F.col("score")).alias("lost"), "page", "line", "value", "kind", "unit", "quote")
+    best = found.groupBy("doc", "item").agg(F.min(order).alias("x")).select("doc", "item", "x.*")
+    return best.select("doc", "item", "kind", "value", "unit", (-F.col("lost")).alias("score"), "page", "line", "quote")
 
 
 def _next(lines: Column, i: Column, k: int) -> Column:

@@ -27,6 +27,18 @@ def test_facts_with_evidence(spark):
     assert best == {"current_assets": (2000e6, 1), "equity": (-9876e6, 1), "tax": (0.22, 2), "tenor": (36.0, 2)}
 
 
+def test_facts_are_found_in_one_pass_and_one_shuffle(spark, capsys):
+    pages = spark.createDataFrame(PAGES, "doc int, page int, text string")
+    O.best_facts(O.facts(pages, RULES)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "regexp_extract" not in plan
+    assert plan.index("Generate posexplode") < plan.index("trillions?")  # a page's unit comes below its lines
+    # Line separators of other alphabets, a label of marks, a number alone: as before.
+    odd = spark.createDataFrame([(1, 1, "Equity 5\u2028\nAssets\n7 trillion\n12\nEquity: $1 9"), (1, 2, "Equity \\1 (3)")], "doc int, page int, text string")
+    found = {(r.page, r.line): (r.item, r.value, r.quote) for r in O.facts(odd, (O.Rule("equity", ("^equity",)),)).collect()}
+    assert found == {(1, 0): ("equity", 5.0, "Equity 5\u2028"), (2, 0): ("equity", -3.0, "Equity \\1 (3)")}
+
+
 def test_holders(spark):
     stacked = "LIST OF HOLDERS\n 1\nAda Lovelace\n 25.000.000\nPresident  director\n2\nBob & Sons\n15.000.000\nShareholder\nAda LOVELACE\n1.000\nManager\nTOTAL\n50.000.000"
     inline = "Deed\n1. Carol Jones: 60,5%\nDan - 39.5 %\ncarol jones 10%\nToo much 250%"
