@@ -53,3 +53,12 @@ def test_registration_needs_no_session():
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
     assert said.returncode == 0, said.stderr
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
+@pytest.mark.parametrize("name", ["Q14_address_checks", "G23_match_counterparties"])
+def test_members_are_counted_as_rows(spark, capsys, name):
+    registry()[name].run(spark, FOLDER).explain()
+    plan = capsys.readouterr().out
+    assert "Expand" not in plan and "distinct" not in plan
+    test_against_sql(spark, name)
