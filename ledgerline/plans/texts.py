@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ledgerline import functions as L
 from ledgerline.functions import text as X
 from ledgerline.operators import documents as O
+from ledgerline.operators import graph as G
 from ledgerline.operators import relational as J
 from ledgerline.operators import search as S
 from ledgerline.plans import Register, Tables
@@ -139,16 +140,15 @@ def D07_lexical_score(t: Tables) -> DataFrame:
 _COS = "nv AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), co AS (SELECT a.vec_id AS asked, b.vec_id, list_cosine_similarity(b.v, a.v) AS s FROM nv a, nv b WHERE a.vec_id % 100 = 0)"
 
 
-def cosines(t: Tables) -> DataFrame:
-    """Every hundredth vector asks, as the query set, all vectors."""
-    rows = t.embeddings.select("vec_id", S.normalised("embedding").alias("v"))
-    asked = rows.where("vec_id % 100 = 0").select(c("vec_id").alias("asked"), c("v").alias("q"))
-    return rows.crossJoin(asked).select("asked", "vec_id", S.dot("v", "q").alias("cosine"))
+def vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select(c("vec_id").alias("id"), S.normalised("embedding").alias("v"))
 
 
 @query(f"WITH {_COS} SELECT asked, vec_id, round(s, 6) AS cosine FROM co")
 def D08_cosine_score(t: Tables) -> DataFrame:
-    return cosines(t).withColumn("cosine", F.round("cosine", 6))
+    """Every hundredth vector asks, as the query set, all vectors."""
+    rows = vectors(t).withColumns({"terms": F.array().cast("array<string>"), "w": F.array().cast("array<double>")})
+    return S.likeness(rows, rows.where("id % 100 = 0"), "asked", "vec_id").select("asked", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 _OWN = f"""tk AS (SELECT doc_id AS item_id, {_TOK.format(x='text')} AS t FROM documents JOIN embeddings ON vec_id = doc_id), df AS (SELECT term, count(*) AS df FROM (SELECT item_id, unnest(list_distinct(t)) AS term FROM tk) GROUP BY 1), idf AS (SELECT term, ln(1 + (SELECT count(*) FROM tk) / (1.0 + df)) AS idf FROM df),
@@ -159,9 +159,11 @@ lex AS (SELECT asked, item_id AS vec_id, least(1, sum(idf * tf * 2.2 / (tf + 1.2
 @query(f"WITH {_COS}, {_OWN}, x AS (SELECT asked, vec_id, 0.65 * s + 0.35 * coalesce(l, 0) AS s, (vec_id + asked) % 97 = 5 AS cited FROM co LEFT JOIN lex USING (asked, vec_id)), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY cited DESC, CASE WHEN cited THEN vec_id END, round(s, 9) DESC, vec_id) AS place, count(CASE WHEN cited THEN 1 END) OVER (PARTITION BY asked) AS n FROM x) SELECT asked, vec_id, place, round(s, 6) AS score, cited FROM r WHERE place <= 8 OR place <= n")
 def D09_hybrid_search(t: Tables) -> DataFrame:
     """Documents with a vector, asked by every hundredth of them: likeness of vectors and of words together."""
-    own = t.documents.join(t.embeddings.select(c("vec_id").alias("doc_id")), "doc_id", "left_semi").select(c("doc_id").alias("vec_id"), X.tokens("text").alias("t"))
-    words = S.lexical(own.where("vec_id % 100 = 0").select(c("vec_id").alias("asked"), "t"), own, "asked", "vec_id", "t")
-    rows = cosines(t).join(words, ["asked", "vec_id"], "left").withColumn("is_cited", (c("vec_id") + c("asked")) % 97 == 5)
+    own = t.documents.join(t.embeddings.select(c("vec_id").alias("doc_id")), "doc_id", "left_semi").select(c("doc_id").alias("id"), X.tokens("text").alias("t"))
+    rows = G.cut(vectors(t).join(S.weighted_terms(own, "id", "t"), "id", "left"))
+    asked = rows.where("id % 100 = 0").select("id", "v", "terms", c("q_w").alias("w"))
+    pairs = S.likeness(rows, asked, "asked", "vec_id", (8, 0.35, lambda row, q: (row + q) % 97 == 5))
+    rows = pairs.withColumn("is_cited", (c("vec_id") + c("asked")) % 97 == 5)
     return S.hybrid(rows, "asked", "vec_id", 8, 0.35, "vec_id", "is_cited").select("asked", "vec_id", "place", F.round("score", 6).alias("score"), "cited")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import documents as O
 from ledgerline.operators import features as N
+from ledgerline.operators import search as S
 
 PAGES = [
     (1, 1, "CONSOLIDATED BALANCE SHEET\nIn millions of rupiah\nCurrent assets   1.250,50\nTotal current assets: 2.000\nEquity\n(9.876)\nNote 7\n"),
@@ -109,3 +112,24 @@ def test_formulas_in_a_circle_are_an_error():
     with pytest.raises(ValueError, match="need each other"):
         N.ordered((N.Feature("x", needs=("y",), formula="y"), N.Feature("y", needs=("x",), formula="x")))
     assert [f.name for f in N.ordered(FEATURES) if f.name in "abc"] == ["a", "b", "c"]
+
+
+def test_likeness_keeps_what_ranks_and_meets_all_pairs(spark):
+    """Rows in several shares and blocks; before, all pairs went through a shuffle to be ranked."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (60, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    bags = [{f"t{j}": float(j + 1) for j in rng.choice(20, 5, replace=False)} for _ in range(60)]
+    rows = [(i, None if i == 7 else v[i].tolist(), list(bags[i]), list(bags[i].values())) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, terms array<string>, w array<double>")
+    asked = df.where("id % 10 = 0").withColumn("w", F.transform("w", lambda x: x / 500.0))
+    got = {(r.q, r.c): (r.cosine, r.lexical) for r in S.likeness(df, asked, "q", "c", most=16, share=3, block=2).collect()}
+    assert len(got) == 360
+    for (q, c), (cosine, lexical) in got.items():
+        assert (cosine is None) == (c == 7) and (cosine is None or abs(cosine - v[q] @ v[c]) < 1e-12)
+        assert abs(lexical - min(1.0, sum(x * bags[q][t] / 500 for t, x in bags[c].items() if t in bags[q]))) < 1e-12
+    some = {(r.q, r.c) for r in S.likeness(df, asked, "q", "c", (2, 0.35, lambda r, q: (r + q) % 9 == 5), most=16, share=3, block=2).collect()}
+    for q in range(0, 60, 10):
+        score = sorted(((-(0.65 * (got[q, c][0] or 0.0) + 0.35 * got[q, c][1]), c) for c in range(60) if (c + q) % 9 != 5))[:2]
+        assert {(q, c) for _, c in score} | {(q, c) for c in range(60) if (c + q) % 9 == 5} <= some
+    assert len(some) < 360
