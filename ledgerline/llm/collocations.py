@@ -92,26 +92,50 @@ def lang_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes[names.indices.to_numpy(zero_copy_only=False)] if len(raw) else np.zeros(0, dtype=U), codes, names.dictionary.to_pylist()
 
 
+#: Where the ranges of keys begin that a task merges and hands on one after another; keys are hashes, so ranges hold about as many.
+_RANGES = np.arange(1, 16, dtype=U) << U(60)
+
+
 class Tally:
-    """Counts of keys and the largest spot of each, merged as they come; what a task holds is bounded, as it hands them on when they are many."""
+    """Counts of keys and the largest spot of each, merged as they come; what a task holds is bounded, as it hands them on when they are many.
+
+    They wait by ranges of keys, and a range is merged by itself, so no second copy of all that waits is made.
+    """
 
     def __init__(self, held: int) -> None:
-        self.held, self.waiting, self.size = held, [], 0
+        self.held = held
+        self.clear()
+
+    def clear(self) -> None:
+        self.waiting: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(len(_RANGES) + 1)]
+        self.size = 0
 
     def add(self, keys: np.ndarray, times: np.ndarray, spots: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if len(keys):
-            self.waiting.append(merged(keys, times, spots))
-            self.size += len(self.waiting[-1][0])
+            found = merged(keys, times, spots)
+            bounds = [0, *np.searchsorted(found[0], _RANGES).tolist(), len(found[0])]
+            for own, a, b in zip(self.waiting, bounds[:-1], bounds[1:], strict=True):
+                if b > a:
+                    own.append(tuple(x[a:b].copy() for x in found))  # a view would hold all of them
+            self.size += len(found[0])
         if self.size > 2 * self.held:
-            whole = self.all()
-            if len(whole[0]) > self.held:
-                yield whole
-            else:
-                self.waiting, self.size = [whole], len(whole[0])
+            self.merge()
+            if self.size > self.held:
+                yield from self.all()
+
+    def merge(self) -> None:
+        for i, own in enumerate(self.waiting):
+            if len(own) > 1:
+                self.waiting[i] = [merged(*(np.concatenate(x) for x in zip(*own, strict=True)))]
+        self.size = sum(len(x[0]) for own in self.waiting for x in own)
 
-    def all(self) -> tuple[np.ndarray, ...]:
-        waiting, self.waiting, self.size = self.waiting, [], 0
-        return merged(*(np.concatenate(x) for x in zip(*waiting, strict=True))) if waiting else (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))
+    def all(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """All that waits, a range of keys at a time."""
+        self.merge()
+        waiting = self.waiting
+        self.clear()
+        while waiting:
+            yield from waiting.pop()
 
 
 def merged(keys: np.ndarray, times: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,7 +176,7 @@ def counted(texts_of: DataFrame, s: Settings, table: np.ndarray | None = None, b
                         parts_before = whole & is_marked(before, keys)
                     some = np.flatnonzero(some)
                     yield from map(out, tally.add(keys[some], np.ones(len(some), dtype=np.int64), spots[some]))
-        yield out(tally.all())
+        yield from map(out, tally.all())
 
     return texts_of.select("lang", "text", "spot").mapInArrow(rows, "key long, times long, spot int").groupBy("key").agg(F.sum("times").alias("times"), F.max("spot").alias("spot"))
 

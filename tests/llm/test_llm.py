@@ -917,3 +917,21 @@ def test_bands_reject(spark):
     df = spark.createDataFrame([(1, "en", noise), (2, "en", clean), (3, "en", dull), (4, "xx", clean)], "doc_id long, lang string, text string")
     got = {r.doc_id: r.rejected_by for r in fertility.rules(df, *paths, bands={**fertility.BANDS, "xx": fertility.BANDS["Latin"]._replace(least_piece_chars=99.0)}).collect()}
     assert got[1] in ("piece_chars", "byte_pair_chars") and got[2] is None and got[3] == "entropy" and got[4] == "piece_chars"
+
+
+def test_tally_hands_on_ranges_of_keys():
+    rng = np.random.default_rng(5)
+    tally, got, sizes, want = collocations.Tally(4000), Counter(), [], Counter()
+    spots = {}
+    for _ in range(60):
+        keys = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) if rng.random() < 0.7 else np.arange(300, dtype=np.uint64) << np.uint64(55)
+        want.update(keys.tolist())
+        for handed in tally.add(keys, np.ones(len(keys), dtype=np.int64), np.full(len(keys), 7, dtype=np.int32)):
+            sizes.append(len(handed[0]))
+            got.update(dict(zip(handed[0].tolist(), handed[1].tolist(), strict=True)))
+            spots |= dict(zip(handed[0].tolist(), handed[2].tolist(), strict=True))
+    for handed in tally.all():
+        sizes.append(len(handed[0]))
+        got.update(dict(zip(handed[0].tolist(), handed[1].tolist(), strict=True)))
+    assert got == want and set(spots.values()) == {7} and len(sizes) > 16
+    assert max(sizes) < 1000, "a range of keys is handed on by itself, never all that waits"
