@@ -99,8 +99,18 @@ class Ids:
         order = np.argsort(known, kind="stable")
         self.known, self.place, self.count = known[order], np.concatenate([self.place, places])[order], np.concatenate([self.count, counts])[order]
 
-    def __call__(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, end to end, and each text's count."""
+    def __call__(self, some: list[str], least: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and each text's count; arrays of some 100 bytes a character are of about `least` characters at a time."""
+        ends = np.cumsum([0, *map(len, some)])
+        parts, at = [], 0
+        while at < len(some):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + least, side="right")) - 1)
+            parts.append(self.encoded(some[at:end]))
+            at = end
+        ids, counts = zip(*parts, strict=True) if parts else ([np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encoded(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, sizes = "".join(some), np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         if not joined:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(some), dtype=np.int64)

@@ -935,3 +935,15 @@ def test_tally_hands_on_ranges_of_keys():
         got.update(dict(zip(handed[0].tolist(), handed[1].tolist(), strict=True)))
     assert got == want and set(spots.values()) == {7} and len(sizes) > 16
     assert max(sizes) < 1000, "a range of keys is handed on by itself, never all that waits"
+
+
+def test_token_arrays_are_of_some_characters(monkeypatch):
+    rng = random.Random(8)
+    some = [prose(rng, rng.randint(0, 60)) for _ in range(50)] + ["", "x" * 3000, "", "naïve — 'll"]
+    seen, encoded = [], packing.Ids.encoded
+    monkeypatch.setattr(packing.Ids, "encoded", lambda self, texts: seen.append(sum(map(len, texts))) or encoded(self, texts))
+    ids, counts = packing.Ids(tokenizer_path())(some, least=500)
+    whole, each = encoded(packing.Ids(tokenizer_path()), some)
+    assert ids.tolist() == whole.tolist() and counts.tolist() == each.tolist()
+    assert len(seen) > 10 and max(n for n in seen if n < 3000) <= 500
+    assert packing.Ids(tokenizer_path())([])[1].tolist() == []
