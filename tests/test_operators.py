@@ -168,3 +168,17 @@ def test_token_join_finds_every_pair_among_copies(spark):
         sets = [set(x.split()) for x in texts]
         want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) if i % 3 == 1 for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= threshold}
         assert got == want
+
+
+def test_token_join_shuffles_no_row(spark):
+    """Words that all texts share, small shares of queries and small blocks: the pairs of brute force, and nothing but the queries is written or dealt out."""
+    rng = np.random.default_rng(4)
+    texts = [["the", "of", *rng.choice(list("abcdefgh"), rng.integers(0, 6)).tolist()] for _ in range(80)] + [[], None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, t array<string>")
+    found = J.token_jaccard_join(rows.where("id % 4 = 1").withColumnRenamed("id", "q"), rows, "q", "id", "t", 0.3, share=20, block=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    sets = [set(x or ()) for x in texts]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) if i % 4 == 1 for j, b in enumerate(sets) if a and b and len(a & b) / len(a | b) >= 0.3}
+    rows_ = found.collect()
+    assert {(r.q, r.id): r.score for r in rows_} == want and len(rows_) == len(want) > 100
