@@ -31,7 +31,8 @@ _LINE = r"^(.*?)[\s:.]*((?:\b(?:rp|idr|usd|eur)\.?\s*)?\(?-?\b[0-9][0-9.,]*\)?\s
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text without those of only blanks, blanks in a row as one."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    plain = F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")  # once a text: white space but for line ends
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unit_of(text: Column, units: Sequence[tuple[str, float]]) -> Column:
@@ -97,6 +98,7 @@ def _next(lines: Column, i: Column, k: int) -> Column:
 
 
 POSITIONS = "director|commissioner|shareholder|president|manager|partner|trustee"
+_TOTAL = "^[Tt][Oo][Tt][Aa][Ll]"
 _COUNT = r"^\(?\s*([0-9]{1,3}(?:[.,][0-9]{3})+)\s*\)?$"
 _PERCENT = r"^(?:[0-9]+[.)]\s*)?(.*?[^\s:-])\s*[:-]?\s*([0-9]{1,3}(?:[.,][0-9]+)?)\s*%$"
 
@@ -112,23 +114,25 @@ def holders(docs: DataFrame, positions: str = POSITIONS, most: int = 12) -> Data
     i = F.sequence(F.lit(0), F.size("l") - 1)
     shares = lambda x: F.regexp_extract(x, _COUNT, 1)
     there = F.when(F.size("l") > 0, i).otherwise(F.array().cast("array<int>"))
-    total = F.filter(there, lambda k: F.upper(F.get("l", k)).startswith("TOTAL"))
-    sum_line = F.coalesce(*[F.when(x != "", parse_local_number(x)) for x in (F.regexp_extract(_next(F.col("l"), F.get(total, 0), 0), r"([0-9]{1,3}(?:[.,][0-9]{3})+)\s*$", 1), shares(_next(F.col("l"), F.get(total, 0), 1)))])
+    total = F.filter(there, lambda k: F.get("l", k).rlike(_TOTAL))
+    # Each step is a projection of its own: a line is held against an expression once, by what it is cheap to see first.
+    read = _once(lines, {"c": F.transform("l", shares), "total": F.get(total, 0)})
+    after = F.coalesce(F.get("c", F.col("total") + 1), F.lit(""))
+    sum_line = F.coalesce(*[F.when(x != "", parse_local_number(x)) for x in (F.regexp_extract(_next(F.col("l"), F.col("total"), 0), r"([0-9]{1,3}(?:[.,][0-9]{3})+)\s*$", 1), after)])
 
     def stacked(k: Column) -> Column:
-        name = _next(F.col("l"), k, 0)
-        fits = name.rlike("[A-Za-z]") & (F.length(name) > 2) & (shares(name) == "") & ~F.upper(name).startswith("TOTAL")
-        fits = fits & (shares(_next(F.col("l"), k, 1)) != "") & _next(F.col("l"), k, 2).rlike(f"(?i){positions}")
-        return F.when(fits, F.struct(k.alias("at"), name.alias("name"), parse_local_number(F.when(shares(_next(F.col("l"), k, 1)) != "", shares(_next(F.col("l"), k, 1)))).alias("n"), _next(F.col("l"), k, 2).alias("position")))
-
-    def inline(k: Column) -> Column:
-        line = F.get("l", k)
-        name, part = F.regexp_extract(line, _PERCENT, 1), F.regexp_extract(line, _PERCENT, 2)
-        value = F.replace(F.when(part != "", part), F.lit(","), F.lit(".")).cast("double")
-        return F.when((F.length(name) > 2) & (value > 0) & (value <= 100), F.struct(k.alias("at"), name.alias("name"), (value / 100).alias("n"), F.lit(None).cast("string").alias("position")))
-
-    read = lines.withColumns({"many": F.array_compact(F.transform(there, stacked)), "few": F.array_compact(F.transform(there, inline)), "total": sum_line})
-    rows = read.select("doc", "total", (F.size("many") > 0).alias("counted"), F.inline(F.when(F.size("many") > 0, F.col("many")).otherwise(F.col("few"))))
+        name = F.get("l", k)
+        fits = (F.get("c", k + 1) != "") & (F.get("c", k) == "") & (F.length(name) > 2) & ~name.rlike(_TOTAL)
+        return fits & name.rlike("[A-Za-z]") & _next(F.col("l"), k, 2).rlike(f"(?i){positions}")
+
+    def counted(k: Column) -> Column:
+        return F.struct(k.alias("at"), F.get("l", k).alias("name"), parse_local_number(F.get("c", k + 1)).alias("n"), _next(F.col("l"), k, 2).alias("position"))
+
+    read = _once(read, {"many": F.transform(F.filter(there, stacked), counted), "whole": sum_line})
+    parts = F.transform(F.filter(there, lambda k: F.contains(F.get("l", k), F.lit("%"))), lambda k: F.struct(k.alias("at"), F.regexp_extract(F.get("l", k), _PERCENT, 1).alias("name"), F.regexp_extract(F.get("l", k), _PERCENT, 2).alias("part")))
+    values = F.transform(F.filter(parts, lambda x: (x["part"] != "") & (F.length(x["name"]) > 2)), lambda x: F.struct(x["at"].alias("at"), x["name"].alias("name"), F.replace(x["part"], F.lit(","), F.lit(".")).cast("double").alias("n")))
+    few = F.transform(F.filter(values, lambda x: (x["n"] > 0) & (x["n"] <= 100)), lambda x: F.struct(x["at"].alias("at"), x["name"].alias("name"), (x["n"] / 100).alias("n"), F.lit(None).cast("string").alias("position")))
+    rows = read.select("doc", F.col("whole").alias("total"), (F.size("many") > 0).alias("counted"), F.inline(F.when(F.size("many") > 0, F.col("many")).otherwise(few)))
     once = keep_first(rows.withColumn("_name", F.lower("name")), ["doc", "_name"], [F.col("at")])
     whole = F.coalesce("total", F.sum("n").over(W.partitionBy("doc")))
     shared = once.withColumn("share", F.when(F.col("counted"), F.col("n") / null_if_zero(whole)).otherwise(F.col("n")))

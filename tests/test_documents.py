@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as X
 from ledgerline.operators import documents as O
 from ledgerline.operators import features as N
 from ledgerline.operators import search as S
@@ -133,3 +134,18 @@ def test_likeness_keeps_what_ranks_and_meets_all_pairs(spark):
         score = sorted(((-(0.65 * (got[q, c][0] or 0.0) + 0.35 * got[q, c][1]), c) for c in range(60) if (c + q) % 9 != 5))[:2]
         assert {(q, c) for _, c in score} | {(q, c) for c in range(60) if (c + q) % 9 == 5} <= some
     assert len(some) < 360
+
+
+def test_lines_of_holders_are_read_once(spark):
+    """The expressions of numbers of shares and of shares in per cent stand once, and twice (its two groups), in the plan of what is read."""
+    docs = spark.createDataFrame([(1, "Total\n9.000\ntotally Ltd\n1.000\nOwner\nAda\t\x0b Byron\r\n3.000\nmanager"), (2, None)], "doc int, text string")
+    found = O.holders(docs)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count(O._COUNT) == 1 and plan.count(O._PERCENT) == 2
+    assert [(r.doc, r.place, r.name, round(r.share, 6), r.position) for r in found.collect()] == [(1, 1, "Ada Byron", round(3000 / 9000, 6), "manager")]
+
+
+def test_lines_are_joined_only_where_a_number_stands_alone(spark):
+    rows = spark.createDataFrame([(["a", "b 1"],), (["a", "(12)", "b", "Rp 3", "4"],), (None,), (["a", None, "5"],)], "l array<string>")
+    assert [r.j for r in rows.select(X.join_label_value("l").alias("j")).collect()] == [["a", "b 1"], ["a (12)", "b Rp 3", "4"], None, ["a", None, "5"]]
+    assert "CASE WHEN exists" in rows.select(X.join_label_value("l"))._jdf.queryExecution().analyzed().toString()
