@@ -102,3 +102,13 @@ def test_classifiers_and_regression(spark):
     x = np.stack([np.ones(len(rows)), [r[1] or 0.0 for r in rows], [r[2] for r in rows]], axis=1)[known]
     plain = x @ np.linalg.lstsq(x, truth[known], rcond=None)[0]
     assert np.corrcoef(found[known], plain)[0, 1] > 0.999
+
+
+def test_segments_read_written_rows(spark):
+    """What the rows are made of is worked out once, not in each fit and round: no join is left in the plan of the segments."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(i % 2 * 5, 1, 2))) for i in range(80)], "id long, a double, b double")
+    more = spark.createDataFrame([(i, float(i % 2)) for i in range(80)], "id long, w double")
+    rows = M.segments(df.join(more, "id"), ["a", "b", "w"])[1]
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert len({(r.id % 2, r.cluster) for r in rows.collect()}) == 2 and rows.count() == 80
