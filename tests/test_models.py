@@ -112,3 +112,20 @@ def test_segments_read_written_rows(spark):
     rows = M.segments(df.join(more, "id"), ["a", "b", "w"])[1]
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert len({(r.id % 2, r.cluster) for r in rows.collect()}) == 2 and rows.count() == 80
+
+
+def test_resamples_of_many_scores(spark):
+    """Beyond the rows that a task may hold; before, this was an error.  Scores in the same, the opposite and no order, each row drawn alike for all."""
+    rng = np.random.default_rng(11)
+    y = (rng.random(900) < 0.4).astype(int)
+    s, t = rng.normal(0, 1, 900) + 0.5 * y, np.where(rng.random(900) < 0.3, 0.25, rng.random(900))
+    rows = [(int(a), float(b), float(-b), float(3 * b), 1.0, float(c)) for a, b, c in zip(y, s, t, strict=True)] * 2 + [(1, None, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "y int, s double, down double, up double, flat double, t double")
+    found = E.resampled_auc(df, ["s", "down", "up", "flat", "t"], "y", 400, most=100, size=150).collect()
+    assert sorted(r.draw for r in found) == list(range(400))
+    assert all(abs(r.auc_s + r.auc_down - 1) < 1e-12 and abs(r.auc_s - r.auc_up) < 1e-12 and r.auc_flat == 0.5 for r in found)
+    whole = E.resampled_auc(df, ["s", "t"], "y", 400).collect()
+    for name in ("auc_s", "auc_t"):
+        mine, theirs = (np.array([r[name] for r in x]) for x in (found, whole))
+        assert abs(mine.mean() - theirs.mean()) < 5e-3 and 0.8 < mine.std() / theirs.std() < 1.25 and len(set(mine)) > 350
+    assert [r.auc_s for r in E.resampled_auc(df.where("y = 1"), ["s"], "y", 5, most=1, size=100).collect()] == [None] * 5
